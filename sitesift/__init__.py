@@ -1,0 +1,8 @@
+"""sitesift: schema-driven web-record extraction and market analytics on Spark.
+
+Every public function takes and returns DataFrames (or Columns). The data work
+runs in executors: native Spark expressions wherever possible, Arrow-batched
+``mapInPandas`` only where HTML has to be parsed.
+"""
+
+__version__ = "0.1.0"
