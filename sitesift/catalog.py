@@ -555,8 +555,9 @@ def q_to_fetch(spark, sf):
 
 # ================================================================ analytics
 def _s_stats(v: str) -> str:
+    mean = f"CAST(sum(CAST({v} AS DECIMAL(38,2))) AS DOUBLE) / count({v})"
     return (f"count(*) AS n_records, count({v}) AS n_valid, round(min({v}), 6) AS min_value, "
-            f"round(max({v}), 6) AS max_value, round(avg({v}), 6) AS mean_value, "
+            f"round(max({v}), 6) AS max_value, round({mean}, 6) AS mean_value, "
             f"round(quantile_cont({v}, 0.5), 6) AS median_value, round(quantile_cont({v}, 0.9), 6) AS p90_value, "
             f"round(stddev_samp({v}), 6) AS std_value")
 
@@ -566,14 +567,14 @@ WITH {S_PRICE_TEXT.strip()}
 SELECT p_brand, {_s_stats('v')} FROM (SELECT p_brand, {S_MONEY} AS v FROM price_text) GROUP BY p_brand""")
 def q_price_distribution(spark, sf):
     p = fx.price_text(spark, sf).withColumn("v", tx.money_report("price_text"))
-    return A.price_stats(p, "v", ["p_brand"])
+    return A.price_stats(p, "v", ["p_brand"], decimal_scale=2)
 
 
 @query("lineitem_price_distribution", f"""
 SELECT l_returnflag, l_linestatus, {_s_stats('l_extendedprice')} FROM lineitem GROUP BY ALL""")
 def q_lineitem_price_distribution(spark, sf):
     li = table(spark, sf, "lineitem")
-    return A.price_stats(li, "l_extendedprice", ["l_returnflag", "l_linestatus"])
+    return A.price_stats(li, "l_extendedprice", ["l_returnflag", "l_linestatus"], decimal_scale=2)
 
 
 S_WORDS = f"""

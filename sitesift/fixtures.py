@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.joins import spread
 from .sources.site_schema import load_site_schema
 
 RUN_TS = "2024-02-01 00:00:00"
@@ -63,7 +64,9 @@ def sites(spec: dict):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table, spread over the task slots when its file is too small
+    to scan in parallel (a no-op for large multi-file tables)."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _blank(k: Column, value: Column) -> Column:
@@ -124,7 +127,7 @@ def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("qty"), F.col("l_returnflag").alias("flag"),
         F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("tags"))
     lines = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.array_sort(F.collect_list(line)).alias("lines"))
+        F.sort_array(F.collect_list(line)).alias("lines"))
     j = o.join(lines, "o_orderkey", "left")
     k = F.col("o_orderkey") % 10
     lines_json = F.coalesce(F.to_json(F.col("lines")), F.lit("[]"))
@@ -156,7 +159,7 @@ def feed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("doc_id").cast("string"), F.lit("</link><description>"),
                  _xml_escape(F.col("text")), F.lit("</description></item>")).alias("xml"))
     feeds = d.groupBy((F.col("doc_id") / 8).cast("long").alias("feed_id")).agg(
-        F.array_sort(F.collect_list(item)).alias("items"))
+        F.sort_array(F.collect_list(item)).alias("items"))
     inner = F.array_join(F.transform("items", lambda x: x["xml"]), "")
     body = F.concat(F.lit("<rss><channel><title>feed</title>"), inner,
                     F.when(F.col("feed_id") % 11 == 5, F.lit("")).otherwise(F.lit("</channel></rss>")))

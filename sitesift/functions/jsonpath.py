@@ -18,45 +18,44 @@ from ._util import col as _c
 _INT = re.compile(r"^\s*[+-]?\d+\s*$")
 
 
-def _key_step(v: Column, key: str) -> Column:
-    escaped = key.replace("\\", "\\\\").replace('"', '\\"')
-    return F.call_function("try_variant_get", v, F.lit(f'$["{escaped}"]'), F.lit("variant"))
+def _get(v: Column, path: str, as_type: str = "variant") -> Column:
+    return F.call_function("try_variant_get", v, F.lit(path), F.lit(as_type))
 
 
-def _index_step(v: Column, idx: int) -> Column:
-    arr = F.call_function("try_variant_get", v, F.lit("$"), F.lit("array<variant>"))
-    pos = idx + 1 if idx >= 0 else idx
-    return F.call_function("try_element_at", arr, F.lit(pos))
+def _keys_path(keys: list[str]) -> str:
+    return "$" + "".join('["' + k.replace("\\", "\\\\").replace('"', '\\"') + '"]' for k in keys)
 
 
 def json_path(v, path: str) -> Column:
     """Walk ``path`` through a VARIANT column; NULL when any step fails.
 
-    A numeric segment is an index when the value is a list, else a key
-    (the reference decides by the value's type, which we only see per row,
-    so both forms are tried: list first).
+    Runs of key segments become one variant path. A numeric segment is an
+    index when the value is a list and a key otherwise (the reference decides
+    by the value's type, seen only per row): both lookups are tried, and the
+    one that does not apply yields NULL.
     """
     cur = _c(v)
-    if path in ("", None):
+    if not path:
         return cur
+    keys: list[str] = []
     for seg in path.split("."):
-        if _INT.match(seg):
-            as_list = F.call_function("try_variant_get", cur, F.lit("$"), F.lit("array<variant>"))
-            cur = F.when(as_list.isNotNull(), _index_step(cur, int(seg))).otherwise(_key_step(cur, seg))
+        if not _INT.match(seg):
+            keys.append(seg)
+            continue
+        if keys:
+            cur = _get(cur, _keys_path(keys))
+            keys = []
+        i = int(seg)
+        if i >= 0:
+            as_index = _get(cur, f"$[{i}]")
         else:
-            cur = _key_step(cur, seg)
-    return cur
-
-
-def variant_text(v) -> Column:
-    """A VARIANT as text: strings unquoted, JSON null as SQL NULL, objects,
-    arrays, numbers and booleans in JSON spelling."""
-    c = _c(v)
-    return F.when(F.call_function("is_variant_null", c), F.lit(None).cast("string")) \
-        .otherwise(F.call_function("try_variant_get", c, F.lit("$"), F.lit("string")))
+            as_index = F.try_element_at(_get(cur, "$", "array<variant>"), F.lit(i))
+        cur = F.coalesce(as_index, _get(cur, _keys_path([seg])))
+    return _get(cur, _keys_path(keys)) if keys else cur
 
 
 def json_path_text(v, path: str, default: str | None = "N/A") -> Column:
-    """X1 as text with the default for a missing value (JSON null included)."""
-    out = variant_text(json_path(v, path))
+    """X1 as text: strings unquoted, objects/arrays/numbers/booleans in JSON
+    spelling, JSON null and failed lookups -> ``default``."""
+    out = _get(json_path(v, path), "$", "string")
     return out if default is None else F.coalesce(out, F.lit(default))

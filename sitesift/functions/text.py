@@ -77,8 +77,22 @@ def decode_entities(c) -> Column:
     return out
 
 
+NON_WORD = r"[^\p{L}\p{N}_]+"
+
+
+def words(c) -> Column:
+    """A4 split: lower-cased words (Python ``\\b\\w+\\b``), possibly with
+    empty strings at the ends; pair with ``keep_word`` after ``explode``
+    (a plain filter stays in whole-stage codegen, a lambda would not)."""
+    return F.split(F.lower(_c(c)), NON_WORD)
+
+
+def keep_word(w) -> Column:
+    """A4 filter: not empty and not a stop word (an InSet lookup)."""
+    w = _c(w)
+    return (w != "") & ~w.isin(*STOP_WORDS)
+
+
 def tokens(c) -> Column:
-    """A4: lower-cased words (Python ``\\b\\w+\\b``) minus the stop words."""
-    words = F.regexp_extract_all(F.lower(_c(c)), F.lit(WORD), 0)
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    """A4 as one array column: the words minus empties and stop words."""
+    return F.filter(words(c), keep_word)

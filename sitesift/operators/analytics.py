@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NA, tokens
-from .joins import join_small
+from ..functions.text import NA, keep_word, words
+from .joins import join_small, materialize
 
 TEXT_COLUMNS = ("tags", "requirements", "text", "job_title")
 MONEY_COLUMNS = ("price", "salary")
@@ -26,7 +26,8 @@ def record_count(df: DataFrame, group_cols: list[str] = ()) -> DataFrame:
 
 
 def price_stats(df: DataFrame, value_col: str, group_cols: list[str] = (), exact: bool = True,
-                accuracy: int = 10000, digits: int | None = 6) -> DataFrame:
+                accuracy: int = 10000, digits: int | None = 6,
+                decimal_scale: int | None = None) -> DataFrame:
     """A2 + A3 + A7: count, valid count, min, max, mean, median, p90, std.
 
     NULL values are not valid and are ignored; a group with none gives NULL
@@ -34,8 +35,17 @@ def price_stats(df: DataFrame, value_col: str, group_cols: list[str] = (), exact
     ``quantile``); its state is a value -> count map per group, so for a
     group with very many distinct values pass ``exact=False`` to use
     ``percentile_approx``.
+
+    ``decimal_scale``: for money with a fixed number of decimals, the mean is
+    an exact DECIMAL sum divided once by the count, so it does not depend on
+    how the rows were partitioned (a double sum does, in its last bits).
     """
     v = F.col(value_col)
+    if decimal_scale is None:
+        mean = F.avg(v)
+    else:
+        total = F.sum(v.cast(f"decimal(38,{decimal_scale})")).cast("double")
+        mean = total / F.count(v)
     if exact:
         q = F.percentile(v, F.array(F.lit(0.5), F.lit(0.9)))
     else:
@@ -45,7 +55,7 @@ def price_stats(df: DataFrame, value_col: str, group_cols: list[str] = (), exact
         F.count(v).alias("n_valid"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
-        F.avg(v).alias("mean_value"),
+        mean.alias("mean_value"),
         q.alias("_q"),
         F.stddev_samp(v).alias("std_value"),
     )
@@ -65,10 +75,10 @@ def text_column(columns: list[str]) -> str | None:
 
 
 def keyword_counts(df: DataFrame, text_col: str, group_cols: list[str] = ()) -> DataFrame:
-    """A4: word counts; ``explode`` stays in the map stage, the count is
-    partially aggregated before the shuffle."""
-    words = df.select(*group_cols, F.explode(tokens(text_col)).alias("word"))
-    return words.groupBy(*group_cols, "word").agg(F.count(F.lit(1)).alias("n"))
+    """A4: word counts; ``explode`` and the stop-word filter stay in the map
+    stage, the count is partially aggregated before the shuffle."""
+    exploded = df.select(*group_cols, F.explode(words(text_col)).alias("word")).filter(keep_word("word"))
+    return exploded.groupBy(*group_cols, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_keywords(counts: DataFrame, group_cols: list[str] = (), k: int = 5) -> DataFrame:
@@ -84,6 +94,7 @@ def low_keywords(counts: DataFrame, group_cols: list[str] = (), k: int = 3,
     ``k`` of the count-ordered list among words seen more than once, or the
     last ``k`` overall when every word is seen once. Rank 1 = the last."""
     g = list(group_cols)
+    counts = materialize(counts)  # tokenised once, read by both sides below
     stats = counts.groupBy(*g).agg(F.count(F.lit(1)).alias("_nd"), F.max("n").alias("_maxn"))
     cand = (join_small(counts, stats, g, "inner") if g else
             counts.withColumn("_nd", stats.select("_nd").scalar())
@@ -104,11 +115,12 @@ def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, vocab_size: int =
     vocab_size*(vocab_size-1)/2 pairs per record); pair support is a partial
     aggregate. ``lift = support * n_docs / (df_a * df_b)``.
     """
-    doc_words = (df.select(doc_col, F.explode(F.array_distinct(tokens(text_col))).alias("word")))
+    doc_words = (df.select(doc_col, F.explode(F.array_distinct(words(text_col))).alias("word"))
+                 .filter(keep_word("word")))
     vocab = top_keywords(keyword_counts(df, text_col), [], vocab_size).select("word")
     in_vocab = doc_words.join(F.broadcast(vocab), "word", "left_semi")
     doc_freq = in_vocab.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    per_doc = in_vocab.groupBy(doc_col).agg(F.array_sort(F.collect_set("word")).alias("ws"))
+    per_doc = in_vocab.groupBy(doc_col).agg(F.sort_array(F.collect_set("word")).alias("ws"))
     n = F.size("ws")
     pairs = per_doc.filter(n >= 2).select(F.explode(F.flatten(F.transform(
         F.sequence(F.lit(1), n - 1),

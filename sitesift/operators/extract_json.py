@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import json_path, json_path_text
+from ..functions.jsonpath import json_path
 from ..functions.text import NA, TITLE_FIELDS, strip_title_number
 from ..sources.site_schema import SiteConfig
 from .extract_html import record_columns
@@ -30,44 +30,52 @@ def _truthy(v: Column) -> Column:
             .otherwise(F.lit(True)))
 
 
-def records_array(doc: Column, container_path: str) -> Column:
-    """ARRAY<VARIANT> of the records under ``container_path``."""
-    c = json_path(doc, container_path)
+def records_array(c: Column) -> Column:
+    """ARRAY<VARIANT> of the records in container value ``c``: the list
+    itself, a truthy non-list wrapped, else empty."""
     as_list = F.call_function("try_variant_get", c, F.lit("$"), F.lit("array<variant>"))
     return F.coalesce(as_list, F.when(_truthy(c), F.array(c)), F.array().cast("array<variant>"))
 
 
-def _field(elem: Column, name: str, rule) -> Column:
-    path = rule.selectors[0] if rule.selectors else ""
-    v = F.regexp_replace(json_path_text(elem, path, default=NA), _EDGE_WS, "")
+def _clean(name: str, raw: Column) -> Column:
+    v = F.regexp_replace(F.coalesce(raw, F.lit(NA)), _EDGE_WS, "")
     if name in TITLE_FIELDS:
         v = strip_title_number(v)
     return F.coalesce(F.nullif(v, F.lit("")), F.lit(NA))
 
 
+def _per_domain(dom: Column, items: list[tuple[str, Column]]) -> Column:
+    expr = None
+    for d, e in items:
+        expr = F.when(dom == d, e) if expr is None else expr.when(dom == d, e)
+    return expr if expr is not None else F.lit(None)
+
+
 def extract_json(pages: DataFrame, configs: list[SiteConfig], id_col: str = "page_id",
                  url_col: str = "url", body_col: str = "html",
                  domain_col: str = "domain") -> DataFrame:
-    """JSON-strategy pages -> wide records (same layout as the HTML jobs)."""
+    """JSON-strategy pages -> wide records (same layout as the HTML jobs).
+
+    Staged projections (parse -> container -> records -> raw field values ->
+    cleaned text) so every parse and lookup runs once per row; Spark does
+    not inline an expensive expression that a later step uses twice.
+    """
     configs = [c for c in configs if c.fields]
     names = record_columns(configs)
     dom = F.col(domain_col)
-    doc = F.call_function("try_parse_json", F.col(body_col))
-    arr = None
-    for c in configs:
-        e = records_array(doc, c.container or "")
-        arr = F.when(dom == c.domain, e) if arr is None else arr.when(dom == c.domain, e)
-    exploded = (pages.select(id_col, url_col, domain_col, F.posexplode(arr).alias("ordinal", "_rec"))
-                if arr is not None else pages.limit(0))
-    cols = [F.col(id_col), dom.alias("domain"), F.col(url_col).alias("source_url"),
-            F.col("ordinal").cast("int").alias("ordinal")]
+    base = [F.col(id_col), dom.alias("domain"), F.col(url_col).alias("source_url")]
+    keep = [id_col, "domain", "source_url"]
+    parsed = pages.select(*base, F.call_function("try_parse_json", F.col(body_col)).alias("_doc"))
+    contained = parsed.select(*keep, _per_domain(F.col("domain"), [
+        (c.domain, json_path(F.col("_doc"), c.container or "")) for c in configs]).alias("_c"))
+    exploded = contained.select(*keep, F.posexplode(records_array(F.col("_c"))).alias("ordinal", "_rec"))
+    raw_cols = []
     for n in names:
-        expr = None
-        for c in configs:
-            rule = next((r for r in c.fields if r.name == n), None)
-            if rule is None:
-                continue
-            v = _field(F.col("_rec"), n, rule)
-            expr = F.when(dom == c.domain, v) if expr is None else expr.when(dom == c.domain, v)
-        cols.append((expr if expr is not None else F.lit(None).cast("string")).alias(n))
-    return exploded.select(*cols)
+        items = [(c.domain, json_path(F.col("_rec"), r.selectors[0] if r.selectors else ""))
+                 for c in configs for r in c.fields if r.name == n]
+        raw_cols.append(F.call_function("try_variant_get", _per_domain(F.col("domain"), items),
+                                        F.lit("$"), F.lit("string")).alias(n))
+    raw = exploded.select(*keep, F.col("ordinal").cast("int").alias("ordinal"), *raw_cols)
+    defined = {n: [c.domain for c in configs if n in c.field_names] for n in names}
+    return raw.select(*keep, "ordinal", *[
+        F.when(F.col("domain").isin(*defined[n]), _clean(n, F.col(n))).alias(n) for n in names])

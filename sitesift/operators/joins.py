@@ -10,13 +10,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 BROADCAST_ROWS = 100_000
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: a reliable ``checkpoint()``
+    into the shared folder named by ``spark.checkpoint.dir`` (it survives
+    the loss of any executor, unlike a local checkpoint)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``big.join(small)`` with ``small`` broadcast when it has at most
-    ``max_rows`` rows (checked with ``limit(max_rows + 1).count()``)."""
-    n = small.limit(max_rows + 1).count()
+    """``big.join(small)`` for a ``small`` side derived from the data.
+
+    ``small`` is materialised once (checkpoint), its row count read from the
+    checkpoint, and it is broadcast only when it has at most ``max_rows``
+    rows; otherwise both sides are shuffled on the key. The big side is never
+    shuffled just to meet a side that turns out to be tiny (which is what
+    leaving the choice to AQE at runtime can cost), and the derivation of
+    ``small`` is not run twice."""
+    small = materialize(small)
+    n = small.count()
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, on, how)
+
+
+def spread(scan: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a freshly read table over the task slots when the scan makes
+    fewer partitions than that (a small single-row-group file is one task),
+    so CPU-heavy stages after it (HTML parsing, JSON, tokenising) use every
+    core. A no-op for large tables, which scan into many partitions, so big
+    inputs are never reshuffled for nothing.
+
+    Call it on a scan (plus projections/filters) only: there the partition
+    count is known at planning time. After a shuffle AQE already keeps at
+    least the default parallelism (``coalescePartitions.parallelismFirst``).
+    """
+    want = min_partitions or scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= want:
+        return scan
+    return scan.repartition(want)
