@@ -3,4 +3,7 @@ from pyspark.sql import functions as F
 
 
 def col(c) -> Column:
-    return c if isinstance(c, Column) else F.col(c)
+    """A Column as is, a string as a column name, anything else a literal."""
+    if isinstance(c, Column):
+        return c
+    return F.col(c) if isinstance(c, str) else F.lit(c)
