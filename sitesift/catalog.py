@@ -25,6 +25,8 @@ from .operators.extract_html import extract_html, extract_links
 from .operators.extract_json import extract_json
 from .operators.extract_xml import extract_rss
 from .operators.resolve import resolve_site
+from .operators.route import extract_records, stamp
+from .sources.silver import sample_frame
 from .plans import crawl as C
 from .plans.silver_flow import to_silver
 from .sources.raw import landed_to_raw
@@ -709,3 +711,80 @@ def q_stream_dedup(spark, sf):
          .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").select("user_id", "event_type", "event_id")
+
+
+ROUTE_SITES = {**fx.ORDER_SITE, **fx.FEED_SITE, **fx.ARTICLE_SITE}
+ROUTE_COLS = ["page_id", "domain", "source_url", "ordinal", "line", "part", "qty", "flag", "status_tag",
+              "last_tag", "missing", "link", "description", "title", "scraped_at", "from_cache"]
+
+
+def _routed(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    landed = pages.unionByName(fx.order_json(spark, sf)).unionByName(fx.feed_xml(spark, sf))
+    recs = extract_records(landed, fx.sites(ROUTE_SITES))
+    fetched = F.expr("timestampadd(MINUTE, page_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')")
+    return stamp(recs, fetched_at=ts_str(fetched), from_cache=F.lit(False))
+
+
+def _s_routed() -> str:
+    def pick(sql, cols):
+        sel = ", ".join(c if c in cols else f"NULL AS {c}" for c in ROUTE_COLS[:-2])
+        return f"SELECT {sel} FROM ({sql})"
+    body = " UNION ALL ".join([
+        pick(ORACLE["json_records"], {"page_id", "domain", "source_url", "ordinal", "line", "part", "qty",
+                                      "flag", "status_tag", "last_tag", "missing"}),
+        pick(ORACLE["rss_records"], {"page_id", "domain", "source_url", "ordinal", "title", "link",
+                                     "description"}),
+        pick(ORACLE["html_h1"], {"page_id", "domain", "source_url", "ordinal", "title"}),
+    ])
+    stamp_sql = s_ts("TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id)")
+    return f"SELECT *, {stamp_sql} AS scraped_at, false AS from_cache FROM ({body})"
+
+
+# ======================================================= routing + counts
+@query("records_route", _s_routed())
+def q_records_route(spark, sf):
+    """X10 + X11: pages, JSON payloads and feeds landed together, routed by
+    each URL's schema strategy (detail -> static HTML, json -> variant, rss
+    -> from_xml) into one records table, stamped with the fetch time."""
+    return _routed(spark, sf).select(*ROUTE_COLS)
+
+
+@query("record_counts", f"""
+SELECT domain, count(*) AS n_records FROM ({_s_routed()}) GROUP BY domain""")
+def q_record_counts(spark, sf):
+    """A1: records per site."""
+    return A.record_count(_routed(spark, sf), ["domain"])
+
+
+@query("daily_sample", ORACLE["silver_records"].replace(
+    f"""  CASE WHEN scraped_at IS NULL THEN NULL ELSE {s_ts('scraped_at')} END AS scraped_at,
+  '{fx.RUN_TS}' AS silver_processed_at""", "  '2024-02-01' AS snapshot_date"))
+def q_daily_sample(spark, sf):
+    """The rows of the daily CSV sample (provenance dropped, day added)."""
+    out = sample_frame(q_silver_records(spark, sf), "2024-02-01")
+    return out.withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
+
+
+@query("keyword_clusters", f"""
+WITH RECURSIVE {S_WORDS.strip()},
+vocab AS (SELECT word FROM (SELECT word, sum(n) AS n FROM counts GROUP BY word)
+          ORDER BY n DESC, word ASC LIMIT 50),
+dw AS (SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM vocab)),
+dfreq AS (SELECT word, count(*) AS df FROM dw GROUP BY word),
+nd AS (SELECT count(*) AS n FROM documents),
+pairs AS (SELECT a.word AS word_a, b.word AS word_b, count(*) AS support
+          FROM dw a JOIN dw b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL),
+scored AS (SELECT word_a, word_b, support, round(support * nd.n / (fa.df * fb.df), 6) AS lift
+           FROM pairs JOIN dfreq fa ON fa.word = word_a JOIN dfreq fb ON fb.word = word_b, nd),
+edges AS (SELECT word_a AS src, word_b AS dst FROM scored WHERE lift > 1.05 AND support >= 2
+          UNION SELECT word_b, word_a FROM scored WHERE lift > 1.05 AND support >= 2),
+nodes AS (SELECT word_a AS word FROM scored UNION SELECT word_b FROM scored),
+reach(word, r) AS (SELECT word, word FROM nodes
+                   UNION SELECT reach.word, edges.dst FROM reach JOIN edges ON edges.src = reach.r)
+SELECT word, min(r) AS cluster FROM reach GROUP BY word""")
+def q_keyword_clusters(spark, sf):
+    """A8 (clusters): components of the co-occurrence graph (lift > 1.05,
+    support >= 2) over the top-50 vocabulary."""
+    d = table(spark, sf, "documents")
+    return A.keyword_clusters(A.keyword_pairs(d, "text", "doc_id", vocab_size=50), 1.05, 2)

@@ -136,6 +136,36 @@ def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, vocab_size: int =
                     F.round(F.col("support") * n_docs / (F.col("df_a") * F.col("df_b")), 6).alias("lift")))
 
 
+def keyword_clusters(pairs: DataFrame, min_lift: float = 1.0, min_support: int = 2,
+                     max_rounds: int | None = None) -> DataFrame:
+    """A8 (clusters): connected components of the keyword graph whose edges
+    are pairs with ``lift > min_lift`` and ``support >= min_support``; each
+    vocabulary word gets the smallest word of its component as ``cluster``.
+
+    Iterative min-label propagation. The graph has at most the vocabulary
+    size in nodes (a parameter, not the data size), so each round is a tiny
+    job; the label table is checkpointed every round to keep the lineage
+    flat, and the loop stops when no label changes.
+    """
+    edges = pairs.filter((F.col("lift") > min_lift) & (F.col("support") >= min_support)).select(
+        F.col("word_a").alias("src"), F.col("word_b").alias("dst"))
+    edges = materialize(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    nodes = pairs.select(F.col("word_a").alias("word")).unionByName(pairs.select(F.col("word_b").alias("word")))
+    labels = materialize(nodes.distinct().withColumn("cluster", F.col("word")))
+    rounds = max_rounds or max(labels.count(), 1)
+    for _ in range(rounds):
+        incoming = (edges.join(labels.withColumnRenamed("word", "src"), "src")
+                    .groupBy(F.col("dst").alias("word")).agg(F.min("cluster").alias("_in")))
+        nxt = materialize(labels.join(incoming, "word", "left").select(
+            "word", F.least(F.col("cluster"), F.coalesce("_in", F.col("cluster"))).alias("cluster")))
+        changed = nxt.join(labels.withColumnRenamed("cluster", "_old"), "word").filter(
+            F.col("cluster") != F.col("_old")).limit(1).count()
+        labels = nxt
+        if changed == 0:
+            break
+    return labels
+
+
 def concentration(df: DataFrame, entity_col: str, group_cols: list[str] = (),
                   digits: int = 6) -> DataFrame:
     """Entity concentration per group: entities, records, top entity and

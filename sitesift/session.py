@@ -10,8 +10,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Arrow batches that feed HTML parsing: a landed page is 1-100 KB, so a few
-# hundred rows per batch keeps a Python worker's memory flat.
+# hundred rows per batch keeps a Python worker's memory flat; the byte cap
+# bounds a batch of unusually large pages as well.
 HTML_BATCH_ROWS = 256
+HTML_BATCH_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
@@ -28,6 +30,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", str(HTML_BATCH_ROWS))
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(HTML_BATCH_BYTES))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SITESIFT_DRIVER_MEMORY", "16g"))
