@@ -1,16 +1,25 @@
 """S3 + S4 + S5 + D7: the silver master, the daily sample and checkpoints.
 
-The master is versioned: every merge writes a complete new version folder
-``<root>/v=<n>`` (partitioned by domain) and marks it committed with Spark's
-``_SUCCESS`` file; readers take the highest committed version. Spark never
-overwrites a path it is reading, a failed writer leaves only an uncommitted
-folder, and an unreadable version is skipped and reported (D7) instead of
-being renamed away.
+The master is kept per domain, as the reference keeps one master per site,
+and each domain is versioned on its own::
+
+    <root>/d=<md5(domain)[:16]>/v=<n>/part-*.parquet   (+ _SUCCESS = committed)
+
+A merge reads and rewrites only the domains its batch touches (their list is
+bounded by the configured sites, not by the data): the merged rows are
+written once, partitioned by domain, into a staging folder, and each domain's
+folder is then renamed into place as that domain's next version and
+committed. Readers take each domain's newest committed, readable version.
+Spark never overwrites a path it is reading; a failed writer leaves only an
+uncommitted folder; an unreadable version is skipped and reported (D7)
+instead of being renamed away. The domain stays a normal column in the files
+(the folder name is a digest, so no escaping or type inference applies).
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +28,7 @@ from ..operators.merge import dedup_first, merge_history
 
 PROVENANCE = ("scraped_at", "silver_processed_at")
 _VERSION = re.compile(r"^v=(\d+)$")
+_DOMAIN = re.compile(r"^d=([0-9a-f]{16})$")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -27,49 +37,95 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def versions(spark: SparkSession, root: str) -> list[tuple[int, bool]]:
-    """(version, committed) for every version folder under ``root``."""
+def domain_dir(domain: str) -> str:
+    import hashlib
+    return "d=" + hashlib.md5(domain.encode("utf-8")).hexdigest()[:16]
+
+
+def versions(spark: SparkSession, root: str) -> dict[str, list[tuple[int, bool]]]:
+    """Per domain folder: (version, committed) pairs, oldest first."""
     fs, p, jvm = _fs(spark, root)
+    out: dict[str, list[tuple[int, bool]]] = {}
     if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = _VERSION.match(st.getPath().getName())
-        if st.isDirectory() and m:
-            ok = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
-            out.append((int(m.group(1)), bool(ok)))
-    return sorted(out)
-
-
-def read_master(spark: SparkSession, root: str) -> tuple[DataFrame | None, list[str]]:
-    """The newest readable committed version and the problems met."""
+        return out
+    for dst in fs.listStatus(p):
+        if not (dst.isDirectory() and _DOMAIN.match(dst.getPath().getName())):
+            continue
+        vs = []
+        for st in fs.listStatus(dst.getPath()):
+            m = _VERSION.match(st.getPath().getName())
+            if st.isDirectory() and m:
+                ok = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
+                vs.append((int(m.group(1)), bool(ok)))
+        out[dst.getPath().getName()] = sorted(vs)
+    return out
+
+
+def _readable(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path).schema  # noqa: B018 - reads the footers
+        return True
+    except Exception:
+        return False
+
+
+def read_master(spark: SparkSession, root: str, domains: list[str] | None = None
+                ) -> tuple[DataFrame | None, list[str]]:
+    """The newest readable committed version of every domain (or of the
+    given domains) as one DataFrame, and the problems met (D7)."""
+    root = root.rstrip("/")
+    wanted = None if domains is None else {domain_dir(d) for d in domains}
     problems: list[str] = []
-    for v, ok in reversed(versions(spark, root)):
-        if not ok:
-            problems.append(f"v={v}: not committed, skipped")
+    paths: list[str] = []
+    for ddir, vs in sorted(versions(spark, root).items()):
+        if wanted is not None and ddir not in wanted:
             continue
-        try:
-            df = spark.read.parquet(f"{root.rstrip('/')}/v={v}")
-            df.schema  # noqa: B018 - forces the footer read
-            return df, problems
-        except Exception as exc:  # D7: keep it aside, start from the batch
-            problems.append(f"v={v}: unreadable ({type(exc).__name__}), kept aside")
-    return None, problems
+        for v, ok in reversed(vs):
+            path = f"{root}/{ddir}/v={v}"
+            if not ok:
+                problems.append(f"{ddir}/v={v}: not committed, skipped")
+            elif not _readable(spark, path):
+                problems.append(f"{ddir}/v={v}: unreadable, kept aside")
+            else:
+                paths.append(path)
+                break
+    if not paths:
+        return None, problems
+    return spark.read.parquet(*paths), problems
 
 
 def merge_into_master(spark: SparkSession, root: str, batch: DataFrame, keys: list[str],
                       ts_col: str = "scraped_at", tiebreak: list[str] = (),
-                      partition_col: str = "domain") -> tuple[int, list[str]]:
-    """S3 + D4: merge ``batch`` into the master and publish a new version."""
-    history, problems = read_master(spark, root)
+                      domain_col: str = "domain") -> tuple[dict[str, int], list[str]]:
+    """S3 + D4: merge ``batch`` into the master; only touched domains are
+    read and rewritten. Returns {domain: new version} and the problems met."""
+    root = root.rstrip("/")
+    # the distinct domains of a batch: at most one per configured site
+    touched = [r[0] for r in batch.select(domain_col).distinct().collect() if r[0] is not None]
+    if not touched:
+        return {}, []
+    history, problems = read_master(spark, root, touched)
     merged = merge_history(history, batch, keys, ts_col, tiebreak)
+    stage = f"{root}/_staging/{uuid.uuid4().hex}"
+    (merged.withColumn("_d", F.substring(F.md5(F.col(domain_col)), 1, 16))
+           .write.partitionBy("_d").parquet(stage))
+    fs, _, jvm = _fs(spark, root)
     known = versions(spark, root)
-    nxt = (max(v for v, _ in known) + 1) if known else 1
-    writer = merged.write.mode("errorifexists")
-    if partition_col in merged.columns:
-        writer = writer.partitionBy(partition_col)
-    writer.parquet(f"{root.rstrip('/')}/v={nxt}")
-    return nxt, problems
+    published = {}
+    for d in touched:
+        ddir = domain_dir(d)
+        src = jvm.org.apache.hadoop.fs.Path(f"{stage}/_d={ddir[2:]}")
+        if not fs.exists(src):
+            continue
+        nxt = max((v for v, _ in known.get(ddir, [])), default=0) + 1
+        dst = jvm.org.apache.hadoop.fs.Path(f"{root}/{ddir}/v={nxt}")
+        fs.mkdirs(dst.getParent())
+        if not fs.rename(src, dst):
+            raise RuntimeError(f"could not publish {dst} (concurrent writer?)")
+        fs.create(jvm.org.apache.hadoop.fs.Path(dst, "_SUCCESS"), False).close()
+        published[d] = nxt
+    fs.delete(jvm.org.apache.hadoop.fs.Path(stage), True)
+    return published, problems
 
 
 def sample_frame(df: DataFrame, snapshot_date) -> DataFrame:

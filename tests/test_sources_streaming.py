@@ -48,24 +48,30 @@ def test_raw_layer_write_and_prune(spark, tmp_out):
 
 def test_master_versions_and_bad_version(spark, tmp_out):
     root = os.path.join(tmp_out, "master")
-    b1 = spark.createDataFrame([("d", "a", 1, "x"), ("d", "b", 1, "y")], "domain string, k string, ts int, v string")
-    b2 = spark.createDataFrame([("d", "a", 2, "x2")], "domain string, k string, ts int, v string")
-    v1, _ = silver.merge_into_master(spark, root, b1, ["domain", "k"], ts_col="ts")
-    v2, _ = silver.merge_into_master(spark, root, b2, ["domain", "k"], ts_col="ts")
-    assert (v1, v2) == (1, 2)
+    sch = "domain string, k string, ts int, v string"
+    b1 = spark.createDataFrame([("d", "a", 1, "x"), ("d", "b", 1, "y"), ("e", "a", 1, "e1")], sch)
+    b2 = spark.createDataFrame([("d", "a", 2, "x2")], sch)
+    p1, _ = silver.merge_into_master(spark, root, b1, ["domain", "k"], ts_col="ts")
+    p2, _ = silver.merge_into_master(spark, root, b2, ["domain", "k"], ts_col="ts")
+    assert p1 == {"d": 1, "e": 1} and p2 == {"d": 2}  # only the touched domain is rewritten
     m, problems = silver.read_master(spark, root)
-    assert sorted((r.k, r.v) for r in m.collect()) == [("a", "x2"), ("b", "y")] and problems == []
-    v3, _ = silver.merge_into_master(spark, root, b2, ["domain", "k"], ts_col="ts")  # same batch twice
+    assert sorted((r.domain, r.k, r.v) for r in m.collect()) == [("d", "a", "x2"), ("d", "b", "y"),
+                                                                 ("e", "a", "e1")] and problems == []
+    silver.merge_into_master(spark, root, b2, ["domain", "k"], ts_col="ts")  # same batch twice
     m3, _ = silver.read_master(spark, root)
-    assert sorted((r.k, r.v) for r in m3.collect()) == [("a", "x2"), ("b", "y")]
-    # an uncommitted folder and an unreadable version are skipped
-    os.makedirs(os.path.join(root, "v=9"))
-    bad = os.path.join(root, "v=8")
+    assert sorted((r.domain, r.k, r.v) for r in m3.collect()) == sorted((r.domain, r.k, r.v) for r in m.collect())
+    # an uncommitted folder and an unreadable version of "d" are skipped
+    ddir = os.path.join(root, silver.domain_dir("d"))
+    os.makedirs(os.path.join(ddir, "v=9"))
+    bad = os.path.join(ddir, "v=8")
     os.makedirs(bad)
     open(os.path.join(bad, "part-0.parquet"), "w").write("not parquet")
     open(os.path.join(bad, "_SUCCESS"), "w").close()
     m4, problems = silver.read_master(spark, root)
-    assert len(problems) == 2 and sorted(r.k for r in m4.collect()) == ["a", "b"]
+    assert len(problems) == 2
+    assert sorted((r.domain, r.k, r.v) for r in m4.collect()) == sorted((r.domain, r.k, r.v) for r in m.collect())
+    only_e, _ = silver.read_master(spark, root, ["e"])
+    assert [r.v for r in only_e.collect()] == ["e1"]
 
 
 def test_sample_csv_and_checkpoint(spark, tmp_out):
@@ -97,7 +103,8 @@ def test_stream_equals_batch(spark, tmp_out):
     cols = ["page_id", "ordinal", "title", "ad", "first_link", "footer"]
     assert sorted(tuple(r) for r in master.select(cols).collect()) == \
         sorted(tuple(r) for r in batch.select(cols).collect())
-    assert len(silver.versions(spark, os.path.join(tmp_out, "m"))) == 4  # one per micro-batch
+    vs = silver.versions(spark, os.path.join(tmp_out, "m"))
+    assert [len(v) for v in vs.values()] == [4]  # one domain, one version per micro-batch
 
 
 def test_stream_dedup_first_per_key(spark, tmp_out):
