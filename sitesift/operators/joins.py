@@ -50,7 +50,9 @@ def spread(scan: DataFrame, min_partitions: int | None = None) -> DataFrame:
     count is known at planning time. After a shuffle AQE already keeps at
     least the default parallelism (``coalescePartitions.parallelismFirst``).
     """
-    want = min_partitions or scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or scan.sparkSession.sparkContext.defaultParallelism
+        have = scan.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave as is
         return scan
-    return scan.repartition(want)
+    return scan if have >= want else scan.repartition(want)

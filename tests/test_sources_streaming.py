@@ -117,3 +117,31 @@ def test_stream_dedup_first_per_key(spark, tmp_out):
     got = spark.sql("SELECT * FROM dedup_test")
     keys = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("user_id", "event_type").distinct().count()
     assert got.count() == keys == got.select("user_id", "event_type").distinct().count()
+
+
+def test_read_raw_files_layout(spark, tmp_out):
+    root = os.path.join(tmp_out, "bronze")
+    os.makedirs(os.path.join(root, "shop.com", "2024-05-01"))
+    with open(os.path.join(root, "shop.com", "2024-05-01", "0123456789abcdef_134501.html"), "w") as fh:
+        fh.write("<html><body><rss>x</rss></body></html>")
+    with open(os.path.join(root, "shop.com", "2024-05-01", "fedcba9876543210_090000.json"), "w") as fh:
+        fh.write('{"a": 1}')
+    got = {r.url_hash: r for r in raw.read_raw_files(spark, root).collect()}
+    assert set(got) == {"0123456789abcdef", "fedcba9876543210"}
+    a = got["0123456789abcdef"]
+    assert (a.netloc, str(a.fetch_date), str(a.fetched_at), a.format) == \
+        ("shop.com", "2024-05-01", "2024-05-01 13:45:01", "rss")
+    assert got["fedcba9876543210"].format == "json"
+
+
+def test_custom_parser_route(spark):
+    import pandas as pd
+    from sitesift.operators.route import extract_with
+
+    def parser(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": pdf["page_id"], "n_chars": pdf["html"].str.len()})
+
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    out = extract_with(pages, parser, "page_id long, n_chars long", columns=["page_id", "html"])
+    want = {r.page_id: r.n for r in pages.select("page_id", F.length("html").alias("n")).collect()}
+    assert {r.page_id: r.n_chars for r in out.collect()} == want
