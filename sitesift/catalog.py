@@ -229,6 +229,14 @@ def q_resolve_site_join(spark, sf):
         "page_id", "url", U.netloc("url").alias("netloc"), "domain")
 
 
+@query("resolve_site_automaton", _s_resolve())
+def q_resolve_site_automaton(spark, sf):
+    """U2, the automaton form used for large schema lists (forced here)."""
+    p = table(spark, sf, "pages").select("page_id", "url")
+    return resolve_site(p, fx.sites(fx.RESOLVE_SITES), mode="automaton").select(
+        "page_id", "url", U.netloc("url").alias("netloc"), "domain")
+
+
 # ================================================================ extraction
 @query("json_field", """
 SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'N/A') AS k,
@@ -243,12 +251,12 @@ def q_json_field(spark, sf):
 
 @query("json_records", """
 SELECT o_orderkey AS page_id, 'api.example.com' AS domain,
-  'https://api.example.com/orders/' || o_orderkey AS source_url,
+  'https://api.example.com/orders/' || o_orderkey || '?block=' || (l_linenumber // 8) AS source_url,
   CAST(CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE rn - 1 END AS INTEGER) AS ordinal,
   CAST(l_linenumber AS VARCHAR) AS line, CAST(l_partkey AS VARCHAR) AS part,
   CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS qty, l_returnflag AS flag,
   l_linestatus AS status_tag, l_linestatus AS last_tag, 'N/A' AS missing
-FROM (SELECT o_orderkey, l.*, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey,
+FROM (SELECT o_orderkey, l.*, row_number() OVER (PARTITION BY o_orderkey, l_linenumber // 8 ORDER BY l_linenumber, l_partkey,
         CAST(l_quantity AS INTEGER), l_returnflag, l_linestatus) AS rn
       FROM orders JOIN lineitem l ON l.l_orderkey = o_orderkey)
 WHERE o_orderkey % 10 NOT IN (1, 2) AND (o_orderkey % 10 <> 0 OR rn = 1)""")

@@ -114,7 +114,10 @@ def price_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON payload per order (``to_json`` of orders with their lines).
+    """JSON payloads (``to_json``) of orders with their lines: one payload
+    per order and block of 8 line numbers, so a payload's list is bounded by
+    the block size whatever an order's size (TPC-H orders have at most 7
+    lines, so every order is one block here).
 
     By ``o_orderkey % 10``: 0 -> the container is a single object (first
     line), 1 -> JSON null, 2 -> a broken payload; orders without lines have
@@ -126,7 +129,8 @@ def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"),
         F.col("l_quantity").cast("int").alias("qty"), F.col("l_returnflag").alias("flag"),
         F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("tags"))
-    lines = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+    lines = li.groupBy(F.col("l_orderkey").alias("o_orderkey"),
+                       (F.col("l_linenumber") / 8).cast("int").alias("block")).agg(
         F.sort_array(F.collect_list(line)).alias("lines"))
     j = o.join(lines, "o_orderkey", "left")
     k = F.col("o_orderkey") % 10
@@ -139,7 +143,8 @@ def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(k == 2, F.concat(F.lit('{"order": '), body)).otherwise(body)
     return j.select(
         F.col("o_orderkey").alias("page_id"),
-        F.concat(F.lit("https://api.example.com/orders/"), F.col("o_orderkey").cast("string")).alias("url"),
+        F.concat(F.lit("https://api.example.com/orders/"), F.col("o_orderkey").cast("string"),
+                 F.lit("?block="), F.coalesce(F.col("block"), F.lit(0)).cast("string")).alias("url"),
         body.alias("html"))
 
 

@@ -29,9 +29,14 @@ WS = r"[\s\p{Z}\x{85}]+"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+# Every character Python's str.isspace() accepts (what str.strip() removes).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: trim Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), r"^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$", "")
+    """Python ``str.strip()``: a plain character trim (linear, no regex)."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def collapse_ws(c) -> Column:

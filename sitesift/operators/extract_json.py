@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonpath import json_path
-from ..functions.text import NA, TITLE_FIELDS, strip_title_number
+from ..functions.text import NA, TITLE_FIELDS, strip_title_number, strip_ws
 from ..sources.site_schema import SiteConfig
 from .extract_html import record_columns
 
-_EDGE_WS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
 def _truthy(v: Column) -> Column:
@@ -38,7 +37,7 @@ def records_array(c: Column) -> Column:
 
 
 def _clean(name: str, raw: Column) -> Column:
-    v = F.regexp_replace(F.coalesce(raw, F.lit(NA)), _EDGE_WS, "")
+    v = strip_ws(F.coalesce(raw, F.lit(NA)))
     if name in TITLE_FIELDS:
         v = strip_title_number(v)
     return F.coalesce(F.nullif(v, F.lit("")), F.lit(NA))
