@@ -541,8 +541,8 @@ FROM latest, cutoff WHERE (epoch_us(t) - epoch_us(fetched_at)) / 3.6e9 < 4""")
 def q_cache_fresh(spark, sf):
     cache = fx.cache_log(spark, sf)
     as_of = cache.agg(F.max("fetched_at")).scalar()
-    fresh = C.fresh_cache(cache, as_of.cast("timestamp"), 4)
-    return fresh.select("url_hash", ts_str(F.col("fetched_at").cast("timestamp_ntz")).alias("fetched_at"),
+    fresh = C.fresh_cache(cache, as_of, 4)
+    return fresh.select("url_hash", ts_str("fetched_at").alias("fetched_at"),
                         F.round("age_hours", 6).alias("age_hours"))
 
 
@@ -559,7 +559,7 @@ SELECT page_id, page_no, url_hash FROM frontier WHERE url_hash NOT IN (SELECT ur
 def q_to_fetch(spark, sf):
     cache = fx.cache_log(spark, sf)
     as_of = cache.agg(F.max("fetched_at")).scalar()
-    fresh = C.fresh_cache(cache, as_of.cast("timestamp"), 4)
+    fresh = C.fresh_cache(cache, as_of, 4)
     return C.to_fetch(fx.frontier(spark, sf), fresh).select("page_id", "page_no", "url_hash")
 
 

@@ -80,12 +80,14 @@ def crawl_halt(grid: DataFrame, site_col: str = "site", page_col: str = "page",
 def fresh_cache(cache: DataFrame, as_of, ttl_hours: float = CACHE_TTL_HOURS,
                 hash_col: str = "url_hash", ts_col: str = "fetched_at") -> DataFrame:
     """C4: the newest copy per URL hash fetched at or before ``as_of`` and
-    younger than ``ttl_hours``; adds ``age_hours``."""
-    as_of_c = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
-    ts = F.col(ts_col).cast("timestamp")
+    younger than ``ttl_hours``; adds ``age_hours``. Times keep their type
+    (TIMESTAMP_NTZ stays zone-free; ``as_of`` is cast to the same type)."""
+    ts = F.col(ts_col)
+    kind = cache.schema[ts_col].dataType.simpleString()
+    as_of_c = (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast(kind)
     latest = (cache.filter(ts <= as_of_c).groupBy(hash_col)
               .agg(F.max(ts).alias("fetched_at")))
-    age = (F.unix_micros(as_of_c) - F.unix_micros(F.col("fetched_at"))) / 3.6e9
+    age = F.timestamp_diff("MICROSECOND", F.col("fetched_at"), as_of_c) / 3.6e9
     return latest.withColumn("age_hours", age).filter(F.col("age_hours") < ttl_hours)
 
 

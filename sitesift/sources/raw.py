@@ -28,8 +28,9 @@ def payload_format(body: Column) -> Column:
 
 def landed_to_raw(pages: DataFrame, fetched_at: Column, url_col: str = "url",
                   body_col: str = "html", strip: bool | Column = True) -> DataFrame:
-    """Landed pages (url, body) -> the raw-layer schema."""
-    ts = fetched_at.cast("timestamp")
+    """Landed pages (url, body) -> the raw-layer schema. ``fetched_at``
+    keeps its type (TIMESTAMP_NTZ stays zone-free)."""
+    ts = fetched_at
     return pages.select(
         F.col(url_col).alias("url"),
         netloc(F.col(url_col)).alias("netloc"),
