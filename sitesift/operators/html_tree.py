@@ -106,7 +106,9 @@ class _Builder(HTMLParser):
             self._implied_end(tag)
         amap = {}
         for k, v in attrs:
-            if k not in amap:  # first occurrence wins, as in browsers
+            # a repeated attribute: browsers keep the first, the lenient
+            # static parser the last
+            if not (self.dom and k in amap):
                 amap[k] = "" if v is None else v
         parent = self.stack[-1]
         node = Node(tag, amap, parent)

@@ -1,9 +1,10 @@
 """The records -> silver flow (the reference's silver processor), per row.
 
-Steps, all lazy DataFrame functions: V2 required keys -> U3 strip query ->
-T1 money -> D1 dedup keys -> D6 stamp -> D4 merge with history -> D3
-newest-wins. The schema is resolved per row (U2), not from the first record;
-a record without a schema belongs to ``general``.
+Steps, all lazy DataFrame functions in one pass over the records: V2
+required keys -> U3 strip query -> T1 money -> D1 dedup keys -> D6 stamp ->
+D4 merge with history -> D3 newest-wins. The schema is resolved per row
+(U2), not from the first record; a record without a schema belongs to
+``general``.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.text import money_silver
 from ..functions.urls import strip_query
 from ..operators.merge import choose_dedup_keys, merge_history, silver_stamp
-from ..operators.resolve import resolve_site
-from ..operators.validate import required_keys, soft_validate
+from ..operators.resolve import config_lookup, resolve_site
+from ..operators.validate import required_keys, required_ok
 from ..sources.site_schema import SiteConfig
 
 MONEY_COLUMNS = ("price", "salary")
@@ -34,37 +35,58 @@ def clean_batch(records: DataFrame, cfg: SiteConfig | None, money_col: str | Non
     return out
 
 
+def _by_key_set(configs: list[SiteConfig], keys_of) -> dict[tuple[str, ...], list[str]]:
+    """Domains grouped by their (ordered) key list: few distinct lists even
+    for many sites, so per-row cost does not grow with the number of sites."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for c in configs:
+        out.setdefault(tuple(keys_of(c)), []).append(c.domain)
+    return out
+
+
 def to_silver(records: DataFrame, configs: list[SiteConfig], run_ts,
               history: DataFrame | None = None, ts_col: str = "scraped_at",
               tiebreak: list[str] = (), url_col: str = "source_url",
-              id_col: str | None = None) -> DataFrame:
-    """Records of any mix of sites -> the merged silver table.
+              id_col: str | None = None, money_col: str | None = None) -> DataFrame:
+    """Records of any mix of sites -> the merged silver table, in one pass.
 
-    Each site's branch is filtered by its resolved domain (a projection per
-    configured site, decided on the driver from the schema list, never from
-    rows) and the branches are unioned; dedup keys always include ``domain``
-    so sites never collapse into each other.
+    Per-site settings are looked up per row: the strip-query flag from a map
+    keyed by domain, the required keys (V2) and dedup keys (D1) through
+    ``domain IN (...)`` sets, one per distinct key list. The merge key is
+    (domain, that site's key columns) encoded as one struct, so a single
+    aggregation serves every site and sites never collapse into each other.
+    A record without a schema belongs to ``general`` (no required keys,
+    default dedup keys).
     """
-    if "domain" not in records.columns:
+    cols = records.columns
+    if "domain" not in cols:
         records = resolve_site(records, configs, url_col=url_col, id_col=id_col)
-    records = records.withColumn("domain", F.coalesce(F.col("domain"), F.lit(GENERAL)))
-    branches = []
-    for cfg in [*configs, None]:
-        dom = cfg.domain if cfg else GENERAL
-        part = clean_batch(records.filter(F.col("domain") == dom), cfg)
-        branches.append(part)
-    batch = branches[0]
-    for b in branches[1:]:
-        batch = batch.unionByName(b, allowMissingColumns=True)
-    batch = silver_stamp(batch, run_ts)
-    keys_by_site = {c.domain: choose_dedup_keys(records.columns, c.dedup_keys) for c in configs}
-    keys_by_site[GENERAL] = choose_dedup_keys(records.columns)
-    # One merge over all sites: the key is (domain, that site's key columns),
-    # encoded as one struct so a single aggregation serves every site.
-    key_cols = sorted({k for ks in keys_by_site.values() for k in ks})
+    out = records.withColumn("domain", F.coalesce(F.col("domain"), F.lit(GENERAL)))
+    dom = F.col("domain")
+    # V2: required keys per site (a site whose key is not a column drops all)
+    keep = F.lit(True)
+    for keys, domains in _by_key_set(configs, lambda c: c.dedup_keys).items():
+        if not keys:
+            continue
+        ok = required_ok(list(keys)) if all(k in cols for k in keys) else F.lit(False)
+        keep = F.when(dom.isin(*domains), ok).otherwise(keep)
+    out = out.filter(keep)
+    # Strip the query where the site says so (default false)
+    if "source_url" in cols:
+        flag = F.coalesce(config_lookup(dom, configs, "strip_url_query").cast("boolean"), F.lit(False))
+        out = out.withColumn("source_url", strip_query("source_url", flag))
+    # The money column of the frame
+    money = money_col or next((c for c in MONEY_COLUMNS if c in cols), None)
+    if money:
+        out = out.withColumn(money, money_silver(money))
+    out = silver_stamp(out, run_ts)
+    # D1 per site, as one struct key
+    key_sets = _by_key_set(configs, lambda c: choose_dedup_keys(cols, c.dedup_keys))
+    key_sets.setdefault(tuple(choose_dedup_keys(cols)), []).append(GENERAL)
+    key_cols = sorted({k for ks in key_sets for k in ks})
     key = F.struct(*[
-        F.when(F.col("domain").isin(*[d for d, ks in keys_by_site.items() if k in ks]), F.col(k))
-        .alias(k) for k in key_cols])
-    staged = batch.withColumn("_key", key)
+        F.when(dom.isin(*[d for ks, ds in key_sets.items() if k in ks for d in ds]), F.col(k)).alias(k)
+        for k in key_cols])
+    staged = out.withColumn("_key", key)
     hist = history.withColumn("_key", key) if history is not None else None
     return merge_history(hist, staged, ["domain", "_key"], ts_col, list(tiebreak)).drop("_key")

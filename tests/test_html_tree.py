@@ -86,3 +86,9 @@ def test_broken_markup_does_not_raise():
     for bad in ["", None, "<div", "</p></p><p", "<a href='x'>&bogus; &#xZZ;</a>"]:
         H.parse(bad, "static")
         H.parse(bad, "dom")
+
+
+def test_repeated_attribute_per_mode():
+    html = '<div id="a" id="b">x</div>'
+    assert H.select_one(H.parse(html, "static"), "div").attrs["id"] == "b"
+    assert H.select_one(H.parse(html, "dom"), "div").attrs["id"] == "a"
