@@ -150,7 +150,7 @@ def parse(html: str | None, mode: str = "static") -> Node:
 
 
 # -- text ----------------------------------------------------------------
-_JS_WS = re.compile(r"[\s﻿]+")
+_JS_WS = re.compile(r"[\s\ufeff]+")  # JavaScript \s also covers the BOM
 
 
 def static_text(node: Node) -> str:

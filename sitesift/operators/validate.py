@@ -35,9 +35,12 @@ def soft_fallback(df: DataFrame, na_is_fallback: bool = True) -> Column:
 def soft_validate(df: DataFrame, primary_key: str | None, na_is_fallback: bool = True) -> DataFrame:
     """V1: a record whose primary key is empty or ``N/A`` is kept only when it
     has a link or company, with the key set to ``N/A - Pending Review``.
-    No primary key configured -> everything is kept."""
-    if not primary_key or primary_key not in df.columns:
+    No primary key configured -> everything is kept; a configured key that
+    the records lack counts as empty for every record."""
+    if not primary_key:
         return df
+    if primary_key not in df.columns:  # every record has an empty key
+        df = df.withColumn(primary_key, F.lit(None).cast("string"))
     bad = soft_bad(df, primary_key)
     fb = soft_fallback(df, na_is_fallback)
     return (df.filter(~bad | fb)

@@ -60,3 +60,9 @@ def test_text_normalise_and_title(spark):
     assert got == ["Big deal", "N/A", "N/A", "N/A"]
     got = [r[0] for r in df.select(tx.clean_field("text", "t")).collect()]
     assert got == ["12.5 Big deal", "1984", "N/A", "N/A"]
+
+
+def test_soft_validate_missing_key_column(spark):
+    df = spark.createDataFrame([("l", None), (None, None)], "link string, company string")
+    out = V.soft_validate(df, "title").collect()
+    assert [(r.title, r.link) for r in out] == [("N/A - Pending Review", "l")]
