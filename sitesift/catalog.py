@@ -796,3 +796,24 @@ def q_keyword_clusters(spark, sf):
     support >= 2) over the top-50 vocabulary."""
     d = table(spark, sf, "documents")
     return A.keyword_clusters(A.keyword_pairs(d, "text", "doc_id", vocab_size=50), 1.05, 2)
+
+
+@query("crawl_run", f"""
+WITH {S_GRID.strip()},
+recs AS (SELECT user_id AS site, dayofmonth(ts) AS page, event_id FROM events WHERE event_type = 'purchase'),
+isl AS (SELECT *, sum(CASE WHEN items > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY page) AS island
+        FROM grid),
+streak AS (SELECT *, sum(CASE WHEN items = 0 THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY site, island ORDER BY page) AS run FROM isl),
+stops AS (SELECT site, min(page) AS stop_page FROM streak WHERE run >= 5 GROUP BY site)
+SELECT site, page, event_id FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY r.site ORDER BY r.page, r.event_id) AS rn
+  FROM recs r LEFT JOIN stops s USING (site) WHERE s.stop_page IS NULL OR r.page <= s.stop_page)
+WHERE rn <= 20""")
+def q_crawl_run(spark, sf):
+    """C1 + C3 composed (the crawl loop): purchases as records of a
+    user x day crawl, halted after 5 empty days, 20 records per site."""
+    grid = fx.page_grid(spark, sf).select("site", "page")
+    e = table(spark, sf, "events").filter(F.col("event_type") == "purchase")
+    recs = e.select(F.col("user_id").alias("site"), F.dayofmonth("ts").alias("page"), "event_id")
+    return C.crawl_run(grid, recs, 20, order_cols=["event_id"]).select("site", "page", "event_id")

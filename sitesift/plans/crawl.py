@@ -94,3 +94,24 @@ def fresh_cache(cache: DataFrame, as_of, ttl_hours: float = CACHE_TTL_HOURS,
 def to_fetch(frontier: DataFrame, fresh: DataFrame, hash_col: str = "url_hash") -> DataFrame:
     """Frontier rows without a fresh cached copy."""
     return frontier.join(fresh.select(hash_col), hash_col, "left_anti")
+
+
+def crawl_run(frontier: DataFrame, records: DataFrame, limit: int, site_col: str = "site",
+              page_col: str = "page", order_cols: list[str] = ("ordinal",),
+              max_empty: int = MAX_EMPTY) -> DataFrame:
+    """The crawl loop as one batch plan: visit pages in order, halt after
+    ``max_empty`` consecutive pages without records (C3), keep at most
+    ``limit`` records per site in page order, counted before dedup (C1).
+
+    ``frontier`` lists every (site, page) the crawl may visit (dense page
+    numbers); ``records`` are the records extracted from those pages. Both
+    steps are partial aggregates or a group-limited window, so a site with a
+    third of all pages is not gathered into one task.
+    """
+    per_page = records.groupBy(site_col, page_col).agg(F.count(F.lit(1)).alias("_items"))
+    grid = (frontier.select(site_col, page_col).join(per_page, [site_col, page_col], "left")
+            .select(site_col, page_col, F.coalesce("_items", F.lit(0)).alias("_items")))
+    stops = halt_pages(grid, site_col, page_col, "_items", max_empty)
+    kept = join_small(records, stops, site_col, "left").filter(
+        F.col("stop_page").isNull() | (F.col(page_col) <= F.col("stop_page"))).drop("stop_page")
+    return limit_per_site(kept, site_col, [page_col, *order_cols], limit)

@@ -90,3 +90,22 @@ def to_silver(records: DataFrame, configs: list[SiteConfig], run_ts,
     staged = out.withColumn("_key", key)
     hist = history.withColumn("_key", key) if history is not None else None
     return merge_history(hist, staged, ["domain", "_key"], ts_col, list(tiebreak)).drop("_key")
+
+
+def publish_silver(records: DataFrame, configs: list[SiteConfig], run_ts, master_root: str,
+                   sample_path: str | None = None, snapshot_date=None, ts_col: str = "scraped_at",
+                   tiebreak: list[str] = ()) -> dict[str, int]:
+    """The silver processor end to end: clean and key the batch
+    (``to_silver``), merge it into the per-domain master (S3/D4, only the
+    touched domains are rewritten) and, when asked, write the day's sample
+    (S4). Returns the published master version per domain."""
+    from ..sources.silver import merge_into_master, write_sample
+
+    spark = records.sparkSession
+    batch = to_silver(records, configs, run_ts, ts_col=ts_col, tiebreak=tiebreak)
+    keys = ["domain", *sorted({k for c in configs for k in choose_dedup_keys(batch.columns, c.dedup_keys)}
+                              | set(choose_dedup_keys(batch.columns)))]
+    published, _ = merge_into_master(spark, master_root, batch, keys, ts_col, tiebreak)
+    if sample_path is not None:
+        write_sample(batch, sample_path, snapshot_date or F.to_date(F.lit(run_ts)))
+    return published

@@ -68,3 +68,37 @@ def test_concentration_and_outliers(spark):
     vals = [("t", float(v)) for v in [10] * 30 + [1000]]
     od = spark.createDataFrame(vals, "g string, v double")
     assert [r.v for r in A.outliers(od, "v", ["g"]).collect()] == [1000.0]
+
+
+def test_crawl_run_matches_loop(spark):
+    rnd = random.Random(11)
+    frontier, recs, want = [], [], {}
+    rid = 0
+    for site in range(40):
+        pages = []
+        for p in range(1, 26):
+            n = rnd.choice([0, 0, 0, 1, 3])
+            frontier.append((site, p))
+            ids = list(range(rid, rid + n))
+            rid += n
+            recs += [(site, p, i) for i in ids]
+            pages.append((p, ids))
+        # the loop: accumulate page by page, halt on 5 empty pages or at the limit
+        acc, empty = [], 0
+        for p, ids in pages:
+            if len(acc) >= 7:
+                break
+            if not ids:
+                empty += 1
+                if empty >= 5:
+                    break
+            else:
+                empty = 0
+                acc += ids[: 7 - len(acc)]
+        want[site] = acc
+    f = spark.createDataFrame(frontier, "site int, page int")
+    r = spark.createDataFrame(recs, "site int, page int, ordinal long")
+    got = {}
+    for row in C.crawl_run(f, r, 7).collect():
+        got.setdefault(row.site, []).append(row.ordinal)
+    assert {s: sorted(v) for s, v in got.items()} == {s: v for s, v in want.items() if v}

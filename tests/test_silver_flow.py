@@ -58,3 +58,21 @@ def test_mixed_sites_match_python(spark):
     got = sorted((r.i, r.domain, r.source_url, r.price) for r in out.collect())
     assert got == py_silver(rows, SITES)
     assert {r.silver_processed_at for r in out.collect()} == {"2024-02-01"}
+
+
+def test_publish_silver_end_to_end(spark, tmp_out):
+    import os
+    from sitesift.plans.silver_flow import publish_silver
+    from sitesift.sources.silver import read_master, versions
+    rows = [(1, "x", "c", "https://a.com/p?q=1", "$1", dt.datetime(2024, 1, 1)),
+            (2, "y", "c", "https://b.com/p", "$2", dt.datetime(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "i long, title string, company string, source_url string, "
+                                     "price string, scraped_at timestamp")
+    cfgs = load_site_schema(SITES)
+    root, sample = os.path.join(tmp_out, "m"), os.path.join(tmp_out, "s")
+    assert publish_silver(df, cfgs, "2024-02-01", root, sample, tiebreak=["i"]) == {"a.com": 1, "b.com": 1}
+    assert publish_silver(df, cfgs, "2024-02-01", root, tiebreak=["i"]) == {"a.com": 2, "b.com": 2}
+    m, _ = read_master(spark, root)
+    assert sorted((r.i, r.source_url) for r in m.collect()) == [(1, "https://a.com/p"), (2, "https://b.com/p")]
+    assert spark.read.option("header", True).csv(sample).count() == 2
+    assert sorted(len(v) for v in versions(spark, root).values()) == [2, 2]
