@@ -94,7 +94,7 @@ def to_silver(records: DataFrame, configs: list[SiteConfig], run_ts,
 
 def publish_silver(records: DataFrame, configs: list[SiteConfig], run_ts, master_root: str,
                    sample_path: str | None = None, snapshot_date=None, ts_col: str = "scraped_at",
-                   tiebreak: list[str] = ()) -> dict[str, int]:
+                   tiebreak: list[str] = (), url_col: str = "source_url") -> dict[str, int]:
     """The silver processor end to end: clean and key the batch
     (``to_silver``), merge it into the per-domain master (S3/D4, only the
     touched domains are rewritten) and, when asked, write the day's sample
@@ -102,10 +102,17 @@ def publish_silver(records: DataFrame, configs: list[SiteConfig], run_ts, master
     from ..sources.silver import merge_into_master, write_sample
 
     spark = records.sparkSession
-    batch = to_silver(records, configs, run_ts, ts_col=ts_col, tiebreak=tiebreak)
+    batch = to_silver(records, configs, run_ts, ts_col=ts_col, tiebreak=tiebreak, url_col=url_col)
     keys = ["domain", *sorted({k for c in configs for k in choose_dedup_keys(batch.columns, c.dedup_keys)}
                               | set(choose_dedup_keys(batch.columns)))]
-    published, _ = merge_into_master(spark, master_root, batch, keys, ts_col, tiebreak)
+    # touched domains from a URL-only projection (cheap), not from the batch
+    if "domain" in records.columns:
+        doms = records.select(F.coalesce("domain", F.lit(GENERAL)).alias("d"))
+    else:
+        doms = resolve_site(records.select(url_col), configs, url_col=url_col).select(
+            F.coalesce("domain", F.lit(GENERAL)).alias("d"))
+    touched = [r.d for r in doms.distinct().collect()]  # at most one per configured site
+    published, _ = merge_into_master(spark, master_root, batch, keys, ts_col, tiebreak, domains=touched)
     if sample_path is not None:
         write_sample(batch, sample_path, snapshot_date or F.to_date(F.lit(run_ts)))
     return published

@@ -96,12 +96,19 @@ def read_master(spark: SparkSession, root: str, domains: list[str] | None = None
 
 def merge_into_master(spark: SparkSession, root: str, batch: DataFrame, keys: list[str],
                       ts_col: str = "scraped_at", tiebreak: list[str] = (),
-                      domain_col: str = "domain") -> tuple[dict[str, int], list[str]]:
+                      domain_col: str = "domain", domains: list[str] | None = None
+                      ) -> tuple[dict[str, int], list[str]]:
     """S3 + D4: merge ``batch`` into the master; only touched domains are
-    read and rewritten. Returns {domain: new version} and the problems met."""
+    read and rewritten. Returns {domain: new version} and the problems met.
+
+    ``domains``: the batch's domains when the caller knows them cheaply (a
+    superset is fine); otherwise they are read from the batch (at most one
+    per configured site), which evaluates it once more - persist it then.
+    """
     root = root.rstrip("/")
-    # the distinct domains of a batch: at most one per configured site
-    touched = [r[0] for r in batch.select(domain_col).distinct().collect() if r[0] is not None]
+    if domains is None:
+        domains = [r[0] for r in batch.select(domain_col).distinct().collect()]
+    touched = [d for d in domains if d is not None]
     if not touched:
         return {}, []
     history, problems = read_master(spark, root, touched)

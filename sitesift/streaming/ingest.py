@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators.extract_html import extract_html
 from ..operators.resolve import resolve_site
-from ..operators.validate import soft_validate
+from ..operators.validate import PENDING, soft_validate
 from ..sources.silver import merge_into_master, read_master
 from ..sources.site_schema import SiteConfig
 
@@ -43,10 +43,21 @@ def stream_to_master(spark: SparkSession, source_dir: str, master_root: str, che
     pages = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
              .option("pathGlobFilter", glob).parquet(source_dir))
     recs = page_records(pages, configs, mode)
+    pk = configs[0].primary_key if len(configs) == 1 else None
+    if pk:  # V3 per micro-batch, reported in the query progress (observedMetrics)
+        recs = recs.observe("validation", F.count(F.lit(1)).alias("n_records"),
+                            F.count_if(F.col(pk) == PENDING).alias("n_pending"))
 
     def merge(batch_df: DataFrame, epoch_id: int) -> None:
-        merge_into_master(batch_df.sparkSession, master_root, batch_df, keys,
-                          ts_col="page_id", tiebreak=["ordinal"])
+        # The merge reads the micro-batch twice (touched domains, then the
+        # rows): keep it so pages are parsed once. A lost cached block is
+        # recomputed from the source files, so executor loss is harmless.
+        batch_df.persist()
+        try:
+            merge_into_master(batch_df.sparkSession, master_root, batch_df, keys,
+                              ts_col="page_id", tiebreak=["ordinal"])
+        finally:
+            batch_df.unpersist()
 
     writer = recs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -107,6 +107,18 @@ def test_stream_equals_batch(spark, tmp_out):
     assert [len(v) for v in vs.values()] == [4]  # one domain, one version per micro-batch
 
 
+def test_stream_reports_validation_metrics(spark, tmp_out):
+    from sitesift.streaming.ingest import stream_to_master
+    src = os.path.join(tmp_out, "landing2")
+    split_pages(spark, src, 2)
+    q = stream_to_master(spark, src, os.path.join(tmp_out, "m2"), os.path.join(tmp_out, "ck3"),
+                         fx.sites(fx.PAGE_SITE), ["source_url", "ordinal"])
+    q.awaitTermination()
+    seen = [p["observedMetrics"]["validation"] for p in q.recentProgress
+            if p.get("observedMetrics", {}).get("validation")]
+    assert sum(m["n_records"] for m in seen) == spark.read.parquet(f"{SF_SMALL}/pages.parquet").count()
+
+
 def test_stream_dedup_first_per_key(spark, tmp_out):
     schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
     ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF_SMALL))
