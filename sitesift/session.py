@@ -64,3 +64,45 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/sitesift/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sitesift`` importable in the Python workers (the HTML jobs and
+    pandas UDFs run code from it there): zip the package, write the zip into
+    the shared checkpoint folder and ``addPyFile`` it, once per application.
+    A no-op when the session has no SparkContext (e.g. Spark Connect)."""
+    import hashlib
+    import io
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _, files in sorted(os.walk(pkg_dir)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    arc = os.path.join("sitesift", os.path.relpath(full, pkg_dir))
+                    zf.writestr(zipfile.ZipInfo(arc, (2020, 1, 1, 0, 0, 0)), open(full, "rb").read())
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:16]
+    if (app, digest) in _SHIPPED:
+        return
+    path = f"{checkpoint_root(spark)}/sitesift-pkg/sitesift-{digest}.zip"
+    jvm = sc._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        out = fs.create(jpath, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(path)
+    _SHIPPED.add((app, digest))
