@@ -79,3 +79,13 @@ def dedup_stream(events: DataFrame, keys: list[str], ts_col: str, delay: str = "
     TIMESTAMP (a watermark on TIMESTAMP_NTZ is an analysis error)."""
     staged = events.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
     return staged.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def rows_dropped_by_watermark(query) -> int:
+    """R2: late rows dropped so far (past the watermark), summed over the
+    stateful operators of the query's recent progress reports."""
+    total = 0
+    for progress in query.recentProgress or []:
+        for op in progress.get("stateOperators", []) or []:
+            total += int(op.get("numRowsDroppedByWatermark", 0) or 0)
+    return total

@@ -157,3 +157,41 @@ def test_custom_parser_route(spark):
     out = extract_with(pages, parser, "page_id long, n_chars long", columns=["page_id", "html"])
     want = {r.page_id: r.n for r in pages.select("page_id", F.length("html").alias("n")).collect()}
     assert {r.page_id: r.n_chars for r in out.collect()} == want
+
+
+def test_atom_and_rss_feeds(spark):
+    from sitesift.operators.extract_xml import extract_rss
+    bodies = [
+        (1, "https://f/atom", "<feed><entry><title>3 First</title><id>a</id></entry>"
+                              "<entry><title>Second</title></entry></feed>"),
+        (2, "https://f/rss", "<rss><channel><entry><title>Only</title><id>b</id></entry></channel></rss>"),
+        (3, "https://f/bad", "<rss><channel><entry><title>Broken &amp; kept</title><id>c</id></entry>"),
+    ]
+    pages = spark.createDataFrame(bodies, "page_id long, url string, html string").withColumn("domain", F.lit("f"))
+    cfg = load_site_schema({"f": {"strategy": "rss", "container": "entry", "fields": {"title": "title", "id": "id"}}})[0]
+    got = sorted(tuple(r) for r in extract_rss(pages, cfg).select("page_id", "ordinal", "title", "id").collect())
+    assert got == [(1, 0, "First", "a"), (1, 1, "Second", "N/A"), (2, 0, "Only", "b"), (3, 0, "Broken & kept", "c")]
+
+
+def test_stream_dedup_counts_late_rows(spark, tmp_out):
+    import pandas as pd
+    from sitesift.streaming.ingest import rows_dropped_by_watermark
+    src = os.path.join(tmp_out, "ev")
+    os.makedirs(src)
+    ts = pd.to_datetime
+    def put(name, ks, times):
+        pd.DataFrame({"k": ks, "ts": [ts(t) for t in times]}).to_parquet(
+            os.path.join(src, name), coerce_timestamps="us", allow_truncated_timestamps=True)
+    put("a.parquet", [1, 2], ["2024-01-01 10:00", "2024-01-01 10:05"])
+    put("b.parquet", [3, 1], ["2024-01-01 12:00", "2024-01-01 12:01"])
+    put("c.parquet", [4], ["2024-01-01 09:00"])      # behind the watermark: late
+    put("d.parquet", [1], ["2024-01-01 12:30"])      # key 1's state has expired
+    ev = (spark.readStream.schema("k long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(src))
+    q = (dedup_stream(ev, ["k"], "ts", "30 minutes").writeStream.format("memory").queryName("late_test")
+         .option("checkpointLocation", os.path.join(tmp_out, "ck4")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    keys = sorted(r.k for r in spark.sql("SELECT k FROM late_test").collect())
+    # batch 2 drops key 1 (still in state); after it the watermark (11:31)
+    # passes key 1's expiry, so batch 4 lets key 1 through again
+    assert keys == [1, 1, 2, 3]
+    assert rows_dropped_by_watermark(q) == 1
