@@ -225,7 +225,7 @@ def q_resolve_site(spark, sf):
 def q_resolve_site_join(spark, sf):
     """U2, the join form used for large schema lists (forced here)."""
     p = table(spark, sf, "pages").select("page_id", "url")
-    return resolve_site(p, fx.sites(fx.RESOLVE_SITES), id_col="page_id", force_join=True).select(
+    return resolve_site(p, fx.sites(fx.RESOLVE_SITES), id_col="page_id", mode="join").select(
         "page_id", "url", U.netloc("url").alias("netloc"), "domain")
 
 
