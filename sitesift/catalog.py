@@ -124,14 +124,14 @@ frontier AS (
                 CASE WHEN page_no <= 1 THEN url
                      ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') || '/page/' || page_no || '/'
                 END AS page_url
-              FROM pages, (SELECT unnest(range(1, 4)) AS page_no))))"""
+              FROM pages, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS page_no))))"""
 
 S_GRID = """
 grid AS (
   SELECT s.site, d.page, coalesce(b.items, 0) AS items
   FROM (SELECT DISTINCT user_id AS site FROM events) s
-  CROSS JOIN (SELECT unnest(range(1, 31)) AS page) d
-  LEFT JOIN (SELECT user_id AS site, dayofmonth(ts) AS page, count(*) AS items
+  CROSS JOIN (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS page) d
+  LEFT JOIN (SELECT user_id AS site, CAST(dayofmonth(ts) AS INTEGER) AS page, count(*) AS items
              FROM events WHERE event_type = 'purchase' GROUP BY ALL) b
     ON b.site = s.site AND b.page = d.page)"""
 
@@ -175,7 +175,7 @@ SELECT page_id, page_no,
     coalesce(nullif(url_decode(regexp_extract(url, '[?&]k=([^&#]*)', 1)), ''),
              nullif(url_decode(regexp_extract(url, '[?&]q=([^&#]*)', 1)), ''), '') ||
     '&from=' || regexp_replace(url, '/+$', '') END AS page_url
-FROM pages, (SELECT unnest(range(1, 4)) AS page_no)""")
+FROM pages, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS page_no)""")
 def q_page_urls_pattern(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
     return C.page_frontier(p, 3, pattern=PATTERN_ALL).select("page_id", "page_no", "page_url")
@@ -189,7 +189,7 @@ SELECT page_id, page_no,
          WHEN q = '' THEN 'page=' || page_no
          ELSE q || '&page=' || page_no END || frag END AS page_url
 FROM (SELECT page_id, url, regexp_extract(url, '\?([^#]*)', 1) AS q, regexp_extract(url, '(#.*)$', 1) AS frag
-      FROM pages), (SELECT unnest(range(1, 4)) AS page_no)""")
+      FROM pages), (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS page_no)""")
 def q_page_urls_param(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
     return C.page_frontier(p, 3, pattern=None, param="page").select("page_id", "page_no", "page_url")
@@ -800,7 +800,7 @@ def q_keyword_clusters(spark, sf):
 
 @query("crawl_run", f"""
 WITH {S_GRID.strip()},
-recs AS (SELECT user_id AS site, dayofmonth(ts) AS page, event_id FROM events WHERE event_type = 'purchase'),
+recs AS (SELECT user_id AS site, CAST(dayofmonth(ts) AS INTEGER) AS page, event_id FROM events WHERE event_type = 'purchase'),
 isl AS (SELECT *, sum(CASE WHEN items > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY page) AS island
         FROM grid),
 streak AS (SELECT *, sum(CASE WHEN items = 0 THEN 1 ELSE 0 END)

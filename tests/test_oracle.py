@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
-from scripts.oracle_check import TABLES, digest
+from scripts.oracle_check import TABLES, digest, dtype_class
 
 
 @pytest.fixture(scope="module")
@@ -19,9 +19,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_matches_duckdb(spark, con, name):
-    got = digest(E.queries()[name](spark, SF_SMALL).toPandas())
-    want = digest(con.sql(E.oracle_sql()[name]).df())
-    assert got == want
+    sp = E.queries()[name](spark, SF_SMALL).toPandas()
+    dk = con.sql(E.oracle_sql()[name]).df()
+    assert digest(sp) == digest(dk)
+    assert {c: dtype_class(sp[c].dtype) for c in sp.columns} == {c: dtype_class(dk[c].dtype) for c in dk.columns}
 
 
 def test_every_query_has_oracle_or_reason():
