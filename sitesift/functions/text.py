@@ -6,17 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._util import col as _c
+from ..constants import NA, STOP_WORDS, TITLE_FIELDS, TITLE_NUMBER  # noqa: F401 (fixed values)
+
 
-# Fixed values that must equal the reference's for right results.
-# Missing-value marker and the leading-number pattern removed from titles.
-NA = "N/A"
-TITLE_FIELDS = ("title", "job_title")
-TITLE_NUMBER = r"^[0-9]+(\.[0-9]+)?\s*"
-# Stop words dropped from keyword counts (26 words, as given).
-STOP_WORDS = (
-    "the", "and", "a", "of", "to", "in", "is", "for", "that", "on", "with", "na", "n",
-    "this", "an", "your", "it", "from", "are", "by", "as", "at", "be", "or", "you", "i",
-)
 # Named entities that occur in landed pages, decoded by the native page_title
 # column (the HTML jobs decode every entity through the stdlib parser).
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),

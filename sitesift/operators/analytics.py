@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import MONEY_COLUMNS, PENDING, TEXT_COLUMNS  # fixed values
 from ..functions.text import NA, keep_word, words
 from .joins import join_small, materialize
 
-TEXT_COLUMNS = ("tags", "requirements", "text", "job_title")
-MONEY_COLUMNS = ("price", "salary")
-PLACEHOLDERS = ("", NA, "N/A - Pending Review")
+
+PLACEHOLDERS = ("", NA, PENDING)
 
 
 def record_count(df: DataFrame, group_cols: list[str] = ()) -> DataFrame:

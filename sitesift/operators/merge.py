@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import FIRST_WINS_KEYS, TITLE_KEYS  # fixed values
 from ..functions.text import money_silver
 from ..functions.urls import strip_query
 
-FIRST_WINS_KEYS = ("title", "job_title", "company", "link", "source_url")
-TITLE_KEYS = ("title", "job_title", "text")
-
 
 def choose_dedup_keys(columns: list[str], schema_keys: list[str] | tuple = ()) -> list[str]:
     """D1 (driver side, from the schema, never from rows)."""

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import EMPTY_MARKERS, PENDING  # noqa: F401 (fixed values)
 from ..functions.text import NA, strip_ws
 
-PENDING = "N/A - Pending Review"
-# Values that count as empty for a required key (after trim + upper).
-EMPTY_MARKERS = ("N/A", "NONE", "")
-
 
 def _present(c: Column, na_is_fallback: bool) -> Column:
     """Python truthiness of a string column (non-null, non-empty); the

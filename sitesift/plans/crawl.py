@@ -19,13 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import CACHE_TTL_HOURS, MAX_EMPTY, URL_CAP  # fixed values
 from ..functions.urls import cache_key, page_url, url_hash
 from ..operators.joins import join_small
 
-URL_CAP = 160  # default per-run URL cap
-MAX_EMPTY = 5  # consecutive empty pages before a crawl halts
-CACHE_TTL_HOURS = 4
-
 
 def page_frontier(targets: DataFrame, n_pages: int | Column, url_col: str = "url",
                   start_page: int | Column = 1, pattern: str | Column | None = None,

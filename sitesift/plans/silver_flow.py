@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import GENERAL, MONEY_COLUMNS  # fixed values
 from ..functions.text import money_silver
 from ..functions.urls import strip_query
 from ..operators.merge import choose_dedup_keys, merge_history, silver_stamp
@@ -19,9 +20,6 @@ from ..operators.resolve import config_lookup, resolve_site
 from ..operators.validate import required_keys, required_ok
 from ..sources.site_schema import SiteConfig
 
-MONEY_COLUMNS = ("price", "salary")
-GENERAL = "general"
-
 
 def clean_batch(records: DataFrame, cfg: SiteConfig | None, money_col: str | None = None) -> DataFrame:
     """V2 + U3 + T1 for the records of one site schema."""
