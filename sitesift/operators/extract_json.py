@@ -52,7 +52,7 @@ def _per_domain(dom: Column, items: list[tuple[str, Column]]) -> Column:
 
 def extract_json(pages: DataFrame, configs: list[SiteConfig], id_col: str = "page_id",
                  url_col: str = "url", body_col: str = "html",
-                 domain_col: str = "domain") -> DataFrame:
+                 domain_col: str = "domain", carry: list[str] = ()) -> DataFrame:
     """JSON-strategy pages -> wide records (same layout as the HTML jobs).
 
     Staged projections (parse -> container -> records -> raw field values ->
@@ -62,8 +62,8 @@ def extract_json(pages: DataFrame, configs: list[SiteConfig], id_col: str = "pag
     configs = [c for c in configs if c.fields]
     names = record_columns(configs)
     dom = F.col(domain_col)
-    base = [F.col(id_col), dom.alias("domain"), F.col(url_col).alias("source_url")]
-    keep = [id_col, "domain", "source_url"]
+    base = [F.col(id_col), dom.alias("domain"), F.col(url_col).alias("source_url"), *carry]
+    keep = [id_col, "domain", "source_url", *carry]
     parsed = pages.select(*base, F.call_function("try_parse_json", F.col(body_col)).alias("_doc"))
     contained = parsed.select(*keep, _per_domain(F.col("domain"), [
         (c.domain, json_path(F.col("_doc"), c.container or "")) for c in configs]).alias("_c"))
@@ -76,5 +76,5 @@ def extract_json(pages: DataFrame, configs: list[SiteConfig], id_col: str = "pag
                                         F.lit("$"), F.lit("string")).alias(n))
     raw = exploded.select(*keep, F.col("ordinal").cast("int").alias("ordinal"), *raw_cols)
     defined = {n: [c.domain for c in configs if n in c.field_names] for n in names}
-    return raw.select(*keep, "ordinal", *[
-        F.when(F.col("domain").isin(*defined[n]), _clean(n, F.col(n))).alias(n) for n in names])
+    return raw.select(id_col, "domain", "source_url", "ordinal", *[
+        F.when(F.col("domain").isin(*defined[n]), _clean(n, F.col(n))).alias(n) for n in names], *carry)

@@ -24,20 +24,21 @@ def _xml_schema(container: str, fields: list[str]) -> str:
 
 def extract_rss(pages: DataFrame, cfg: SiteConfig, id_col: str = "page_id",
                 url_col: str = "url", body_col: str = "html",
-                domain_col: str = "domain") -> DataFrame:
+                domain_col: str = "domain", carry: list[str] = ()) -> DataFrame:
     """RSS-strategy pages of one site config -> wide records."""
     container = cfg.container or "item"
     tags = [r.selectors[0] if r.selectors else r.name for r in cfg.fields]
-    parsed = pages.select(id_col, url_col, body_col, domain_col,
+    parsed = pages.select(id_col, url_col, body_col, domain_col, *carry,
                           F.from_xml(F.col(body_col), _xml_schema(container, sorted(set(tags)))).alias("_x"))
     items = F.coalesce(F.col("_x.channel")[container], F.col("_x")[container])
     good = parsed.filter(items.isNotNull()).select(
-        id_col, url_col, domain_col, F.posexplode(items).alias("ordinal", "_it"))
+        id_col, url_col, domain_col, *carry, F.posexplode(items).alias("ordinal", "_it"))
     out_cols = [F.col(id_col), F.col(domain_col).alias("domain"), F.col(url_col).alias("source_url"),
                 F.col("ordinal").cast("int").alias("ordinal")]
     out_cols += [clean_field(r.name, F.col("_it")[tag]).alias(r.name) for r, tag in zip(cfg.fields, tags)]
+    out_cols += [F.col(c) for c in carry]
     native = good.select(*out_cols)
     broken = parsed.filter(items.isNull() & F.col(body_col).isNotNull()).drop("_x")
     tolerant = extract_html(broken, [cfg], mode="static", id_col=id_col, url_col=url_col,
-                            body_col=body_col, domain_col=domain_col)
+                            body_col=body_col, domain_col=domain_col, carry=list(carry))
     return native.unionByName(tolerant)

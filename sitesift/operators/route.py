@@ -26,14 +26,15 @@ HTML_MODES = {"index": "dom", "detail": "static"}
 
 def extract_records(pages: DataFrame, configs: list[SiteConfig], id_col: str = "page_id",
                     url_col: str = "url", body_col: str = "html",
-                    domain_col: str = "domain") -> DataFrame:
-    """Pages -> records of every configured site, routed by strategy."""
+                    domain_col: str = "domain", carry: list[str] = ()) -> DataFrame:
+    """Pages -> records of every configured site, routed by strategy;
+    ``carry`` columns pass through every branch unchanged."""
     if domain_col not in pages.columns:
         pages = resolve_site(pages, configs, url_col=url_col, id_col=id_col, out_col=domain_col)
     strategy = config_lookup(F.col(domain_col), configs, "strategy")
     staged = pages.withColumn("_strategy", strategy)
     parts: list[DataFrame] = []
-    kw = dict(id_col=id_col, url_col=url_col, body_col=body_col, domain_col=domain_col)
+    kw = dict(id_col=id_col, url_col=url_col, body_col=body_col, domain_col=domain_col, carry=list(carry))
     by_strategy: dict[str, list[SiteConfig]] = {}
     for c in configs:
         by_strategy.setdefault(c.strategy, []).append(c)

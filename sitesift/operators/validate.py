@@ -78,3 +78,28 @@ def validation_metrics(df: DataFrame, primary_key: str, required: list[str],
         F.count_if(~bad | fb).alias("n_retained"),
         F.count_if(~req).alias("n_key_failed"),
     )
+
+
+def soft_validate_sites(df: DataFrame, configs, domain_col: str = "domain",
+                        na_is_fallback: bool = True) -> DataFrame:
+    """V1 for records of many sites in one pass: each site's own primary key
+    (its first field) decides; sites sharing a key share one ``isin`` test,
+    so the cost does not grow with the number of sites."""
+    by_pk: dict[str, list[str]] = {}
+    for c in configs:
+        if c.primary_key:
+            by_pk.setdefault(c.primary_key, []).append(c.domain)
+    if not by_pk:
+        return df
+    for pk in by_pk:
+        if pk not in df.columns:
+            df = df.withColumn(pk, F.lit(None).cast("string"))
+    dom = F.col(domain_col)
+    bad = F.lit(False)
+    for pk, doms in by_pk.items():
+        bad = F.when(dom.isin(*doms), soft_bad(df, pk)).otherwise(bad)
+    fb = soft_fallback(df, na_is_fallback)
+    out = df.withColumn("_bad", bad).filter(~F.col("_bad") | fb)
+    for pk, doms in by_pk.items():
+        out = out.withColumn(pk, F.when(dom.isin(*doms) & F.col("_bad"), F.lit(PENDING)).otherwise(F.col(pk)))
+    return out.drop("_bad")
