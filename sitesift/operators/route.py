@@ -21,7 +21,6 @@ from .extract_json import extract_json
 from .extract_xml import extract_rss
 from .resolve import config_lookup, resolve_site
 
-HTML_MODES = {"index": "dom", "detail": "static"}
 
 
 def extract_records(pages: DataFrame, configs: list[SiteConfig], id_col: str = "page_id",
@@ -38,15 +37,16 @@ def extract_records(pages: DataFrame, configs: list[SiteConfig], id_col: str = "
     by_strategy: dict[str, list[SiteConfig]] = {}
     for c in configs:
         by_strategy.setdefault(c.strategy, []).append(c)
-    for strat, cfgs in by_strategy.items():
-        branch = staged.filter(F.col("_strategy") == strat).drop("_strategy")
-        if strat == "json":
-            parts.append(extract_json(branch, cfgs, **kw))
-        elif strat == "rss":
-            for c in cfgs:
-                parts.append(extract_rss(branch.filter(F.col(domain_col) == c.domain), c, **kw))
-        else:
-            parts.append(extract_html(branch, cfgs, mode=HTML_MODES.get(strat, "static"), **kw))
+    html_cfgs = [c for c in configs if c.strategy not in ("json", "rss")]
+    if html_cfgs:  # index (DOM mode) and detail (static) sites share one pass
+        branch = staged.filter(~F.col("_strategy").isin("json", "rss")).drop("_strategy")
+        parts.append(extract_html(branch, html_cfgs, mode=None, **kw))
+    if by_strategy.get("json"):
+        branch = staged.filter(F.col("_strategy") == "json").drop("_strategy")
+        parts.append(extract_json(branch, by_strategy["json"], **kw))
+    for c in by_strategy.get("rss", []):
+        branch = staged.filter(F.col(domain_col) == c.domain).drop("_strategy")
+        parts.append(extract_rss(branch, c, **kw))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
