@@ -636,9 +636,13 @@ def q_keyword_pairs(spark, sf):
 WITH per AS (SELECT o_orderpriority, c_name, count(*) AS n
              FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 agg AS (SELECT o_orderpriority, count(*) AS n_entities, CAST(sum(n) AS BIGINT) AS n_records, sum(n * n) AS ss,
-               max(n) AS top_n, arg_min(c_name, (-n, c_name)) AS top_entity FROM per GROUP BY o_orderpriority)
+               max(n) AS top_n, arg_min(c_name, (-n, c_name)) AS top_entity FROM per GROUP BY o_orderpriority),
+top3 AS (SELECT o_orderpriority, sum(n) AS t3 FROM (
+           SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, c_name) AS r FROM per)
+         WHERE r <= 3 GROUP BY o_orderpriority)
 SELECT o_orderpriority, n_entities, n_records, top_entity, round(top_n / n_records, 6) AS top_share,
-       round(ss / (n_records * n_records), 6) AS hhi FROM agg""")
+       round(t3 / n_records, 6) AS top3_share,
+       round(ss / (n_records * n_records), 6) AS hhi FROM agg JOIN top3 USING (o_orderpriority)""")
 def q_entity_concentration(spark, sf):
     o = table(spark, sf, "orders").select("o_orderpriority", "o_custkey")
     c = table(spark, sf, "customer").select("c_custkey", "c_name")

@@ -167,12 +167,15 @@ def keyword_clusters(pairs: DataFrame, min_lift: float = 1.0, min_support: int =
 
 
 def concentration(df: DataFrame, entity_col: str, group_cols: list[str] = (),
-                  digits: int = 6) -> DataFrame:
+                  digits: int = 6, top_n: int = 3) -> DataFrame:
     """Entity concentration per group: entities, records, top entity and
-    its share and the Herfindahl index sum(share^2).
+    its share, the share of the ``top_n`` largest entities, and the
+    Herfindahl index sum(share^2).
 
-    Two aggregation stages (entity, then group), no window: a dominant
-    entity or group never lands whole in one task.
+    Aggregated in two stages (per entity, then per group) with no
+    ``collect_list``; the top-n sum takes ``row_number() <= top_n`` per group,
+    which Spark limits per task before the shuffle. A dominant entity or
+    group never lands whole in one task.
     """
     g = list(group_cols)
     per = df.filter(F.col(entity_col).isNotNull()).groupBy(*g, entity_col).agg(F.count(F.lit(1)).alias("n"))
@@ -183,10 +186,18 @@ def concentration(df: DataFrame, entity_col: str, group_cols: list[str] = (),
         F.min_by(F.col(entity_col), F.struct((-F.col("n")).alias("a"), F.col(entity_col).alias("b"))).alias("top_entity"),
         F.max("n").alias("top_n"),
     )
+    w = Window.partitionBy(*g).orderBy(F.col("n").desc(), F.col(entity_col).asc())
+    topn = (per.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_n)
+            .groupBy(*g).agg(F.sum("n").alias("_topn")))
+    if g:
+        out = out.join(topn, g)
+    else:
+        out = out.withColumn("_topn", topn.select("_topn").scalar())
     total = F.col("n_records").cast("double")
     return out.select(
         *g, "n_entities", "n_records", "top_entity",
         F.round(F.col("top_n") / total, digits).alias("top_share"),
+        F.round(F.col("_topn") / total, digits).alias(f"top{top_n}_share"),
         F.round(F.col("_ss") / (total * total), digits).alias("hhi"),
     )
 

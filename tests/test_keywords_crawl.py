@@ -65,6 +65,7 @@ def test_concentration_and_outliers(spark):
     r = A.concentration(df, "e", ["g"]).collect()[0]
     assert (r.n_entities, r.n_records, r.top_entity) == (3, 7, "a")
     assert abs(r.hhi - (16 + 4 + 1) / 49) < 1e-6
+    assert abs(r.top3_share - 1.0) < 1e-9 and abs(r.top_share - 4 / 7) < 1e-6
     vals = [("t", float(v)) for v in [10] * 30 + [1000]]
     od = spark.createDataFrame(vals, "g string, v double")
     assert [r.v for r in A.outliers(od, "v", ["g"]).collect()] == [1000.0]
