@@ -64,3 +64,23 @@ def test_every_container_part_is_scoped_for_links():
 def test_class_attribute_is_raw_text():
     cfg = load_site_schema({"s": {"container": "div", "fields": {"cls": {"attribute": "class"}}}})[0]
     assert records_from_html('<div class="a b">x</div>', "u", cfg, "static") == [["a b"]]
+
+
+def test_feed_element_does_not_switch_a_detail_page():
+    cfg = load_site_schema({"s": {"container": "div.item", "fields": {"t": "span.t"}}})[0]
+    html = '<body><feed></feed><div class="item"><span class="t">A</span></div></body>'
+    assert records_from_html(html, "u", cfg, "static") == [["A"]]
+
+
+def test_absolute_links_are_not_percent_encoded():
+    assert links_from_html('<body><a href="/für">x</a></body>', "http://h/p", "body") == ["http://h/für"]
+
+
+def test_domains_sharing_a_first_label_keep_separate_masters(spark, tmp_out):
+    from sitesift.sources import silver
+    root = os.path.join(tmp_out, "m")
+    b = spark.createDataFrame([("shop.a.com", "k", 1), ("shop.b.com", "k", 1)], "domain string, k string, ts int")
+    published, _ = silver.merge_into_master(spark, root, b, ["domain", "k"], ts_col="ts")
+    assert published == {"shop.a.com": 1, "shop.b.com": 1}
+    m, _ = silver.read_master(spark, root)
+    assert m.count() == 2
