@@ -564,8 +564,8 @@ def q_to_fetch(spark, sf):
 
 
 # ================================================================ analytics
-def _s_stats(v: str) -> str:
-    mean = f"CAST(sum(CAST({v} AS DECIMAL(38,2))) AS DOUBLE) / count({v})"
+def _s_stats(v: str, scale: int = 2) -> str:
+    mean = f"CAST(sum(CAST({v} AS DECIMAL(38,{scale}))) AS DOUBLE) / count({v})"
     return (f"count(*) AS n_records, count({v}) AS n_valid, round(min({v}), 6) AS min_value, "
             f"round(max({v}), 6) AS max_value, round({mean}, 6) AS mean_value, "
             f"round(quantile_cont({v}, 0.5), 6) AS median_value, round(quantile_cont({v}, 0.9), 6) AS p90_value, "
@@ -821,3 +821,123 @@ def q_crawl_run(spark, sf):
     e = table(spark, sf, "events").filter(F.col("event_type") == "purchase")
     recs = e.select(F.col("user_id").alias("site"), F.dayofmonth("ts").alias("page"), "event_id")
     return C.crawl_run(grid, recs, 20, order_cols=["event_id"]).select("site", "page", "event_id")
+
+
+# ============================================================ sinks
+@query("raw_write", ORACLE["raw_layer"])
+def q_raw_write(spark, sf):
+    """The raw layer written append-only, partitioned by netloc and fetch
+    day, into the shared folder, then read back (S1 over the written layer)."""
+    from .sources.raw import read_raw, write_raw
+    path = scratch_path(spark, "raw")
+    p = table(spark, sf, "pages")
+    fetched = F.expr("timestampadd(MINUTE, page_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')")
+    write_raw(landed_to_raw(p, fetched), path)
+    back = read_raw(spark, path)
+    return back.select("url", "netloc", F.col("fetch_date").cast("string").alias("fetch_date"),
+                       ts_str("fetched_at").alias("fetched_at"), "url_hash", "format",
+                       F.length("body").cast("long").alias("n_chars"))
+
+
+@query("checkpoint_records", ORACLE["dedup_first"])
+def q_checkpoint_records(spark, sf):
+    """The interim checkpoint (first-wins dedup in arrival order) written
+    to the shared folder and read back."""
+    from .sources.silver import save_checkpoint
+    r = fx.raw_records(spark, sf).select("doc_id", "title", "company", "link", "source_url")
+    return save_checkpoint(r, scratch_path(spark, "checkpoint"), ["doc_id"]).select(
+        "doc_id", "title", "company", "link", "source_url")
+
+
+# ===================================================================== A12
+BRIEF_FIELDS = ["doc_id", "lang", "title", "text", "link", "company", "source_url", "price"]
+S_VALUED = f"""WITH {S_RAW_RECORDS.strip()},
+valued AS (SELECT *, TRY_CAST(trim(regexp_replace(price, '[^0-9.]', '', 'g')) AS DOUBLE) AS money_value
+           FROM raw_records)"""
+
+
+def _brief(spark, sf):
+    r = fx.raw_records(spark, sf)
+    return A.market_brief(r, "source", entity_col="company")
+
+
+@query("brief_price_distribution", f"""
+{S_VALUED}
+SELECT source, {_s_stats('money_value', 6)} FROM valued GROUP BY source""")
+def q_brief_price_distribution(spark, sf):
+    """A12 table 1: price distribution per source."""
+    return _brief(spark, sf)["price_distribution"]
+
+
+@query("brief_keywords", f"""
+WITH {S_RAW_RECORDS.strip()},
+words AS (SELECT source, w AS word FROM
+  (SELECT source, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM raw_records)
+  WHERE w NOT IN ({S_STOP})),
+counts AS (SELECT source, word, count(*) AS n FROM words GROUP BY source, word),
+st AS (SELECT source, count(*) AS nd, max(n) AS maxn FROM counts GROUP BY source)
+SELECT source, rank, word, n, 'dominant' AS kind FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, word ASC) AS INTEGER) AS rank
+  FROM counts) WHERE rank <= 5
+UNION ALL
+SELECT source, rank, word, n, 'low_density' FROM (
+  SELECT c.*, CAST(row_number() OVER (PARTITION BY c.source ORDER BY n ASC, word DESC) AS INTEGER) AS rank
+  FROM counts c JOIN st USING (source) WHERE nd > 3 AND (n > 1 OR maxn = 1)) WHERE rank <= 3""")
+def q_brief_keywords(spark, sf):
+    """A12 table 2: dominant and low-density keywords per source."""
+    return _brief(spark, sf)["keywords"]
+
+
+@query("brief_concentration", f"""
+WITH {S_RAW_RECORDS.strip()},
+per AS (SELECT source, company, count(*) AS n FROM raw_records WHERE company IS NOT NULL GROUP BY ALL),
+agg AS (SELECT source, count(*) AS n_entities, CAST(sum(n) AS BIGINT) AS n_records, sum(n * n) AS ss,
+               max(n) AS top_n, arg_min(company, (-n, company)) AS top_entity FROM per GROUP BY source),
+top3 AS (SELECT source, sum(n) AS t3 FROM (
+           SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, company) AS r FROM per)
+         WHERE r <= 3 GROUP BY source)
+SELECT source, n_entities, n_records, top_entity, round(top_n / n_records, 6) AS top_share,
+       round(t3 / n_records, 6) AS top3_share, round(ss / (n_records * n_records), 6) AS hhi
+FROM agg JOIN top3 USING (source)""")
+def q_brief_concentration(spark, sf):
+    """A12 table 3: company concentration per source."""
+    return _brief(spark, sf)["concentration"]
+
+
+def _s_brief_gaps() -> str:
+    stacked = " UNION ALL ".join(
+        f"SELECT source, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM raw_records" for f in BRIEF_FIELDS)
+    return f"""
+{S_VALUED},
+st AS ({stacked}),
+pv AS (SELECT source, field, value, count(*) AS n FROM st GROUP BY ALL),
+prof AS (SELECT source, field, CAST(sum(n) AS BIGINT) AS n_rows,
+    CAST(coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS BIGINT) AS n_missing,
+    CAST(coalesce(sum(n) FILTER (WHERE value IN ('', 'N/A', 'N/A - Pending Review')), 0) AS BIGINT) AS n_placeholder,
+    count(*) FILTER (WHERE value IS NOT NULL) AS n_distinct,
+    coalesce(max(n) FILTER (WHERE value IS NOT NULL), 0) AS top
+  FROM pv GROUP BY source, field),
+ost AS (SELECT source, avg(money_value) AS m, stddev_samp(money_value) AS sd FROM valued
+        WHERE money_value IS NOT NULL GROUP BY source)
+SELECT source, field, CAST(n_rows AS DOUBLE) AS n_rows, CAST(n_missing AS DOUBLE) AS n_missing,
+  CAST(n_placeholder AS DOUBLE) AS n_placeholder, round((n_missing + n_placeholder) / n_rows, 6) AS gap_rate,
+  CAST(n_distinct AS DOUBLE) AS n_distinct, round(top / n_rows, 6) AS top_value_share, 'gap' AS kind,
+  NULL AS source_url, NULL::DOUBLE AS money_value, NULL::DOUBLE AS group_mean, NULL::DOUBLE AS group_std,
+  NULL::DOUBLE AS z
+FROM prof
+UNION ALL
+SELECT source, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'outlier', source_url, money_value,
+  round(m, 6), round(sd, 6), round((money_value - m) / sd, 6)
+FROM valued JOIN ost USING (source)
+WHERE money_value IS NOT NULL AND sd > 0 AND abs(money_value - m) > 3 * sd"""
+
+
+@query("brief_anomalies_and_gaps", _s_brief_gaps())
+def q_brief_anomalies_and_gaps(spark, sf):
+    """A12 table 4: gap profile (A11) and price outliers (A10) per source.
+    Counts are shown as DOUBLE here: outlier rows leave them NULL, and a
+    nullable count would change type between the two engines' frames."""
+    t = _brief(spark, sf)["anomalies_and_gaps"]
+    for c in ("n_rows", "n_missing", "n_placeholder", "n_distinct"):
+        t = t.withColumn(c, F.col(c).cast("double"))
+    return t

@@ -263,29 +263,38 @@ def gap_question(profile: DataFrame, group_col: str) -> DataFrame:
 
 
 def market_brief(records: DataFrame, group_col: str, entity_col: str | None = None,
-                 doc_col: str | None = None, value_col: str | None = None) -> dict[str, DataFrame]:
-    """The four brief tables for a records frame (columns chosen from
-    the schema, as the reference does)."""
+                 value_col: str | None = None, money_scale: int | None = 6) -> dict[str, DataFrame]:
+    """The four brief tables for a records frame, columns chosen from
+    its schema as the reference does (money: price, else salary; text: the
+    first of tags, requirements, text, job_title).
+
+    ``price_distribution`` (A1-A3, A7; the mean is an exact DECIMAL sum at
+    ``money_scale`` places), ``keywords`` (A5 dominant + A6 low-density, word
+    counts tokenised once and checkpointed), ``concentration`` (A9, when an
+    entity column is given) and ``anomalies_and_gaps`` (A11 gap rows and
+    A10 outlier rows, told apart by ``kind``).
+    """
+    from ..functions.text import money_report
+
     cols = records.columns
     money = value_col or next((c for c in MONEY_COLUMNS if c in cols), None)
     text = text_column(cols)
     out: dict[str, DataFrame] = {}
+    valued = records.withColumn("money_value", money_report(money)) if money else None
     if money:
-        from ..functions.text import money_report
-        valued = records.withColumn("_value", money_report(money))
-        out["price_distribution"] = price_stats(valued, "_value", [group_col])
+        out["price_distribution"] = price_stats(valued, "money_value", [group_col],
+                                                decimal_scale=money_scale)
     if text:
-        counts = keyword_counts(records, text, [group_col])
-        kw = top_keywords(counts, [group_col]).withColumn("kind", F.lit("dominant")).unionByName(
+        counts = materialize(keyword_counts(records, text, [group_col]))
+        out["keywords"] = top_keywords(counts, [group_col]).withColumn("kind", F.lit("dominant")).unionByName(
             low_keywords(counts, [group_col]).withColumn("kind", F.lit("low_density")))
-        out["keywords"] = kw
     if entity_col:
         out["concentration"] = concentration(records, entity_col, [group_col])
     fields = [c for c in cols if c not in (group_col, "scraped_at", "silver_processed_at")]
     gaps = data_gaps(records, fields, [group_col]).withColumn("kind", F.lit("gap"))
     if money:
-        anomalies = outliers(records.withColumn("_value", money_report(money)).filter(F.col("_value").isNotNull()),
-                             "_value", [group_col], id_cols=[c for c in ("source_url",) if c in cols])
+        anomalies = outliers(valued.filter(F.col("money_value").isNotNull()), "money_value", [group_col],
+                             id_cols=[c for c in ("source_url",) if c in cols])
         gaps = gaps.unionByName(anomalies.withColumn("kind", F.lit("outlier")), allowMissingColumns=True)
     out["anomalies_and_gaps"] = gaps
     return out
