@@ -52,12 +52,11 @@ def ts_str(c) -> "F.Column":
 
 
 # ---------------------------------------------------------------- SQL pieces
-WS = r"[\s\p{Z}\x{85}]+"
+WS = tx.WS
 
 
 def s_netloc(u: str) -> str:
-    return (f"replace(split_part(CASE WHEN contains({u}, '//') THEN regexp_extract({u}, '^.*//(.*)$', 1) "
-            f"ELSE {u} END, '/', 1), 'www.', '')")
+    return f"replace(split_part(regexp_extract({u}, '(?s)^(?:.*?//)*(.*)$', 1), '/', 1), 'www.', '')"
 
 
 def s_collapse(x: str) -> str:

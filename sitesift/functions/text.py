@@ -15,8 +15,9 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
             ("&middot;", "·"), ("&amp;", "&"))
 
-# Whitespace in Java regex: \s is ASCII only, so add the Unicode separators.
-WS = r"[\s\p{Z}\x{85}]+"
+# Whitespace as Python's str.split() sees it: Java's \s is ASCII only, so add
+# the Unicode separators, NEL and the four information separators \x1c-\x1f.
+WS = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
 # A word as Python's \w sees it (letters, digits, underscore; Unicode aware).
 WORD = r"[\p{L}\p{N}_]+"
 

@@ -15,8 +15,10 @@ def netloc(url) -> Column:
     ``:port`` or a ``?``/``#`` right after the host stay in.
     """
     u = _c(url)
-    return F.replace(F.substring_index(F.substring_index(u, "//", -1), "/", 1),
-                     F.lit("www."), F.lit(""))
+    # the piece after the last '//' of a left-to-right, non-overlapping split
+    # (so 'a///b' gives '/b', as Python's str.split does)
+    tail = F.regexp_extract(u, r"(?s)^(?:.*?//)*(.*)$", 1)
+    return F.replace(F.substring_index(tail, "/", 1), F.lit("www."), F.lit(""))
 
 
 def strip_query(url, enabled=True) -> Column:
