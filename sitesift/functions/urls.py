@@ -48,10 +48,34 @@ def url_hash(key) -> Column:
     return F.substring(F.md5(_c(key)), 1, 16)
 
 
+def _decode(c: Column) -> Column:
+    # Python's unquote_plus keeps a malformed escape ('%' not followed by two
+    # hex digits) as written and decodes the rest: escape those first
+    fixed = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.call_function("try_url_decode", fixed), c)
+
+
+def _query_pairs(query: Column) -> Column:
+    """``parse_qsl`` of a query string: ARRAY<STRUCT<k, v>> in order, keys and
+    values decoded, ``v`` NULL for a blank value or a pair without '='."""
+    return F.transform(
+        F.split(F.coalesce(query, F.lit("")), "&"),
+        lambda kv: F.struct(
+            _decode(F.substring_index(kv, "=", 1)).alias("k"),
+            F.when(F.instr(kv, "=") > 0,
+                   F.nullif(_decode(F.substring(kv, F.instr(kv, "=") + 1, F.length(kv))), F.lit("")))
+            .alias("v")))
+
+
+def _query_of(u: Column) -> Column:
+    no_frag = F.substring_index(u, "#", 1)
+    return F.when(F.instr(no_frag, "?") > 0, F.substring(no_frag, F.instr(no_frag, "?") + 1, F.length(no_frag)))
+
+
 def _query_param(url: Column, name: str) -> Column:
-    # parse_qs semantics: first non-blank value, '+' and %xx decoded.
-    raw = F.call_function("try_parse_url", url, F.lit("QUERY"), F.lit(name))
-    return F.call_function("try_url_decode", raw)
+    """``parse_qs(query).get(name)[0]``: the first non-blank value, decoded."""
+    hits = F.filter(_query_pairs(_query_of(url)), lambda e: (e["k"] == name) & e["v"].isNotNull())
+    return F.try_element_at(hits, F.lit(1))["v"]
 
 
 def page_url_from_pattern(url, pattern, page) -> Column:
@@ -93,18 +117,7 @@ def page_url_with_param(url, page, param="page") -> Column:
     # the fragment is everything from the first '#'
     frag = F.when(F.instr(u, "#") > 0, F.substring(u, F.instr(u, "#"), F.length(u))).otherwise(F.lit(""))
     base = F.substring_index(no_frag, "?", 1)
-    query = F.when(F.instr(no_frag, "?") > 0,
-                   F.substring(no_frag, F.instr(no_frag, "?") + 1, F.length(no_frag)))
-    pairs = F.transform(
-        F.split(F.coalesce(query, F.lit("")), "&"),
-        lambda kv: F.struct(
-            F.call_function("try_url_decode", F.substring_index(kv, "=", 1)).alias("k"),
-            F.when(F.instr(kv, "=") > 0,
-                   F.call_function("try_url_decode",
-                                   F.substring(kv, F.instr(kv, "=") + 1, F.length(kv))))
-            .alias("v"),
-        ),
-    )
+    pairs = _query_pairs(_query_of(u))
     kept = F.filter(pairs, lambda e: (F.coalesce(F.length(e["v"]), F.lit(0)) > 0) & (e["k"] != param_c))
     keys = F.transform(pairs, lambda e: F.when(F.coalesce(F.length(e["v"]), F.lit(0)) > 0, e["k"]))
     target_pos = F.array_position(keys, param_c)
@@ -114,7 +127,7 @@ def page_url_with_param(url, page, param="page") -> Column:
     target = F.struct(
         F.when(target_pos > 0, target_pos).otherwise(F.lit(1 << 30)).cast("long").alias("g"),
         F.lit(-1).alias("i"), param_c.alias("k"), p.alias("v"))
-    ordered = F.array_sort(F.array_union(ranked, F.array(target)))
+    ordered = F.sort_array(F.array_union(ranked, F.array(target)))  # by (group, position)
     encoded = F.array_join(
         F.transform(ordered, lambda e: F.concat(_py_quote_plus(e["k"]), F.lit("="), _py_quote_plus(e["v"]))),
         "&")

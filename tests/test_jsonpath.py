@@ -32,7 +32,8 @@ def py_get(doc, path, default="N/A"):
     if isinstance(cur, bool):
         return "true" if cur else "false"
     if isinstance(cur, (dict, list)):
-        return json.dumps(cur, separators=(",", ":"))
+        # deliberate: JSON text, object keys in sorted order (VARIANT's form)
+        return json.dumps(cur, separators=(",", ":"), sort_keys=True)
     return str(cur)
 
 
