@@ -8,7 +8,6 @@ pages -> U2 resolve -> X3 extract (article: title = h1, text = p) -> X7/X8
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import analytics as A
