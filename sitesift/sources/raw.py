@@ -1,8 +1,8 @@
 """S1 + S2: the raw ("bronze") layer of landed pages.
 
 ``raw_pages(url, netloc, fetch_date, fetched_at, url_hash, format, body)``
-partitioned by ``netloc`` and ``fetch_date``, written append-only *before*
-parsing, so a fixed parser can re-read it without fetching again.
+partitioned by ``format``, ``netloc`` and ``fetch_date``, written append-only
+*before* parsing, so a fixed parser can re-read it without fetching again.
 """
 
 from __future__ import annotations
@@ -61,8 +61,10 @@ def read_raw_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_raw(raw: DataFrame, path: str) -> None:
-    """Append-only, partitioned by netloc and fetch day."""
-    raw.select(*RAW_COLUMNS).write.mode("append").partitionBy("netloc", "fetch_date").parquet(path)
+    """Append-only, partitioned by payload format, netloc and fetch day
+    (format first, so routed extraction reads each parser's rows only; a
+    netloc or day filter prunes just the same)."""
+    raw.select(*RAW_COLUMNS).write.mode("append").partitionBy("format", "netloc", "fetch_date").parquet(path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:

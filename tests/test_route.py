@@ -24,3 +24,23 @@ def test_index_and_detail_sites_in_one_pass(spark):
     assert any(v[0] == ".org" for v in got.values()) and any(v[0] == "example" for v in got.values())
     leads = {dom: {len(v[2]) for v in got.values() if v[0] == dom} for dom in (".org", "example")}
     assert max(leads[".org"]) < max(leads["example"])
+
+
+def test_routing_prunes_raw_layer_by_format(spark, tmp_out):
+    import os
+    from pyspark.sql import functions as F
+    from sitesift import fixtures as fx
+    from sitesift.sources.raw import landed_to_raw, read_raw, write_raw
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("page_id", "url", "html")
+    landed = pages.unionByName(fx.order_json(spark, SF_SMALL))
+    fetched = F.expr("timestampadd(MINUTE, page_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')")
+    path = os.path.join(tmp_out, "raw")
+    write_raw(landed_to_raw(landed, fetched), path)
+    raw = read_raw(spark, path).withColumn("page_id", F.xxhash64("url"))
+    cfgs = load_site_schema({**fx.ORDER_SITE, **fx.ARTICLE_SITE})
+    recs = extract_records(raw, cfgs, url_col="url", body_col="body")
+    plan = recs._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(format" in plan and "(format#" in plan
+    direct = extract_records(landed.withColumn("page_id", F.xxhash64("url")), cfgs)
+    cols = ["domain", "source_url", "ordinal", "title", "line", "part"]
+    assert sorted(map(tuple, recs.select(cols).collect())) == sorted(map(tuple, direct.select(cols).collect()))
