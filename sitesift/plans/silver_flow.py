@@ -92,11 +92,13 @@ def to_silver(records: DataFrame, configs: list[SiteConfig], run_ts,
 
 def publish_silver(records: DataFrame, configs: list[SiteConfig], run_ts, master_root: str,
                    sample_path: str | None = None, snapshot_date=None, ts_col: str = "scraped_at",
-                   tiebreak: list[str] = (), url_col: str = "source_url") -> dict[str, int]:
+                   tiebreak: list[str] = (), url_col: str = "source_url",
+                   buckets: int = 1) -> dict[str, int]:
     """The silver processor end to end: clean and key the batch
     (``to_silver``), merge it into the per-domain master (S3/D4, only the
     touched domains are rewritten) and, when asked, write the day's sample
-    (S4). Returns the published master version per domain."""
+    (S4). Returns the published master version per domain (per part when
+    the master is bucketed: ``buckets`` > 1 rewrites only touched buckets)."""
     from ..sources.silver import merge_into_master, write_sample
 
     spark = records.sparkSession
@@ -110,7 +112,8 @@ def publish_silver(records: DataFrame, configs: list[SiteConfig], run_ts, master
         doms = resolve_site(records.select(url_col), configs, url_col=url_col).select(
             F.coalesce("domain", F.lit(GENERAL)).alias("d"))
     touched = [r.d for r in doms.distinct().collect()]  # at most one per configured site
-    published, _ = merge_into_master(spark, master_root, batch, keys, ts_col, tiebreak, domains=touched)
+    published, _ = merge_into_master(spark, master_root, batch, keys, ts_col, tiebreak, domains=touched,
+                                     buckets=buckets)
     if sample_path is not None:
         write_sample(batch, sample_path, snapshot_date or F.to_date(F.lit(run_ts)))
     return published

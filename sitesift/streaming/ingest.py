@@ -37,7 +37,7 @@ def page_records(pages: DataFrame, configs: list[SiteConfig], mode: str = "stati
 def stream_to_master(spark: SparkSession, source_dir: str, master_root: str, checkpoint: str,
                      configs: list[SiteConfig], keys: list[str], mode: str = "static",
                      schema: T.StructType = PAGES_SCHEMA, max_files: int = 1,
-                     available_now: bool = True, glob: str = "pages*.parquet"):
+                     available_now: bool = True, glob: str = "pages*.parquet", buckets: int = 1):
     """Start the stream over the landed-page files of ``source_dir``
     (those matching ``glob``); returns the StreamingQuery."""
     pages = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
@@ -55,7 +55,7 @@ def stream_to_master(spark: SparkSession, source_dir: str, master_root: str, che
         batch_df.persist()
         try:
             merge_into_master(batch_df.sparkSession, master_root, batch_df, keys,
-                              ts_col="page_id", tiebreak=["ordinal"])
+                              ts_col="page_id", tiebreak=["ordinal"], buckets=buckets)
         finally:
             batch_df.unpersist()
 

@@ -61,7 +61,7 @@ def test_master_versions_and_bad_version(spark, tmp_out):
     m3, _ = silver.read_master(spark, root)
     assert sorted((r.domain, r.k, r.v) for r in m3.collect()) == sorted((r.domain, r.k, r.v) for r in m.collect())
     # an uncommitted folder and an unreadable version of "d" are skipped
-    ddir = os.path.join(root, silver.domain_dir("d"))
+    ddir = os.path.join(root, silver.part_dir("d", 0))
     os.makedirs(os.path.join(ddir, "v=9"))
     bad = os.path.join(ddir, "v=8")
     os.makedirs(bad)
@@ -74,6 +74,23 @@ def test_master_versions_and_bad_version(spark, tmp_out):
     assert [r.v for r in only_e.collect()] == ["e1"]
 
 
+def test_bucketed_master_rewrites_only_touched_parts(spark, tmp_out):
+    from sitesift.operators.merge import merge_history
+    root = os.path.join(tmp_out, "bm")
+    sch = "domain string, k string, ts int, v string"
+    base = spark.createDataFrame([("big", f"k{i}", 1, "old") for i in range(200)], sch)
+    small = spark.createDataFrame([("big", "k3", 2, "new"), ("big", "k150", 2, "new")], sch)
+    p1, _ = silver.merge_into_master(spark, root, base, ["domain", "k"], ts_col="ts", buckets=8)
+    assert len(p1) == 8 and set(p1.values()) == {1}
+    p2, _ = silver.merge_into_master(spark, root, small, ["domain", "k"], ts_col="ts", buckets=99)
+    assert 1 <= len(p2) <= 2 and set(p2.values()) == {2}        # two keys touch at most two parts
+    assert silver.layout_buckets(spark, root) == 8                # fixed when the master was created
+    m, _ = silver.read_master(spark, root)
+    want = merge_history(base, small, ["domain", "k"], "ts")
+    assert sorted(map(tuple, m.select("domain", "k", "ts", "v").collect())) == \
+        sorted(map(tuple, want.select("domain", "k", "ts", "v").collect()))
+
+
 def test_sample_csv_and_checkpoint(spark, tmp_out):
     df = spark.createDataFrame([("d", "t1", "2024-01-01", "x"), ("d", "t1", "2024-01-02", "x")],
                                "domain string, title string, scraped_at string, silver_processed_at string")
