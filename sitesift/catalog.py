@@ -74,7 +74,11 @@ def s_title(x: str) -> str:
 def s_decode(x: str) -> str:
     out = x
     for ent, ch in tx.ENTITIES:
-        out = f"replace({out}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+        lit = ch.replace(chr(39), chr(39) * 2)
+        out = f"replace({out}, '{ent}', '{lit}')"
+        name = ent[1:-1]
+        if name in tx.LEGACY_NO_SEMICOLON:
+            out = f"regexp_replace({out}, '&{name}([^A-Za-z0-9;]|$)', '{lit}\\1', 'g')"
     return out
 
 
@@ -313,7 +317,7 @@ FROM pages
 UNION ALL
 SELECT page_id, 'example', url, 1,
   {s_title(s_decode("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))},
-  {s_norm(s_decode("regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g')"))}
+  {s_norm("regexp_replace(" + s_decode("regexp_extract(html, '(?s)<article>(.*)</article>', 1)") + ", '<[^>]*>', '', 'g')")}
 FROM pages""")
 def q_html_dom_records(spark, sf):
     return extract_html(_resolved_pages(spark, sf, fx.DOM_SITE), fx.sites(fx.DOM_SITE), mode="dom")

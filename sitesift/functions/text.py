@@ -67,11 +67,20 @@ def money_silver(c) -> Column:
     return F.coalesce(money_report(c), F.lit(0.0))
 
 
+# HTML names that are also recognised without the ';' (the legacy set).
+LEGACY_NO_SEMICOLON = ("lt", "gt", "quot", "nbsp", "copy", "middot", "amp")
+
+
 def decode_entities(c) -> Column:
-    """Decode the named entities listed in ENTITIES (``&amp;`` last)."""
+    """Decode the named entities listed in ENTITIES (``&amp;`` last), legacy
+    names also without ';' when a non-alphanumeric character or the end
+    follows (a title cut after ``&amp`` still reads ``&``)."""
     out = _c(c)
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
+        name = ent[1:-1]
+        if name in LEGACY_NO_SEMICOLON:
+            out = F.regexp_replace(out, f"&{name}(?![A-Za-z0-9;])", ch.replace("\\", "\\\\").replace("$", "\\$"))
     return out
 
 

@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from html import unescape
+from html.entities import html5 as _HTML5
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
@@ -69,7 +71,9 @@ class Node:
 
 class _Builder(HTMLParser):
     def __init__(self, dom: bool):
-        super().__init__(convert_charrefs=True)
+        # dom: references decoded as a browser does (html.unescape); static:
+        # reported one by one below, as the lenient parser does
+        super().__init__(convert_charrefs=dom)
         self.dom = dom
         self.root = Node("#document", {}, None)
         self.stack = [self.root]
@@ -133,7 +137,20 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data):
         kind = "raw" if self.stack[-1].tag in RAW_TEXT else "text"
-        self.stack[-1].children.append((data, kind))
+        kids = self.stack[-1].children
+        if kids and isinstance(kids[-1], tuple) and kids[-1][1] == kind:
+            kids[-1] = (kids[-1][0] + data, kind)  # one string per run of text
+        else:
+            kids.append((data, kind))
+
+    def handle_entityref(self, name):
+        # static mode only: a known name is decoded (with or without ';'),
+        # an unknown one stays as written, without its ';'
+        ch = _HTML5.get(name + ";") or _HTML5.get(name)
+        self.handle_data(ch if ch is not None else "&" + name)
+
+    def handle_charref(self, name):
+        self.handle_data(unescape(f"&#{name};"))
 
     def handle_comment(self, data):
         self.stack[-1].children.append((data, "comment"))

@@ -92,3 +92,19 @@ def test_repeated_attribute_per_mode():
     html = '<div id="a" id="b">x</div>'
     assert H.select_one(H.parse(html, "static"), "div").attrs["id"] == "b"
     assert H.select_one(H.parse(html, "dom"), "div").attrs["id"] == "a"
+
+
+def test_entity_references_per_mode():
+    html = "<h1>a &amp; b &amp</h1><p>x &foo; y &#128; &ampz &lt3</p>"
+    static = [H.static_text(n) for n in H.select(H.parse(html, "static"), "h1, p")]
+    dom = [H.dom_text(n) for n in H.select(H.parse(html, "dom"), "h1, p")]
+    # known names decode with or without ';'; unknown names stay (lenient parser)
+    assert static == ["a & b &", "x &foo y € &ampz &lt3"]
+    # a browser also decodes legacy names that run into letters or digits
+    assert dom == ["a & b &", "x &foo; y € &z <3"]
+
+
+def test_native_entity_decoder(spark):
+    from sitesift.functions.text import decode_entities
+    df = spark.createDataFrame([("a &amp; b &amp",), ("&copy 2024 &middot;x &ampz",)], "t string")
+    assert [r[0] for r in df.select(decode_entities("t")).collect()] == ["a & b &", "© 2024 ·x &ampz"]
