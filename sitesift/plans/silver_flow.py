@@ -112,8 +112,14 @@ def publish_silver(records: DataFrame, configs: list[SiteConfig], run_ts, master
         doms = resolve_site(records.select(url_col), configs, url_col=url_col).select(
             F.coalesce("domain", F.lit(GENERAL)).alias("d"))
     touched = [r.d for r in doms.distinct().collect()]  # at most one per configured site
-    published, _ = merge_into_master(spark, master_root, batch, keys, ts_col, tiebreak, domains=touched,
-                                     buckets=buckets)
-    if sample_path is not None:
-        write_sample(batch, sample_path, snapshot_date or F.to_date(F.lit(run_ts)))
+    # the batch feeds the bucket list, the master write and the sample: keep
+    # it for this call (a lost block is recomputed from its lineage)
+    batch = batch.persist()
+    try:
+        published, _ = merge_into_master(spark, master_root, batch, keys, ts_col, tiebreak,
+                                         domains=touched, buckets=buckets)
+        if sample_path is not None:
+            write_sample(batch, sample_path, snapshot_date or F.to_date(F.lit(run_ts)))
+    finally:
+        batch.unpersist()
     return published
