@@ -45,7 +45,8 @@ def _by_key_set(configs: list[SiteConfig], keys_of) -> dict[tuple[str, ...], lis
 def to_silver(records: DataFrame, configs: list[SiteConfig], run_ts,
               history: DataFrame | None = None, ts_col: str = "scraped_at",
               tiebreak: list[str] = (), url_col: str = "source_url",
-              id_col: str | None = None, money_col: str | None = None) -> DataFrame:
+              id_col: str | None = None, money_col: str | None = None,
+              keep_key: bool = False) -> DataFrame:
     """Records of any mix of sites -> the merged silver table, in one pass.
 
     Per-site settings are looked up per row: the strip-query flag from a map
@@ -54,7 +55,8 @@ def to_silver(records: DataFrame, configs: list[SiteConfig], run_ts,
     (domain, that site's key columns) encoded as one struct, so a single
     aggregation serves every site and sites never collapse into each other.
     A record without a schema belongs to ``general`` (no required keys,
-    default dedup keys).
+    default dedup keys). ``keep_key`` keeps that key as a ``dedup_key``
+    column, which later merges into the master use.
     """
     cols = records.columns
     if "domain" not in cols:
@@ -85,9 +87,10 @@ def to_silver(records: DataFrame, configs: list[SiteConfig], run_ts,
     key = F.struct(*[
         F.when(dom.isin(*[d for ks, ds in key_sets.items() if k in ks for d in ds]), F.col(k)).alias(k)
         for k in key_cols])
-    staged = out.withColumn("_key", key)
-    hist = history.withColumn("_key", key) if history is not None else None
-    return merge_history(hist, staged, ["domain", "_key"], ts_col, list(tiebreak)).drop("_key")
+    staged = out.withColumn("dedup_key", key)
+    hist = history.withColumn("dedup_key", key) if history is not None else None
+    merged = merge_history(hist, staged, ["domain", "dedup_key"], ts_col, list(tiebreak))
+    return merged if keep_key else merged.drop("dedup_key")
 
 
 def publish_silver(records: DataFrame, configs: list[SiteConfig], run_ts, master_root: str,
@@ -102,9 +105,9 @@ def publish_silver(records: DataFrame, configs: list[SiteConfig], run_ts, master
     from ..sources.silver import merge_into_master, write_sample
 
     spark = records.sparkSession
-    batch = to_silver(records, configs, run_ts, ts_col=ts_col, tiebreak=tiebreak, url_col=url_col)
-    keys = ["domain", *sorted({k for c in configs for k in choose_dedup_keys(batch.columns, c.dedup_keys)}
-                              | set(choose_dedup_keys(batch.columns)))]
+    batch = to_silver(records, configs, run_ts, ts_col=ts_col, tiebreak=tiebreak, url_col=url_col,
+                      keep_key=True)
+    keys = ["domain", "dedup_key"]  # each site's own key columns, as to_silver used them
     # touched domains from a URL-only projection (cheap), not from the batch
     if "domain" in records.columns:
         doms = records.select(F.coalesce("domain", F.lit(GENERAL)).alias("d"))
@@ -119,7 +122,7 @@ def publish_silver(records: DataFrame, configs: list[SiteConfig], run_ts, master
         published, _ = merge_into_master(spark, master_root, batch, keys, ts_col, tiebreak,
                                          domains=touched, buckets=buckets)
         if sample_path is not None:
-            write_sample(batch, sample_path, snapshot_date or F.to_date(F.lit(run_ts)))
+            write_sample(batch.drop("dedup_key"), sample_path, snapshot_date or F.to_date(F.lit(run_ts)))
     finally:
         batch.unpersist()
     return published

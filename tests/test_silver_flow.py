@@ -76,3 +76,19 @@ def test_publish_silver_end_to_end(spark, tmp_out):
     assert sorted((r.i, r.source_url) for r in m.collect()) == [(1, "https://a.com/p"), (2, "https://b.com/p")]
     assert spark.read.option("header", True).csv(sample).count() == 2
     assert sorted(len(v) for v in versions(spark, root).values()) == [2, 2]
+
+
+def test_publish_silver_uses_each_sites_keys(spark, tmp_out):
+    import os
+    from sitesift.plans.silver_flow import publish_silver
+    from sitesift.sources.silver import read_master
+    sch = "i long, title string, company string, source_url string, price string, scraped_at timestamp"
+    first = spark.createDataFrame([(1, "x", "c1", "https://a.com/1", "$1", dt.datetime(2024, 1, 1))], sch)
+    # a.com is keyed on title alone: the same title with another company replaces the row
+    second = spark.createDataFrame([(2, "x", "c2", "https://a.com/2", "$2", dt.datetime(2024, 1, 2))], sch)
+    cfgs = load_site_schema(SITES)
+    root = os.path.join(tmp_out, "m")
+    publish_silver(first, cfgs, "2024-02-01", root, tiebreak=["i"], buckets=4)
+    publish_silver(second, cfgs, "2024-02-02", root, tiebreak=["i"], buckets=4)
+    m, _ = read_master(spark, root)
+    assert [(r.i, r.company) for r in m.collect()] == [(2, "c2")]
