@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators.extract_html import extract_html
 from ..operators.resolve import resolve_site
-from ..operators.validate import PENDING, soft_validate
+from ..operators.validate import PENDING, soft_validate_sites
 from ..sources.silver import merge_into_master, read_master
 from ..sources.site_schema import SiteConfig
 
@@ -30,8 +30,7 @@ def page_records(pages: DataFrame, configs: list[SiteConfig], mode: str = "stati
     """Stateless part shared by batch and stream: U2 -> X3/X5 -> V1."""
     resolved = resolve_site(pages, configs, url_col="url", id_col="page_id")
     recs = extract_html(resolved, configs, mode=mode)
-    pk = configs[0].primary_key if len(configs) == 1 else None
-    return soft_validate(recs, pk) if pk else recs
+    return soft_validate_sites(recs, configs)  # each site's own primary key
 
 
 def stream_to_master(spark: SparkSession, source_dir: str, master_root: str, checkpoint: str,
@@ -43,10 +42,13 @@ def stream_to_master(spark: SparkSession, source_dir: str, master_root: str, che
     pages = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
              .option("pathGlobFilter", glob).parquet(source_dir))
     recs = page_records(pages, configs, mode)
-    pk = configs[0].primary_key if len(configs) == 1 else None
-    if pk:  # V3 per micro-batch, reported in the query progress (observedMetrics)
-        recs = recs.observe("validation", F.count(F.lit(1)).alias("n_records"),
-                            F.count_if(F.col(pk) == PENDING).alias("n_pending"))
+    pks = sorted({c.primary_key for c in configs if c.primary_key})
+    pending = F.lit(False)
+    for pk in pks:
+        pending = pending | F.coalesce(F.col(pk) == PENDING, F.lit(False))
+    # V3 per micro-batch, reported in the query progress (observedMetrics)
+    recs = recs.observe("validation", F.count(F.lit(1)).alias("n_records"),
+                        F.count_if(pending).alias("n_pending"))
 
     def merge(batch_df: DataFrame, epoch_id: int) -> None:
         # The merge reads the micro-batch twice (touched domains, then the
