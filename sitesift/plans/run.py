@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..constants import MAX_EMPTY
 from ..operators import analytics as A
 from ..operators.resolve import resolve_site
+from ..operators.extract_html import extract_html, extract_links
 from ..operators.route import extract_records, stamp
 from ..operators.validate import soft_validate_sites
 from ..sources.site_schema import SiteConfig
@@ -34,28 +35,57 @@ def crawl_records(frontier: DataFrame, landed: DataFrame, configs: list[SiteConf
                   limit: int, target_col: str = "target", page_col: str = "page_no",
                   url_col: str = "page_url", body_col: str = "html",
                   fetched_col: str | None = "fetched_at", max_empty: int = MAX_EMPTY) -> DataFrame:
-    """Records of a crawl: every frontier page that landed is extracted with
-    its site's strategy, soft-validated with the site's primary key, stamped
-    with its fetch time; pages that did not land count as empty. The crawl
-    of each target halts after ``max_empty`` empty pages in a row and keeps
-    at most ``limit`` records, in page order."""
+    """Records of a crawl, as the crawl loop collects them.
+
+    Index and RSS sites: each frontier page that landed is extracted with its
+    site's strategy. Detail sites: each frontier page is a listing whose
+    links under the site's container (X9) lead to detail pages; the landed
+    detail pages are extracted statically and their records count for the
+    listing page. Records are soft-validated with each site's primary key and
+    stamped with the fetch time; pages that did not land count as empty. Each
+    target halts after ``max_empty`` empty pages in a row and keeps at most
+    ``limit`` records in page order (then link, then position).
+    """
     fetched = [fetched_col] if fetched_col else []
+    carry = [target_col, page_col, *fetched]
     # every (target, page) of the frontier that landed; target, page number
     # and fetch time travel through the extraction (no join back)
     pages = (frontier.select(target_col, page_col, url_col)
              .join(landed.select(url_col, body_col, *fetched), url_col, "inner")
              .withColumn("_pid", F.xxhash64(target_col, page_col)))
     pages = resolve_site(pages, configs, url_col=url_col, id_col="_pid")
-    recs = extract_records(pages, configs, id_col="_pid", url_col=url_col, body_col=body_col,
-                           carry=[target_col, page_col, *fetched])
+    direct = [c for c in configs if c.strategy != "detail"]
+    detail = [c for c in configs if c.strategy == "detail"]
+    parts = []
+    if direct:
+        on_page = pages.filter(F.col("domain").isin(*[c.domain for c in direct]))
+        parts.append(extract_records(on_page, direct, id_col="_pid", url_col=url_col, body_col=body_col,
+                                     carry=carry).withColumn("_link", F.lit("")))
+    if detail:
+        listing = pages.filter(F.col("domain").isin(*[c.domain for c in detail]))
+        links = extract_links(listing, id_col="_pid", url_col=url_col, body_col=body_col, domain_col="domain",
+                              containers={c.domain: c.container or "body" for c in detail},
+                              carry=[target_col, page_col])
+        details = (links.join(landed.select(F.col(url_col).alias("link"), F.col(body_col).alias("_body"),
+                                            *fetched), "link")
+                   .withColumn("_did", F.xxhash64(target_col, page_col, "link")))
+        details = resolve_site(details, detail, url_col="link", id_col="_did")
+        recs = extract_html(details, detail, mode="static", id_col="_did", url_col="link", body_col="_body",
+                            carry=carry)
+        parts.append(recs.withColumnRenamed("_did", "_pid")
+                         .withColumn("_link", F.col("source_url")))
+    recs = parts[0]
+    for extra in parts[1:]:
+        recs = recs.unionByName(extra, allowMissingColumns=True)
     keyed = soft_validate_sites(recs, configs)  # V1, each site's own key, one pass
     if fetched_col:
         keyed = stamp(keyed, fetched_at=F.col(fetched_col), from_cache=F.lit(False)).drop(fetched_col)
     out = crawl_run(frontier.select(F.col(target_col).alias("_site"), F.col(page_col).alias("_page")),
                     keyed.withColumnRenamed(target_col, "_site").withColumnRenamed(page_col, "_page"),
-                    limit, site_col="_site", page_col="_page", order_cols=["ordinal"], max_empty=max_empty)
+                    limit, site_col="_site", page_col="_page", order_cols=["_link", "ordinal"],
+                    max_empty=max_empty)
     return (out.withColumnRenamed("_site", target_col).withColumnRenamed("_page", page_col)
-               .drop("_pid"))
+               .drop("_pid", "_link"))
 
 
 def run_crawl(frontier: DataFrame, landed: DataFrame, configs: list[SiteConfig], limit: int,

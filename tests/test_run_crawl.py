@@ -49,8 +49,35 @@ def test_run_crawl_matches_loop(spark):
     landed = pages.select(F.col("url").alias("page_url"), "html",
                           F.expr("timestampadd(MINUTE, page_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')")
                           .alias("fetched_at"))
-    res = run_crawl(fr, landed, fx.sites(fx.ARTICLE_TEXT_SITE), limit)
+    index_site = {"example": {**fx.ARTICLE_TEXT_SITE["example"], "strategy": "index"}}
+    res = run_crawl(fr, landed, fx.sites(index_site), limit)
     got = {(r.target, r.page_no) for r in res.records.collect()}
     assert got == want
     assert res.records.filter(F.col("scraped_at").isNull()).count() == 0
     assert {"keywords", "anomalies_and_gaps"} <= set(res.brief)
+
+
+def test_detail_sites_follow_listing_links(spark):
+    from sitesift.sources.site_schema import load_site_schema
+    site = {"shop.test": {"strategy": "detail", "container": "div.grid",
+                          "fields": {"title": "h1", "price": "span.p"}}}
+
+    def listing(*items):
+        links = "".join(f'<a href="/item/{i}">{i}</a>' for i in items)
+        return f'<body><div class="grid">{links}</div><a href="/item/99">outside</a></body>'
+
+    def item(i):
+        return f'<body><div class="grid"><h1>{i} Item {i}</h1><span class="p">${i}.00</span></div></body>'
+
+    landed = [("https://shop.test/list/1", listing(1, 2)), ("https://shop.test/list/2", listing(7)),
+              ("https://shop.test/list/3", listing(3)), ("https://shop.test/item/99", item(99))]
+    landed += [(f"https://shop.test/item/{i}", item(i)) for i in (1, 2, 3)]
+    frontier = [("shop", p, f"https://shop.test/list/{p}") for p in (1, 2, 3)]
+    lf = spark.createDataFrame(landed, "page_url string, html string")
+    fr = spark.createDataFrame(frontier, "target string, page_no int, page_url string")
+    res = run_crawl(fr, lf, load_site_schema(site), 10, fetched_col=None)
+    got = sorted((r.page_no, r.source_url, r.title, r.price) for r in res.records.collect())
+    assert got == [(1, "https://shop.test/item/1", "Item 1", "$1.00"), (1, "https://shop.test/item/2", "Item 2", "$2.00"),
+                   (3, "https://shop.test/item/3", "Item 3", "$3.00")]
+    capped = run_crawl(fr, lf, load_site_schema(site), 2, fetched_col=None).records
+    assert sorted(r.source_url for r in capped.collect()) == ["https://shop.test/item/1", "https://shop.test/item/2"]
