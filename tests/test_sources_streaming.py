@@ -212,3 +212,16 @@ def test_stream_dedup_counts_late_rows(spark, tmp_out):
     # passes key 1's expiry, so batch 4 lets key 1 through again
     assert keys == [1, 1, 2, 3]
     assert rows_dropped_by_watermark(q) == 1
+
+
+def test_raw_layer_directory_layout(spark, tmp_out):
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").limit(3)
+    fetched = F.expr("timestampadd(HOUR, page_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')")
+    path = os.path.join(tmp_out, "raw2")
+    raw.write_raw(raw.landed_to_raw(pages, fetched), path)
+    top = sorted(d for d in os.listdir(path) if not d.startswith(("_", ".")))
+    assert top == ["format=html"]
+    hosts = os.listdir(os.path.join(path, "format=html"))
+    assert hosts and all(h.startswith("netloc=") for h in hosts)
+    days = os.listdir(os.path.join(path, "format=html", hosts[0]))
+    assert days and all(d.startswith("fetch_date=2024-01-01") for d in days)
