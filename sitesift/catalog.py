@@ -944,3 +944,46 @@ def q_brief_anomalies_and_gaps(spark, sf):
     for c in ("n_rows", "n_missing", "n_placeholder", "n_distinct"):
         t = t.withColumn(c, F.col(c).cast("double"))
     return t
+
+
+# ============================================================ crawl run
+CRAWL_SITE = {"example": {"strategy": "index", "container": "article", "fields": {"title": "h1"}}}
+
+
+@query("crawl_records", f"""
+WITH p AS (SELECT page_id, url, html, regexp_extract(url, '/([a-z][a-z])/', 1) AS target FROM pages),
+grid AS (SELECT t.target, CAST(g.page_no AS INTEGER) AS page_no, p.url, p.html
+         FROM (SELECT DISTINCT target FROM p) t
+         CROSS JOIN (SELECT unnest(range(1, (SELECT max(page_id) + 2 FROM pages))) AS page_no) g
+         LEFT JOIN p ON p.target = t.target AND p.page_id = g.page_no - 1),
+isl AS (SELECT *, sum(CASE WHEN url IS NOT NULL THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY target ORDER BY page_no) AS island FROM grid),
+streak AS (SELECT *, sum(CASE WHEN url IS NULL THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY target, island ORDER BY page_no) AS run FROM isl),
+stops AS (SELECT target, min(page_no) AS stop_page FROM streak WHERE run >= 5 GROUP BY target)
+SELECT target, page_no, source_url, title FROM (
+  SELECT g.target, g.page_no, g.url AS source_url,
+         {s_title(s_decode("regexp_extract(g.html, '(?s)<h1>(.*?)</h1>', 1)"))} AS title,
+         row_number() OVER (PARTITION BY g.target ORDER BY g.page_no) AS rn
+  FROM grid g LEFT JOIN stops s USING (target)
+  WHERE g.url IS NOT NULL AND (s.stop_page IS NULL OR g.page_no <= s.stop_page))
+WHERE rn <= 5""")
+def q_crawl_records(spark, sf):
+    """The crawl loop end to end (U7 frontier, landed pages, X5 extraction,
+    V1, C3 halting, C1 cap): one crawl per language path, page number =
+    page id + 1, so each crawl meets the pages of other languages as pages
+    that never landed; 5 records per crawl."""
+    from .plans.run import crawl_records
+    pages = table(spark, sf, "pages").select("page_id", "url", "html").withColumn(
+        "target", F.regexp_extract("url", "/([a-z][a-z])/", 1))
+    last = pages.agg(F.max("page_id") + 1).scalar()
+    frontier = (pages.select("target").distinct()
+                .select("target", F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("page_no"))
+                .join(pages.select("target", (F.col("page_id") + 1).cast("int").alias("page_no"), "url"),
+                      ["target", "page_no"], "left")
+                .select("target", "page_no", F.coalesce("url", F.concat(
+                    F.lit("missing://"), F.col("target"), F.lit("/"), F.col("page_no").cast("string")))
+                    .alias("page_url")))
+    landed = pages.select(F.col("url").alias("page_url"), "html")
+    recs = crawl_records(frontier, landed, fx.sites(CRAWL_SITE), 5, fetched_col=None)
+    return recs.select("target", "page_no", "source_url", "title")

@@ -6,7 +6,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 PYTHON_OK = {"html_h1", "html_records", "html_dom_records", "html_links", "rss_records",
-             "stream_merge", "records_route", "record_counts", "resolve_site_automaton"}
+             "stream_merge", "records_route", "record_counts", "resolve_site_automaton",
+             "crawl_records"}
 SKIP = {"stream_merge", "stream_dedup"}  # executed by their own tests
 
 
