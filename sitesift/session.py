@@ -40,22 +40,27 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
     return spark
 
 
+_TEST_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
+    """The shared folder for checkpoints and intermediate tables, as
+    ``spark.checkpoint.dir`` names it.
 
-    Read from ``spark.checkpoint.dir`` (session conf first, then the context
-    conf). Only a local-mode session (tests) may fall back to a fresh folder
-    of its own; on a cluster a machine-local folder would lose data with its
-    executor, so an unset setting is an error there.
+    Only a single-process ``local`` or ``local[n]`` session (tests, benches)
+    that names none gets a folder of its own; anywhere else a machine-local
+    folder would lose data with its executor, so an unset setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        sc = spark.sparkContext
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="sitesift-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if sc.applicationId not in _TEST_ROOTS:
+            _TEST_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="sitesift-ckpt-")
+        path = _TEST_ROOTS[sc.applicationId]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

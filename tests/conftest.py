@@ -14,10 +14,6 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from sitesift.session import local_session
     s = local_session(8, shuffle_partitions=8, app="sitesift-tests")
-    # Tests only: a checkpoint folder of our own when the session names none.
-    if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext.getConf().get(
-            "spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sitesift-test-ckpt-"))
     yield s
 
 
