@@ -13,9 +13,12 @@ the set and linked without comparing. Within a bucket each class is paired
 with the bucket's smallest and largest class only (a star, so pairs grow with
 the members, not with their square). Pairs are confirmed on the full sets. A
 bucket in which a member fails against the smallest class holds more than one
-group: with at most ``GROUP`` members all its sets are compared in one task;
-a larger one goes round again with the members that failed, until it is that
-small or empty. So nothing is capped, and no task gets an unbounded group.
+group: with at most ``GROUP`` members all its sets are compared in one task.
+The classes of larger mixed buckets are bucketed anew by exact prefix
+filtering on their full sets (:func:`prefix_buckets`) and treated alike; a
+prefix bucket that is still large and mixed goes round with the members that
+failed until it is small or empty. So nothing is capped, and no task gets an
+unbounded group.
 
 Hot groups: copies collapse in a partial aggregation before any pairing; star
 joins have one row a key on one side, so a hot key can be split.
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -217,6 +220,33 @@ def _stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spokes.filter("cls <> low.cls").select("bucket", "cls", "n", "c", F.col("low.cls").alias("a")), pairs
 
 
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, shingles) to one row (cls, n, shingle) per shingle."""
+    for batch in batches:
+        for name, packed in zip(batch.column("cls").to_pylist(), batch.column("shingles").to_pylist()):
+            values = np.frombuffer(packed, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([name] * len(values), pa.binary()), pa.array(np.full(len(values), len(values))),
+                pa.array(values)], names=["cls", "n", "shingle"])
+
+
+def prefix_buckets(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, cls, n): each class under the shingles of its prefix. With a
+    set's shingles ordered from the rarest to the commonest, two sets that
+    meet the threshold share one of their first ``n - needed + 1``: an exact
+    filter. A shingle of one class only can be left out."""
+    rows = written(classes.join(sets, "cls").select("cls", "shingles")
+                   .mapInArrow(unpacked, "cls binary, n bigint, shingle bigint"), "minhash-shingles")
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    shared = rows.join(counts, "shingle")
+    in_order = Window.partitionBy("cls").orderBy("f", "shingle")
+    # shingles of one class only come first in the order
+    place = F.row_number().over(in_order) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("cls"))
+    needed = F.ceil(F.col("n") * PERCENT / 100)
+    return (shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - needed + 1)
+            .select(F.col("shingle").alias("bucket"), "cls", "n"))
+
+
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between classes of different sets; ``signed``
     is the written result of :func:`sign` over ``docs``."""
@@ -233,9 +263,11 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
                    .dropDuplicates(["cls"]), "minhash-sets")
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
-
     linked, groups = [], []
-    while True:
+
+    def resolve(members: DataFrame) -> DataFrame:
+        """Confirm the star edges and set the small mixed buckets aside;
+        returns the failed members (and counts) of the large ones."""
         spokes, pairs = _stars(members)
         tested = written(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
                          .mapInArrow(confirm, "a binary, b binary, linked boolean"), "minhash-tested")
@@ -245,9 +277,14 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         small = failed.filter(F.col("c") <= GROUP).select("bucket").distinct()
         groups.append(members.join(small, "bucket").groupBy("bucket")
                       .agg(F.array_sort(F.collect_list("cls")).alias("g")).select("g").distinct())
-        members = failed.filter(F.col("c") > GROUP).select("bucket", "cls", "n")
-        if members.isEmpty():
-            break
+        return failed.filter(F.col("c") > GROUP).select("bucket", "cls", "n")
+
+    rest = resolve(members)
+    if not rest.isEmpty():
+        mixed = members.join(rest.select("bucket").distinct(), "bucket").select("cls").distinct()
+        rest = resolve(written(prefix_buckets(mixed, sets), "minhash-prefix"))
+        while not rest.isEmpty():
+            rest = resolve(rest)
     group = functools.reduce(DataFrame.union, groups).distinct()
     inside = group.select(F.xxhash64("g").alias("g1"), F.hash("g").alias("g2"), F.explode("g").alias("cls")).join(sets, "cls")
     linked.append(inside.groupBy("g1", "g2").applyInArrow(compare_group, "a binary, b binary"))
