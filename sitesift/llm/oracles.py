@@ -6,6 +6,47 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 TEXT = "coalesce(text, '')"
 
+ALNUM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3 = f"""
+WITH t(t, txt, label, base) AS (VALUES {{templates}}
+), ts AS (SELECT t, label, base, string_split(txt, ' ') AS seq, list_distinct(string_split(txt, ' ')) AS tset FROM t
+), w AS (SELECT doc_id, {ALNUM_WORDS.format(LOWER.format(TEXT))} AS ws FROM documents
+), b AS (
+  SELECT doc_id, ws[32 * k + 1:32 * k + 64] AS bw FROM (SELECT doc_id, ws, unnest(generate_series(0, (len(ws) - 1) // 32)) AS k FROM w WHERE len(ws) > 0)
+), m AS (
+  SELECT doc_id, t, label, len(list_intersect(tset, bw)) / len(tset) AS share FROM b, ts WHERE 100 * len(list_intersect(tset, bw)) >= 80 * len(tset)
+), ml AS (SELECT doc_id, max(share) AS score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM m GROUP BY doc_id
+), p AS (
+  SELECT doc_id, i, ws, unnest(generate_series(0, len(ws) - 1)) AS pos FROM (SELECT doc_id, ws, 0 AS i FROM w WHERE len(ws) > 0)
+), pl AS (
+  SELECT doc_id, pos, label FROM p, ts WHERE base AND ws[pos + 1] = seq[1] AND ws[pos + 1:pos + len(seq)] = seq
+), bl AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM w LEFT JOIN ml USING (doc_id) LEFT JOIN bl USING (doc_id)
+"""
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, {ALNUM_WORDS.format(LOWER.format(TEXT))} AS ws FROM documents
+), b AS (SELECT item_id::VARCHAR AS item_id, {ALNUM_WORDS.format(LOWER.format(TEXT))} AS ws FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, s, ws[i + 1:i + s] AS win FROM (
+    SELECT item_id, ws, least(13, len(ws)) AS s, unnest(generate_series(0, len(ws) - least(13, len(ws)))) AS i FROM b WHERE len(ws) > 0)
+), dw AS (
+  SELECT doc_id, s, i, ws[i + 1:i + s] AS win FROM (
+    SELECT doc_id, s, ws, unnest(generate_series(0, len(ws) - s)) AS i FROM d, (SELECT DISTINCT s FROM bw) WHERE len(ws) >= s)
+), h AS (SELECT doc_id, s, i, item_id FROM dw JOIN bw USING (s, win)
+), n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + s - 1)) AS j FROM h) GROUP BY doc_id
+), it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), FALSE) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
 OP9 = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, {SPACE_WORDS.format(LOWER.format(TEXT))} AS ws FROM documents
@@ -49,4 +90,12 @@ WITH w AS (
 SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits & 63 = 0 AS kept FROM b
 """
 
-ORACLE: dict[str, str] = {"op5_quality_rules": OP5, "op9_minhash_near_dedup": OP9}
+
+
+def _op3() -> str:
+    from .license_join import PHRASES, TEMPLATES
+    rows = [f"({k}, '{text}', '{label}', {k < len(PHRASES)})" for k, (text, label) in enumerate(PHRASES + TEMPLATES)]
+    return OP3.replace("{templates}", ", ".join(rows))
+
+
+ORACLE: dict[str, str] = {"op3_license_scans": _op3(), "op7_benchmark_decontamination": OP7, "op5_quality_rules": OP5, "op9_minhash_near_dedup": OP9}
