@@ -15,10 +15,10 @@ the members, not with their square). Pairs are confirmed on the full sets. A
 bucket in which a member fails against the smallest class holds more than one
 group: with at most ``GROUP`` members all its sets are compared in one task.
 The classes of larger mixed buckets are bucketed anew by exact prefix
-filtering on their full sets (:func:`prefix_buckets`) and treated alike; a
-prefix bucket that is still large and mixed goes round with the members that
-failed until it is small or empty. So nothing is capped, and no task gets an
-unbounded group.
+filtering on their full sets (:func:`prefix_buckets`) and treated alike; what
+is still large and mixed then is compared chunk by chunk, leaving out what is
+linked already (:func:`compare_families`). So nothing is capped, and no task
+gets an unbounded group.
 
 Hot groups: copies collapse in a partial aggregation before any pairing; star
 joins have one row a key on one side, so a hot key can be split.
@@ -282,15 +282,41 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     rest = resolve(members)
     if not rest.isEmpty():
         mixed = members.join(rest.select("bucket").distinct(), "bucket").select("cls").distinct()
-        rest = resolve(written(prefix_buckets(mixed, sets), "minhash-prefix"))
-        while not rest.isEmpty():
-            rest = resolve(rest)
+        prefix = written(prefix_buckets(mixed, sets), "minhash-prefix")
+        rest = resolve(prefix)
+        if not rest.isEmpty():
+            large = prefix.join(rest.select("bucket").distinct(), "bucket")
+            known = written(functools.reduce(DataFrame.union, linked), "minhash-known")
+            linked.append(compare_families(large, known, sets))
     group = functools.reduce(DataFrame.union, groups).distinct()
     inside = group.select(F.xxhash64("g").alias("g1"), F.hash("g").alias("g2"), F.explode("g").alias("cls")).join(sets, "cls")
     linked.append(inside.groupBy("g1", "g2").applyInArrow(compare_group, "a binary, b binary"))
     return functools.reduce(DataFrame.union, linked).distinct()
 
 
+def compare_families(large: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside large mixed buckets. Buckets that share classes form a
+    family; its classes are dealt into chunks of about GROUP / 2, and each
+    chunk of classes outside the family's largest component so far is compared
+    with every chunk, two chunks a task."""
+    low = large.groupBy("bucket").agg(F.min("cls").alias("a"))
+    family = connected(large.join(low, "bucket").select("a", F.col("cls").alias("b")).distinct())
+    family = family.select(F.col("node").alias("cls"), F.col("label").alias("family"))
+    part = family.join(connected(known).withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+        "part", F.coalesce("label", "cls")).drop("label")
+    sizes = part.groupBy("family", "part").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("family").agg(F.max_by("part", F.struct("c", "part")).alias("main"),
+                                       F.ceil(F.sum("c") * 2 / GROUP).cast("int").alias("chunks"))
+    dealt = written(part.join(main, "family").withColumn("chunk", F.pmod(F.hash("cls"), F.col("chunks"))), "minhash-family")
+    outside = dealt.filter("part <> main")
+    tasks = (outside.select("family", "chunk", "chunks").distinct()
+             .select("family", F.col("chunk").alias("r"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c")))
+    one = tasks.join(outside.select("family", F.col("chunk").alias("r"), "cls"), ["family", "r"])
+    other = tasks.join(dealt.select("family", F.col("chunk").alias("c"), "cls"), ["family", "c"])
+    both = one.unionByName(other).distinct().join(sets, "cls")
+    return both.groupBy("family", "r", "c").applyInArrow(compare_group, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
