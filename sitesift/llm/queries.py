@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_join, minhash, quality_rules, toxicity, winnow
+from . import chat, license_join, minhash, quality_rules, toxicity, winnow
 from ._runtime import shipped, table
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = ", ".join(f"(-1L, {k}L, '{role}', '{said}')" for k, role in enumerate(("user", "assistant")))
+    more = spark.sql(f"SELECT * FROM VALUES {rows} AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ranks = chat.load_ranks()
+    tree, leaves = chat.prefix_tree(turns.unionByName(more), ranks)
+    return chat.read_back(tree, leaves, ranks)
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents"))
 
