@@ -91,6 +91,15 @@ SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits & 63 = 0 AS kept FROM
 """
 
 
+OP8 = """
+WITH p AS (
+  SELECT page_id, url, sha1(encode(coalesce(html, ''))) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages
+), l AS (SELECT payload_digest, max(page_id) AS lead FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < lead THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < lead THEN lead END AS refers_to, url
+FROM p LEFT JOIN l USING (payload_digest)
+"""
+
 
 def _op3() -> str:
     from .license_join import PHRASES, TEMPLATES
@@ -98,4 +107,4 @@ def _op3() -> str:
     return OP3.replace("{templates}", ", ".join(rows))
 
 
-ORACLE: dict[str, str] = {"op3_license_scans": _op3(), "op7_benchmark_decontamination": OP7, "op5_quality_rules": OP5, "op9_minhash_near_dedup": OP9}
+ORACLE: dict[str, str] = {"op3_license_scans": _op3(), "op7_benchmark_decontamination": OP7, "op5_quality_rules": OP5, "op8_warc": OP8, "op9_minhash_near_dedup": OP9}
