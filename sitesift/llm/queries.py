@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, license_join, minhash, quality_rules, toxicity, warc, winnow
+from . import chat, license_join, minhash, pieces, quality_rules, toxicity, warc, winnow
 from ._runtime import shipped, table
 
 
@@ -44,6 +44,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.load()).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: shipped(fn) for name, fn in list(globals().items()) if name.startswith("op")
 }
