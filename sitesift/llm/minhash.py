@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._runtime import written
+from ._words import same_rows
 from .components import connected
 
 SHINGLE_WORDS = 5
@@ -51,7 +52,7 @@ PERCENT = 75
 #: Classes of a mixed bucket that one task compares with each other.
 GROUP = 128
 
-SIGNED = "doc_id bigint, n_shingles bigint, cls binary, bands array<bigint>"
+SIGNED = "doc_id bigint, th bigint, n_shingles bigint, cls binary, bands array<bigint>"
 
 
 def _orders() -> np.ndarray:
@@ -114,20 +115,20 @@ def _digest_array(digest: np.ndarray, valid: np.ndarray) -> pa.Array:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to one row of SIGNED per document."""
+    """(doc_id, text, th) to one row of SIGNED per document."""
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids, th = batch.column("doc_id"), batch.column("th")
         for s in T.slices(batch.column("text")):
             words, doc = s.words(lower=True)
             key = T.shingles(words, doc, s.n, SHINGLE_WORDS)
             count = np.bincount(T.owner_of(key), minlength=s.n)
             bands = band_keys(signatures(key, s.n))[count > 0].astype(np.int64).reshape(-1)
             yield pa.RecordBatch.from_arrays([
-                ids.slice(s.first, s.n),
+                ids.slice(s.first, s.n), th.slice(s.first, s.n),
                 pa.array(count, pa.int64()),
                 _digest_array(set_digest(key, s.n), count > 0),
                 T.list_array(bands, np.where(count > 0, BANDS, 0), pa.int64()),
-            ], names=["doc_id", "n_shingles", "cls", "bands"])
+            ], names=["doc_id", "th", "n_shingles", "cls", "bands"])
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,18 +318,44 @@ def compare_families(large: DataFrame, known: DataFrame, sets: DataFrame) -> Dat
     return both.groupBy("family", "r", "c").applyInArrow(compare_group, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    docs = docs.select("doc_id", "text")
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component (a class digest;
+    null without shingles) and component_id of every row of ``docs``."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     signed = written(docs.mapInArrow(sign, SIGNED), "minhash-signed")
     linked = written(links(docs, signed), "minhash-links")
     found = connected(linked)
     base = signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
     named = base.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "label", F.coalesce("label", "cls"))
-    lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_class = named.join(lowest, "label").select("cls", "component_id")
-    rows = signed.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"),
-                       F.col("doc_id").eqNullSafe(component).alias("kept"))
+        "component", F.coalesce("label", "cls"))
+    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of_class = named.join(lowest, "component").select("cls", "component", "component_id")
+    rows = signed.select("doc_id", "th", "n_shingles", "cls").join(of_class, "cls", "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "th", "n_shingles", "component", own.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    return classified(docs).select("doc_id", "n_shingles", "component_id",
+                                   F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def unique_rows(docs: DataFrame) -> DataFrame:
+    """One row of each component (its smallest doc_id), all columns as they
+    came; rows without shingles all stay. Of rows repeated with id and text
+    one stays."""
+    found = written(classified(docs).filter("n_shingles > 0").groupBy("component", "doc_id", "th")
+                    .agg(F.count(F.lit(1)).alias("copies")), "minhash-rows")
+    first = found.groupBy(F.col("component").alias("c2")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    judged = found.join(first, F.col("component") == F.col("c2")).select("doc_id", "th", "copies", stays.alias("stays"))
+    out = written(judged.filter("not stays or copies > 1"), "minhash-out")
+    row = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("th"))
+    single = row.join(out, same_rows(row, out), "left_anti").select("_row")
+    repeated = out.filter("stays").select("doc_id", "th")
+    if not repeated.isEmpty():
+        some = row.join(repeated, same_rows(row, repeated), "left_semi")
+        single = single.unionByName(some.groupBy("doc_id", "th").agg(F.first("_row").alias("_row")).select("_row"))
+    return single.select("_row.*")
