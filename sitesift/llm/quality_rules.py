@@ -41,7 +41,7 @@ def rules() -> list[tuple[str, Column]]:
         ("too_few_words", words < 50),
         ("repeated_windows", 100 * F.col("n_repeat_words") > 50 * words),
         ("symbols", 10 * F.col("n_symbols") > 3 * words),
-        ("duplicate_lines", 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+        ("duplicate_lines", (F.col("n_dup_lines") > 2) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
         ("short_words", chars < 2 * words),
         ("long_words", chars > 20 * words),
         ("too_many_words", words > 10_000_000),
