@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, license_join, minhash, pieces, quality_rules, toxicity, warc, winnow
+from . import chat, license_join, minhash, pieces, quality_rules, resample, toxicity, warc, winnow
 from ._runtime import shipped, table
 
 
@@ -20,6 +20,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(tree, leaves, ranks)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents"))
 
