@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, license_join, minhash, pieces, quality_rules, resample, toxicity, warc, winnow
+from . import chat, license_join, minhash, ngram_trie, pieces, quality_rules, resample, toxicity, warc, winnow
 from ._runtime import shipped, table
 
 
@@ -28,6 +28,11 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_trie.score(docs, ngram_trie.build(docs))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
