@@ -1,0 +1,26 @@
+import pytest
+
+from sitesift.session import ship_package
+
+DOCS = "doc_id bigint, text string, th string, kept int"
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """Documents with nulls, empties, ties, repeated rows, a long text and
+    extra columns whose names clash with the operators' own."""
+    ship_package(spark)
+    long = " ".join(f"w{i} the x{i % 7}" for i in range(20_000))
+    one = " ".join(f"alpha{i} beta{i % 5}" for i in range(40))
+    near = one.replace("alpha7 ", "changed ")
+    rows = [(1, one), (2, near), (3, one), (3, one), (4, None), (5, ""), (6, " \n\t "), (7, long), (8, "few words only"),
+            (None, one), (None, None), (9, "Released under the MIT License. Licensed under CC BY-NC 4.0."),
+            (10, "under the\nMIT license " * 3), (11, "été Ünder über straße " * 30), (12, "a b c d e f g h i j k l m n o p q"),
+            (13, "x a b c d e f g h i j k l m y z " + "pad " * 200), (14, "ab cd")]
+    return spark.createDataFrame([(i, t, "clash", 0) for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    ship_package(spark)
+    return spark.createDataFrame([], DOCS)
