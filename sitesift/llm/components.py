@@ -1,6 +1,6 @@
 """Connected components of an edge table, as joins on Spark: each round takes
-the smallest label among a node's neighbours, then the label of that label,
-until nothing changes. Rounds are written to the shared folder; only a change
+the smallest label among a node's neighbours, then that label's own label, until
+nothing changes. Rounds are written to the shared folder; only a change
 count reaches the driver. Star-shaped edges need two or three rounds."""
 
 from __future__ import annotations
@@ -14,17 +14,17 @@ from ._runtime import written
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node in ``edges(a, b)``; label is the smallest
     node of the component."""
-    pairs = edges.select("a", "b")
-    both = written(pairs.union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "cc")
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")),
+                   F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))
+    # each edge both ways, and every node with itself
+    both = written(edges.select(F.explode(ends).alias("e")).select("e.*").distinct(), "cc-edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "cc")
     while True:
-        near = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-                .select(F.col("a").alias("n2"), "m"))
-        step = labels.join(near, labels["node"] == near["n2"]).select(
-            "node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        step = written(step, "cc-step")
-        root = step.select(F.col("node").alias("r"), F.col("label").alias("up"))
-        new = written(step.join(root, step["label"] == root["r"]).select("node", "old", F.col("up").alias("label")), "cc")
-        if new.filter("old <> label").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(
+            F.min("label").alias("label"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
+        root = labels.select(F.col("node").alias("r"), F.col("label").alias("up"))
+        step = near.join(root, near["label"] == root["r"])
+        step = written(step.select(F.col("a").alias("node"), F.least("up", "label").alias("label"), "old"), "cc-step")
+        if step.filter("old <> label").isEmpty():
+            return step.select("node", "label")
+        labels = step.select("node", "label")

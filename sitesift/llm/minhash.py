@@ -204,21 +204,23 @@ def compare_group(table: pa.Table) -> pa.Table:
                      "b": pa.array([b for _, b in edges], pa.binary())})
 
 
-def _stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each bucket's members other than its smallest class ``a``, and the
-    star edges to its smallest and largest class."""
-    ends = members.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("low"),
-                                         F.max(F.struct("cls", "n")).alias("high"), F.count(F.lit(1)).alias("c"))
-    spokes = members.join(ends.filter("c > 1"), "bucket")
+def _stars(members: DataFrame, name: str) -> DataFrame:
+    """Members (bucket, cls, n) of buckets with two classes or more, with the
+    bucket's size ``c`` and its smallest and largest member."""
+    own = F.struct("cls", "n")
+    ends = members.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count(F.lit(1)).alias("c"))
+    return written(members.join(ends.filter("c > 1"), "bucket"), name)
+
 
+def _pairs(spokes: DataFrame) -> DataFrame:
+    """Distinct star edges (a, b) whose set sizes allow a link."""
     def edge(a: Column, b: Column) -> Column:
         return F.struct(a["cls"].alias("a"), b["cls"].alias("b"), a["n"].alias("na"), b["n"].alias("nb"))
 
     own = F.struct("cls", "n")
-    pairs = (spokes.select(F.explode(F.array(edge(F.col("low"), own), edge(own, F.col("high")))).alias("e")).select("e.*")
-             .filter("a <> b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-             .select("a", "b").distinct())
-    return spokes.filter("cls <> low.cls").select("bucket", "cls", "n", "c", F.col("low.cls").alias("a")), pairs
+    edges = spokes.select(F.explode(F.array(edge(F.col("low"), own), edge(own, F.col("high")))).alias("e")).select("e.*")
+    return (edges.filter("a <> b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+            .select("a", "b").distinct())
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +256,10 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     classes = (signed.filter("n_shingles > 0").groupBy("cls")
                .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     banded = written(classes.select("cls", "rep", "n", F.explode("bands").alias("bucket")), "minhash-bands")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
-    members = written(banded.join(shared, "bucket"), "minhash-buckets")
+    spokes = _stars(banded, "minhash-buckets")
 
     # Full sets of the classes that share a bucket.
-    wanted = members.select("cls", "rep").distinct()
+    wanted = spokes.select("cls", "rep").distinct()
     found = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")))
     sets = written(found.select("text", "cls").mapInArrow(full_sets, "cls binary, shingles binary")
                    .dropDuplicates(["cls"]), "minhash-sets")
@@ -266,29 +267,26 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
     linked, groups = [], []
 
-    def resolve(members: DataFrame) -> DataFrame:
+    def resolve(spokes: DataFrame) -> DataFrame | None:
         """Confirm the star edges and set the small mixed buckets aside;
-        returns the failed members (and counts) of the large ones."""
-        spokes, pairs = _stars(members)
-        tested = written(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+        returns the members of the large mixed ones."""
+        tested = written(_pairs(spokes).join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
                          .mapInArrow(confirm, "a binary, b binary, linked boolean"), "minhash-tested")
         linked.append(tested.filter("linked").select("a", "b"))
-        failed = spokes.join(linked[-1].withColumnRenamed("b", "cls"), ["a", "cls"], "left_anti")
-        failed = written(failed, "minhash-failed")
-        small = failed.filter(F.col("c") <= GROUP).select("bucket").distinct()
-        groups.append(members.join(small, "bucket").groupBy("bucket")
-                      .agg(F.array_sort(F.collect_list("cls")).alias("g")).select("g").distinct())
-        return failed.filter(F.col("c") > GROUP).select("bucket", "cls", "n")
-
-    rest = resolve(members)
-    if not rest.isEmpty():
-        mixed = members.join(rest.select("bucket").distinct(), "bucket").select("cls").distinct()
-        prefix = written(prefix_buckets(mixed, sets), "minhash-prefix")
-        rest = resolve(prefix)
-        if not rest.isEmpty():
-            large = prefix.join(rest.select("bucket").distinct(), "bucket")
+        star = spokes.filter("cls <> low.cls").withColumn("a", F.col("low.cls"))
+        failed = star.join(linked[-1].withColumnRenamed("b", "cls"), ["a", "cls"], "left_anti")
+        mixed = written(failed.select("bucket", "c").distinct(), "minhash-mixed")
+        groups.append(spokes.join(mixed.filter(F.col("c") <= GROUP).select("bucket"), "bucket").groupBy("bucket")
+                      .agg(F.array_sort(F.collect_list("cls")).alias("g")).select("g"))
+        large = mixed.filter(F.col("c") > GROUP).select("bucket")
+        return None if large.isEmpty() else spokes.join(large, "bucket")
+
+    rest = resolve(spokes)
+    if rest is not None:
+        rest = resolve(_stars(prefix_buckets(rest.select("cls").distinct(), sets), "minhash-prefix"))
+        if rest is not None:
             known = written(functools.reduce(DataFrame.union, linked), "minhash-known")
-            linked.append(compare_families(large, known, sets))
+            linked.append(compare_families(rest, known, sets))
     group = functools.reduce(DataFrame.union, groups).distinct()
     inside = group.select(F.xxhash64("g").alias("g1"), F.hash("g").alias("g2"), F.explode("g").alias("cls")).join(sets, "cls")
     linked.append(inside.groupBy("g1", "g2").applyInArrow(compare_group, "a binary, b binary"))
@@ -298,13 +296,12 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
 def compare_families(large: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     """Links inside large mixed buckets. Buckets that share classes form a
     family; its classes are dealt into chunks of about GROUP / 2, and each
-    chunk of classes outside the family's largest component so far is compared
-    with every chunk, two chunks a task."""
-    low = large.groupBy("bucket").agg(F.min("cls").alias("a"))
-    family = connected(large.join(low, "bucket").select("a", F.col("cls").alias("b")).distinct())
+    chunk of classes outside the family's largest star so far is compared with
+    every chunk, two chunks a task."""
+    family = connected(large.select(F.col("low.cls").alias("a"), F.col("cls").alias("b")).distinct())
     family = family.select(F.col("node").alias("cls"), F.col("label").alias("family"))
-    part = family.join(connected(known).withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "part", F.coalesce("label", "cls")).drop("label")
+    centre = known.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("a"))
+    part = family.join(centre, "cls", "left").withColumn("part", F.coalesce("a", "cls")).drop("a")
     sizes = part.groupBy("family", "part").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("family").agg(F.max_by("part", F.struct("c", "part")).alias("main"),
                                        F.ceil(F.sum("c") * 2 / GROUP).cast("int").alias("chunks"))
