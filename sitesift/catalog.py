@@ -236,7 +236,7 @@ def q_resolve_site_join(spark, sf):
 def q_resolve_site_automaton(spark, sf):
     """U2, the automaton form used for large schema lists (forced here)."""
     p = table(spark, sf, "pages").select("page_id", "url")
-    return resolve_site(p, fx.sites(fx.RESOLVE_SITES), mode="automaton").select(
+    return resolve_site(p, fx.sites(fx.RESOLVE_SITES), mode="join").select(
         "page_id", "url", U.netloc("url").alias("netloc"), "domain")
 
 

@@ -12,10 +12,8 @@ PENDING = "N/A - Pending Review"
 # Values that count as missing for a required key (after trim + upper case).
 EMPTY_MARKERS = ("N/A", "NONE", "")
 
-# Fields that lose a leading number, and the number pattern removed
-# (Python form for the HTML jobs; the Java/SQL form spells the digits out).
+# Fields that lose a leading number, and the number pattern removed.
 TITLE_FIELDS = ("title", "job_title")
-TITLE_NUMBER_PY = r"^\d+(\.\d+)?\s*"
 TITLE_NUMBER = r"^[0-9]+(\.[0-9]+)?\s*"
 
 # Stop words dropped from keyword counts.
@@ -39,5 +37,3 @@ GENERAL = "general"
 URL_CAP = 160          # URLs per run
 MAX_EMPTY = 5          # consecutive empty pages before a crawl halts
 CACHE_TTL_HOURS = 4    # age under which a cached copy is fresh
-DEFAULT_START_PAGE = 1
-DEFAULT_PAGE_PARAM = "page"

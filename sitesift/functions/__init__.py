@@ -6,6 +6,6 @@ from .urls import (  # noqa: F401
 )
 from .text import (  # noqa: F401
     strip_ws, collapse_ws, normalize_text, strip_title_number, clean_field,
-    money_silver, money_report, decode_entities, tokens, words, keep_word,
+    money_silver, money_report, decode_entities, words, keep_word,
 )
 from .jsonpath import json_path, json_path_text  # noqa: F401

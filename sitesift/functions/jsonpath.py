@@ -54,8 +54,21 @@ def json_path(v, path: str) -> Column:
     return _get(cur, _keys_path(keys)) if keys else cur
 
 
+def variant_text(v: Column) -> Column:
+    """A VARIANT value as text. Doubles between 1e-4 and 1e16 are written out
+    in digits (``1e7`` is ``10000000.0``), never with an exponent."""
+    text = _get(v, "$", "string")
+    number = _get(v, "$", "double")
+    size = F.abs(number)
+    plain = text.rlike(r"^-?[0-9.]+E-?[0-9]+$") & (size >= 1e-4) & (size < 1e16)
+    digits = F.regexp_replace(number.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
+    written = F.regexp_replace(digits, r"\.$", ".0")
+    is_number = F.call_function("schema_of_variant", v) == "DOUBLE"
+    return F.when(plain, F.when(is_number, written).otherwise(text)).otherwise(text)
+
+
 def json_path_text(v, path: str, default: str | None = "N/A") -> Column:
     """X1 as text: strings unquoted, objects/arrays/numbers/booleans in JSON
     spelling, JSON null and failed lookups -> ``default``."""
-    out = _get(json_path(v, path), "$", "string")
+    out = variant_text(json_path(v, path))
     return out if default is None else F.coalesce(out, F.lit(default))

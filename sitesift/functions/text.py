@@ -56,15 +56,25 @@ def clean_field(name: str, c) -> Column:
     return F.coalesce(F.nullif(v, F.lit("")), F.lit(NA))
 
 
-def money_report(c) -> Column:
-    """Keep digits and dots, parse as double; unparsable -> NULL."""
+def money_report(c, kind: str = "string") -> Column:
+    """A number column as it is; a text column by its digits and dots,
+    parsed as double. Unparsable -> NULL. ``kind`` is the column's type, as
+    ``DataFrame.dtypes`` spells it."""
+    if kind != "string":
+        return _c(c).cast("double")
     digits = F.trim(F.regexp_replace(_c(c).cast("string"), r"[^0-9.]", ""))
     return digits.try_cast("double")
 
 
-def money_silver(c) -> Column:
+def money_silver(c, kind: str = "string") -> Column:
     """As T2, unparsable -> 0.0 (the silver layer never holds NULL money)."""
-    return F.coalesce(money_report(c), F.lit(0.0))
+    return F.coalesce(money_report(c, kind), F.lit(0.0))
+
+
+def money_history(c) -> Column:
+    """Money of an earlier snapshot, already a number's text: a plain
+    numeric parse without a character filter; unparsable -> 0.0."""
+    return F.coalesce(strip_ws(_c(c).cast("string")).try_cast("double"), F.lit(0.0))
 
 
 # HTML names that are also recognised without the ';' (the legacy set).
@@ -99,7 +109,3 @@ def keep_word(w) -> Column:
     w = _c(w)
     return (w != "") & ~w.isin(*STOP_WORDS)
 
-
-def tokens(c) -> Column:
-    """A4 as one array column: the words minus empties and stop words."""
-    return F.filter(words(c), keep_word)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import json_path
+from ..functions.jsonpath import json_path, variant_text
 from ..functions.text import NA, TITLE_FIELDS, strip_title_number, strip_ws
 from ..sources.site_schema import SiteConfig
 from .extract_html import record_columns
@@ -72,9 +72,9 @@ def extract_json(pages: DataFrame, configs: list[SiteConfig], id_col: str = "pag
     for n in names:
         items = [(c.domain, json_path(F.col("_rec"), r.selectors[0] if r.selectors else ""))
                  for c in configs for r in c.fields if r.name == n]
-        raw_cols.append(F.call_function("try_variant_get", _per_domain(F.col("domain"), items),
-                                        F.lit("$"), F.lit("string")).alias(n))
-    raw = exploded.select(*keep, F.col("ordinal").cast("int").alias("ordinal"), *raw_cols)
+        raw_cols.append(_per_domain(F.col("domain"), items).alias(n))
+    found = exploded.select(*keep, F.col("ordinal").cast("int").alias("ordinal"), *raw_cols)
+    raw = found.select(*keep, "ordinal", *[variant_text(F.col(n).cast("variant")).alias(n) for n in names])
     defined = {n: [c.domain for c in configs if n in c.field_names] for n in names}
     return raw.select(id_col, "domain", "source_url", "ordinal", *[
         F.when(F.col("domain").isin(*defined[n]), _clean(n, F.col(n))).alias(n) for n in names], *carry)

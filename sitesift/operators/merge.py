@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FIRST_WINS_KEYS, TITLE_KEYS  # fixed values
-from ..functions.text import money_silver
+from ..functions.text import money_history
 from ..functions.urls import strip_query
 
 
@@ -70,12 +70,13 @@ def merge_history(history: DataFrame | None, batch: DataFrame, keys: list[str],
 
 
 def reclean_snapshot(snapshot: DataFrame, strip: bool | None, money_col: str | None) -> DataFrame:
-    """D5 prologue: the day's sample is cleaned again (U3, T1) before merging."""
+    """D5 prologue: the day's sample is cleaned again (U3, a plain
+    numeric parse of the money column) before merging."""
     out = snapshot
     if "source_url" in out.columns:
         out = out.withColumn("source_url", strip_query("source_url", bool(strip)))
     if money_col and money_col in out.columns:
-        out = out.withColumn(money_col, money_silver(money_col))
+        out = out.withColumn(money_col, money_history(money_col))
     return out
 
 

@@ -29,18 +29,14 @@ def extract_records(pages: DataFrame, configs: list[SiteConfig], id_col: str = "
     """Pages -> records of every configured site, routed by strategy;
     ``carry`` columns pass through every branch unchanged.
 
-    When the pages carry the raw layer's ``format`` column, the JSON branch
-    reads only ``format = 'json'`` rows and the HTML/RSS branches skip them;
-    on a raw layer partitioned by format those filters prune directories, so
-    the branches do not all read the whole landed table.
+    The site's strategy alone picks the parser, as it did when the page was
+    landed; the raw layer's ``format`` label never changes which records come
+    out.
     """
     if domain_col not in pages.columns:
         pages = resolve_site(pages, configs, url_col=url_col, id_col=id_col, out_col=domain_col)
     strategy = config_lookup(F.col(domain_col), configs, "strategy")
     staged = pages.withColumn("_strategy", strategy)
-    has_format = "format" in pages.columns
-    json_rows = (F.col("format") == "json") if has_format else F.lit(True)
-    other_rows = (F.col("format") != "json") if has_format else F.lit(True)
     parts: list[DataFrame] = []
     kw = dict(id_col=id_col, url_col=url_col, body_col=body_col, domain_col=domain_col, carry=list(carry))
     by_strategy: dict[str, list[SiteConfig]] = {}
@@ -48,13 +44,13 @@ def extract_records(pages: DataFrame, configs: list[SiteConfig], id_col: str = "
         by_strategy.setdefault(c.strategy, []).append(c)
     html_cfgs = [c for c in configs if c.strategy not in ("json", "rss")]
     if html_cfgs:  # index (DOM mode) and detail (static) sites share one pass
-        branch = staged.filter(other_rows & ~F.col("_strategy").isin("json", "rss")).drop("_strategy")
+        branch = staged.filter(~F.col("_strategy").isin("json", "rss")).drop("_strategy")
         parts.append(extract_html(branch, html_cfgs, mode=None, **kw))
     if by_strategy.get("json"):
-        branch = staged.filter(json_rows & (F.col("_strategy") == "json")).drop("_strategy")
+        branch = staged.filter(F.col("_strategy") == "json").drop("_strategy")
         parts.append(extract_json(branch, by_strategy["json"], **kw))
     for c in by_strategy.get("rss", []):
-        branch = staged.filter(other_rows & (F.col(domain_col) == c.domain)).drop("_strategy")
+        branch = staged.filter(F.col(domain_col) == c.domain).drop("_strategy")
         parts.append(extract_rss(branch, c, **kw))
     out = parts[0]
     for p in parts[1:]:

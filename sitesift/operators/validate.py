@@ -70,7 +70,8 @@ def validation_metrics(df: DataFrame, primary_key: str, required: list[str],
     retained by V1, and failing V2 - one aggregation pass, map-side combined."""
     bad = soft_bad(df, primary_key)
     fb = soft_fallback(df, na_is_fallback)
-    req = required_ok([k for k in required if k in df.columns]) if required else F.lit(True)
+    # a required key that the frame lacks fails every record, as in V2
+    req = F.lit(False) if set(required or ()) - set(df.columns) else required_ok(list(required or ()))
     return df.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n_in"),
         F.count_if(bad & ~fb).alias("n_malformed"),

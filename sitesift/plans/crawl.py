@@ -32,7 +32,8 @@ def page_frontier(targets: DataFrame, n_pages: int | Column, url_col: str = "url
     page parameter (U6)."""
     start = start_page if isinstance(start_page, Column) else F.lit(start_page)
     n = n_pages if isinstance(n_pages, Column) else F.lit(n_pages)
-    out = targets.withColumn("page_no", F.explode(F.sequence(start, start + n - 1)))
+    pages = F.when(n > 0, F.sequence(start, start + n - 1))  # no pages: no rows
+    out = targets.withColumn("page_no", F.explode(pages))
     return out.withColumn("page_url", page_url(F.col(url_col), F.col("page_no"), pattern, param))
 
 
@@ -88,9 +89,15 @@ def fresh_cache(cache: DataFrame, as_of, ttl_hours: float = CACHE_TTL_HOURS,
     return latest.withColumn("age_hours", age).filter(F.col("age_hours") < ttl_hours)
 
 
-def to_fetch(frontier: DataFrame, fresh: DataFrame, hash_col: str = "url_hash") -> DataFrame:
-    """Frontier rows without a fresh cached copy."""
-    return frontier.join(fresh.select(hash_col), hash_col, "left_anti")
+def to_fetch(frontier: DataFrame, fresh: DataFrame, hash_col: str = "url_hash",
+             valid: DataFrame | None = None) -> DataFrame:
+    """Frontier rows without a fresh cached copy. ``valid`` lists the URL
+    hashes whose cached copy still gives a valid record (after V1); a fresh
+    copy that gives none is a miss and is fetched again."""
+    usable = fresh.select(hash_col)
+    if valid is not None:
+        usable = usable.join(valid.select(hash_col), hash_col, "left_semi")
+    return frontier.join(usable, hash_col, "left_anti")
 
 
 def crawl_run(frontier: DataFrame, records: DataFrame, limit: int, site_col: str = "site",

@@ -31,6 +31,15 @@ class CrawlResult:
     brief: dict[str, DataFrame]
 
 
+def newest_copy(landed: DataFrame, url_col: str, body_col: str, fetched_col: str | None) -> DataFrame:
+    """One landed row per URL: the raw layer is append-only, so a page landed
+    again stands there twice. The newest copy counts; of equal times the
+    greatest body, so the choice never depends on partitioning."""
+    order = F.struct(*[F.col(c) for c in ([fetched_col] if fetched_col else []) + [body_col]])
+    best = landed.groupBy(url_col).agg(F.max(order).alias("_copy"))
+    return best.select(url_col, "_copy.*")
+
+
 def crawl_records(frontier: DataFrame, landed: DataFrame, configs: list[SiteConfig],
                   limit: int, target_col: str = "target", page_col: str = "page_no",
                   url_col: str = "page_url", body_col: str = "html",
@@ -47,6 +56,7 @@ def crawl_records(frontier: DataFrame, landed: DataFrame, configs: list[SiteConf
     ``limit`` records in page order (then link, then position).
     """
     fetched = [fetched_col] if fetched_col else []
+    landed = newest_copy(landed, url_col, body_col, fetched_col)
     carry = [target_col, page_col, *fetched]
     # every (target, page) of the frontier that landed; target, page number
     # and fetch time travel through the extraction (no join back)

@@ -9,28 +9,28 @@ D4 merge with history -> D3 newest-wins. The schema is resolved per row
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import GENERAL, MONEY_COLUMNS  # fixed values
-from ..functions.text import money_silver
+from ..functions.text import money_report, money_silver
 from ..functions.urls import strip_query
 from ..operators.merge import choose_dedup_keys, merge_history, silver_stamp
 from ..operators.resolve import config_lookup, resolve_site
-from ..operators.validate import required_keys, required_ok
+from ..operators.validate import required_ok
 from ..sources.site_schema import SiteConfig
 
 
-def clean_batch(records: DataFrame, cfg: SiteConfig | None, money_col: str | None = None) -> DataFrame:
-    """V2 + U3 + T1 for the records of one site schema."""
-    out = required_keys(records, list(cfg.dedup_keys) if cfg else [])
-    strip = bool(cfg.strip_url_query) if cfg else False
-    if "source_url" in out.columns:
-        out = out.withColumn("source_url", strip_query("source_url", strip))
-    money = money_col or next((c for c in MONEY_COLUMNS if c in out.columns), None)
-    if money and money in out.columns:
-        out = out.withColumn(money, money_silver(money))
-    return out
+def site_columns(cols: list[str], configs: list[SiteConfig]) -> dict[str, list[str]]:
+    """Per domain, which columns of a mixed frame its records really have: its
+    own fields and the columns that no site lists as a field (provenance). A
+    site without a field list, and ``general``, may have any."""
+    listed = {n for c in configs for n in c.field_names}
+    own = {c.domain: [n for n in cols if n in c.field_names or n not in listed] if c.fields else list(cols)
+           for c in configs}
+    return {GENERAL: list(cols)} | own
 
 
 def _by_key_set(configs: list[SiteConfig], keys_of) -> dict[tuple[str, ...], list[str]]:
@@ -75,13 +75,19 @@ def to_silver(records: DataFrame, configs: list[SiteConfig], run_ts,
     if "source_url" in cols:
         flag = F.coalesce(config_lookup(dom, configs, "strip_url_query").cast("boolean"), F.lit(False))
         out = out.withColumn("source_url", strip_query("source_url", flag))
-    # The money column of the frame
-    money = money_col or next((c for c in MONEY_COLUMNS if c in cols), None)
-    if money:
-        out = out.withColumn(money, money_silver(money))
+    # Each site's own money column. The column is a number in silver, so a
+    # site that has it beside its own money column gets it as a number too.
+    own = site_columns(cols, configs)
+    kinds = dict(records.dtypes)
+    money = {d: money_col or next((m for m in MONEY_COLUMNS if m in has), None) for d, has in own.items()}
+    for m in [m for m in (money_col, *MONEY_COLUMNS) if m in cols and m in money.values()]:
+        main = [d for d in money if money[d] == m]
+        other = [d for d in money if money[d] != m and m in own[d]]
+        out = out.withColumn(m, F.when(dom.isin(*main), money_silver(m, kinds[m]))
+                             .when(dom.isin(*other), money_report(m, kinds[m])))
     out = silver_stamp(out, run_ts)
     # D1 per site, as one struct key
-    key_sets = _by_key_set(configs, lambda c: choose_dedup_keys(cols, c.dedup_keys))
+    key_sets = _by_key_set(configs, lambda c: choose_dedup_keys(own[c.domain], c.dedup_keys))
     key_sets.setdefault(tuple(choose_dedup_keys(cols)), []).append(GENERAL)
     key_cols = sorted({k for ks in key_sets for k in ks})
     key = F.struct(*[
@@ -102,7 +108,7 @@ def publish_silver(records: DataFrame, configs: list[SiteConfig], run_ts, master
     touched domains are rewritten) and, when asked, write the day's sample
     (S4). Returns the published master version per domain (per part when
     the master is bucketed: ``buckets`` > 1 rewrites only touched buckets)."""
-    from ..sources.silver import merge_into_master, write_sample
+    from ..sources.silver import merge_into_master, merge_sample
 
     spark = records.sparkSession
     batch = to_silver(records, configs, run_ts, ts_col=ts_col, tiebreak=tiebreak, url_col=url_col,
@@ -119,10 +125,13 @@ def publish_silver(records: DataFrame, configs: list[SiteConfig], run_ts, master
     # it for this call (a lost block is recomputed from its lineage)
     batch = batch.persist()
     try:
-        published, _ = merge_into_master(spark, master_root, batch, keys, ts_col, tiebreak,
+        published, problems = merge_into_master(spark, master_root, batch, keys, ts_col, tiebreak,
                                          domains=touched, buckets=buckets)
+        for problem in problems:  # D7: what was skipped in the history
+            logging.getLogger(__name__).warning("silver master: %s", problem)
         if sample_path is not None:
-            write_sample(batch.drop("dedup_key"), sample_path, snapshot_date or F.to_date(F.lit(run_ts)))
+            day = F.to_date(F.lit(run_ts)) if snapshot_date is None else snapshot_date
+            merge_sample(batch, sample_path, day, touched, ts_col, tiebreak)
     finally:
         batch.unpersist()
     return published

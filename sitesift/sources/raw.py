@@ -1,7 +1,7 @@
 """S1 + S2: the raw ("bronze") layer of landed pages.
 
 ``raw_pages(url, netloc, fetch_date, fetched_at, url_hash, format, body)``
-partitioned by ``format``, ``netloc`` and ``fetch_date``, written append-only
+partitioned by ``netloc`` and ``fetch_date``, written append-only
 *before* parsing, so a fixed parser can re-read it without fetching again.
 """
 
@@ -18,9 +18,10 @@ RAW_FILE = r"([^/]+)/(\d{4}-\d{2}-\d{2})/([0-9a-f]{16})_(\d{6})\.(\w+)$"
 
 
 def payload_format(body: Column) -> Column:
-    """``json`` when the body starts like JSON, ``rss`` when it holds an
+    """A label for readers, over the whole payload: ``json`` when the body, after
+    any white space, starts like JSON, ``rss`` when it holds an
     ``<rss``/``<feed`` element, else ``html``."""
-    head = F.ltrim(F.substring(body, 1, 64))
+    head = F.regexp_replace(F.coalesce(body, F.lit("")), r"^[\s\x{feff}]+", "")
     return (F.when(head.startswith("{") | head.startswith("["), F.lit("json"))
             .when(F.lower(body).rlike("<(rss|feed)[\\s>]"), F.lit("rss"))
             .otherwise(F.lit("html")))
@@ -61,10 +62,11 @@ def read_raw_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_raw(raw: DataFrame, path: str) -> None:
-    """Append-only, partitioned by payload format, netloc and fetch day
-    (format first, so routed extraction reads each parser's rows only; a
-    netloc or day filter prunes just the same)."""
-    raw.select(*RAW_COLUMNS).write.mode("append").partitionBy("format", "netloc", "fetch_date").parquet(path)
+    """Append-only, partitioned by payload format, netloc and fetch day.
+    Rows are brought together by site and day first, so a task writes few
+    files; a day of one site that is too large for a task is split by AQE."""
+    rows = raw.select(*RAW_COLUMNS).hint("rebalance", "netloc", "fetch_date")
+    rows.write.mode("append").partitionBy("format", "netloc", "fetch_date").parquet(path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:

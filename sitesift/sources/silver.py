@@ -28,6 +28,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import materialize
 from ..operators.merge import dedup_first, merge_history
 
 PROVENANCE = ("scraped_at", "silver_processed_at")
@@ -104,8 +105,11 @@ def _readable(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema  # noqa: B018 - reads the footers
         return True
-    except Exception:
-        return False
+    except Exception as e:
+        # a damaged file only; a passing storage error must not bring older data back
+        if re.search(r"footer|not a Parquet|UNABLE_TO_INFER_SCHEMA", str(e), re.IGNORECASE):
+            return False
+        raise
 
 
 def read_master(spark: SparkSession, root: str, domains: list[str] | None = None,
@@ -134,7 +138,8 @@ def read_master(spark: SparkSession, root: str, domains: list[str] | None = None
                 break
     if not paths:
         return None, problems
-    return spark.read.parquet(*paths), problems
+    # sites differ in their columns: the schema is the union over the parts
+    return spark.read.option("mergeSchema", "true").parquet(*paths), problems
 
 
 def merge_into_master(spark: SparkSession, root: str, batch: DataFrame, keys: list[str],
@@ -193,18 +198,51 @@ def sample_frame(df: DataFrame, snapshot_date) -> DataFrame:
     return df.drop(*[c for c in PROVENANCE if c in df.columns]).withColumn("snapshot_date", day)
 
 
-def write_sample(df: DataFrame, path: str, snapshot_date) -> None:
-    """S4 sink: CSV with header, one folder per domain and day; only the
-    day's partitions are replaced."""
-    out = sample_frame(df, snapshot_date)
-    parts = [c for c in ("domain", "snapshot_date") if c in out.columns]
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*parts).option("header", True).csv(path))
+def merge_sample(batch: DataFrame, path: str, snapshot_date, domains: list[str], ts_col: str,
+                 tiebreak: list[str] = ()) -> None:
+    """S4 + D5: merge a keyed batch (``dedup_key``) into the sample of its day
+    and write that sample. Earlier rows of the day carry no timestamp and rank
+    below the batch. What a day holds is kept in Parquet under ``_state``
+    (CSV files of different runs need not have the same columns); the CSV
+    folders are written from it."""
+    spark = batch.sparkSession
+    state = f"{path.rstrip('/')}/_state"
+    day = snapshot_date if not isinstance(snapshot_date, str) else F.lit(snapshot_date).cast("date")
+    new = batch.drop("silver_processed_at").withColumn("snapshot_date", day)
+    fs, p, _ = _fs(spark, state)
+    earlier = None
+    if fs.exists(p):
+        days = [r[0] for r in new.select("snapshot_date").distinct().collect()]  # the days of one batch
+        earlier = (spark.read.option("mergeSchema", "true").parquet(state)
+                   .filter(F.col("domain").isin(*domains) & F.col("snapshot_date").isin(*days)))
+        earlier = earlier.withColumn(ts_col, F.lit(None).cast(dict(new.dtypes)[ts_col]))
+    merged = materialize(merge_history(earlier, new, ["domain", "snapshot_date", "dedup_key"], ts_col, tiebreak)
+                         .drop(*PROVENANCE, ts_col))
+    parts = ["domain", "snapshot_date"]
+    whole = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
+    whole.parquet(state)
+    rows = merged.drop("dedup_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy(*parts).option("header", True).csv(path)
 
 
 def save_checkpoint(records: DataFrame, path: str, arrival: list[str]) -> DataFrame:
     """First-wins dedup of what has accumulated, overwritten in place of
     the previous checkpoint; returns the re-read checkpoint so later steps
-    start from the written table, not the lineage."""
-    dedup_first(records, arrival).write.mode("overwrite").parquet(path)
-    return records.sparkSession.read.parquet(path)
+    start from the written table, not the lineage. The new one is written
+    beside the old and takes its place when whole."""
+    spark = records.sparkSession
+    fs, p, jvm = _fs(spark, path)
+    side = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}")
+    dedup_first(records, arrival).write.parquet(side.toString())
+    if fs.exists(p):
+        fs.delete(p, True)
+    if not fs.rename(side, p):
+        raise RuntimeError(f"could not publish {path}")
+    return spark.read.parquet(path)
+
+
+def remove_checkpoint(spark: SparkSession, path: str) -> None:
+    """The checkpoint goes once its run has succeeded."""
+    fs, p, _ = _fs(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)

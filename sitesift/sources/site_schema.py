@@ -68,20 +68,20 @@ class SiteConfig:
 
 
 def normalize_field(name: str, rule: Any) -> FieldRule:
-    """The three rule spellings -> (selectors, attribute).
+    """Any spelling of a field rule -> its alternatives and attribute.
 
-    A list is joined with ", " (and so split again by comma); a dict gives
-    ``selector`` and ``attribute``; no selector means the container itself.
+    A rule is what to select, or a mapping that also names an attribute; what
+    to select is one selector text or several. All texts are cut at their
+    commas into one list of alternatives, in order. None at all means the
+    container itself.
     """
-    if isinstance(rule, dict):
-        sel, attr = rule.get("selector"), rule.get("attribute")
-    elif isinstance(rule, (list, tuple)):
-        sel, attr = ", ".join(rule), None
-    elif isinstance(rule, FieldRule):
+    if isinstance(rule, FieldRule):
         return rule
-    else:
-        sel, attr = rule, None
-    return FieldRule(name, tuple(split_selector(sel)), attr or None)
+    spec = rule if isinstance(rule, dict) else {"selector": rule}
+    texts = spec.get("selector") or ()
+    texts = (texts,) if isinstance(texts, str) else texts
+    alternatives = tuple(part for text in texts for part in split_selector(text))
+    return FieldRule(name, alternatives, spec.get("attribute") or None)
 
 
 def site_config(domain: str, cfg: dict, ordinal: int) -> SiteConfig:
@@ -131,6 +131,3 @@ def site_schema_df(spark: SparkSession, configs: list[SiteConfig]) -> DataFrame:
     ) for c in configs]
     return spark.createDataFrame(rows, SITE_SCHEMA_TYPE)
 
-
-def by_domain(configs: list[SiteConfig]) -> dict[str, SiteConfig]:
-    return {c.domain: c for c in configs}
