@@ -621,18 +621,16 @@ def q_keywords_low(spark, sf):
 
 @query("keyword_pairs", f"""
 WITH {S_WORDS.strip()},
-vocab AS (SELECT word FROM (SELECT word, sum(n) AS n FROM counts GROUP BY word)
-          ORDER BY n DESC, word ASC LIMIT 50),
-dw AS (SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM vocab)),
-dfreq AS (SELECT word, count(*) AS df FROM dw GROUP BY word),
 nd AS (SELECT count(*) AS n FROM documents),
+dfreq AS (SELECT word, count(DISTINCT doc_id) AS df FROM words GROUP BY word HAVING count(DISTINCT doc_id) >= 0.2 * (SELECT n FROM nd)),
+dw AS (SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM dfreq)),
 pairs AS (SELECT a.word AS word_a, b.word AS word_b, count(*) AS support
           FROM dw a JOIN dw b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL)
 SELECT word_a, word_b, support, round(support * nd.n / (fa.df * fb.df), 6) AS lift
 FROM pairs JOIN dfreq fa ON fa.word = word_a JOIN dfreq fb ON fb.word = word_b, nd""")
 def q_keyword_pairs(spark, sf):
     d = table(spark, sf, "documents")
-    return A.keyword_pairs(d, "text", "doc_id", vocab_size=50)
+    return A.keyword_pairs(d, "text", "doc_id")
 
 
 @query("entity_concentration", """
@@ -783,11 +781,9 @@ def q_daily_sample(spark, sf):
 
 @query("keyword_clusters", f"""
 WITH RECURSIVE {S_WORDS.strip()},
-vocab AS (SELECT word FROM (SELECT word, sum(n) AS n FROM counts GROUP BY word)
-          ORDER BY n DESC, word ASC LIMIT 50),
-dw AS (SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM vocab)),
-dfreq AS (SELECT word, count(*) AS df FROM dw GROUP BY word),
 nd AS (SELECT count(*) AS n FROM documents),
+dfreq AS (SELECT word, count(DISTINCT doc_id) AS df FROM words GROUP BY word HAVING count(DISTINCT doc_id) >= 0.2 * (SELECT n FROM nd)),
+dw AS (SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM dfreq)),
 pairs AS (SELECT a.word AS word_a, b.word AS word_b, count(*) AS support
           FROM dw a JOIN dw b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL),
 scored AS (SELECT word_a, word_b, support, round(support * nd.n / (fa.df * fb.df), 6) AS lift
@@ -800,9 +796,9 @@ reach(word, r) AS (SELECT word, word FROM nodes
 SELECT word, min(r) AS cluster FROM reach GROUP BY word""")
 def q_keyword_clusters(spark, sf):
     """A8 (clusters): components of the co-occurrence graph (lift > 1.05,
-    support >= 2) over the top-50 vocabulary."""
+    support >= 2) over the words in a fifth of the documents."""
     d = table(spark, sf, "documents")
-    return A.keyword_clusters(A.keyword_pairs(d, "text", "doc_id", vocab_size=50), 1.05, 2)
+    return A.keyword_clusters(A.keyword_pairs(d, "text", "doc_id"), 1.05, 2)
 
 
 @query("crawl_run", f"""

@@ -9,7 +9,7 @@ uses ``row_number() <= k``, which Spark plans with a partial
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MONEY_COLUMNS, PENDING, TEXT_COLUMNS  # fixed values
@@ -25,43 +25,78 @@ def record_count(df: DataFrame, group_cols: list[str] = ()) -> DataFrame:
     return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def quantiles(df: DataFrame, value_col: str, group_cols: list[str], qs: list[float]) -> DataFrame:
+    """Exact quantiles per group (linear interpolation), one column ``q<i>``
+    each, without a per-group state: counts per distinct value, laid out by
+    range over (group, value), summed up inside each partition and over the
+    partitions; the two ranks around a quantile are then plain filters. A
+    group with a third of all rows is spread over as many partitions as its
+    distinct values need."""
+    g, v = list(group_cols), F.col(value_col)
+    counts = df.filter(v.isNotNull()).groupBy(*g, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    laid = materialize(counts.repartitionByRange(*[F.col(c) for c in g], F.col("_v")).withColumn("_p", F.spark_partition_id()))
+    per = laid.groupBy(*g, "_p").agg(F.sum("_c").alias("_s"))     # a row per partition that a group touches
+    before = Window.partitionBy(*g).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(*g, "_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"),
+                      F.sum("_s").over(Window.partitionBy(*g)).alias("_n"))
+    same = F.col("_p") == F.col("_p2")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    placed = laid.join(base.withColumnsRenamed({"_p": "_p2"} | {c: f"_g_{c}" for c in g}), same).drop("_p2", *[f"_g_{c}" for c in g])
+    upto = Window.partitionBy(*g, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("_to", F.col("_b") + F.sum("_c").over(upto))      # ranks [_to - _c, _to)
+    aggs = []
+    for i, q in enumerate(qs):
+        at = (F.col("_n") - 1) * F.lit(q)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.max(F.when((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_c")), F.col("_v"))).alias(f"_{side}{i}"))
+    picked = placed.groupBy(*g).agg(F.max("_n").alias("_n"), *aggs)
+    def between(i: int, q: float) -> Column:
+        at = (F.col("_n") - 1) * F.lit(q)
+        lo, hi = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
+        return F.when(F.floor(at) == F.ceil(at), lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+    return picked.select(*g, *[between(i, q).alias(f"q{i}") for i, q in enumerate(qs)])
+
+
 def price_stats(df: DataFrame, value_col: str, group_cols: list[str] = (), exact: bool = True,
                 accuracy: int = 10000, digits: int | None = 6,
                 decimal_scale: int | None = None) -> DataFrame:
     """A2 + A3 + A7: count, valid count, min, max, mean, median, p90, std.
 
     NULL values are not valid and are ignored; a group with none gives NULL
-    statistics. ``exact`` uses ``percentile`` (linear interpolation, as pandas'
-    ``quantile``); its state is a value -> count map per group, so for a
-    group with very many distinct values pass ``exact=False`` to use
+    statistics. ``exact`` takes the quantiles by rank (:func:`quantiles`,
+    linear interpolation as pandas' ``quantile``); ``exact=False`` uses
     ``percentile_approx``.
 
     ``decimal_scale``: for money with a fixed number of decimals, the mean is
     an exact DECIMAL sum divided once by the count, so it does not depend on
     how the rows were partitioned (a double sum does, in its last bits).
     """
-    v = F.col(value_col)
+    g, v = list(group_cols), F.col(value_col)
     if decimal_scale is None:
         mean = F.avg(v)
     else:
         total = F.sum(v.cast(f"decimal(38,{decimal_scale})")).cast("double")
         mean = total / F.count(v)
+    aggs = [F.count(F.lit(1)).alias("n_records"), F.count(v).alias("n_valid"), F.min(v).alias("min_value"),
+            F.max(v).alias("max_value"), mean.alias("mean_value"), F.stddev_samp(v).alias("std_value")]
+    if not exact:
+        aggs.append(F.percentile_approx(v, F.array(F.lit(0.5), F.lit(0.9)), accuracy).cast("array<double>").alias("_q"))
+    out = df.groupBy(*g).agg(*aggs)
     if exact:
-        q = F.percentile(v, F.array(F.lit(0.5), F.lit(0.9)))
+        ranks = quantiles(df.select(*g, v) if g else df.select(v), value_col, g, [0.5, 0.9])
+        if g:
+            ranks = ranks.withColumnsRenamed({c: f"_r_{c}" for c in g})
+            same = F.lit(True)
+            for c in g:
+                same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+            out = out.join(ranks, same, "left")
+        else:
+            out = out.withColumn("_one", F.lit(1)).join(ranks.withColumn("_one", F.lit(1)), "_one", "left")
+        out = out.withColumnsRenamed({"q0": "median_value", "q1": "p90_value"})
     else:
-        q = F.percentile_approx(v, F.array(F.lit(0.5), F.lit(0.9)), accuracy).cast("array<double>")
-    out = df.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n_records"),
-        F.count(v).alias("n_valid"),
-        F.min(v).alias("min_value"),
-        F.max(v).alias("max_value"),
-        mean.alias("mean_value"),
-        q.alias("_q"),
-        F.stddev_samp(v).alias("std_value"),
-    )
-    out = out.withColumn("median_value", F.col("_q")[0]).withColumn("p90_value", F.col("_q")[1]).drop("_q")
-    cols = list(group_cols) + ["n_records", "n_valid", "min_value", "max_value", "mean_value",
-                               "median_value", "p90_value", "std_value"]
+        out = out.withColumn("median_value", F.col("_q")[0]).withColumn("p90_value", F.col("_q")[1])
+    cols = g + ["n_records", "n_valid", "min_value", "max_value", "mean_value", "median_value", "p90_value", "std_value"]
     out = out.select(*cols)
     if digits is not None:
         for c in ("min_value", "max_value", "mean_value", "median_value", "p90_value", "std_value"):
@@ -105,22 +140,24 @@ def low_keywords(counts: DataFrame, group_cols: list[str] = (), k: int = 3,
             .filter(F.col("rank") <= k).select(*g, "rank", "word", "n"))
 
 
-def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, vocab_size: int = 50,
+def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, min_share: float = 0.2,
                   min_support: int = 1) -> DataFrame:
     """Co-occurring keyword pairs within a record.
 
-    The vocabulary is the global top ``vocab_size`` words (its size is the
-    parameter, so broadcasting it is bounded). Each record's distinct
-    vocabulary words are paired inside the row (no self join, at most
-    vocab_size*(vocab_size-1)/2 pairs per record); pair support is a partial
+    The vocabulary is every word that stands in at least ``min_share`` of the
+    records. Its size has a bound of its own - the mean number of distinct
+    words per record over ``min_share`` - whatever the number of records, so
+    it is one small array. Each record's vocabulary words are paired inside the
+    row (no self join, no shuffle back by record); pair support is a partial
     aggregate. ``lift = support * n_docs / (df_a * df_b)``.
     """
-    doc_words = (df.select(doc_col, F.explode(F.array_distinct(words(text_col))).alias("word"))
-                 .filter(keep_word("word")))
-    vocab = top_keywords(keyword_counts(df, text_col), [], vocab_size).select("word")
-    in_vocab = doc_words.join(F.broadcast(vocab), "word", "left_semi")
-    doc_freq = in_vocab.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    per_doc = in_vocab.groupBy(doc_col).agg(F.sort_array(F.collect_set("word")).alias("ws"))
+    distinct = F.array_distinct(words(text_col))
+    n_docs = df.count()
+    seen = df.select(F.explode(distinct).alias("word")).filter(keep_word("word"))
+    doc_freq = materialize(seen.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+                           .filter(F.col("df") >= F.lit(min_share) * n_docs))
+    vocab = doc_freq.agg(F.collect_list("word")).scalar()
+    per_doc = df.select(F.array_sort(F.array_intersect(distinct, vocab)).alias("ws"))
     n = F.size("ws")
     pairs = per_doc.filter(n >= 2).select(F.explode(F.flatten(F.transform(
         F.sequence(F.lit(1), n - 1),
@@ -128,7 +165,6 @@ def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, vocab_size: int =
                               lambda b: F.struct(F.element_at("ws", i).alias("word_a"), b.alias("word_b")))
     ))).alias("p")).select("p.word_a", "p.word_b")
     support = pairs.groupBy("word_a", "word_b").agg(F.count(F.lit(1)).alias("support"))
-    n_docs = df.select(doc_col).agg(F.count(F.lit(1))).scalar()
     da = F.broadcast(doc_freq.select(F.col("word").alias("word_a"), F.col("df").alias("df_a")))
     db = F.broadcast(doc_freq.select(F.col("word").alias("word_b"), F.col("df").alias("df_b")))
     return (support.filter(F.col("support") >= min_support).join(da, "word_a").join(db, "word_b")
@@ -136,14 +172,13 @@ def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, vocab_size: int =
                     F.round(F.col("support") * n_docs / (F.col("df_a") * F.col("df_b")), 6).alias("lift")))
 
 
-def keyword_clusters(pairs: DataFrame, min_lift: float = 1.0, min_support: int = 2,
-                     max_rounds: int | None = None) -> DataFrame:
+def keyword_clusters(pairs: DataFrame, min_lift: float = 1.0, min_support: int = 2) -> DataFrame:
     """A8 (clusters): connected components of the keyword graph whose edges
     are pairs with ``lift > min_lift`` and ``support >= min_support``; each
     vocabulary word gets the smallest word of its component as ``cluster``.
 
     Iterative min-label propagation. The graph has at most the vocabulary
-    size in nodes (a parameter, not the data size), so each round is a tiny
+    size in nodes (bounded as in :func:`keyword_pairs`), so each round is a tiny
     job; the label table is checkpointed every round to keep the lineage
     flat, and the loop stops when no label changes.
     """
@@ -152,8 +187,7 @@ def keyword_clusters(pairs: DataFrame, min_lift: float = 1.0, min_support: int =
     edges = materialize(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     nodes = pairs.select(F.col("word_a").alias("word")).unionByName(pairs.select(F.col("word_b").alias("word")))
     labels = materialize(nodes.distinct().withColumn("cluster", F.col("word")))
-    rounds = max_rounds or max(labels.count(), 1)
-    for _ in range(rounds):
+    while True:
         incoming = (edges.join(labels.withColumnRenamed("word", "src"), "src")
                     .groupBy(F.col("dst").alias("word")).agg(F.min("cluster").alias("_in")))
         nxt = materialize(labels.join(incoming, "word", "left").select(
@@ -162,8 +196,7 @@ def keyword_clusters(pairs: DataFrame, min_lift: float = 1.0, min_support: int =
             F.col("cluster") != F.col("_old")).limit(1).count()
         labels = nxt
         if changed == 0:
-            break
-    return labels
+            return labels
 
 
 def concentration(df: DataFrame, entity_col: str, group_cols: list[str] = (),
@@ -262,11 +295,28 @@ def gap_question(profile: DataFrame, group_col: str) -> DataFrame:
         F.col(group_col)).alias("question"))
 
 
+def _first_used(df: DataFrame, group_col: str, columns: list[str], kinds: dict[str, str], name: str) -> DataFrame:
+    """Adds ``name``: which of ``columns`` is the first that the row's group
+    has a value in anywhere. One column needs no look at the data."""
+    if len(columns) < 2:
+        return df.withColumn(name, F.lit(columns[0] if columns else None).cast("string"))
+    used = df.groupBy(group_col).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
+    pick = F.coalesce(*[F.when(F.col(f"_n{i}") > 0, F.lit(c)) for i, c in enumerate(columns)])
+    used = used.select(F.col(group_col).alias("_site"), pick.alias(name))
+    return df.join(used, F.col(group_col).eqNullSafe(F.col("_site")), "left").drop("_site")
+
+
+def _chosen(columns: list[str], name: str, read) -> Column:
+    """The value of the column that ``name`` names."""
+    return F.coalesce(*[F.when(F.col(name) == c, read(c)) for c in columns])
+
+
 def market_brief(records: DataFrame, group_col: str, entity_col: str | None = None,
                  value_col: str | None = None, money_scale: int | None = 6) -> dict[str, DataFrame]:
-    """The four brief tables for a records frame, columns chosen from
-    its schema as the reference does (money: price, else salary; text: the
-    first of tags, requirements, text, job_title).
+    """The four brief tables for a records frame. Columns are chosen per
+    group (money: price, else salary; text: the first of tags, requirements,
+    text, job_title that the group has values in), so sites of different
+    shapes can share a frame.
 
     ``price_distribution`` (A1-A3, A7; the mean is an exact DECIMAL sum at
     ``money_scale`` places), ``keywords`` (A5 dominant + A6 low-density, word
@@ -276,16 +326,21 @@ def market_brief(records: DataFrame, group_col: str, entity_col: str | None = No
     """
     from ..functions.text import money_report
 
-    cols = records.columns
-    money = value_col or next((c for c in MONEY_COLUMNS if c in cols), None)
-    text = text_column(cols)
+    cols, kinds = records.columns, dict(records.dtypes)
+    moneys = [value_col] if value_col else [c for c in MONEY_COLUMNS if c in cols]
+    texts = [c for c in TEXT_COLUMNS if c in cols]
     out: dict[str, DataFrame] = {}
-    valued = records.withColumn("money_value", money_report(money)) if money else None
+    money = bool(moneys)
+    # a site that lacks the first column has nulls in it and uses the next
+    first = _first_used(records, group_col, moneys, kinds, "_money")
+    valued = first.withColumn("money_value", _chosen(moneys, "_money", lambda c: money_report(c, kinds[c]))) if money else None
     if money:
         out["price_distribution"] = price_stats(valued, "money_value", [group_col],
                                                 decimal_scale=money_scale)
-    if text:
-        counts = materialize(keyword_counts(records, text, [group_col]))
+    if texts:
+        texted = _first_used(records, group_col, texts, kinds, "_text")
+        texted = texted.withColumn("_words", _chosen(texts, "_text", lambda c: F.col(c).cast("string")))
+        counts = materialize(keyword_counts(texted, "_words", [group_col]))
         out["keywords"] = top_keywords(counts, [group_col]).withColumn("kind", F.lit("dominant")).unionByName(
             low_keywords(counts, [group_col]).withColumn("kind", F.lit("low_density")))
     if entity_col:

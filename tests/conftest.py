@@ -20,3 +20,11 @@ def spark():
 @pytest.fixture()
 def tmp_out():
     return tempfile.mkdtemp(prefix="sitesift-test-")
+
+
+def html_records(spark, html, url, cfg, mode):
+    """The field values of each record of one page, through the HTML job."""
+    from sitesift.operators.extract_html import extract_html
+    page = spark.createDataFrame([(1, url, html, cfg.domain)], "page_id long, url string, html string, domain string")
+    rows = extract_html(page, [cfg], mode=mode).orderBy("ordinal").collect()
+    return [[r[n] for n in cfg.field_names] for r in rows]

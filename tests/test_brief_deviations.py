@@ -4,9 +4,10 @@ import os
 
 from pyspark.sql import functions as F
 
+from conftest import html_records
 from sitesift.operators import analytics as A
 from sitesift.operators import validate as V
-from sitesift.operators.extract_html import links_from_html, records_from_html
+from sitesift.operators.extract_html import links_from_html
 from sitesift.operators.route import stamp
 from sitesift.sources.site_schema import load_site_schema
 
@@ -61,15 +62,15 @@ def test_every_container_part_is_scoped_for_links():
     assert links_from_html(html, "http://h/", "div.x, p") == ["http://h/in-x", "http://h/in-p"]
 
 
-def test_class_attribute_is_raw_text():
+def test_class_attribute_is_raw_text(spark):
     cfg = load_site_schema({"s": {"container": "div", "fields": {"cls": {"attribute": "class"}}}})[0]
-    assert records_from_html('<div class="a b">x</div>', "u", cfg, "static") == [["a b"]]
+    assert html_records(spark, '<div class="a b">x</div>', "u", cfg, "static") == [["a b"]]
 
 
-def test_feed_element_does_not_switch_a_detail_page():
+def test_feed_element_does_not_switch_a_detail_page(spark):
     cfg = load_site_schema({"s": {"container": "div.item", "fields": {"t": "span.t"}}})[0]
     html = '<body><feed></feed><div class="item"><span class="t">A</span></div></body>'
-    assert records_from_html(html, "u", cfg, "static") == [["A"]]
+    assert html_records(spark, html, "u", cfg, "static") == [["A"]]
 
 
 def test_absolute_links_are_not_percent_encoded():

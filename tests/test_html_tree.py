@@ -1,7 +1,8 @@
 """Handmade HTML inputs for the parser + selector helper (FIXTURES.md section 3)."""
 
+from conftest import html_records
 from sitesift.operators import html_tree as H
-from sitesift.operators.extract_html import links_from_html, records_from_html
+from sitesift.operators.extract_html import links_from_html
 from sitesift.sources.site_schema import load_site_schema
 
 
@@ -18,38 +19,38 @@ PAGE = """<html><head><title> T &amp; T </title><script>var s = "</p><div class=
 </body></html>"""
 
 
-def test_first_matching_container_part_vs_union():
+def test_first_matching_container_part_vs_union(spark):
     c_static = cfg("section, div.c", {"p": "p"})
     # static: first comma part that matches anything -> only the section
-    assert [r[0] for r in records_from_html(PAGE, "http://h/", c_static, "static")] == ["unclosednext"]
+    assert [r[0] for r in html_records(spark, PAGE, "http://h/", c_static, "static")] == ["unclosednext"]
     c_dom = cfg("section, div.c", {"p": "p"}, "index")
     # dom: union of all parts in document order (two divs, then the section)
-    assert len(records_from_html(PAGE, "http://h/", c_dom, "dom")) == 3
+    assert len(html_records(spark, PAGE, "http://h/", c_dom, "dom")) == 3
 
 
-def test_text_modes_nested_tags():
+def test_text_modes_nested_tags(spark):
     c = cfg("div#one", {"text": "p"})
-    assert records_from_html(PAGE, "u", c, "static") == [["HelloWorld"]]
-    assert records_from_html(PAGE, "u", c, "dom") == [["Hello World"]]
+    assert html_records(spark, PAGE, "u", c, "static") == [["HelloWorld"]]
+    assert html_records(spark, PAGE, "u", c, "dom") == [["Hello World"]]
 
 
-def test_attribute_on_container_itself_and_missing():
+def test_attribute_on_container_itself_and_missing(spark):
     c = cfg("div#one", {"x": {"attribute": "data-x"}, "missing": "span.none",
                         "miss_attr": {"selector": "h2", "attribute": "href"}})
-    assert records_from_html(PAGE, "u", c, "static") == [["abc", "N/A", "N/A"]]
+    assert html_records(spark, PAGE, "u", c, "static") == [["abc", "N/A", "N/A"]]
 
 
-def test_multi_valued_class_and_title_number():
+def test_multi_valued_class_and_title_number(spark):
     c = cfg("div.other", {"title": "h2", "heading": "h2"})
     # title fields lose a leading number: "1984" becomes empty -> N/A
-    assert records_from_html(PAGE, "u", c, "static") == [["N/A", "1984"]]
+    assert html_records(spark, PAGE, "u", c, "static") == [["N/A", "1984"]]
 
 
-def test_href_as_written_vs_absolute():
+def test_href_as_written_vs_absolute(spark):
     c = cfg("div#one", {"link": {"selector": "a", "attribute": "href"}})
-    assert records_from_html(PAGE, "http://h/dir/p", c, "static") == [["/a?x=1"]]
+    assert html_records(spark, PAGE, "http://h/dir/p", c, "static") == [["/a?x=1"]]
     c2 = cfg("div#one", {"link": {"selector": "a", "attribute": "href"}}, "index")
-    assert records_from_html(PAGE, "http://h/dir/p", c2, "dom") == [["http://h/a?x=1"]]
+    assert html_records(spark, PAGE, "http://h/dir/p", c2, "dom") == [["http://h/a?x=1"]]
 
 
 def test_void_unclosed_comment_script_entities():

@@ -1,7 +1,9 @@
 """X11: sites of different strategies extracted together, each in its mode."""
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
-from sitesift.operators.extract_html import records_from_html
+from sitesift.operators.extract_html import extract_html
 from sitesift.operators.route import extract_records
 from sitesift.sources.site_schema import load_site_schema
 
@@ -13,12 +15,11 @@ def test_index_and_detail_sites_in_one_pass(spark):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("page_id", "url", "html")
     got = {(r.page_id, r.ordinal): (r.domain, r.title, r.lead) for r in extract_records(pages, cfgs).collect()}
     want = {}
-    for r in pages.collect():
-        dom = ".org" if ".org" in r.url else "example"
-        mode = "dom" if dom == ".org" else "static"
-        cfg = next(c for c in cfgs if c.domain == dom)
-        for i, (title, lead) in enumerate(records_from_html(r.html, r.url, cfg, mode)):
-            want[(r.page_id, i)] = (dom, title, lead)
+    for c, mode in zip(cfgs, ("dom", "static")):
+        dom = F.when(F.contains("url", F.lit(".org")), F.lit(".org")).otherwise(F.lit("example"))
+        own = pages.withColumn("domain", dom).filter(F.col("domain") == c.domain)
+        for r in extract_html(own, [c], mode=mode).collect():
+            want[(r.page_id, r.ordinal)] = (c.domain, r.title, r.lead)
     assert got == want
     # the two modes really differ on these pages (unclosed <p>)
     assert any(v[0] == ".org" for v in got.values()) and any(v[0] == "example" for v in got.values())
@@ -26,21 +27,18 @@ def test_index_and_detail_sites_in_one_pass(spark):
     assert max(leads[".org"]) < max(leads["example"])
 
 
-def test_routing_prunes_raw_layer_by_format(spark, tmp_out):
-    import os
-    from pyspark.sql import functions as F
-    from sitesift import fixtures as fx
-    from sitesift.sources.raw import landed_to_raw, read_raw, write_raw
-    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("page_id", "url", "html")
-    landed = pages.unionByName(fx.order_json(spark, SF_SMALL))
-    fetched = F.expr("timestampadd(MINUTE, page_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')")
-    path = os.path.join(tmp_out, "raw")
-    write_raw(landed_to_raw(landed, fetched), path)
-    raw = read_raw(spark, path).withColumn("page_id", F.xxhash64("url"))
-    cfgs = load_site_schema({**fx.ORDER_SITE, **fx.ARTICLE_SITE})
-    recs = extract_records(raw, cfgs, url_col="url", body_col="body")
-    plan = recs._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(format" in plan and "(format#" in plan
-    direct = extract_records(landed.withColumn("page_id", F.xxhash64("url")), cfgs)
-    cols = ["domain", "source_url", "ordinal", "title", "line", "part"]
-    assert sorted(map(tuple, recs.select(cols).collect())) == sorted(map(tuple, direct.select(cols).collect()))
+def test_the_format_label_never_changes_the_records(spark):
+    """The site's strategy picks the parser; labels, leading white space and a
+    missing label make no difference."""
+    from sitesift.sources.raw import payload_format
+    cfgs = load_site_schema({"j.com": {"strategy": "json", "container": "", "fields": {"title": "t"}},
+                             "h.com": {"strategy": "detail", "container": "p", "fields": {"title": ""}}})
+    bodies = ['[{"t": "a"}]', '\n[{"t": "b"}]', " " * 80 + '{"t": "c"}', "[note] <p>d</p>", "{x} <p>e</p>"]
+    rows = [(i, f"https://{'j' if i < 3 else 'h'}.com/{i}", b) for i, b in enumerate(bodies)]
+    plain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = [(i, t) for i, t in enumerate("abcde")]
+    for pages in (plain, plain.withColumn("format", payload_format(F.col("html"))),
+                  plain.withColumn("format", F.lit(None).cast("string")), plain.withColumn("format", F.lit("rss"))):
+        got = sorted((r.page_id, r.title) for r in extract_records(pages, cfgs).collect())
+        assert got == want
+    assert [r[0] for r in plain.orderBy("page_id").select(payload_format(F.col("html"))).collect()][:3] == ["json"] * 3

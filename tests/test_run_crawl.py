@@ -81,3 +81,19 @@ def test_detail_sites_follow_listing_links(spark):
                    (3, "https://shop.test/item/3", "Item 3", "$3.00")]
     capped = run_crawl(fr, lf, load_site_schema(site), 2, fetched_col=None).records
     assert sorted(r.source_url for r in capped.collect()) == ["https://shop.test/item/1", "https://shop.test/item/2"]
+
+
+def test_newest_copy_counts_and_no_body_is_shuffled(spark):
+    import datetime as dt
+    from sitesift.plans.run import crawl_records
+    from sitesift.sources.site_schema import load_site_schema
+    cfgs = load_site_schema({"a.com": {"strategy": "index", "container": "p", "fields": {"title": ""}}})
+    day = [dt.datetime(2024, 1, d) for d in range(1, 4)]
+    landed = [("https://a.com/1", "<p>old</p>", day[0]), ("https://a.com/1", "<p>new</p><p>two</p>", day[1]),
+              ("https://a.com/1", "<p>new</p><p>two</p>", day[1]), ("https://a.com/9", "<p>off</p>", day[2])]
+    lf = spark.createDataFrame(landed, "page_url string, html string, fetched_at timestamp")
+    fr = spark.createDataFrame([("a", 1, "https://a.com/1"), ("a", 2, "https://a.com/2")], "target string, page_no int, page_url string")
+    out = crawl_records(fr, lf, cfgs, 500)
+    assert sorted((r.page_no, r.ordinal, r.title, r.scraped_at) for r in out.collect()) == [(1, 0, "new", day[1]), (1, 1, "two", day[1])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("_html" in line for line in plan.splitlines() if "Join" in line or "Aggregate" in line)

@@ -66,3 +66,10 @@ def test_soft_validate_missing_key_column(spark):
     df = spark.createDataFrame([("l", None), (None, None)], "link string, company string")
     out = V.soft_validate(df, "title").collect()
     assert [(r.title, r.link) for r in out] == [("N/A - Pending Review", "l")]
+
+
+def test_metrics_count_a_missing_required_column(spark):
+    from sitesift.operators.validate import required_keys, validation_metrics
+    df = spark.createDataFrame([("a", "t1"), ("a", "t2")], "g string, title string")
+    row = validation_metrics(df, "title", ["company"], ["g"]).first()
+    assert row.n_key_failed == 2 and required_keys(df, ["company"]).count() == 0
