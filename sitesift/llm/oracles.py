@@ -1,4 +1,5 @@
-"""DuckDB SQL for the rows of the queries that SQL can express."""
+"""DuckDB SQL for the rows of the queries that SQL can express. Columns that
+hold nulls are DOUBLE here: a data frame of nullable longs has that type."""
 
 from __future__ import annotations
 
@@ -24,7 +25,7 @@ WITH t(t, txt, label, base) AS (VALUES {{templates}}
 ), bl AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY doc_id
 )
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::DOUBLE AS first_word, last_word::DOUBLE AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM w LEFT JOIN ml USING (doc_id) LEFT JOIN bl USING (doc_id)
 """
@@ -96,7 +97,7 @@ WITH p AS (
   SELECT page_id, url, sha1(encode(coalesce(html, ''))) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages
 ), l AS (SELECT payload_digest, max(page_id) AS lead FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < lead THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id < lead THEN lead END AS refers_to, url
+  (CASE WHEN page_id < lead THEN lead END)::DOUBLE AS refers_to, url
 FROM p LEFT JOIN l USING (payload_digest)
 """
 
