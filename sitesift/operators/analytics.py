@@ -156,7 +156,7 @@ def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, min_share: float =
     seen = df.select(F.explode(distinct).alias("word")).filter(keep_word("word"))
     doc_freq = materialize(seen.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
                            .filter(F.col("df") >= F.lit(min_share) * n_docs))
-    vocab = doc_freq.agg(F.collect_list("word")).scalar()
+    vocab = F.array(*[F.lit(r["word"]) for r in doc_freq.select("word").collect()]).cast("array<string>")
     per_doc = df.select(F.array_sort(F.array_intersect(distinct, vocab)).alias("ws"))
     n = F.size("ws")
     pairs = per_doc.filter(n >= 2).select(F.explode(F.flatten(F.transform(
