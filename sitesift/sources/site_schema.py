@@ -16,7 +16,7 @@ from typing import Any, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..operators.html_tree import split_selector
+from ..operators.html_tree import compile_list, split_selector
 
 FIELD_TYPE = T.StructType([
     T.StructField("name", T.StringType(), False),
@@ -118,7 +118,23 @@ def load_site_schema(source: dict | list | str) -> list[SiteConfig]:
         items: Iterable = source.items()
     else:
         items = ((d["domain"], d) for d in source)
-    return [site_config(dom, cfg, i) for i, (dom, cfg) in enumerate(items)]
+    configs = [site_config(dom, cfg, i) for i, (dom, cfg) in enumerate(items)]
+    for c in configs:
+        check_selectors(c)
+    return configs
+
+
+def check_selectors(cfg: SiteConfig) -> None:
+    """Reject an unsupported selector when the schema is loaded, not in a
+    worker: every container and field selector of an HTML site must compile.
+    (JSON paths and feed tags are not selectors.)"""
+    if cfg.strategy in ("json", "rss"):
+        return
+    for text in [*split_selector(cfg.container), *(s for f in cfg.fields for s in f.selectors)]:
+        try:
+            compile_list(text)
+        except ValueError as e:
+            raise ValueError(f"{cfg.domain}: {e}") from None
 
 
 def site_schema_df(spark: SparkSession, configs: list[SiteConfig]) -> DataFrame:

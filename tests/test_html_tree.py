@@ -109,3 +109,10 @@ def test_native_entity_decoder(spark):
     from sitesift.functions.text import decode_entities
     df = spark.createDataFrame([("a &amp; b &amp",), ("&copy 2024 &middot;x &ampz",)], "t string")
     assert [r[0] for r in df.select(decode_entities("t")).collect()] == ["a & b &", "© 2024 ·x &ampz"]
+
+
+def test_bad_selectors_fail_when_the_schema_is_loaded():
+    import pytest
+    with pytest.raises(ValueError, match="x: unsupported"):
+        load_site_schema({"x": {"fields": {"t": "p:first-child"}}})
+    load_site_schema({"x": {"strategy": "rss", "container": "item", "fields": {"t": "dc:creator"}}})
