@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SLICE_DOCS = 1024          # a document index fits into DOC_BITS
 DOC_BITS = 10
 HASH_SHIFT = np.uint64(DOC_BITS)

@@ -46,7 +46,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, MERGES = 1, 2
 #: Chunks a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 PROBES = ["", " ", "a", "  two  spaces ", "line\nbreak\ttab", "<s> </s> <unk> <0x0A>", "café naïve 你好",
           "\U0001f600 emoji", "x▁y", "3.14 = 22/7?", "\u0000\u0001", "A" * 300]
 
@@ -294,6 +294,7 @@ def encoded(docs: DataFrame, data: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(s.first, s.n).columns, pa.array(size), T.list_array(ids, size, pa.int32()),
                      pa.array(trip), pa.array(parity)], names=[*keep, *(f.name for f in extra.fields)])
+        own._forget()       # the worker lives on for other stages
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *extra.fields]))
 

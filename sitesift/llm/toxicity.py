@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 
-PER_CLASS = 4000
+PER_CLASS = 3000
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 PREFIXES = (4, 5, 6)
@@ -100,13 +100,13 @@ def hazard(z: np.ndarray) -> np.ndarray:
 def train(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Weights (none below 0) by Adagrad on the noisy-or likelihood with an
     L1 penalty. ``sentence`` indexes sentences, ``doc`` the text of each."""
-    pairs = np.unique((doc[sentence].astype(np.int64) << BUCKET_BITS) | feature)
-    spread = np.bincount(pairs & (BUCKETS - 1), minlength=BUCKETS) >= MIN_DOCS
-    feature, sentence = feature[spread[feature]], sentence[spread[feature]]
     weights = np.zeros(BUCKETS, np.float32)
     if not len(feature):
         return weights
-    used, local = np.unique(feature, return_inverse=True)
+    used = np.flatnonzero(np.bincount(feature, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    local = place[feature]
     w, history, rng = np.zeros(len(used)), None, np.random.Generator(np.random.PCG64(6))
     positive = label[doc] > 0
     per_class = np.where(label > 0, 0.5 / max(1, (label > 0).sum()), 0.5 / max(1, (label <= 0).sum()))[doc]
@@ -135,17 +135,23 @@ def train(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    features, sentences, doc, label, seen = [], [], [], [], 0
+    features, sentences, sizes, label = [], [], [], []
+    spread = np.zeros(BUCKETS, np.int32)        # documents that have a feature
     for batch in batches:
         for y, f, s, n in zip(*(batch.column(c).to_pylist() for c in ("label", "features", "sentences", "n_sentences"))):
             features.append(np.frombuffer(f, np.int32))
-            sentences.append(np.frombuffer(s, np.int32) + seen)
-            doc.append(np.full(n, len(label), np.int32))
+            sentences.append(np.frombuffer(s, np.int32))
+            spread[np.unique(features[-1])] += 1
+            sizes.append(n)
             label.append(y)
-            seen += n
     weights = np.zeros(BUCKETS, np.float32)
-    if seen and 0 < sum(label) < len(label):
-        weights = train(np.concatenate(features), np.concatenate(sentences), np.concatenate(doc), np.array(label))
+    if 0 < sum(label) < len(label):
+        first = np.cumsum(sizes) - sizes
+        for i, f in enumerate(features):        # rare features go before anything is put together
+            keep = spread[f] >= MIN_DOCS
+            features[i], sentences[i] = f[keep], (sentences[i][keep] + first[i]).astype(np.int32)
+        weights = train(np.concatenate(features), np.concatenate(sentences),
+                        np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.array(label))
     yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
 
