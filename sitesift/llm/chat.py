@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -112,6 +112,10 @@ def coder(ranks: bytes) -> Coder:
     return _CODERS[key]
 
 
+def node_id(path: Column) -> Column:
+    return F.unhex(F.md5(path))
+
+
 def numbered(turns: DataFrame) -> DataFrame:
     """conv_id, k (place in the conversation), role, text, and the node key
     ``path``: one 16-digit hash for each turn up to this one."""
@@ -174,14 +178,15 @@ def prefix_tree(turns: DataFrame, ranks: bytes) -> tuple[DataFrame, DataFrame]:
     rows = written(numbered(turns), "chat-turns")
     tree = nodes(rows, ranks)
     placed = written(_offsets(tree), "chat-offsets")
-    up = placed.select("path", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("d"))
-    up = up.withColumn("above", F.expr("substring(path, 1, 16 * d)"))
-    spans = placed.select(F.col("path").alias("above"), F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b"))
-    lines = up.join(spans, "above").groupBy("path").agg(
+    # Ancestors by node id, 16 bytes, so that deep conversations don't carry their paths along.
+    up = placed.select(node_id(F.col("path")).alias("node"), "path", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("d"))
+    up = up.select("node", node_id(F.expr("substring(path, 1, 16 * d)")).alias("above"))
+    spans = placed.select(node_id(F.col("path")).alias("above"), F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b"))
+    lines = up.join(spans, "above").groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct(F.col("a").alias("from"), F.col("b").alias("to")))).alias("attends"))
     seen = F.aggregate("attends", F.lit(0).cast("bigint"), lambda t, x: t + x["to"] - x["from"])
-    out = (tree.join(placed.select("path", "at", "n"), "path").join(lines, "path")
-           .withColumn("first_position", seen - F.col("n"))
+    sized = placed.select("path", "at", "n").withColumn("node", node_id(F.col("path"))).join(lines, "node")
+    out = (tree.join(sized, "path").withColumn("first_position", seen - F.col("n"))
            .select("path", "depth", "tokens", "loss_from", "loss_to", "at", "first_position", "attends"))
     leaves = rows.groupBy("conv_id").agg(F.max("k").cast("bigint").alias("n_turns"), F.max_by("path", "k").alias("leaf"))
     return out, leaves
@@ -210,12 +215,14 @@ def read_back(tree: DataFrame, leaves: DataFrame, ranks: bytes) -> DataFrame:
 
     ends = leaves.groupBy("leaf").agg(F.max("n_turns").cast("int").alias("depth"))
     steps = ends.select("leaf", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("d"))
-    steps = steps.withColumn("path", F.expr("substring(leaf, 1, 16 * d)"))
-    parts = steps.join(tree.select("path", "first_position", "tokens", "loss_from", "loss_to"), "path").groupBy("leaf").agg(
-        F.array_sort(F.collect_list(F.struct("d", "first_position", "tokens", "loss_from", "loss_to"))).alias("parts"))
+    steps = steps.select(node_id(F.col("leaf")).alias("leaf"), "d", node_id(F.expr("substring(leaf, 1, 16 * d)")).alias("node"))
+    emitted = tree.select(node_id(F.col("path")).alias("node"), "tokens", "loss_from", "loss_to")
+    parts = steps.join(emitted, "node").groupBy("leaf").agg(
+        F.array_sort(F.collect_list(F.struct("d", "tokens", "loss_from", "loss_to"))).alias("parts"))
     read = parts.select("leaf", "parts").mapInArrow(
-        decoded, "leaf string, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
-    return leaves.join(read, "leaf").select(
+        decoded, "leaf binary, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    by_id = leaves.select("conv_id", "n_turns", node_id(F.col("leaf")).alias("leaf"))
+    return by_id.join(read, "leaf").select(
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
