@@ -3,17 +3,22 @@
 Level 1 holds every training word: its 64-bit hash (Elias-Fano; a word's id is
 its place) and the running sum of counts (Elias-Fano; exact counts are its
 differences). Level 2 holds the successors of each word that were seen at
-least ``CUTOFF`` times: a monotone Elias-Fano pointer per context to its range
-of successors, the successor ids relative to their context (context number
-times the vocabulary plus id, so the whole level is one monotone sequence),
-and one byte each for the smoothed log probability and the context's back-off
-mass. A query looks its context up, drops out where the pointer range is
-empty, and searches the successor inside the context's stretch.
+least ``cutoff`` times (1: every one): a monotone Elias-Fano pointer per
+context to its range of successors, the successor ids relative to their
+context (context number times the vocabulary plus id, so the whole level is
+one monotone sequence), and one byte each for the smoothed log probability and
+the context's back-off mass. A query looks its context up, drops out where the
+pointer range is empty, and searches the successor inside the context's
+stretch. Level 3 (``order=3``) is built alike; its contexts are the pairs of
+level 2 by their place there, and its bytes are the discounted share and the
+mass that is left to level 2.
 
 Probabilities: absolute discounting, interpolated with the unigram level:
 p(w|c) = (n(c,w) - D) / n(c) + g(c) p1(w), where g(c) is all that is left over
 (also of the pairs under the cutoff), so every context sums to one. p1 is the
-additive unigram of the contract's base score.
+additive unigram of the contract's base score. With order 3,
+p(w|b,c) = (n(b,c,w) - D) / n(b,c) + g(b,c) p(w|c); the first word of a text
+has only its start as context, and a pair that is not stored leaves p(w|c).
 
 Scale. Counts are gathered by sorted blocks: each task sums its own keys,
 sends one block per shard, and one task per shard merges them and writes the
@@ -37,7 +42,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +59,8 @@ DISCOUNT = 0.75
 ADD = 0.1
 #: Text bytes per shard of the counts, and per counting or scoring step.
 SHARD_BYTES = 48 << 20
+#: Contexts of a shard of level 3.
+SHARD_PAIRS = 1 << 19
 STEP_BYTES = 4 << 20
 #: Distinct keys a counting task holds before it sends them.
 HOLD = 3_000_000
@@ -90,28 +97,35 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
-def gathered(keys_of: Callable[[T.Slice], tuple[np.ndarray, np.ndarray]]):
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the byte planes of their differences, which compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def gathered(keys_of: Callable[[T.Slice], np.ndarray], shard_of: Callable[[np.ndarray], np.ndarray]):
     """An Arrow function that sums the keys of its texts and emits a block per
-    shard; ``keys_of`` gives keys and their shards."""
+    shard; ``shard_of`` gives the shards of sorted keys, which never fall."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            shard = np.concatenate([h[2] for h in held])
-            keys, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            keys, counts = _summed(*map(np.concatenate, zip(*held)))
             held.clear()
-            for k in np.unique(shard).tolist():
-                at = shard == k
-                a, b = _summed(keys[at], counts[at])
+            used, first = np.unique(shard_of(keys), return_index=True)
+            for k, a, b in zip(used.tolist(), first, [*first[1:], len(keys)]):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([k], pa.int32()), pa.array([a.tobytes()], pa.binary()),
-                    pa.array([b.astype(np.uint32).tobytes()], pa.binary())], names=["shard", "keys", "counts"])
+                    pa.array([k], pa.int32()), pa.array([_packed(keys[a:b])], pa.binary()),
+                    pa.array([counts[a:b].astype(np.uint32).tobytes()], pa.binary())], names=["shard", "keys", "counts"])
 
         for batch in batches:
             for s in _steps(batch.column("text")):
-                keys, shard = keys_of(s)
-                keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-                held.append((keys, counts.astype(np.int64), shard[first]))
+                keys, counts = np.unique(keys_of(s), return_counts=True)
+                held.append((keys, counts.astype(np.int64)))
                 if sum(len(h[0]) for h in held) > HOLD:
                     yield from flush()
         if held:
@@ -120,7 +134,7 @@ def gathered(keys_of: Callable[[T.Slice], tuple[np.ndarray, np.ndarray]]):
 
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
+    keys = np.concatenate([_unpacked(x) for x in table.column("keys").to_pylist()])
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
     return _summed(keys, counts.astype(np.int64))
 
@@ -155,11 +169,14 @@ def _mapped(folder: str, name: str) -> np.ndarray:
 @dataclass
 class Trie:
     """What a worker needs to read the files: the folder, the number of hash
-    bits that choose a shard, and per shard how many words it holds."""
+    bits that choose a shard, and per shard how many words and, for a third
+    level, how many pairs it holds; ``span`` pairs are a shard of that level."""
     folder: str
     bits: int
     sizes: list[int]
     total: int
+    pairs: list[int] = field(default_factory=list)
+    span: int = SHARD_PAIRS
 
     @property
     def words(self) -> int:
@@ -211,10 +228,41 @@ class Trie:
         with it the last shard's end, go to the last shard."""
         return np.clip(np.searchsorted(self.first_ids(), ids, side="right") - 1, 0, len(self.sizes) - 1)
 
-    def successors(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def first_pairs(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.pairs, dtype=np.int64)])
+
+    def triples(self, place: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Keys of level 3: the context pair's place times the vocabulary,
+        plus the second word of ``pairs`` (unseen: the start, which follows
+        nothing)."""
+        word = np.minimum(pairs & np.uint64(0xFFFFFFFF), np.uint64(self.words))
+        return place.astype(np.uint64) * np.uint64(self.words + 1) + word
+
+    def shard_of_triple(self, keys: np.ndarray) -> np.ndarray:
+        return (keys // np.uint64((self.words + 1) * self.span)).astype(np.int64)
+
+    def thirds(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted distinct keys of level 3: the discounted share (0: not
+        stored) and the mass that the context leaves to level 2."""
+        share, left = np.zeros(len(keys)), np.ones(len(keys))
+        size = np.uint64(self.words + 1)
+        cut = np.searchsorted(keys, np.arange(sum(self.pairs) // self.span + 2).astype(np.uint64) * (size * np.uint64(self.span)))
+        for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+            if a == b:
+                continue
+            level = _Level(_mapped(self.folder, f"triples-{k}"))
+            wanted = keys[a:b] - np.uint64(k * self.span) * size
+            left[a:b] = 10 ** level.backoff((wanted // size).astype(np.int64))
+            at = level.ids.search(wanted)
+            share[a:b][at >= 0] = 10 ** level.probability(at[at >= 0])
+        return share, left
+
+    def successors(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For sorted distinct pairs ``context << 32 | id``: the log10
-        probability (nan: not stored) and the log10 back-off of the context."""
-        prob, back = np.full(len(pairs), np.nan), np.zeros(len(pairs))
+        probability (nan: not stored), the log10 back-off of the context, and
+        the place in level 2 (-1: not stored)."""
+        prob, back, place = np.full(len(pairs), np.nan), np.zeros(len(pairs)), np.full(len(pairs), -1, np.int64)
+        before = self.first_pairs() if self.pairs else np.zeros(len(self.sizes) + 1, np.int64)
         ctx, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint64)
         first = self.first_ids()
         shard = self.contexts(ctx)
@@ -222,7 +270,7 @@ class Trie:
         for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
             if a == b:
                 continue
-            level = _Level2(_mapped(self.folder, f"pairs-{k}"))
+            level = _Level(_mapped(self.folder, f"pairs-{k}"))
             local = ctx[a:b] - first[k]
             one, which = np.unique(local, return_inverse=True)
             begin, end = level.pointers.take(one), level.pointers.take(one + 1)
@@ -231,10 +279,11 @@ class Trie:
             wanted = local[has].astype(np.uint64) * np.uint64(self.words + 1) + word[a:b][has]
             at = level.ids.search(wanted)
             prob[a:b][has[at >= 0]] = level.probability(at[at >= 0])
-        return prob, back
+            place[a:b][has] = np.where(at >= 0, at + before[k], -1)
+        return prob, back, place
 
 
-class _Level2:
+class _Level:
     """Pointers, context-relative ids, then two byte arrays with their range."""
 
     def __init__(self, data: np.ndarray):
@@ -260,8 +309,23 @@ def _quantised(values: np.ndarray) -> tuple[np.ndarray, list[float]]:
     return np.rint((values - low) * (255 / span if span else 0)).astype(np.uint8), [low, span]
 
 
-def build(docs: DataFrame) -> Trie:
-    """Count the training rows of ``docs(doc_id, text)`` and write the trie."""
+def _level(local: np.ndarray, word: np.ndarray, logs: np.ndarray, left: np.ndarray, words: int) -> bytes:
+    """A file of ``_Level``: successors sorted by context (``local``) and
+    word, with their log10 values, and the mass ``left`` of every context."""
+    pq, p_range = _quantised(logs)
+    gq, g_range = _quantised(np.log10(np.maximum(left, 1e-9)))
+    pointers = np.concatenate([[0], np.cumsum(np.bincount(local, minlength=len(left)))])
+    ids = local.astype(np.uint64) * np.uint64(words + 1) + word.astype(np.uint64)
+    data = elias_fano.encode(pointers) + elias_fano.encode(ids) + np.array([*p_range, *g_range]).tobytes()
+    return data + pq.tobytes() + gq.tobytes()
+
+
+def build(docs: DataFrame, order: int = 2, cutoff: int = CUTOFF) -> Trie:
+    """Count the training rows of ``docs(doc_id, text)`` and write the trie
+    with levels up to ``order`` (2 or 3). Successors seen less than ``cutoff``
+    times are not stored: 1 stores every one."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: 2 or 3")
     spark = docs.sparkSession
     train = docs.filter(~held_out(F.col("doc_id"))).select("text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -269,9 +333,11 @@ def build(docs: DataFrame) -> Trie:
     folder = scratch(spark, "trie")
     empty = Trie(folder, bits, [0] * (1 << bits), 0)
 
-    def word_keys(s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
-        h, _ = tokens(s)
-        return h, empty.shard_of_hash(h)
+    def counted(keys_of, shard_of, shards: int, write, schema: str) -> list:
+        # Every shard gets a file: an empty block each stands beside what was counted.
+        none = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
+        blocks = train.mapInArrow(gathered(keys_of, shard_of), BLOCKS).unionByName(none)
+        return blocks.groupBy("shard").applyInArrow(write, schema).collect()     # a row per shard
 
     def write_words(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
@@ -281,8 +347,7 @@ def build(docs: DataFrame) -> Trie:
         return pa.table({"shard": pa.array([shard], pa.int32()), "words": pa.array([len(hashes)], pa.int64()),
                          "total": pa.array([int(sums[-1])], pa.int64())})
 
-    made = (train.mapInArrow(gathered(word_keys), BLOCKS).groupBy("shard")
-            .applyInArrow(write_words, "shard int, words bigint, total bigint").collect())     # a row per shard
+    made = counted(lambda s: tokens(s)[0], empty.shard_of_hash, 1 << bits, write_words, "shard int, words bigint, total bigint")
     sizes = [0] * (1 << bits)
     for r in made:
         sizes[r["shard"]] = r["words"]
@@ -290,10 +355,6 @@ def build(docs: DataFrame) -> Trie:
     if not trie.total:
         return trie
 
-    def pair_keys(s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
-        pairs = _pairs(trie, s)[0]
-        return pairs, trie.contexts((pairs >> np.uint64(32)).astype(np.int64))
-
     def write_pairs(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         pairs, counts = _merged(table)
@@ -301,26 +362,54 @@ def build(docs: DataFrame) -> Trie:
         n_ctx = sizes[shard] + (shard == len(sizes) - 1)       # the last one also holds the start
         local = (pairs >> np.uint64(32)).astype(np.int64) - begin
         seen = np.bincount(local, counts, minlength=n_ctx)     # n(c), all pairs
-        kept = counts >= CUTOFF
+        kept = counts >= cutoff
         local, counts = local[kept], counts[kept]
         word = (pairs[kept] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         share = (counts - DISCOUNT) / seen[local]
         left = 1 - np.bincount(local, share, minlength=n_ctx)
         one, which = np.unique(word, return_inverse=True)
         p = share + left[local] * trie.unigram(trie.counts_of(one))[which]
-        pq, p_range = _quantised(np.log10(p))
-        gq, g_range = _quantised(np.log10(np.maximum(left, 1e-9)))
-        pointers = np.concatenate([[0], np.cumsum(np.bincount(local, minlength=n_ctx))])
-        ids = local.astype(np.uint64) * np.uint64(trie.words + 1) + word.astype(np.uint64)
-        data = elias_fano.encode(pointers) + elias_fano.encode(ids) + np.array([*p_range, *g_range]).tobytes()
-        _store(folder, f"pairs-{shard}", data + pq.tobytes() + gq.tobytes())
-        return pa.table({"shard": pa.array([shard], pa.int32()), "pairs": pa.array([len(ids)], pa.int64())})
+        _store(folder, f"pairs-{shard}", _level(local, word, np.log10(p), left, trie.words))
+        return pa.table({"shard": pa.array([shard], pa.int32()), "pairs": pa.array([len(local)], pa.int64())})
+
+    made = counted(lambda s: _pairs(trie, s)[0], lambda pairs: trie.contexts((pairs >> np.uint64(32)).astype(np.int64)),
+                   1 << bits, write_pairs, "shard int, pairs bigint")
+    if order == 2:
+        return trie
+    held = [0] * (1 << bits)
+    for r in made:
+        held[r["shard"]] = r["pairs"]
+    whole = Trie(folder, bits, sizes, trie.total, held, SHARD_PAIRS)
+    n_pairs = sum(held)
+
+    def triple_keys(s: T.Slice) -> np.ndarray:
+        pairs, doc, _ = _pairs(whole, s)
+        one, which = np.unique(pairs, return_inverse=True)
+        return _triples(whole, pairs, doc, whole.successors(one)[2][which])[0]
+
+    def write_triples(key: tuple, table: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        keys, counts = _merged(table)
+        n_ctx = min(whole.span, n_pairs - shard * whole.span)
+        local = (keys // np.uint64(whole.words + 1)).astype(np.int64) - shard * whole.span
+        word = (keys % np.uint64(whole.words + 1)).astype(np.int64)
+        seen = np.bincount(local, counts, minlength=n_ctx)
+        kept = counts >= cutoff
+        local, word, counts = local[kept], word[kept], counts[kept]
+        share = (counts - DISCOUNT) / seen[local]
+        left = 1 - np.bincount(local, share, minlength=n_ctx)
+        _store(folder, f"triples-{shard}", _level(local, word, np.log10(share), left, whole.words))
+        return pa.table({"shard": pa.array([shard], pa.int32())})
+
+    counted(triple_keys, whole.shard_of_triple, n_pairs // whole.span + 1, write_triples, "shard int")
+    return whole
+
 
-    # Every shard gets a file: an empty block each stands beside what was counted.
-    blocks = train.mapInArrow(gathered(pair_keys), BLOCKS)
-    none = spark.range(1 << bits).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
-    blocks.unionByName(none).groupBy("shard").applyInArrow(write_pairs, "shard int, pairs bigint").collect()
-    return trie
+def _triples(trie: Trie, pairs: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of level 3 and the tokens they belong to: those after a pair that
+    has a ``place`` in level 2, in the same text."""
+    at = 1 + np.flatnonzero((place[:-1] >= 0) & (doc[1:] == doc[:-1]))
+    return trie.triples(place[at - 1], pairs[at]), at
 
 
 def _pairs(trie: Trie, s: T.Slice, with_counts: bool = False):
@@ -349,8 +438,15 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
                 known = np.flatnonzero((pairs >> np.uint64(32)) != 0xFFFFFFFF)   # contexts seen in training
                 if trie.total and len(known):
                     one, which = np.unique(pairs[known], return_inverse=True)
-                    prob, back = trie.successors(one)
+                    prob, back, place = trie.successors(one)
                     model[known] = np.where(np.isnan(prob[which]), back[which] + base[known], prob[which])
+                    if trie.pairs:
+                        own = np.full(len(pairs), -1, np.int64)
+                        own[known] = place[which]
+                        keys, at = _triples(trie, pairs, doc, own)
+                        one, which = np.unique(keys, return_inverse=True)
+                        share, left = trie.thirds(one)
+                        model[at] = np.log10(share[which] + left[which] * 10 ** model[at])
                 per_doc = lambda w=None: np.bincount(doc, w, minlength=s.n)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(s.first, s.n), batch.column("held_out").slice(s.first, s.n),

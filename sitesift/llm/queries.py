@@ -30,7 +30,7 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngram_trie.score(docs, ngram_trie.build(docs))
+    return ngram_trie.score(docs, ngram_trie.build(docs, order=3, cutoff=1))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,41 @@ def test_language_model_against_counts(spark, docs, none):
     assert all(r.score == 0 for r in ngram_trie.score(docs, empty).collect())
 
 
+def test_language_model_of_order_three_against_counts(spark, docs, none, monkeypatch):
+    """As the registered query builds it: every successor, three levels, and here several shards of the third."""
+    monkeypatch.setattr(ngram_trie, "SHARD_PAIRS", 1 << 14)
+    trie = ngram_trie.build(docs, order=3, cutoff=1)
+    rows = docs.collect()
+    tokens = [["<s>", *space_words(lower(r.text)), None] for r in rows]
+    train = [t for r, t in zip(rows, tokens) if r.doc_id is None or crc32(str(r.doc_id).encode()) % 10]
+    count = Counter(w for t in train for w in t[1:])
+    total, size = sum(count.values()), len(count)
+
+    def level(n):
+        grams = Counter(g for t in train for g in zip(*(t[k:] for k in range(n))))
+        seen, kinds = Counter(), Counter()
+        for g, c in grams.items():
+            seen[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        return lambda context, w, lower_p: lower_p if not seen[context] else (
+            max(grams[(*context, w)] - 0.75, 0) + 0.75 * kinds[context] * lower_p) / seen[context]
+
+    two, three = level(2), level(3)
+
+    def logs(t):
+        for i in range(1, len(t)):
+            p = two((t[i - 1],), t[i], (count[t[i]] + 0.1) / (total + 0.1 * (size + 1)))
+            yield math.log10(three((t[i - 2], t[i - 1]), t[i], p) if i > 1 else p)
+
+    want = sorted(((r.doc_id, len(t) - 1, sum(logs(t))) for r, t in zip(rows, tokens)), key=key)
+    got = sorted(((r.doc_id, r.n_tokens, r.score) for r in ngram_trie.score(docs, trie).collect()), key=key)
+    assert sum(trie.pairs) > ngram_trie.SHARD_PAIRS
+    assert sum(trie.pairs) == len({p for t in train for p in zip(t, t[1:])})
+    for a, b in zip(got, want):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 0.05 * b[1]
+    assert all(r.score == 0 for r in ngram_trie.score(docs, ngram_trie.build(none, order=3, cutoff=1)).collect())
+
+
 def test_elias_fano_round_trip():
     from sitesift.llm import elias_fano
     rng = np.random.default_rng(1)
