@@ -18,7 +18,9 @@ hash of the turn, so sorting path keys as strings is depth-first order. The
 stream offset of a node is a prefix sum over that order: a range-partitioned
 sort, one total per partition on the driver, then a running sum inside each
 partition. A first turn that a third of all conversations share is one node;
-the joins back from it have unique keys on the node side.
+the joins back from it have unique keys on the node side. The nodes are
+written as that stream, in ranges of their offsets, and conversations are read
+from the written stream by the intervals of their last turn.
 
 Defined cases: a null text is empty, a null role is an empty role; turns are
 ordered by (turn, role, text) with nulls first, so repeated rows are repeated
@@ -170,7 +172,8 @@ def _offsets(tree: DataFrame) -> DataFrame:
 
 
 def prefix_tree(turns: DataFrame, ranks: bytes) -> tuple[DataFrame, DataFrame]:
-    """The emitted nodes, and (conv_id, n_turns, leaf) of each conversation.
+    """The emitted nodes, written in stream order, and (conv_id, n_turns,
+    leaf) of each conversation.
 
     Node columns: path, depth, tokens, loss_from, loss_to, at (place in the
     emitted stream), first_position (of its first token; the others follow),
@@ -188,13 +191,22 @@ def prefix_tree(turns: DataFrame, ranks: bytes) -> tuple[DataFrame, DataFrame]:
     sized = placed.select("path", "at", "n").withColumn("node", node_id(F.col("path"))).join(lines, "node")
     out = (tree.join(sized, "path").withColumn("first_position", seen - F.col("n"))
            .select("path", "depth", "tokens", "loss_from", "loss_to", "at", "first_position", "attends"))
+    parts = max(1, tree.rdd.getNumPartitions())
+    out = written(out.repartitionByRange(parts, "at").sortWithinPartitions("at"), "chat-stream")
     leaves = rows.groupBy("conv_id").agg(F.max("k").cast("bigint").alias("n_turns"), F.max_by("path", "k").alias("leaf"))
     return out, leaves
 
 
+READ = ("turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, "
+        "positions_sha256 string, attends_sha256 string")
+
+
 def read_back(tree: DataFrame, leaves: DataFrame, ranks: bytes) -> DataFrame:
-    """Per conversation, from the emitted tokens alone: the digests of its
-    turns and of the text under the loss, and its formatted length."""
+    """Per conversation, from the emitted stream alone: what lies in the
+    intervals that its last turn attends to. The digests of its turns and of
+    the text under the loss, its formatted length, its number of tokens, and
+    the digests of their position ids (64-bit little-endian, one after the
+    other) and of the intervals (``from:to``, joined by commas)."""
     spark = tree.sparkSession
     sent = spark.sparkContext.broadcast(ranks)
 
@@ -203,27 +215,33 @@ def read_back(tree: DataFrame, leaves: DataFrame, ranks: bytes) -> DataFrame:
         for batch in batches:
             rows = []
             for parts in batch.column("parts").to_pylist():
+                if any(len(p["tokens"]) != p["to"] - p["from"] for p in parts):
+                    raise ValueError("an interval is not a node of the stream")
                 ids = [i for p in parts for i in p["tokens"]]
                 whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in code.turns(ids)).encode())
                 loss = "".join(unescape(code.text(p["tokens"][p["loss_from"]:p["loss_to"]])) for p in parts)
-                rows.append((whole.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(code.text(ids))))
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("leaf"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()),
-                pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()),
-            ], names=["leaf", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    ends = leaves.groupBy("leaf").agg(F.max("n_turns").cast("int").alias("depth"))
-    steps = ends.select("leaf", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("d"))
-    steps = steps.select(node_id(F.col("leaf")).alias("leaf"), "d", node_id(F.expr("substring(leaf, 1, 16 * d)")).alias("node"))
-    emitted = tree.select(node_id(F.col("path")).alias("node"), "tokens", "loss_from", "loss_to")
-    parts = steps.join(emitted, "node").groupBy("leaf").agg(
-        F.array_sort(F.collect_list(F.struct("d", "tokens", "loss_from", "loss_to"))).alias("parts"))
-    read = parts.select("leaf", "parts").mapInArrow(
-        decoded, "leaf binary, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+                positions = hashlib.sha256()
+                for p in parts:
+                    positions.update((np.arange(len(p["tokens"]), dtype="<i8") + p["first_position"]).tobytes())
+                spans = ",".join(f"{p['from']}:{p['to']}" for p in parts)
+                rows.append((whole.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(code.text(ids)),
+                             len(ids), positions.hexdigest(), hashlib.sha256(spans.encode()).hexdigest()))
+            fields = [f.split() for f in READ.split(", ")]
+            cols = list(zip(*rows)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("leaf"), *(pa.array(c, pa.int64() if t == "bigint" else pa.string()) for c, (_, t) in zip(cols, fields))],
+                names=["leaf", *(name for name, _ in fields)])
+
     by_id = leaves.select("conv_id", "n_turns", node_id(F.col("leaf")).alias("leaf"))
-    return by_id.join(read, "leaf").select(
-        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    ends = tree.select(node_id(F.col("path")).alias("leaf"), "attends").join(by_id.select("leaf").distinct(), "leaf", "left_semi")
+    steps = ends.select("leaf", F.explode("attends").alias("x")).select("leaf", F.col("x.from").alias("from"), F.col("x.to").alias("to"))
+    emitted = tree.select(F.col("at").alias("from"), "tokens", "loss_from", "loss_to", "first_position")
+    # An interval whose node is not in the stream fails above rather than being left out.
+    found = steps.join(emitted, "from", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<int>")))
+    parts = found.groupBy("leaf").agg(
+        F.array_sort(F.collect_list(F.struct("from", "to", "tokens", "loss_from", "loss_to", "first_position"))).alias("parts"))
+    read = parts.select("leaf", "parts").mapInArrow(decoded, f"leaf binary, {READ}")
+    return by_id.join(read, "leaf").drop("leaf")
 
 
 def load_ranks(path: str = TOKENIZER) -> bytes:

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitesift.llm import chat, pieces, warc
 from sitesift.llm._runtime import scratch, table
@@ -53,6 +54,31 @@ def test_chat_tree_is_one_depth_first_stream(turns):
     assert sum(n.depth == 1 for n in nodes) < 6            # the shared first turn is one node
 
 
+def test_chat_reads_positions_and_intervals_from_the_written_stream(turns):
+    ranks = chat.load_ranks()
+    tree, leaves = chat.prefix_tree(turns, ranks)
+    files = {}
+    for r in tree.select(F.input_file_name().alias("file"), "at").collect():
+        files.setdefault(r.file, []).append(r.at)
+    assert all(files) and all(v == sorted(v) for v in files.values())
+    ranges = sorted((v[0], v[-1]) for v in files.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    by_path = {n.path: n for n in tree.collect()}
+    leaf = {r.conv_id: r.leaf for r in leaves.collect()}
+    got = {r.conv_id: r for r in chat.read_back(tree, leaves, ranks).collect()}
+    assert set(got) == set(leaf)
+    for conv, r in got.items():
+        above = by_path[leaf[conv]].attends
+        assert r.n_tokens == sum(x["to"] - x["from"] for x in above)
+        assert r.positions_sha256 == hashlib.sha256(b"".join(i.to_bytes(8, "little") for i in range(r.n_tokens))).hexdigest()
+        assert r.attends_sha256 == hashlib.sha256(",".join(f"{x['from']}:{x['to']}" for x in above).encode()).hexdigest()
+    # Without its last turn's own interval a conversation loses that turn; elsewhere in the stream there is no node.
+    less = chat.read_back(tree.withColumn("attends", F.expr("slice(attends, 1, 1)")), leaves, ranks).collect()
+    assert {r.conv_id for r in less if r.turns_sha256 != got[r.conv_id].turns_sha256} == {c for c, r in got.items() if r.n_turns > 1}
+    with pytest.raises(Exception, match="not a node of the stream"):
+        chat.read_back(tree.withColumn("at", F.col("at") + 1), leaves, ranks).collect()
+
+
 def test_chat_empty_table(turns):
     ranks = chat.load_ranks()
     tree, leaves = chat.prefix_tree(turns.limit(0), ranks)
