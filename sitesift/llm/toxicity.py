@@ -6,8 +6,8 @@ score is the noisy-or of its sentences, 1 - prod(1 - p). Only document labels ar
 of the bag likelihood is passed to the sentences by their share of it.
 
 Fitting uses a bounded sample of the labelled training rows: ``PER_CLASS``
-documents of each label, those with the smallest hash of their id. Their
-features (not texts) meet in one task; the weights (``BUCKETS`` floats, 1 MB)
+texts of each label, distinct by id and text, those with the smallest hash of
+their id. Their features (not texts) meet in one task; the weights (``BUCKETS`` floats, 1 MB)
 are the only thing sent to every worker. Scoring is one pass over the texts.
 
 Defined cases: a null or empty text, or one without words, has no sentence
@@ -159,6 +159,24 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3))
 
 
+def chosen_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(text, label) of the documents that ``sample(doc_id, label)`` names. An
+    id that several rows carry gives one row of each text, in all at most
+    ``PER_CLASS`` of a label."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # Copies go by hash, partly before the exchange, so that no text is grouped by.
+    keys = rows.groupBy("label", "doc_id", F.xxhash64("text").alias("h"), size.alias("n")).agg(F.lit(1).alias("one"))
+    kept = None
+    for y in (0, 1):
+        part = keys.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "h", "n").limit(PER_CLASS)
+        kept = part if kept is None else kept.union(part)
+    marked = (rows.withColumn("h", F.xxhash64("text")).withColumn("n", size)
+              .join(F.broadcast(kept.select("label", "doc_id", "h", "n")), ["label", "doc_id", "h", "n"]))
+    # Of the copies of a text each task passes on one, then one is left.
+    return marked.groupBy("label", "doc_id", "h", "n").agg(F.max("text").alias("text")).select("text", "label")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The weights, learned from labelled rows outside fold 1."""
     known = (labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id")) != 1)
@@ -167,8 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     for y in (0, 1):
         part = known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS)
         sample = part if sample is None else sample.union(part)
-    # A label row may name an id that several documents carry: one of each text.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
+    chosen = chosen_texts(docs, sample)
     bags = chosen.mapInArrow(_features, "label int, features binary, sentences binary, n_sentences int")
     rows = bags.repartition(1).mapInArrow(_fit_task, "weights binary").collect()   # one row of 1 MB
     return np.frombuffer(rows[0]["weights"], np.float32) if rows else np.zeros(BUCKETS, np.float32)

@@ -307,6 +307,26 @@ def test_toxicity_learns_and_locates(spark, none):
     assert all(r.score == 0 for r in toxicity.scores(docs, marks.limit(0)).collect())
 
 
+def test_toxicity_fits_on_one_row_of_each_text(spark, monkeypatch):
+    ship_package(spark)
+    rows = [(1, "a"), (1, "a"), (1, "b"), (1, None), (1, None), (2, "a"), (3, "c"), (None, "d"), (9, "e")] + [(4, "hot")] * 500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    sample = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1), (7, 1)], "doc_id bigint, label int")
+    got = sorted(map(tuple, toxicity.chosen_texts(docs, sample).collect()), key=key)
+    assert got == sorted([("a", 0), ("b", 0), (None, 0), ("a", 0), ("c", 1), ("hot", 1)], key=key)
+    monkeypatch.setattr(toxicity, "PER_CLASS", 2)
+    got = [r.label for r in toxicity.chosen_texts(docs, sample).collect()]
+    assert sorted(got) == [0, 0, 1, 1]
+    # Copies don't change the weights.
+    once = spark.createDataFrame(sorted(set(r for r in rows if r[0] and r[1])), docs.schema)
+    text = [(i, f"calm{i % 5} plain{i % 3}" + (" vile nasty" if i % 2 else "")) for i in range(20, 80)]
+    more = spark.createDataFrame(text, docs.schema)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(20, 80)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "PER_CLASS", 100)
+    one, many = toxicity.fit(once.union(more), marks), toxicity.fit(once.union(more).union(more.filter("doc_id < 30")), marks)
+    assert one.any() and np.allclose(one, many, atol=1e-3)
+
+
 def test_resampling_prefers_the_target(spark, docs, none):
     marks = spark.createDataFrame([(i, 1 if i < 4 else 0) for i in range(1, 15)], "doc_id bigint, quality int")
     rows = resample.resample(docs, marks, keep=0.5).collect()
