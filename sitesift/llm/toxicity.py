@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 
-PER_CLASS = 3000
+PER_CLASS = 4000
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 PREFIXES = (4, 5, 6)

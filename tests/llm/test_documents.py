@@ -327,6 +327,10 @@ def test_toxicity_fits_on_one_row_of_each_text(spark, monkeypatch):
     assert one.any() and np.allclose(one, many, atol=1e-3)
 
 
+def test_toxicity_sample_is_not_cut_for_memory():
+    assert toxicity.PER_CLASS >= 4000
+
+
 def test_resampling_prefers_the_target(spark, docs, none):
     marks = spark.createDataFrame([(i, 1 if i < 4 else 0) for i in range(1, 15)], "doc_id bigint, quality int")
     rows = resample.resample(docs, marks, keep=0.5).collect()
