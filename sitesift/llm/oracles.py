@@ -101,6 +101,51 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < lead THEN 're
 FROM p LEFT JOIN l USING (payload_digest)
 """
 
+OP12 = f"""
+WITH w AS (
+  SELECT doc_id, source, len({SPACE_WORDS.format(TEXT)})::BIGINT AS size,
+    (('0x' || substr(md5('0 ' || doc_id || ' ' || {TEXT}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u FROM documents
+), n AS (
+  SELECT source, sum(size)::HUGEINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM w GROUP BY source
+), r AS (
+  SELECT *, [5, 2, 1][(sid - 1) % 3 + 1]::HUGEINT AS wt, sum(s) OVER () AS total FROM n
+), f AS (
+  SELECT *, coalesce(sum(3 * s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS below,
+    (sum(wt) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS free FROM r WINDOW o AS (ORDER BY s / wt, sid)
+), c AS (
+  SELECT *, bool_and(3 * s * free < wt * (total - below)::HUGEINT) OVER (ORDER BY s / wt, sid) AS capped FROM f
+), t AS (
+  SELECT *, CASE WHEN s = 0 THEN 0.0::DOUBLE WHEN capped THEN (3 * s)::DOUBLE ELSE (wt * left_over)::DOUBLE / shared::DOUBLE END AS target FROM (
+    SELECT *, (total - coalesce(sum(3 * s) FILTER (capped) OVER (), 0))::HUGEINT AS left_over, coalesce(sum(wt) FILTER (NOT capped) OVER (), 1) AS shared FROM c)
+), g AS (
+  SELECT *, CASE WHEN s = 0 THEN 0 ELSE floor(target / s::DOUBLE)::BIGINT END AS copies FROM t
+), p AS (
+  SELECT *, CASE WHEN s = 0 THEN 0.0::DOUBLE ELSE target / s::DOUBLE - copies END AS p, target - (copies * s)::DOUBLE AS need FROM g
+), d AS (
+  SELECT w.doc_id, w.size, p.sid, p.s::BIGINT AS source_size, p.target, p.copies, p.need,
+    CASE WHEN p.p > 0 AND size > 0 THEN (u / (1 - u)) / (p.p / (1 - p.p)) END AS q FROM w JOIN p ON w.source IS NOT DISTINCT FROM p.source
+), e AS (
+  SELECT *, row_number() OVER o AS rn, sum(CASE WHEN q IS NULL THEN 0 ELSE size END) OVER (o ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d WINDOW o AS (PARTITION BY sid ORDER BY q IS NULL, q, doc_id, size)
+), a AS (SELECT *, q IS NOT NULL AND upto <= need AS drawn FROM e
+), l AS (
+  SELECT sid, need - upto AS gap, row_number() OVER (PARTITION BY sid ORDER BY rn DESC) - 1 AS k FROM a WHERE drawn
+), lk AS (
+  SELECT sid, gap, k FROM l WHERE k <= 8 UNION ALL
+  SELECT sid, need, n FROM (SELECT p.sid, p.need, coalesce(c, 0) AS n FROM p LEFT JOIN (SELECT sid, count(*) AS c FROM l GROUP BY sid) USING (sid)) WHERE n <= 8
+), b AS (
+  SELECT a.sid, a.rn, lk.k, lk.gap, abs(a.size - lk.gap) AS off FROM a JOIN lk USING (sid) WHERE NOT drawn AND q IS NOT NULL
+), best AS (
+  SELECT b.* FROM b JOIN (SELECT sid, gap AS first_gap FROM lk WHERE k = 0) USING (sid) WHERE off < first_gap
+  QUALIFY row_number() OVER (PARTITION BY sid ORDER BY off, k, rn) = 1
+), o AS (
+  SELECT a.doc_id, a.size, a.source_size, a.target,
+    (a.copies + ((drawn AND (best.sid IS NULL OR upto <= need - best.gap + 0.5)) OR coalesce(a.rn = best.rn, FALSE))::INT)::BIGINT AS copies
+  FROM a LEFT JOIN best ON a.sid = best.sid
+)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM o
+"""
+
 
 def _op3() -> str:
     from .license_join import PHRASES, TEMPLATES
@@ -108,4 +153,5 @@ def _op3() -> str:
     return OP3.replace("{templates}", ", ".join(rows))
 
 
-ORACLE: dict[str, str] = {"op3_license_scans": _op3(), "op7_benchmark_decontamination": OP7, "op5_quality_rules": OP5, "op8_warc": OP8, "op9_minhash_near_dedup": OP9}
+ORACLE: dict[str, str] = {"op3_license_scans": _op3(), "op7_benchmark_decontamination": OP7, "op5_quality_rules": OP5, "op8_warc": OP8, "op9_minhash_near_dedup": OP9,
+                          "op12_pareto_mixing": OP12}

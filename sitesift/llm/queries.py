@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, license_join, minhash, ngram_trie, pieces, quality_rules, resample, toxicity, warc, winnow
+from . import (chat, license_join, minhash, ngram_trie, pareto, periodic, pieces, quality_rules, resample, toxicity, warc, whiten,
+               winnow)
 from ._runtime import shipped, table
 
 
@@ -57,6 +59,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.load()).drop("text")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto.mix(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return periodic.digests(periodic.find_runs(periodic.with_tails(table(spark, sf_dir, "documents"), crc)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: shipped(fn) for name, fn in list(globals().items()) if name.startswith("op")
 }
