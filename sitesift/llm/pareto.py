@@ -21,8 +21,10 @@ Scale. One pass over the texts leaves four numbers a document. The order is
 made by a range sort over (source, rank), so that a source that holds a third
 of all documents is spread over the tasks; running sums are those inside a
 partition plus the totals of the partitions before (a row per source and
-partition). Sources are numbered in the same way. Nothing is collected but two
-sums a round of the resharing.
+partition). Sources are numbered in the same way. Tables of a row per source
+are broadcast up to 100,000 sources, counted first; beyond that they are
+joined by a shuffle. Nothing is collected but two sums a round of the
+resharing.
 
 Defined cases: a null or empty text has size 0 and takes 0 words. A source
 without words has target 0. Repeated rows are documents of their own, with the
@@ -36,6 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_small
 from ._runtime import written
 
 WEIGHTS = (5, 2, 1)
@@ -95,9 +98,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), u.alias("u"))
     rows = written(rows, "mix-rows")
     goals = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
-    # Small: the rows of one source each; Spark broadcasts it where its files are small enough.
     of = goals.withColumnRenamed("source", "_source")
-    rows = rows.join(of, F.col("source").eqNullSafe(F.col("_source")))
+    rows = join_small(rows, of, F.col("source").eqNullSafe(F.col("_source")))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     in_play = (F.col("p") > 0) & (F.col("size") > 0)
     rows = rows.select("doc_id", "size", "source_size", "target", "copies", "sid", F.when(in_play, odds).alias("q"),
@@ -114,10 +116,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     uptos = F.concat(F.coalesce("ends.upto", F.array().cast("array<bigint>")), F.array(F.lit(0)))
     gaps = goals.select("sid", F.transform(F.slice(uptos, 1, BACK + 1), lambda x: F.col("need") - x).alias("gaps"))
     fits = F.array_min(F.transform("gaps", lambda g, k: F.struct(F.abs(F.col("size") - g).alias("off"), k.alias("k"))))
-    rest = drawn.filter(F.col("q").isNotNull() & ~F.col("taken_once")).join(gaps, "sid").withColumn("fits", fits)
+    rest = drawn.filter(F.col("q").isNotNull() & ~F.col("taken_once"))
+    rest = join_small(rest, gaps, "sid").withColumn("fits", fits)
     last = rest.filter(F.col("fits.off") < F.get("gaps", F.lit(0))).groupBy("sid").agg(F.min_by(
         F.struct("place", (F.col("need") - F.get("gaps", F.col("fits.k"))).alias("upto")), F.struct("fits", "_o", "place")).alias("last"))
-    rows = drawn.join(last, "sid", "left")
+    rows = join_small(drawn, last, "sid", "left")
     once = (F.col("taken_once") & (F.col("last").isNull() | (F.col("upto") <= F.col("last.upto") + 0.5))) \
         | F.coalesce(F.col("place") == F.col("last.place"), F.lit(False))
     return rows.withColumn("copies", F.col("copies") + once.cast("bigint")).select(
