@@ -7,11 +7,11 @@ least ``cutoff`` times (1: every one): a monotone Elias-Fano pointer per
 context to its range of successors, the successor ids relative to their
 context (context number times the vocabulary plus id, so the whole level is
 one monotone sequence), and one byte each for the smoothed log probability and
-the context's back-off mass. A query looks its context up, drops out where the
-pointer range is empty, and searches the successor inside the context's
-stretch. Level 3 (``order=3``) is built alike; its contexts are the pairs of
-level 2 by their place there, and its bytes are the discounted share and the
-mass that is left to level 2.
+the context's back-off mass. A query reads its context's two pointers and
+searches the successor between them, value by value, without decoding what
+lies around (``elias_fano``). Level 3 (``order=3``) is built and searched
+alike; its contexts are the pairs of level 2 by their place there, and its
+bytes are the discounted share and the mass that is left to level 2.
 
 Probabilities: absolute discounting, interpolated with the unigram level:
 p(w|c) = (n(c,w) - D) / n(c) + g(c) p1(w), where g(c) is all that is left over
@@ -24,17 +24,19 @@ Scale. Counts are gathered by sorted blocks: each task sums its own keys,
 sends one block per shard, and one task per shard merges them and writes the
 shard's files to the shared folder under a name of its own, moved into place
 when whole: a lost task just runs again. The number of shards follows the
-input. Scoring tasks map the files into memory and decode only the blocks that
-their sorted queries touch, so a worker's memory does not grow with the model.
-Where the shared folder has no file path, a worker copies a shard into an
-unlinked temporary file first.
+input. Scoring tasks map the files into memory and read single values, so
+neither a worker's memory nor the cost of a query grows with the model (but
+for the logarithm of a context's successors). Where the shared folder has no
+file path, a worker copies a shard into an unlinked temporary file first.
 
 Defined cases: a null text is empty and has only its end token. Rows repeated
 with their id count and are scored each; a null doc_id is held out by no one:
 it trains. A word never seen in training has count 0, no successors, and backs
 off at no cost. Without training rows every score is 0. Other columns are
-ignored. An empty table gives an empty result. Word ids need fewer than 2**31
-distinct words.
+ignored. An empty table gives an empty result. A text of any length is one
+step of its own; its arrays take some 100 bytes a word. Word ids need fewer
+than 2**32 - 2 distinct words, and keys of level 3 (pairs times words) less
+than 2**64: beyond either, ``build`` raises.
 """
 
 from __future__ import annotations
@@ -45,6 +47,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
@@ -54,7 +57,6 @@ from . import _text as T
 from . import elias_fano
 from ._runtime import scratch
 
-CUTOFF = 2
 DISCOUNT = 0.75
 ADD = 0.1
 #: Text bytes per shard of the counts, and per counting or scoring step.
@@ -64,6 +66,8 @@ SHARD_PAIRS = 1 << 19
 STEP_BYTES = 4 << 20
 #: Distinct keys a counting task holds before it sends them.
 HOLD = 3_000_000
+#: Tokens whose counts surely fit 32 bits.
+FITS = 1 << 31
 
 END = np.uint64(0x7E57_0F_7E47 | (1 << 62))         # hash of the end token
 LIMIT = np.uint64((1 << 63) - 1)                     # hashes fit a monotone sequence of signed size
@@ -88,6 +92,15 @@ def tokens(s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([words & LIMIT, np.full(s.n, END)])[order], own[order]
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the place of each key among them."""
+    which, found = pd.factorize(keys)
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[which]
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
@@ -112,6 +125,7 @@ def gathered(keys_of: Callable[[T.Slice], np.ndarray], shard_of: Callable[[np.nd
     shard; ``shard_of`` gives the shards of sorted keys, which never fall."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        tokens_held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, counts = _summed(*map(np.concatenate, zip(*held)))
@@ -124,10 +138,12 @@ def gathered(keys_of: Callable[[T.Slice], np.ndarray], shard_of: Callable[[np.nd
 
         for batch in batches:
             for s in _steps(batch.column("text")):
-                keys, counts = np.unique(keys_of(s), return_counts=True)
-                held.append((keys, counts.astype(np.int64)))
-                if sum(len(h[0]) for h in held) > HOLD:
+                keys, which = _distinct(keys_of(s))
+                held.append((keys, np.bincount(which, minlength=len(keys))))
+                tokens_held += len(which)
+                if sum(len(h[0]) for h in held) > HOLD or tokens_held > FITS:
                     yield from flush()
+                    tokens_held = 0
         if held:
             yield from flush()
     return run
@@ -156,13 +172,13 @@ def _mapped(folder: str, name: str) -> np.ndarray:
     if key not in _OPEN:
         where, path = pafs.FileSystem.from_uri(folder)
         if isinstance(where, pafs.LocalFileSystem):
-            _OPEN[key] = np.memmap(f"{path}/{name}", np.uint8, "r")
+            _OPEN[key] = np.asarray(np.memmap(f"{path}/{name}", np.uint8, "r"))
         else:
             with tempfile.TemporaryFile() as copy, where.open_input_stream(f"{path}/{name}") as f:
                 while part := f.read(1 << 20):
                     copy.write(part)
                 copy.flush()
-                _OPEN[key] = np.memmap(copy, np.uint8, "r")
+                _OPEN[key] = np.asarray(np.memmap(copy, np.uint8, "r"))
     return _OPEN[key]
 
 
@@ -246,14 +262,13 @@ class Trie:
         stored) and the mass that the context leaves to level 2."""
         share, left = np.zeros(len(keys)), np.ones(len(keys))
         size = np.uint64(self.words + 1)
-        cut = np.searchsorted(keys, np.arange(sum(self.pairs) // self.span + 2).astype(np.uint64) * (size * np.uint64(self.span)))
-        for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            if a == b:
-                continue
+        shard = self.shard_of_triple(keys)
+        used, first = np.unique(shard, return_index=True)
+        for k, a, b in zip(used.tolist(), first, [*first[1:], len(keys)]):
             level = _Level(_mapped(self.folder, f"triples-{k}"))
             wanted = keys[a:b] - np.uint64(k * self.span) * size
-            left[a:b] = 10 ** level.backoff((wanted // size).astype(np.int64))
-            at = level.ids.search(wanted)
+            at, back = level.find(wanted, (wanted // size).astype(np.int64))
+            left[a:b] = 10 ** back
             share[a:b][at >= 0] = 10 ** level.probability(at[at >= 0])
         return share, left
 
@@ -263,7 +278,7 @@ class Trie:
         the place in level 2 (-1: not stored)."""
         prob, back, place = np.full(len(pairs), np.nan), np.zeros(len(pairs)), np.full(len(pairs), -1, np.int64)
         before = self.first_pairs() if self.pairs else np.zeros(len(self.sizes) + 1, np.int64)
-        ctx, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint64)
+        ctx, word = (pairs >> np.uint64(32)).astype(np.int64), pairs & np.uint64(0xFFFFFFFF)
         first = self.first_ids()
         shard = self.contexts(ctx)
         cut = np.searchsorted(shard, np.arange(len(self.sizes) + 1))
@@ -272,14 +287,11 @@ class Trie:
                 continue
             level = _Level(_mapped(self.folder, f"pairs-{k}"))
             local = ctx[a:b] - first[k]
-            one, which = np.unique(local, return_inverse=True)
-            begin, end = level.pointers.take(one), level.pointers.take(one + 1)
-            back[a:b] = level.backoff(one)[which]
-            has = np.flatnonzero((end > begin)[which])        # contexts with successors
-            wanted = local[has].astype(np.uint64) * np.uint64(self.words + 1) + word[a:b][has]
-            at = level.ids.search(wanted)
-            prob[a:b][has[at >= 0]] = level.probability(at[at >= 0])
-            place[a:b][has] = np.where(at >= 0, at + before[k], -1)
+            # an unseen word follows nothing: it reads as the start of a text
+            wanted = local.astype(np.uint64) * np.uint64(self.words + 1) + np.minimum(word[a:b], np.uint64(self.words))
+            at, back[a:b] = level.find(wanted, local)
+            prob[a:b][at >= 0] = level.probability(at[at >= 0])
+            place[a:b] = np.where(at >= 0, at + before[k], -1)
         return prob, back, place
 
 
@@ -294,6 +306,15 @@ class _Level:
         self.p = data[at + 32:at + 32 + self.ids.n]
         self.g = data[at + 32 + self.ids.n:at + 32 + self.ids.n + self.pointers.n - 1]
 
+    def find(self, wanted: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each successor (``wanted``: context number times the
+        vocabulary plus id) between its context's pointers (-1: not stored),
+        and the log10 back-off of its context; ``local`` is sorted."""
+        first = np.flatnonzero(np.diff(local, prepend=-1))
+        one, size = local[first], np.diff(np.append(first, len(local)))
+        begin, end = self.pointers.take(one), self.pointers.take(one + 1)
+        return self.ids.search(wanted, np.repeat(begin, size), np.repeat(end, size)), np.repeat(self.backoff(one), size)
+
     def probability(self, places: np.ndarray) -> np.ndarray:
         return self.range[0] + self.p[places] * (self.range[1] / 255)
 
@@ -320,7 +341,7 @@ def _level(local: np.ndarray, word: np.ndarray, logs: np.ndarray, left: np.ndarr
     return data + pq.tobytes() + gq.tobytes()
 
 
-def build(docs: DataFrame, order: int = 2, cutoff: int = CUTOFF) -> Trie:
+def build(docs: DataFrame, order: int = 3, cutoff: int = 1) -> Trie:
     """Count the training rows of ``docs(doc_id, text)`` and write the trie
     with levels up to ``order`` (2 or 3). Successors seen less than ``cutoff``
     times are not stored: 1 stores every one."""
@@ -354,6 +375,8 @@ def build(docs: DataFrame, order: int = 2, cutoff: int = CUTOFF) -> Trie:
     trie = Trie(folder, bits, sizes, sum(r["total"] for r in made))
     if not trie.total:
         return trie
+    if trie.words >= 0xFFFFFFFE:
+        raise ValueError(f"{trie.words} distinct words: word ids have 32 bits")
 
     def write_pairs(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
@@ -381,10 +404,12 @@ def build(docs: DataFrame, order: int = 2, cutoff: int = CUTOFF) -> Trie:
         held[r["shard"]] = r["pairs"]
     whole = Trie(folder, bits, sizes, trie.total, held, SHARD_PAIRS)
     n_pairs = sum(held)
+    if n_pairs * (trie.words + 1) >= 1 << 64:
+        raise ValueError(f"{n_pairs} pairs of {trie.words} words: keys of level 3 have 64 bits")
 
     def triple_keys(s: T.Slice) -> np.ndarray:
         pairs, doc, _ = _pairs(whole, s)
-        one, which = np.unique(pairs, return_inverse=True)
+        one, which = _distinct(pairs)
         return _triples(whole, pairs, doc, whole.successors(one)[2][which])[0]
 
     def write_triples(key: tuple, table: pa.Table) -> pa.Table:
@@ -416,7 +441,7 @@ def _pairs(trie: Trie, s: T.Slice, with_counts: bool = False):
     """Per token: the pair ``context << 32 | id`` (an unseen context or word
     is 2**32 - 1), its text, and its count where asked for."""
     h, doc = tokens(s)
-    one, which = np.unique(h, return_inverse=True)
+    one, which = _distinct(h)
     ids, counts = trie.lookup(one, with_counts)
     ids = np.where(ids < 0, 0xFFFFFFFF, ids).astype(np.uint64)[which]
     context = np.concatenate([[np.uint64(trie.words)], ids[:-1]])
@@ -437,14 +462,14 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
                 model = base.copy()
                 known = np.flatnonzero((pairs >> np.uint64(32)) != 0xFFFFFFFF)   # contexts seen in training
                 if trie.total and len(known):
-                    one, which = np.unique(pairs[known], return_inverse=True)
+                    one, which = _distinct(pairs[known])
                     prob, back, place = trie.successors(one)
                     model[known] = np.where(np.isnan(prob[which]), back[which] + base[known], prob[which])
                     if trie.pairs:
                         own = np.full(len(pairs), -1, np.int64)
                         own[known] = place[which]
                         keys, at = _triples(trie, pairs, doc, own)
-                        one, which = np.unique(keys, return_inverse=True)
+                        one, which = _distinct(keys)
                         share, left = trie.thirds(one)
                         model[at] = np.log10(share[which] + left[which] * 10 ** model[at])
                 per_doc = lambda w=None: np.bincount(doc, w, minlength=s.n)
