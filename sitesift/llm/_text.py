@@ -2,13 +2,17 @@
 
 A batch of texts is handled as one byte buffer plus offsets, in slices of at
 most ``SLICE_BYTES`` of text (a longer text is a slice of its own), so a
-worker's memory is bounded by the slice and by the longest single text. Words
-are maximal runs of non-separator bytes within one text; each gets a 64-bit
-hash. Nothing here loops over words in Python.
+worker's memory is bounded by the slice and by the longest single text (some
+ten bytes a byte of text, and 40 a word). Words are maximal runs of
+non-separator bytes within one text; each gets a 64-bit hash, made of its
+eight-byte pieces (one piece alone never collides with another of its length),
+or by BLAKE2 if it is longer than ``LONG`` bytes. Nothing is kept between
+slices, and nothing here loops over words in Python but over the long ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,27 +47,12 @@ def keyed(seed: int, n: int) -> np.ndarray:
         return mix(base + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
-def _letters(lower: bool) -> np.ndarray:
-    table = keyed(7, 256)
-    if lower:
-        table[ord("A"):ord("Z") + 1] = table[ord("a"):ord("z") + 1]
-    return table
-
-
-_LETTER = {flag: _letters(flag) for flag in (False, True)}
-_POINT = np.uint64(0x9FB21C651E98DF25)          # odd, the rolling base
-_POINT_INV = np.uint64(pow(int(_POINT), -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + (64 << 10))
-        for k, base in enumerate((_POINT, _POINT_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Byte spans above this length are hashed one by one.
+LONG = 64
+_LENGTH, _SECOND = (np.uint64(int(x)) for x in keyed(7, 2))
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
 
 
 class Slice:
@@ -75,6 +64,7 @@ class Slice:
         self.starts, self.ends = offsets[:-1], offsets[1:]
         self.first = first
         self.n = len(offsets) - 1
+        self._padded: dict[bool, np.ndarray] = {}
 
     def spans(self, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word starts, word ends and the text index of each word."""
@@ -95,16 +85,68 @@ class Slice:
         end = np.flatnonzero(inside & ~after) + 1
         return begin, end, np.searchsorted(self.ends, begin, side="right")
 
+    def _loads(self, lower: bool) -> np.ndarray:
+        """The eight bytes from every place on, zeros after the end."""
+        if lower not in self._padded:
+            data = np.zeros(len(self.data) + 8, np.uint8)
+            data[:-8] = _LOWER[self.data] if lower else self.data
+            self._padded[lower] = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+        return self._padded[lower]
+
+    def pieces(self, begin: np.ndarray, size: np.ndarray, k: int, lower: bool) -> np.ndarray:
+        """The ``k``-th eight bytes of spans that reach beyond 8 * k bytes."""
+        return self._loads(lower)[begin + 8 * k] & _FIRST_BYTES[np.minimum(size - 8 * k, 8)]
+
     def hashes(self, begin: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
         """A 64-bit hash of each byte span."""
         if not len(begin):
             return np.zeros(0, np.uint64)
-        power, inverse = _powers(len(self.data))
-        total = np.cumsum(_LETTER[lower][self.data] * power, dtype=np.uint64)
-        upto = total[np.maximum(end, 1) - 1]
-        below = np.where(begin > 0, total[np.maximum(begin, 1) - 1], np.uint64(0))
-        length = (end - begin).astype(np.uint64)
-        return mix((upto - below) * inverse[begin] + length * np.uint64(0x8CB92BA72F3D8DD7))
+        size = end - begin
+        with np.errstate(over="ignore"):
+            first = self.pieces(begin, size, 0, lower)
+            out = mix(first + size.astype(np.uint64) * _LENGTH)
+            more = np.flatnonzero((size > 8) & (size <= LONG))
+            if len(more):
+                # Two states, so that no piece can make good what another changed.
+                one, two, left = out[more], mix(first[more] ^ _SECOND), np.arange(len(more))
+                for k in range(1, LONG // 8):
+                    left = left[size[more[left]] > 8 * k]
+                    if not len(left):
+                        break
+                    piece = self.pieces(begin[more[left]], size[more[left]], k, lower)
+                    one[left], two[left] = mix(one[left] ^ piece), mix(two[left] + piece * _SECOND)
+                out[more] = mix(one + two * _LENGTH)
+        long = np.flatnonzero(size > LONG)
+        if len(long):
+            data = self._loads(lower).base
+            view = memoryview(data)
+            out[long] = [int.from_bytes(hashlib.blake2b(view[a:b], digest_size=8).digest(), "little")
+                         for a, b in zip(begin[long].tolist(), end[long].tolist())]
+        return out
+
+    def distinct(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One span of each kind, and the kind of every span. Kinds are told
+        apart by their bytes: hashes only propose, every span is compared
+        with the one that stands for it."""
+        _, at, which = np.unique(self.hashes(begin, end, lower=False), return_index=True, return_inverse=True)
+        size, other = end - begin, begin[at][which]
+        same, left = size == size[at][which], np.arange(len(begin))
+        for k in range(LONG // 8):
+            left = left[(size[left] > 8 * k) & same[left]]
+            if not len(left):
+                break
+            same[left] = self.pieces(begin[left], size[left], k, False) == self.pieces(other[left], size[left], k, False)
+        for j in np.flatnonzero(same & (size > LONG)).tolist():
+            same[j] = self.data[begin[j]:end[j]].tobytes() == self.data[other[j]:other[j] + size[j]].tobytes()
+        if same.all():
+            return at, which
+        raw, kinds, at = self.data.tobytes(), {}, []
+        which = np.empty(len(begin), np.int64)
+        for j, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
+            which[j] = kinds.setdefault(raw[a:b], len(kinds))
+            if which[j] == len(at):
+                at.append(j)
+        return np.array(at), which
 
     def words(self, lower: bool, sep: np.ndarray = SPACE_SEP) -> tuple[np.ndarray, np.ndarray]:
         """Hash and text index of every word, in order."""

@@ -6,15 +6,20 @@ flags and character map from it. From these a tokenizer is rebuilt: the
 normaliser (character map, white space squeezed if the model says so, a
 metaspace mark for each space and before the text), unigram scores or, for a
 merge model, the merges implied by the scores, and byte fallback. Batches are
-encoded by the library's own threads. Parity with the sentencepiece library is
-verified for every row (chunk by chunk where texts are cut), and on a fixed
-set of awkward strings, whole, whenever a worker loads a model.
+encoded by the library's own threads.
 
-A merge model's text may be cut between two characters that stand next to each
-other in no piece: no merge crosses such a cut. These pairs are read off the
-vocabulary; each distinct chunk between cuts is encoded, decoded and verified
-once, and texts are put together from chunks. Other models, and texts that
-hold the mark character, are encoded whole.
+A merge model with byte fallback may cut a text between two characters that
+stand next to each other in no piece: no merge crosses such a cut. These pairs
+are read off the vocabulary; each distinct chunk between cuts (told apart by
+its bytes) is encoded once, and texts are put together from chunks. Other
+models, and texts that hold the mark character, are encoded whole.
+
+What is verified. Every row's ids, put together, are read back by the
+vocabulary's bytes and compared with the row's whole text (``round_trip``).
+Parity with the sentencepiece library is verified per row where texts are
+encoded whole, else once per distinct chunk (a row's ``parity`` is that of all
+its chunks), and on a fixed set of awkward strings, whole, whenever a worker
+loads a model.
 
 Defined cases: a null text counts as empty: no ids. Control pieces never match
 inside a text. A text that holds the mark character itself reads back with a
@@ -47,6 +52,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, MERGES = 1, 2
 #: Chunks a worker remembers; it forgets all of them beyond that.
 REMEMBERED = 100_000
+#: Ids read back at a time.
+READ_BACK = 1 << 16
 PROBES = ["", " ", "a", "  two  spaces ", "line\nbreak\ttab", "<s> </s> <unk> <0x0A>", "café naïve 你好",
           "\U0001f600 emoji", "x▁y", "3.14 = 22/7?", "\u0000\u0001", "A" * 300]
 
@@ -121,7 +128,8 @@ def merges(model: Model) -> list[tuple[str, str]]:
 def cuts(model: Model) -> np.ndarray | None:
     """[before, after]: byte pairs at a character boundary that no piece
     holds; None if the model's texts can't be cut."""
-    if (model.kind != MERGES or model.charsmap or model.squeeze or not model.dummy_prefix or not model.escape):
+    if (model.kind != MERGES or model.charsmap or model.squeeze or not model.dummy_prefix or not model.escape
+            or not model.byte_fallback):     # without it two unknown characters side by side are one id
         return None
     free = np.ones((256, 256), bool)
     for text, _, kind in model.pieces:
@@ -176,6 +184,11 @@ class Codec:
         self.cuts = cuts(self.model)
         if self.cuts is not None:
             self.chunks = build(self.model, prefix=False)
+            # What each id reads back as, one after the other.
+            says = [bytes([int(t[3:5], 16)]) if kind == BYTE else t.replace(MARK, " ").encode() for t, _, kind in self.model.pieces]
+            self.said = np.frombuffer(b"".join(says) + bytes(1), np.uint8)
+            self.says = np.array([len(x) for x in says], np.int64)
+            self.says_from = np.cumsum(self.says) - self.says
             # the same model without the mark before a text: field 3 of the normaliser set to 0
             self.chunk_spm = sentencepiece.SentencePieceProcessor(model_proto=data + b"\x1a\x02\x18\x00")
         self._forget()
@@ -190,7 +203,7 @@ class Codec:
     def _forget(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.good = np.zeros((2, 0), bool)      # round trip, parity
+        self.good = np.zeros(0, bool)           # parity
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -213,13 +226,35 @@ class Codec:
     def _learn(self, chunks: list[bytes]) -> None:
         texts = [c.decode() for c in chunks]
         ids = [e.ids for e in self.chunks.encode_batch_fast(texts, add_special_tokens=False)]
-        back = self.chunks.decode_batch(ids, skip_special_tokens=False)
         other = self.chunk_spm.encode(texts, num_threads=1)
         self.index.update(zip(chunks, range(len(self.size), len(self.size) + len(chunks))))
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.int32)])
         self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
-        good = [list(map(operator.eq, texts, back)), list(map(operator.eq, ids, other))]
-        self.good = np.concatenate([self.good, np.array(good, bool)], axis=1)
+        self.good = np.concatenate([self.good, np.array(list(map(operator.eq, ids, other)), bool)])
+
+    def reads_back(self, s: T.Slice, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether each text's ids read back as its bytes, after the space
+        that stands before every text."""
+        each = self.says[ids]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        last = np.cumsum(size)
+        begin, end = upto[last - size], upto[last]
+        full = size > 0
+        good = np.where(full, end - begin - 1, 0) == s.ends - s.starts
+        # Some ids at a time: an id's bytes lie at ``says_from``; ``shift`` leads from a byte read back to its place in the slice.
+        shift = np.repeat(s.starts - begin - 1, size)
+        owner = np.repeat(np.arange(s.n), size)
+        for a in range(0, len(ids), READ_BACK):
+            b = min(a + READ_BACK, len(ids))
+            place = np.arange(upto[a], upto[b])
+            got = self.said[place + np.repeat(self.says_from[ids[a:b]] - upto[a:b], each[a:b])]
+            own = np.repeat(owner[a:b], each[a:b])
+            at = place + np.repeat(shift[a:b], each[a:b])
+            first = at < s.starts[own]              # the space before the text
+            want = s.data[np.clip(at, 0, max(len(s.data) - 1, 0))]
+            want[first] = 0x20
+            good[own[got != want]] = False
+        return good
 
     def encode_slice(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, ids per text, round trip and parity per text."""
@@ -237,12 +272,13 @@ class Codec:
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(s.data))
         doc = np.searchsorted(s.ends, begin, side="right")
+        at, which = s.distinct(begin, end)
         first = np.zeros(len(s.data) + 1, bool)
         first[s.starts[used]] = True
         first = first[begin]                    # these get the mark before the text
-        key = s.hashes(begin, end, lower=False) ^ (first * np.uint64(0x9E3779B97F4A7C15))
-        _, at, which = np.unique(key, return_index=True, return_inverse=True)
-        names = [b" " + raw[b:e] if f else raw[b:e] for b, e, f in zip(begin[at].tolist(), end[at].tolist(), first[at].tolist())]
+        kinds, which = np.unique(2 * which + first, return_inverse=True)
+        at = at[kinds >> 1]
+        names = [b" " + raw[b:e] if f else raw[b:e] for b, e, f in zip(begin[at].tolist(), end[at].tolist(), (kinds & 1).tolist())]
         if len(self.index) > REMEMBERED:
             self._forget()
         new = [n for n in names if n not in self.index]
@@ -252,8 +288,9 @@ class Codec:
         each = self.size[known]
         start = (np.cumsum(self.size) - self.size)[known]
         place = np.repeat(start - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-        trip, parity = (np.bincount(doc[~ok[known]], minlength=s.n) == 0 for ok in self.good)
-        return self.ids[place], np.bincount(doc, each, minlength=s.n).astype(np.int64), trip, parity
+        parity = np.bincount(doc[~self.good[known]], minlength=s.n) == 0
+        ids, size = self.ids[place], np.bincount(doc, each, minlength=s.n).astype(np.int64)
+        return ids, size, self.reads_back(s, ids, size), parity
 
 
 _CODECS: dict[bytes, Codec] = {}

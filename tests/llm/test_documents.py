@@ -204,7 +204,7 @@ def test_license_scan(docs, none):
 
 
 def test_language_model_against_counts(spark, docs, none):
-    trie = ngram_trie.build(docs)
+    trie = ngram_trie.build(docs, order=2, cutoff=2)
     rows = docs.collect()
     tokens = [[*space_words(lower(r.text)), None] for r in rows]
     train = [t for r, t in zip(rows, tokens) if r.doc_id is None or crc32(str(r.doc_id).encode()) % 10]
@@ -239,7 +239,7 @@ def test_language_model_against_counts(spark, docs, none):
 def test_language_model_of_order_three_against_counts(spark, docs, none, monkeypatch):
     """As the registered query builds it: every successor, three levels, and here several shards of the third."""
     monkeypatch.setattr(ngram_trie, "SHARD_PAIRS", 1 << 14)
-    trie = ngram_trie.build(docs, order=3, cutoff=1)
+    trie = ngram_trie.build(docs)
     rows = docs.collect()
     tokens = [["<s>", *space_words(lower(r.text)), None] for r in rows]
     train = [t for r, t in zip(rows, tokens) if r.doc_id is None or crc32(str(r.doc_id).encode()) % 10]
