@@ -619,18 +619,20 @@ def q_keywords_low(spark, sf):
     return A.low_keywords(A.keyword_counts(d, "text", ["lang"]), ["lang"], 3)
 
 
-@query("keyword_pairs", f"""
-WITH {S_WORDS.strip()},
+S_PAIRS = f"""{S_WORDS.strip()},
 nd AS (SELECT count(*) AS n FROM documents),
-dfreq AS (SELECT word, count(DISTINCT doc_id) AS df FROM words GROUP BY word HAVING count(DISTINCT doc_id) >= 0.2 * (SELECT n FROM nd)),
+dfreq AS (SELECT word, count(DISTINCT doc_id) AS df FROM words GROUP BY word HAVING count(DISTINCT doc_id) >= 5),
 dw AS (SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM dfreq)),
 pairs AS (SELECT a.word AS word_a, b.word AS word_b, count(*) AS support
-          FROM dw a JOIN dw b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL)
-SELECT word_a, word_b, support, round(support * nd.n / (fa.df * fb.df), 6) AS lift
-FROM pairs JOIN dfreq fa ON fa.word = word_a JOIN dfreq fb ON fb.word = word_b, nd""")
+          FROM dw a JOIN dw b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL HAVING count(*) >= 5),
+scored AS (SELECT word_a, word_b, support, round(support * nd.n / (fa.df * fb.df), 6) AS lift
+           FROM pairs JOIN dfreq fa ON fa.word = word_a JOIN dfreq fb ON fb.word = word_b, nd)"""
+
+
+@query("keyword_pairs", f"WITH {S_PAIRS} SELECT word_a, word_b, support, lift FROM scored")
 def q_keyword_pairs(spark, sf):
     d = table(spark, sf, "documents")
-    return A.keyword_pairs(d, "text", "doc_id")
+    return A.keyword_pairs(d, "text", "doc_id", 5)
 
 
 @query("entity_concentration", """
@@ -780,25 +782,21 @@ def q_daily_sample(spark, sf):
 
 
 @query("keyword_clusters", f"""
-WITH RECURSIVE {S_WORDS.strip()},
-nd AS (SELECT count(*) AS n FROM documents),
-dfreq AS (SELECT word, count(DISTINCT doc_id) AS df FROM words GROUP BY word HAVING count(DISTINCT doc_id) >= 0.2 * (SELECT n FROM nd)),
-dw AS (SELECT DISTINCT doc_id, word FROM words WHERE word IN (SELECT word FROM dfreq)),
-pairs AS (SELECT a.word AS word_a, b.word AS word_b, count(*) AS support
-          FROM dw a JOIN dw b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY ALL),
-scored AS (SELECT word_a, word_b, support, round(support * nd.n / (fa.df * fb.df), 6) AS lift
-           FROM pairs JOIN dfreq fa ON fa.word = word_a JOIN dfreq fb ON fb.word = word_b, nd),
-edges AS (SELECT word_a AS src, word_b AS dst FROM scored WHERE lift > 1.05 AND support >= 2
-          UNION SELECT word_b, word_a FROM scored WHERE lift > 1.05 AND support >= 2),
+WITH RECURSIVE {S_PAIRS},
+edges AS MATERIALIZED (SELECT word_a AS src, word_b AS dst FROM scored WHERE lift > 1.5
+          UNION ALL SELECT word_b, word_a FROM scored WHERE lift > 1.5),
 nodes AS (SELECT word_a AS word FROM scored UNION SELECT word_b FROM scored),
-reach(word, r) AS (SELECT word, word FROM nodes
-                   UNION SELECT reach.word, edges.dst FROM reach JOIN edges ON edges.src = reach.r)
-SELECT word, min(r) AS cluster FROM reach GROUP BY word""")
+labels(word, cluster) USING KEY (word) AS (
+  SELECT word, word FROM nodes
+  UNION
+  SELECT e.dst, min(l.cluster) FROM labels l JOIN edges e ON e.src = l.word JOIN recurring.labels c ON c.word = e.dst
+  WHERE l.cluster < c.cluster GROUP BY e.dst)
+SELECT word, cluster FROM labels""")
 def q_keyword_clusters(spark, sf):
-    """A8 (clusters): components of the co-occurrence graph (lift > 1.05,
-    support >= 2) over the words in a fifth of the documents."""
+    """A8 (clusters): components of the co-occurrence graph (lift > 1.5, at
+    least 5 documents) over every word in at least 5 documents."""
     d = table(spark, sf, "documents")
-    return A.keyword_clusters(A.keyword_pairs(d, "text", "doc_id"), 1.05, 2)
+    return A.keyword_clusters(A.keyword_pairs(d, "text", "doc_id", 5), 1.5, 5)
 
 
 @query("crawl_run", f"""

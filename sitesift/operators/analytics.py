@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 from ..constants import MONEY_COLUMNS, PENDING, TEXT_COLUMNS  # fixed values
 from ..functions.text import NA, keep_word, words
-from .joins import join_small, materialize
+from .joins import BROADCAST_ROWS, join_small, materialize, numbered
+
+#: A word in this share of the records is a heavy one.
+HEAVY = 0.05
+#: Pairs that one task counts.
+PAIRS_PER_TASK = 2_000_000
 
 
 PLACEHOLDERS = ("", NA, PENDING)
@@ -140,62 +145,81 @@ def low_keywords(counts: DataFrame, group_cols: list[str] = (), k: int = 3,
             .filter(F.col("rank") <= k).select(*g, "rank", "word", "n"))
 
 
-def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, min_share: float = 0.2,
-                  min_support: int = 1) -> DataFrame:
-    """Co-occurring keyword pairs within a record.
-
-    The vocabulary is every word that stands in at least ``min_share`` of the
-    records. Its size has a bound of its own - the mean number of distinct
-    words per record over ``min_share`` - whatever the number of records, so
-    it is one small array. Each record's vocabulary words are paired inside the
-    row (no self join, no shuffle back by record); pair support is a partial
-    aggregate. ``lift = support * n_docs / (df_a * df_b)``.
+def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, min_support: int = 5) -> DataFrame:
+    """Keyword pairs that stand together in at least ``min_support``
+    records (``doc_col`` names a record), with the lift over chance:
+    ``support * n_docs / (df_a * df_b)``.
+
+    A pair can only reach that support if both its words do, so the vocabulary
+    is every word in at least ``min_support`` records: an absolute bound, not
+    a share of the table, and nothing else is left out. Words are numbered by
+    rising frequency and records carry the numbers. A pair belongs to its
+    rarer word. Where that word is in less than ``HEAVY`` of the records, the
+    records' more frequent words are sent to it as one array each, and its pairs are
+    made and counted where they arrive: no pair is ever shuffled, and no word
+    gathers more than that share of the rows. Pairs of two heavier words (at
+    most the mean number of words of a record over ``HEAVY`` of them) are
+    counted where the records are, and only the sums travel.
+
+    The work grows with the square of a record's distinct words, by the nature
+    of the question; pairs are made one word at a time, never a record's at
+    once. The vocabulary is joined; it is broadcast only where a count proves
+    it small.
     """
-    distinct = F.array_distinct(words(text_col))
+    found = df.select(doc_col, F.explode(F.array_distinct(words(text_col))).alias("word")).filter(keep_word("word"))
+    doc_freq = found.groupBy("word").agg(F.count_distinct(doc_col).alias("df"))
     n_docs = df.count()
-    seen = df.select(F.explode(distinct).alias("word")).filter(keep_word("word"))
-    doc_freq = materialize(seen.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-                           .filter(F.col("df") >= F.lit(min_share) * n_docs))
-    vocab = F.array(*[F.lit(r["word"]) for r in doc_freq.select("word").collect()]).cast("array<string>")
-    per_doc = df.select(F.array_sort(F.array_intersect(distinct, vocab)).alias("ws"))
-    n = F.size("ws")
-    pairs = per_doc.filter(n >= 2).select(F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.transform(F.slice("ws", i + 1, n),
-                              lambda b: F.struct(F.element_at("ws", i).alias("word_a"), b.alias("word_b")))
-    ))).alias("p")).select("p.word_a", "p.word_b")
-    support = pairs.groupBy("word_a", "word_b").agg(F.count(F.lit(1)).alias("support"))
-    da = F.broadcast(doc_freq.select(F.col("word").alias("word_a"), F.col("df").alias("df_a")))
-    db = F.broadcast(doc_freq.select(F.col("word").alias("word_b"), F.col("df").alias("df_b")))
-    return (support.filter(F.col("support") >= min_support).join(da, "word_a").join(db, "word_b")
-            .select("word_a", "word_b", "support",
-                    F.round(F.col("support") * n_docs / (F.col("df_a") * F.col("df_b")), 6).alias("lift")))
+    vocab = materialize(numbered(doc_freq.filter(F.col("df") >= min_support).orderBy("df")).withColumn("id", F.col("id").cast("int")))
+    size, light = vocab.agg(F.count(F.lit(1)), F.count_if(F.col("df") < HEAVY * n_docs)).first()
+    if size >= 1 << 31:
+        raise ValueError(f"{size} words: word numbers have 31 bits")
+    small = vocab if size > BROADCAST_ROWS else F.broadcast(vocab)
+    per_doc = materialize(found.join(small.select("word", "id"), "word").groupBy(doc_col)
+                          .agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").filter(F.size("ids") >= 2))
+    n = F.size("ids").cast("bigint")
+    n_pairs = per_doc.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    parts = max(int(n_pairs // PAIRS_PER_TASK) + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    firsts = per_doc.select("ids", F.posexplode("ids").alias("place", "a")).filter(F.col("place") < F.size("ids") - 1)
+    firsts = firsts.select("a", F.slice("ids", F.col("place") + 2, F.size("ids")).alias("rest"))
+    each = [firsts.filter(F.col("a") < light).repartition(parts, "a"), firsts.filter(F.col("a") >= light)]
+    counted = [f.select("a", F.explode("rest").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("support"))
+               .filter(F.col("support") >= min_support) for f in each]
+    one, two = (small.select(F.col("id").alias(k), F.col("word").alias(f"word_{k}"), F.col("df").alias(f"df_{k}")) for k in "ab")
+    named = counted[0].unionAll(counted[1]).join(one, "a").join(two, "b")
+    lift = F.round(F.col("support") * n_docs / (F.col("df_a") * F.col("df_b")), 6)
+    return named.select(F.least("word_a", "word_b").alias("word_a"), F.greatest("word_a", "word_b").alias("word_b"),
+                        "support", lift.alias("lift"))
 
 
 def keyword_clusters(pairs: DataFrame, min_lift: float = 1.0, min_support: int = 2) -> DataFrame:
     """A8 (clusters): connected components of the keyword graph whose edges
     are pairs with ``lift > min_lift`` and ``support >= min_support``; each
-    vocabulary word gets the smallest word of its component as ``cluster``.
-
-    Iterative min-label propagation. The graph has at most the vocabulary
-    size in nodes (bounded as in :func:`keyword_pairs`), so each round is a tiny
-    job; the label table is checkpointed every round to keep the lineage
-    flat, and the loop stops when no label changes.
+    word of a pair gets the smallest word of its component as ``cluster``.
+
+    The pairs are written once. Min-label propagation with pointer jumping: a
+    word takes the least label among itself, its neighbours and its label's
+    own label, so the rounds grow with the logarithm of a chain. A round is a
+    partial aggregate over the edges and two joins of the words (broadcast
+    only where a count proves them small); labels are checkpointed, and the
+    loop ends when none has changed.
     """
+    pairs = materialize(pairs.select("word_a", "word_b", "support", "lift"))
     edges = pairs.filter((F.col("lift") > min_lift) & (F.col("support") >= min_support)).select(
         F.col("word_a").alias("src"), F.col("word_b").alias("dst"))
-    edges = materialize(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     nodes = pairs.select(F.col("word_a").alias("word")).unionByName(pairs.select(F.col("word_b").alias("word")))
     labels = materialize(nodes.distinct().withColumn("cluster", F.col("word")))
+    small = labels.count() <= BROADCAST_ROWS
+    side = F.broadcast if small else (lambda x: x)
     while True:
-        incoming = (edges.join(labels.withColumnRenamed("word", "src"), "src")
+        incoming = (edges.join(side(labels.withColumnRenamed("word", "src")), "src")
                     .groupBy(F.col("dst").alias("word")).agg(F.min("cluster").alias("_in")))
-        nxt = materialize(labels.join(incoming, "word", "left").select(
-            "word", F.least(F.col("cluster"), F.coalesce("_in", F.col("cluster"))).alias("cluster")))
-        changed = nxt.join(labels.withColumnRenamed("cluster", "_old"), "word").filter(
-            F.col("cluster") != F.col("_old")).limit(1).count()
-        labels = nxt
-        if changed == 0:
+        jump = labels.select(F.col("word").alias("cluster"), F.col("cluster").alias("_up"))
+        least = F.least("cluster", F.coalesce("_in", "cluster"), "_up")
+        nxt = materialize(labels.join(side(jump), "cluster").join(incoming, "word", "left").select(
+            "word", least.alias("cluster"), (least < F.col("cluster")).alias("_changed")))
+        labels = nxt.drop("_changed")
+        if nxt.filter("_changed").limit(1).count() == 0:
             return labels
 
 

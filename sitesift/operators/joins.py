@@ -7,7 +7,7 @@ bounded count proves it small; otherwise it is an ordinary shuffled join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
@@ -39,6 +39,19 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(side, on, how)
 
 
+def numbered(df: DataFrame, name: str = "id") -> DataFrame:
+    """``df`` with a dense number from 0 for every row, in any order: the
+    place within the partition plus the rows of the partitions before (a row
+    per partition is all that meets in one task). Materialised, so that the
+    numbers stay what they are."""
+    mid = F.monotonically_increasing_id()
+    rows = materialize(df.withColumns({"_part": F.shiftright(mid, 33), "_place": mid.bitwiseAND((1 << 33) - 1)}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return join_small(rows, parts, "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
 def spread(scan: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a freshly read table over the task slots when the scan makes
     fewer partitions than that (a small single-row-group file is one task),
