@@ -26,6 +26,7 @@ from .operators.extract_json import extract_json
 from .operators.extract_xml import extract_rss
 from .operators.resolve import resolve_site
 from .operators.route import extract_records, stamp
+from .sources import master_log as L
 from .sources.silver import sample_frame
 from .plans import crawl as C
 from .plans.silver_flow import to_silver
@@ -457,6 +458,48 @@ def q_merge_history(spark, sf):
                       "silver_processed_at")
 
 
+S_NEWEST = """
+SELECT user_id, event_type, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, b DESC, event_id DESC) AS rn FROM ({})) WHERE rn = 1"""
+S_BOTH = "SELECT *, 0 AS b FROM hist UNION ALL BY NAME SELECT *, 1 AS b FROM batch"
+EVENT_KEYS = ["user_id", "event_type"]
+
+
+def _event_log(spark, sf) -> tuple[str, dict]:
+    """A logged master of events: the history, then the batch as deltas."""
+    root = scratch_path(spark, "master_log")
+    how = {"keys": EVENT_KEYS, "ts_col": "ts", "tiebreak": ["event_id"]}
+    for rows in fx.events_split(spark, sf):
+        L.merge(rows, root, domain_col="event_type", buckets=4, **how)
+    return root, how
+
+
+@query("master_snapshot", f"""
+WITH {S_HIST_BATCH.strip()}
+SELECT 1 AS version, * FROM ({S_NEWEST.format("SELECT *, 0 AS b FROM hist")})
+UNION ALL SELECT 2, * FROM ({S_NEWEST.format(S_BOTH)})""")
+def q_master_snapshot(spark, sf):
+    """S3: both snapshots of a master after two merges; the first stays
+    readable as it was."""
+    root, how = _event_log(spark, sf)
+    cols = [*EVENT_KEYS, "event_id", ts_str("ts").alias("ts"), "value", "props"]
+    each = [L.read(spark, root, version=v, **how).select(F.lit(v).alias("version"), *cols) for v in (1, 2)]
+    return each[0].unionByName(each[1])
+
+
+@query("delta_merge", f"""
+WITH {S_HIST_BATCH.strip()}, now AS ({S_NEWEST.format(S_BOTH)})
+SELECT 'deltas' AS state, * FROM now UNION ALL SELECT 'compacted', * FROM now""")
+def q_delta_merge(spark, sf):
+    """S3 + D4, merge-on-read: the merged master read from base and deltas,
+    and again after compaction."""
+    root, how = _event_log(spark, sf)
+    L.compact(spark, root, domain_col="event_type", max_deltas=0, **how)
+    cols = [*EVENT_KEYS, "event_id", ts_str("ts").alias("ts"), "value", "props"]
+    each = [L.read(spark, root, version=v, **how).select(F.lit(n).alias("state"), *cols) for v, n in ((2, "deltas"), (3, "compacted"))]
+    return each[0].unionByName(each[1])
+
+
 @query("snapshot_merge", f"""
 WITH {S_HIST_BATCH.strip()}
 SELECT user_id, event_type, event_id, CASE WHEN ts IS NULL THEN NULL ELSE {s_ts('ts')} END AS ts,
