@@ -32,7 +32,8 @@ from .plans import crawl as C
 from .plans.silver_flow import to_silver
 from .sources.raw import landed_to_raw
 from .session import scratch_path
-from .streaming.ingest import dedup_stream, run_to_master
+from .streaming import stateful as S
+from .streaming.ingest import run_to_master
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -757,18 +758,29 @@ def q_stream_merge(spark, sf):
     return master.select(*cols)
 
 
-@query("stream_dedup")
+def _landed(rows, slot, folder: str):
+    """``rows`` written to ``folder`` as a stream of files, one slot after the
+    other; the number of slots is fixed by the expression."""
+    for k in [r[0] for r in rows.select(slot.alias("k")).distinct().orderBy("k").collect()]:
+        rows.filter(slot == k).coalesce(1).write.mode("append").parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("stream_dedup", """
+SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_id FROM (
+  SELECT *, max(ts) OVER () AS last, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events)
+WHERE rn = 1 AND epoch_ms(ts) < epoch_ms(last) - 43200000""")
 def q_stream_dedup(spark, sf):
-    """R2: first-wins streaming dedup of events per (user, type); rows only."""
+    """R2: the first event of every (user, type) by event time, over files
+    that overlap by up to twelve hours, each in reversed order; a first event
+    is out once the watermark (twelve hours) has passed it."""
     root = scratch_path(spark, "stream_dedup")
-    schema = table(spark, sf, "events").schema
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-          .option("maxFilesPerTrigger", 1).parquet(sf))
-    out = dedup_stream(ev, ["user_id", "event_type"], "ts", "1 hour")
-    q = (out.writeStream.format("parquet").option("path", f"{root}/out")
-         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("user_id", "event_type", "event_id")
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    jitter = F.pmod(F.xxhash64("event_id"), F.lit(43200))
+    slot = F.floor((F.unix_timestamp("ts") + jitter) / (5 * 86400))
+    stream = _landed(e.orderBy(F.desc("ts")), slot, f"{root}/in")
+    out = S.drained(S.first_by_time(stream, ["user_id", "event_type"], "ts", "event_id", "12 hours"), root)
+    return out.select("user_id", "event_type", ts_str("ts").alias("ts"), "event_id")
 
 
 ROUTE_SITES = {**fx.ORDER_SITE, **fx.FEED_SITE, **fx.ARTICLE_SITE}
@@ -863,6 +875,21 @@ def q_crawl_run(spark, sf):
     return C.crawl_run(grid, recs, 20, order_cols=["event_id"]).select("site", "page", "event_id")
 
 
+@query("stream_crawl_halt", ORACLE["crawl_run"])
+def q_stream_crawl_halt(spark, sf):
+    """C3 + C1 while pages arrive: the crawl of ``crawl_run`` over a stream of
+    page files that hold the days in shuffled order."""
+    root = scratch_path(spark, "stream_crawl")
+    grid = fx.page_grid(spark, sf).select("site", "page")
+    e = table(spark, sf, "events").filter(F.col("event_type") == "purchase")
+    recs = e.groupBy(F.col("user_id").alias("site"), F.dayofmonth("ts").alias("page")).agg(F.collect_list("event_id").alias("records"))
+    pages = grid.join(recs, ["site", "page"], "left").withColumn(
+        "fetched_at", F.expr("timestampadd(DAY, page, TIMESTAMP'2024-01-01 00:00:00')"))
+    stream = _landed(pages, F.pmod(F.xxhash64("site", "page"), F.lit(6)), f"{root}/in")
+    out = S.drained(S.halt_crawl(stream, 20, "60 days"), root)
+    return out.select("site", "page", F.col("record").alias("event_id"))
+
+
 # ============================================================ sinks
 @query("raw_write", ORACLE["raw_layer"])
 def q_raw_write(spark, sf):
