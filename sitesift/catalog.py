@@ -33,7 +33,7 @@ from .plans.silver_flow import to_silver
 from .sources.raw import landed_to_raw
 from .session import scratch_path
 from .streaming import stateful as S
-from .streaming.ingest import run_to_master
+from .streaming.ingest import run_to_master, stream_routed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -602,12 +602,20 @@ cache AS (
 cutoff AS (SELECT max(fetched_at) AS t FROM cache),
 fresh AS (SELECT url_hash FROM (SELECT url_hash, max(fetched_at) AS fetched_at FROM cache GROUP BY url_hash), cutoff
           WHERE (epoch_us(t) - epoch_us(fetched_at)) / 3.6e9 < 4)
-SELECT page_id, page_no, url_hash FROM frontier WHERE url_hash NOT IN (SELECT url_hash FROM fresh)""")
+SELECT page_id, page_no, url_hash FROM frontier
+WHERE url_hash NOT IN (SELECT url_hash FROM fresh) OR url_hash NOT IN (SELECT url_hash FROM frontier WHERE page_id % 5 <> 3)""")
 def q_to_fetch(spark, sf):
+    """What has no fresh copy, and what has one without a valid record
+    (every fifth cached page has lost its article)."""
     cache = fx.cache_log(spark, sf)
     as_of = cache.agg(F.max("fetched_at")).scalar()
     fresh = C.fresh_cache(cache, as_of, 4)
-    return C.to_fetch(fx.frontier(spark, sf), fresh).select("page_id", "page_no", "url_hash")
+    lost = F.regexp_replace("html", "</?article", "<section")
+    cached = _resolved_pages(spark, sf, fx.ARTICLE_SITE).withColumn("html", F.when(F.col("page_id") % 5 == 3, lost).otherwise(F.col("html")))
+    records = V.soft_validate_sites(extract_html(cached, fx.sites(fx.ARTICLE_SITE)), fx.sites(fx.ARTICLE_SITE))
+    frontier = fx.frontier(spark, sf)
+    valid = frontier.join(records.select("page_id").distinct(), "page_id", "left_semi").select("url_hash").distinct()
+    return C.to_fetch(frontier, fresh, valid=valid).select("page_id", "page_no", "url_hash")
 
 
 # ================================================================ analytics
@@ -783,6 +791,70 @@ def q_stream_dedup(spark, sf):
     return out.select("user_id", "event_type", ts_str("ts").alias("ts"), "event_id")
 
 
+PROPS_SITE = {"props.example.com": {"strategy": "json", "container": "", "fields": {"k": "k"}}}
+S_PROPS = """
+props_pages AS (
+  SELECT event_id AS page_id, CASE event_id % 11 WHEN 0 THEN substr(props, 1, length(props) - 1) WHEN 1 THEN '{"k":1,"k":2}'
+    WHEN 2 THEN NULL WHEN 4 THEN ' \n ' WHEN 5 THEN rpad(props, 5000, ' ') ELSE props END AS html FROM events),
+props_bad AS (
+  SELECT page_id, CASE page_id % 11 WHEN 0 THEN 'unparsable' WHEN 1 THEN 'duplicate_key' WHEN 5 THEN 'oversize' ELSE 'missing' END AS reason,
+    octet_length(encode(html))::BIGINT AS body_bytes, sha256(html) AS body_sha256
+  FROM props_pages WHERE page_id % 11 IN (0, 1, 2, 4, 5))"""
+
+
+def _props_pages(spark, sf):
+    """Event properties as landed JSON payloads, some of them damaged."""
+    k, body = F.col("event_id") % 11, F.col("props")
+    html = (F.when(k == 0, F.expr("substr(props, 1, length(props) - 1)")).when(k == 1, F.lit('{"k":1,"k":2}'))
+            .when(k == 2, F.lit(None).cast("string")).when(k == 4, F.lit(" \n ")).when(k == 5, F.rpad(body, 5000, " ")).otherwise(body))
+    return table(spark, sf, "events").select(F.col("event_id").alias("page_id"), F.concat(
+        F.lit("https://props.example.com/"), F.col("event_id").cast("string")).alias("url"), html.alias("html"))
+
+
+@query("quality_rows", f"""
+WITH {S_PROPS.strip()}
+SELECT page_id, 'failed' AS kind, NULL AS k, reason, body_bytes::DOUBLE AS body_bytes, body_sha256 FROM props_bad
+UNION ALL SELECT page_id, 'record', coalesce(json_extract_string(html, '$.k'), 'N/A'), NULL, NULL, NULL FROM props_pages
+WHERE page_id NOT IN (SELECT page_id FROM props_bad)""")
+def q_quality_rows(spark, sf):
+    """S2 + X2: damaged payloads with their reason and digest beside the
+    records, in one pass (bodies above 4,000 bytes count as oversize here)."""
+    pages = _props_pages(spark, sf).withColumn("domain", F.lit("props.example.com"))
+    rows = extract_json(pages, fx.sites(PROPS_SITE), quality=True, max_bytes=4000)
+    kind = F.when(F.col("reason").isNull(), "record").otherwise("failed")
+    return rows.select("page_id", kind.alias("kind"), "k", "reason", "body_bytes", "body_sha256")
+
+
+@query("stream_routed", f"""
+WITH {S_PROPS.strip()},
+bad AS (SELECT 'props.example.com' AS domain, reason, count(*) AS n FROM props_bad WHERE reason <> 'oversize' GROUP BY ALL
+        UNION ALL SELECT 'feeds.example.com', 'malformed_feed', count(DISTINCT doc_id // 8) FROM documents WHERE (doc_id // 8) % 11 = 5),
+good AS (SELECT 'props.example.com' AS domain, count(*) AS n FROM props_pages WHERE page_id NOT IN (SELECT page_id FROM props_bad WHERE reason <> 'oversize')
+         UNION ALL SELECT 'feeds.example.com', count(*) FROM documents
+         UNION ALL SELECT 'example', count(*) FROM pages)
+SELECT 'master' AS tbl, domain, '' AS what, n FROM good UNION ALL SELECT 'quality', domain, reason, n FROM bad WHERE n > 0
+UNION ALL SELECT 'metrics', domain, 'records', n FROM good
+UNION ALL SELECT 'metrics', domain, 'failed', coalesce((SELECT sum(n) FROM bad WHERE bad.domain = good.domain), 0)::BIGINT FROM good""")
+def q_stream_routed(spark, sf):
+    """R1 for all strategies: JSON, feed and HTML pages streamed in four
+    files into master, quality and metrics tables."""
+    root = scratch_path(spark, "stream_routed")
+    landed = (table(spark, sf, "pages").select("page_id", "url", "html").unionByName(fx.feed_xml(spark, sf))
+              .unionByName(_props_pages(spark, sf)))
+    landed.withColumn("slot", F.pmod(F.xxhash64("url"), F.lit(4))).repartition(4, "slot").drop("slot").write.parquet(f"{root}/in")
+    roots = {t: f"{root}/{t}" for t in ("master", "quality", "metrics")}
+    stream_routed(spark, f"{root}/in", roots, f"{root}/ckpt", fx.sites({**PROPS_SITE, **fx.FEED_SITE, **fx.ARTICLE_SITE}),
+                  ["domain", "source_url", "ordinal"])
+    read = lambda t, keys, ts: L.read(spark, roots[t], keys, ts)
+    master = read("master", ["domain", "source_url", "ordinal"], "page_id").groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    failed = read("quality", ["domain", "page_id", "reason"], "page_id").groupBy("domain", F.col("reason").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    metrics = read("metrics", ["domain", "epoch"], "epoch").groupBy("domain").agg(F.sum("n_records").alias("records"), F.sum("n_failed").alias("failed"))
+    metrics = metrics.unpivot("domain", ["records", "failed"], "what", "n")
+    each = [master.select(F.lit("master").alias("tbl"), "domain", F.lit("").alias("what"), "n"),
+            failed.select(F.lit("quality"), "domain", "what", "n"), metrics.select(F.lit("metrics"), "domain", "what", "n")]
+    return each[0].unionAll(each[1]).unionAll(each[2])
+
+
 ROUTE_SITES = {**fx.ORDER_SITE, **fx.FEED_SITE, **fx.ARTICLE_SITE}
 ROUTE_COLS = ["page_id", "domain", "source_url", "ordinal", "line", "part", "qty", "flag", "status_tag",
               "last_tag", "missing", "link", "description", "title", "scraped_at", "from_cache"]

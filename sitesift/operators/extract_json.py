@@ -14,6 +14,7 @@ from ..functions.jsonpath import json_path, variant_text
 from ..functions.text import NA, TITLE_FIELDS, strip_title_number, strip_ws
 from ..sources.site_schema import SiteConfig
 from .extract_html import record_columns
+from .quality import DUPLICATE_KEY, QUALITY, UNPARSABLE, early_reason, with_quality
 
 
 
@@ -52,9 +53,13 @@ def _per_domain(dom: Column, items: list[tuple[str, Column]]) -> Column:
 
 def extract_json(pages: DataFrame, configs: list[SiteConfig], id_col: str = "page_id",
                  url_col: str = "url", body_col: str = "html",
-                 domain_col: str = "domain", carry: list[str] = ()) -> DataFrame:
+                 domain_col: str = "domain", carry: list[str] = (), quality: bool = False,
+                 max_bytes: int | None = None) -> DataFrame:
     """JSON-strategy pages -> wide records (same layout as the HTML jobs).
 
+    With ``quality`` a payload that can't be read gives one row of its own,
+    with the reason (see ``quality.py``), among the records of the same pass.
+
     Staged projections (parse -> container -> records -> raw field values ->
     cleaned text) so every parse and lookup runs once per row; Spark does
     not inline an expensive expression that a later step uses twice.
@@ -64,10 +69,22 @@ def extract_json(pages: DataFrame, configs: list[SiteConfig], id_col: str = "pag
     dom = F.col(domain_col)
     base = [F.col(id_col), dom.alias("domain"), F.col(url_col).alias("source_url"), *carry]
     keep = [id_col, "domain", "source_url", *carry]
-    parsed = pages.select(*base, F.call_function("try_parse_json", F.col(body_col)).alias("_doc"))
+    body = F.col(body_col)
+    if quality:
+        pages = pages.withColumn("_early", early_reason(body, max_bytes))
+        body = F.when(F.col("_early").isNull(), body)
+    parsed = pages.select(*base, F.call_function("try_parse_json", body).alias("_doc"),
+                          *([F.col("_early"), F.col(body_col).alias("_body")] if quality else []))
+    if quality:
+        keep += list(QUALITY)
+        parsed = with_quality(parsed, F.col("_doc").isNull(), F.when(
+            F.get_json_object("_body", "$").isNotNull(), DUPLICATE_KEY).otherwise(UNPARSABLE))
     contained = parsed.select(*keep, _per_domain(F.col("domain"), [
         (c.domain, json_path(F.col("_doc"), c.container or "")) for c in configs]).alias("_c"))
-    exploded = contained.select(*keep, F.posexplode(records_array(F.col("_c"))).alias("ordinal", "_rec"))
+    explode = F.posexplode_outer if quality else F.posexplode
+    exploded = contained.select(*keep, explode(records_array(F.col("_c"))).alias("ordinal", "_rec"))
+    if quality:
+        exploded = exploded.filter("ordinal is not null or reason is not null")
     raw_cols = []
     for n in names:
         items = [(c.domain, json_path(F.col("_rec"), r.selectors[0] if r.selectors else ""))
@@ -76,5 +93,7 @@ def extract_json(pages: DataFrame, configs: list[SiteConfig], id_col: str = "pag
     found = exploded.select(*keep, F.col("ordinal").cast("int").alias("ordinal"), *raw_cols)
     raw = found.select(*keep, "ordinal", *[variant_text(F.col(n).cast("variant")).alias(n) for n in names])
     defined = {n: [c.domain for c in configs if n in c.field_names] for n in names}
+    here = F.col("ordinal").isNotNull() if quality else F.lit(True)
     return raw.select(id_col, "domain", "source_url", "ordinal", *[
-        F.when(F.col("domain").isin(*defined[n]), _clean(n, F.col(n))).alias(n) for n in names], *carry)
+        F.when(here & F.col("domain").isin(*defined[n]), _clean(n, F.col(n))).alias(n) for n in names],
+        *carry, *(QUALITY if quality else ()))

@@ -19,15 +19,18 @@ from ..sources.site_schema import SiteConfig
 from .extract_html import extract_html
 from .extract_json import extract_json
 from .extract_xml import extract_rss
+from .quality import early_reason, with_quality
 from .resolve import config_lookup, resolve_site
 
 
 
 def extract_records(pages: DataFrame, configs: list[SiteConfig], id_col: str = "page_id",
                     url_col: str = "url", body_col: str = "html",
-                    domain_col: str = "domain", carry: list[str] = ()) -> DataFrame:
+                    domain_col: str = "domain", carry: list[str] = (), quality: bool = False) -> DataFrame:
     """Pages -> records of every configured site, routed by strategy;
-    ``carry`` columns pass through every branch unchanged.
+    ``carry`` columns pass through every branch unchanged. With ``quality``
+    the rows of ``quality.py`` stand among the records (pages of HTML sites
+    have one where the body is missing).
 
     The site's strategy alone picks the parser, as it did when the page was
     landed; the raw layer's ``format`` label never changes which records come
@@ -46,12 +49,17 @@ def extract_records(pages: DataFrame, configs: list[SiteConfig], id_col: str = "
     if html_cfgs:  # index (DOM mode) and detail (static) sites share one pass
         branch = staged.filter(~F.col("_strategy").isin("json", "rss")).drop("_strategy")
         parts.append(extract_html(branch, html_cfgs, mode=None, **kw))
+        if quality:
+            lost = branch.withColumn("_early", early_reason(F.col(body_col))).filter("_early = 'missing'")
+            parts.append(with_quality(lost.select(
+                id_col, F.col(domain_col).alias("domain"), F.col(url_col).alias("source_url"), *carry,
+                F.lit(None).cast("int").alias("ordinal"), "_early", F.col(body_col).alias("_body")), F.lit(False), F.lit(None)))
     if by_strategy.get("json"):
         branch = staged.filter(F.col("_strategy") == "json").drop("_strategy")
-        parts.append(extract_json(branch, by_strategy["json"], **kw))
+        parts.append(extract_json(branch, by_strategy["json"], quality=quality, **kw))
     for c in by_strategy.get("rss", []):
         branch = staged.filter(F.col(domain_col) == c.domain).drop("_strategy")
-        parts.append(extract_rss(branch, c, **kw))
+        parts.append(extract_rss(branch, c, quality=quality, **kw))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

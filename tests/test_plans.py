@@ -7,8 +7,8 @@ from conftest import SF_SMALL
 from sitesift.catalog import QUERIES
 
 PYTHON_OK = {"html_h1", "html_records", "html_dom_records", "html_links", "rss_records",
-             "stream_merge", "records_route", "record_counts", "crawl_records"}
-SKIP = {"stream_merge", "stream_dedup", "stream_crawl_halt"}  # executed by their own tests
+             "stream_merge", "records_route", "record_counts", "crawl_records", "to_fetch"}
+SKIP = {"stream_merge", "stream_dedup", "stream_crawl_halt", "stream_routed"}  # executed by their own tests
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
