@@ -1,9 +1,12 @@
 """License scan as an exact set-similarity join, in DataFrame operations only.
 
-Text blocks are ``BLOCK_WORDS`` words long and start every ``STRIDE`` words,
-so any run of up to STRIDE + 1 words lies whole in some block. A template
-matches a block that contains at least ``PERCENT`` percent of its distinct
-words. The join is exact by these filters:
+Templates are whole notices and short phrases. Each has its stride: ``STRIDE``
+words, or its own length if that is more. Text blocks are two strides long and
+start every stride, so any run of a stride's words lies whole in some block. A
+template matches a block that contains at least ``PERCENT`` percent of its
+distinct words; one of fewer than ``WHOLE`` distinct words needs all of them,
+as the word that tells the license may be the one that lacks. The join is
+exact by these filters:
 
 * prefix: template words are ordered by how often they occur in all documents,
   rarest first; a matching block must hold one of the first
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from ._runtime import written
 from ._words import END_MARK, hashed
 
-BLOCK_WORDS, STRIDE = 64, 32
-PERCENT = 80
+STRIDE = 32
+PERCENT, WHOLE = 80, 20
 
 #: Phrase and label of the base scan.
 PHRASES = (
@@ -43,7 +46,7 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-#: Further templates (whole notices) and their labels.
+#: Further templates (short notices, then whole ones) and their labels, as the words are read.
 TEMPLATES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
@@ -54,15 +57,39 @@ TEMPLATES = (
     ("this work is licensed under the gnu general public license version 3", "gpl-3"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl-2"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+     "files the software to deal in the software without restriction including without limitation the rights to use copy modify "
+     "merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+     "furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be "
+     "included in all copies or substantial portions of the software the software is provided as is without warranty of any kind "
+     "express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+     "noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+     "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or "
+     "other dealings in the software", "mit"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+     "conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the "
+     "following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+     "the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+     "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or "
+     "agreed to in writing software distributed under the license is distributed on an as is basis without warranties or "
+     "conditions of any kind either express or implied see the license for the specific language governing permissions and "
+     "limitations under the license", "apache-2"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+     "as published by the free software foundation either version 3 of the license or at your option any later version this "
+     "program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+     "merchantability or fitness for a particular purpose see the gnu general public license for more details", "gpl-3"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
+     "with this file you can obtain one at https mozilla org mpl 2 0", "mpl-2"),
 )
 
 
 def _needed(size: int) -> int:
-    return math.ceil(PERCENT * size / 100)
+    return size if size < WHOLE else math.ceil(PERCENT * size / 100)
 
 
-def _literal_words(words: list[str]) -> Column:
-    return F.array(*[F.xxhash64(F.lit(w)) for w in words])
+def stride(text: str) -> int:
+    return max(STRIDE, len(text.split()))
 
 
 def _places(hashes: DataFrame) -> DataFrame:
@@ -87,14 +114,16 @@ def _probes(spark, order: list[str]) -> DataFrame:
     for t, (text, _) in enumerate(PHRASES + TEMPLATES):
         words = sorted(set(text.split()), key=rank.__getitem__)
         need = _needed(len(words))
-        for r in range(len(words) - need + 1):
-            rows.append(F.struct(F.xxhash64(F.lit(words[r])).alias("x"), F.lit(t).alias("t"), F.lit(r).alias("r"),
-                                 F.lit(need).alias("need"), _literal_words(words).alias("tset"),
-                                 _literal_words(text.split()).alias("seq")))
-    rows.append(F.struct(F.lit(END_MARK).cast("bigint").alias("x"), F.lit(-1).alias("t"), F.lit(0).alias("r"),
-                         F.lit(0).alias("need"), F.array().cast("array<bigint>").alias("tset"),
-                         F.array().cast("array<bigint>").alias("seq")))
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+        rows.append(F.struct(F.lit(t).alias("t"), F.lit(need).alias("need"), F.lit(stride(text)).alias("stride"), F.lit(text).alias("text"),
+                             F.lit(" ".join(words[:len(words) - need + 1])).alias("prefix")))
+    hashes = F.transform(F.split("text", " "), lambda w: F.xxhash64(w))
+    each = (spark.range(1).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+            .select("t", "need", "stride", F.array_distinct(hashes).alias("tset"), hashes.alias("seq"),
+                    F.posexplode(F.split("prefix", " ")).alias("r", "word")))
+    none = F.array().cast("array<bigint>")
+    end = spark.range(1).select(F.lit(END_MARK).cast("bigint").alias("x"), F.lit(-1).alias("t"), F.lit(0).alias("r"), F.lit(0).alias("need"),
+                                F.lit(STRIDE).alias("stride"), none.alias("tset"), none.alias("seq"))
+    return each.select(F.xxhash64("word").alias("x"), "t", "r", "need", "stride", "tset", "seq").unionAll(end)
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -104,11 +133,11 @@ def matches(docs: DataFrame) -> DataFrame:
     words = sorted({w for text, _ in PHRASES + TEMPLATES for w in text.split()})
     probes = _probes(docs.sparkSession, word_order(docs, words))
     found = _places(hashed(docs)).join(F.broadcast(probes), "x")
-    first = F.floor(F.col("at") / STRIDE).cast("int")
+    first = F.floor(F.col("at") / F.col("stride")).cast("int")
     blocks = F.when(F.col("t") < 0, F.array(F.lit(0))).otherwise(
         F.filter(F.array(first, first - 1), lambda b: b >= 0))
     cut = (found.withColumn("block", F.explode(blocks))
-           .withColumn("words", F.slice("h", F.col("block") * STRIDE + 1, BLOCK_WORDS)))
+           .withColumn("words", F.slice("h", F.col("block") * F.col("stride") + 1, 2 * F.col("stride"))))
     distinct = F.size(F.array_distinct("words"))
     long_enough = distinct >= F.col("need")
     in_reach = 1 + F.least(F.size("tset") - F.col("r") - 1, distinct - 1) >= F.col("need")

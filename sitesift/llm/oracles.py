@@ -11,12 +11,16 @@ ALNUM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP3 = f"""
 WITH t(t, txt, label, base) AS (VALUES {{templates}}
-), ts AS (SELECT t, label, base, string_split(txt, ' ') AS seq, list_distinct(string_split(txt, ' ')) AS tset FROM t
+), ts AS (
+  SELECT t, label, base, string_split(txt, ' ') AS seq, list_distinct(string_split(txt, ' ')) AS tset, greatest(32, len(string_split(txt, ' '))) AS stride FROM t
 ), w AS (SELECT doc_id, {ALNUM_WORDS.format(LOWER.format(TEXT))} AS ws FROM documents
 ), b AS (
-  SELECT doc_id, ws[32 * k + 1:32 * k + 64] AS bw FROM (SELECT doc_id, ws, unnest(generate_series(0, (len(ws) - 1) // 32)) AS k FROM w WHERE len(ws) > 0)
+  SELECT doc_id, stride, ws[stride * k + 1:stride * k + 2 * stride] AS bw FROM (
+    SELECT doc_id, ws, stride, unnest(generate_series(0, (len(ws) - 1) // stride)) AS k FROM w, (SELECT DISTINCT stride FROM ts) WHERE len(ws) > 0)
 ), m AS (
-  SELECT doc_id, t, label, len(list_intersect(tset, bw)) / len(tset) AS share FROM b, ts WHERE 100 * len(list_intersect(tset, bw)) >= 80 * len(tset)
+  SELECT doc_id, t, label, shared / size AS share FROM (
+    SELECT doc_id, t, label, len(list_intersect(tset, bw)) AS shared, len(tset) AS size FROM b JOIN ts USING (stride))
+  WHERE 100 * shared >= CASE WHEN size < 20 THEN 100 ELSE 80 END * size
 ), ml AS (SELECT doc_id, max(share) AS score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM m GROUP BY doc_id
 ), p AS (
   SELECT doc_id, i, ws, unnest(generate_series(0, len(ws) - 1)) AS pos FROM (SELECT doc_id, ws, 0 AS i FROM w WHERE len(ws) > 0)

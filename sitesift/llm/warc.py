@@ -5,11 +5,15 @@ revisit) and metadata; request and metadata name the capture's main record by
 WARC-Concurrent-To. Captures with equal payloads of at least ``DEDUP_BYTES``
 bytes share one response (the largest page_id); the others are revisit records
 that refer to it and hold no payload. The records are text lines of Spark's
-own writer whose line end is the two CRLF that close a WARC record, gzipped,
-at most ``FILE_CAPTURES`` captures a file: a lost task is simply run again.
-
-Reading. Files are read whole (they are bounded) and cut by Content-Length
-only, so no payload content can be mistaken for a boundary. Assembly groups
+own writer whose line end is the two CRLF that close a WARC record, gzipped: a
+lost task is simply run again. Captures go to files by the size of their
+payload (``SIZES``): so many of a size a file that it holds about 128 MB of
+payloads at most, or one capture alone.
+
+Reading. Files are inflated and cut piece by piece, and records leave in
+batches of ``BATCH_BYTES``, so a worker holds a compressed file, one record
+and one batch. They are cut by Content-Length only, so no payload content can
+be mistaken for a boundary. Assembly groups
 the records by the main record's id, which the others give as concurrent-to,
 and emits one nested row per capture. Payloads stay out of the shuffle unless
 they are asked for; a revisit's payload size comes from the response it
@@ -38,7 +42,9 @@ from pyspark.sql import functions as F
 from ._runtime import scratch
 
 DEDUP_BYTES = 1000
-FILE_CAPTURES = 2000
+#: Greatest payload and captures of a file of that size.
+SIZES = ((64 << 10, 2000), (1 << 20, 128), (16 << 20, 8), (1 << 62, 1))
+PIECE, BATCH_BYTES = 1 << 20, 8 << 20
 #: Fixed values of the format.
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
@@ -61,7 +67,8 @@ def _record(kind: Column, rid: Column, headers: list[tuple[str, Column]], block:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """One column ``value``: the records of each capture, three rows a page."""
+    """The records of each capture, three rows a page: ``value``, and the
+    payload's size as ``bytes``."""
     html = F.coalesce("html", F.lit(""))
     url = F.col("url")
     for code in [*range(0x21), 0x7F]:
@@ -80,12 +87,13 @@ def records(pages: DataFrame) -> DataFrame:
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.col("bytes").cast("string"), F.lit(RECORD_END))
     host = F.regexp_extract("uri", r"^[a-z]+://([^/?#]*)", 1)
-    path = F.regexp_replace("uri", r"^[a-z]+://[^/?#]*", "")
+    path = F.coalesce(F.regexp_replace(F.regexp_replace("uri", r"^[a-z]+://[^/?#]*", ""), "#.*$", ""), F.lit(""))
+    path = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
     uri = ("WARC-Target-URI", F.col("uri"))
     refers = F.when(again, lead_id)
     request = _record(F.lit("request"), _uuid(F.lit("request"), F.col("id"), F.col("digest")),
                       [uri, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http; msgtype=request"))],
-                      F.concat(F.lit("GET "), F.coalesce(path, F.lit("/")), F.lit(f" HTTP/1.1{CRLF}Host: "),
+                      F.concat(F.lit("GET "), path, F.lit(f" HTTP/1.1{CRLF}Host: "),
                                F.coalesce(host, F.lit("")), F.lit(RECORD_END)))
     response = _record(kind, main,
                        [uri, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -95,26 +103,60 @@ def records(pages: DataFrame) -> DataFrame:
     metadata = _record(F.lit("metadata"), _uuid(F.lit("metadata"), F.col("id"), F.col("digest")),
                        [uri, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))],
                        F.concat(F.lit("page-id: "), F.col("id"), F.lit(CRLF)))
-    return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
+    return rows.select("bytes", F.explode(F.array(request, response, metadata)).alias("value"))
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
-    """Gzipped WARC files under ``path``."""
-    (records(pages).write.option("lineSep", RECORD_END).option("compression", "gzip")
-     .option("maxRecordsPerFile", 3 * FILE_CAPTURES).text(path))
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split(CRLF)
+    """Gzipped WARC files under ``path``, in a folder for each size."""
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    found, low = records(pages), -1
+    for high, captures_a_file in SIZES:
+        rows = found.filter((F.col("bytes") > low) & (F.col("bytes") <= high)).select("value")
+        (rows.write.option("lineSep", RECORD_END).option("compression", "gzip")
+         .option("maxRecordsPerFile", 3 * captures_a_file).text(f"{path}/upto-{high}"))
+        if largest <= high:
+            return
+        low = high
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of a gzip file in pieces."""
+    left = data
+    while left:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = member.decompress(left, PIECE)
+            left = member.unconsumed_tail
+            if not piece and not left:
+                break
+            yield piece
+        left = member.unused_data
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an uncompressed archive that comes
+    in pieces."""
+    held, pieces = bytearray(), iter(pieces)
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (stop := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                if held:
+                    raise ValueError("the archive ends inside a record's header")
+                return
+        lines = held[:stop].decode().split(CRLF)
         fields = dict(line.split(": ", 1) for line in lines[1:])
-        begin = stop + 4
-        end = begin + int(fields["Content-Length"])
-        yield fields, data[begin:end]
-        at = end + 4
+        end = stop + 4 + int(fields["Content-Length"])
+        while len(held) < end + 4:
+            if not more():
+                raise ValueError("the archive ends inside a record")
+        yield fields, bytes(held[stop + 4:end])
+        del held[:end + 4]
 
 
 RECORDS = ("type string, id string, main string, uri string, refers_to string, digest string, page_id bigint, "
@@ -129,8 +171,8 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
         names = [c.strip().split()[0] for c in RECORDS.split(",")]
         for batch in batches:
             for content in batch.column("content"):
-                rows = []
-                for fields, block in parse(zlib.decompress(content.as_py(), 31)):
+                rows, size = [], 0
+                for fields, block in parse(inflated(content.as_py())):
                     kind = fields["WARC-Type"]
                     row = dict.fromkeys(names)
                     row |= {"type": kind, "id": fields["WARC-Record-ID"], "uri": fields.get("WARC-Target-URI"),
@@ -150,9 +192,13 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
                             number = row["block"].removeprefix("page-id: ").strip()
                             row["page_id"] = int(number) if number else None
                     rows.append(row)
+                    size += len(block) if with_payload else 512
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(cut, RECORDS)
 
 

@@ -91,3 +91,51 @@ def test_a_text_of_many_megabytes_takes_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 45 * 20e6
+
+
+def test_license_labels_need_the_word_that_tells(spark):
+    from sitesift.llm import license_join
+    ship_package(spark)
+    mit, bsd = (next(t for t, label in license_join.TEMPLATES if label == want and len(t.split()) > 60) for want in ("mit", "bsd"))
+    cut = " ".join(w for i, w in enumerate(mit.split()) if i % 12)          # about a twelfth of the words lost
+    filler = " ".join(f"w{i}" for i in range(150))
+    texts = {1: ("Released under the Apache License", ""), 2: ("licensed under cc by 4 0", ""), 3: ("licensed under the BSD license version 2 0", ""),
+             4: ("Released under the MIT License", "mit"), 5: (f"{filler} {cut} {filler}", "mit"), 6: (" ".join(mit.split()[:80]), "mit"),
+             7: (f"{filler} {bsd.upper()}\n{filler}", "bsd"), 8: (filler, "")}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in license_join.scan(df).collect()}
+    assert got == {i: want for i, (_, want) in texts.items()}
+
+
+def test_warc_requests_and_sizes(spark):
+    from sitesift.llm import warc
+    from sitesift.llm._runtime import scratch
+    ship_package(spark)
+    urls = ["http://a.org", "http://a.org?q=1", "http://a.org/x?y=2#frag", "http://a.org#top", None, "no scheme", "http://a.org/\r\nHost: b"]
+    sizes = [10, 70_000, 2_000_000, 20_000_000]
+    rows = [(i, u, "x") for i, u in enumerate(urls)] + [(100 + i, "http://b.org/", f"{i}" + "é" * (n // 2)) for i, n in enumerate(sizes)]
+    path = scratch(spark, "warc-test")
+    warc.write_archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path)
+    found = warc.read_records(spark, path)
+    assert found.select("id").distinct().count() == 3 * len(rows)
+    lines = {r.page_id: r.line for r in warc.captures(found).selectExpr("metadata.page_id", "split(request.block, '\r\n')[0] AS line").collect()}
+    assert [lines[i] for i in range(len(urls))] == [f"GET {p} HTTP/1.1" for p in ("/", "/?q=1", "/x?y=2", "/", "/", "/no%20scheme", "/%0D%0AHost:%20b")]
+    got = {r.page_id: r.payload_bytes for r in warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: len(h.encode()) for i, _, h in rows}
+    folders = {r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).selectExpr("regexp_extract(path, '(upto-[0-9]+)', 1)").collect()}
+    assert len(folders) == 4
+
+
+def test_an_archive_is_read_in_pieces():
+    import zlib
+    from sitesift.llm import warc
+    records = [b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in (b"", b"a\r\n\r\nWARC/1.1\r\n", b"z" * 5_000_000)]
+    def gzip(data):
+        c = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return c.compress(data) + c.flush()
+    for data in (gzip(b"".join(records)), b"".join(map(gzip, records))):        # one member, or one a record
+        pieces = list(warc.inflated(data))
+        assert max(map(len, pieces)) <= warc.PIECE and b"".join(pieces) == b"".join(records)
+        assert [len(block) for _, block in warc.parse(iter(pieces))] == [0, 15, 5_000_000]
+    with pytest.raises(ValueError):
+        list(warc.parse(iter([records[2][:-10]])))
