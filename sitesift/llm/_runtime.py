@@ -6,7 +6,8 @@ import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, ship_package
 
@@ -28,6 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def running_sums(df: DataFrame, by: list[str], order: list[str], values: dict[str, Column], name: str) -> DataFrame:
+    """``df`` with running sums of ``values`` (by the names of their columns)
+    within ``by`` in ``order`` (with ties in any order), without a group in one
+    task: sums inside the partitions of a range sort, plus the totals of the
+    partitions before (a row per group and partition)."""
+    own = {f"_own_{c}": v for c, v in values.items()}
+    salted = df.withColumns({"_row": F.monotonically_increasing_id(), **own})
+    ranged = written(salted.repartitionByRange(*by, *order, "_row").withColumn("_part", F.spark_partition_id()), name)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*by, "_part").agg(*[F.sum(f"_own_{c}").alias(f"_sum_{c}") for c in values])
+    parts = parts.select(*by, "_part", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in values])
+    inside = Window.partitionBy(*by, "_part").orderBy(*order, "_row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.withColumns({f"_in_{c}": F.sum(f"_own_{c}").over(inside) for c in values}).join(parts, [*by, "_part"])
+    rows = rows.withColumns({c: F.col(f"_in_{c}") + F.col(f"_before_{c}") for c in values})
+    return rows.drop("_part", "_row", *[f"{x}_{c}" for c in values for x in ("_own", "_in", "_before")])
+
+
 def shipped(fn: Callable) -> Callable:
     """The query with this package importable in the Python workers."""
     @functools.wraps(fn)

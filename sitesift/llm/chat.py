@@ -3,8 +3,10 @@
 Conversations that begin with the same turns share those turns' nodes. Every
 node is tokenised and emitted once, in depth-first order; it carries its
 position ids (tokens of its ancestors first, so a shared turn has the same
-positions in every conversation that runs through it), and the intervals of
-the emitted stream that it may attend to: its ancestors' and its own.
+positions in every conversation that runs through it). A stretch of nodes that
+the same conversations run through is a segment: one interval of the emitted
+stream. A node may attend to the intervals of its segment's ancestors, and to
+its own segment up to itself.
 
 Template of a turn: ``<|im_start|>`` role newline text ``<|im_end|>`` newline.
 The two markers are token ids of their own, after the vocabulary. Inside roles
@@ -13,14 +15,23 @@ before the bar, so no control string can stand there, and reading takes one
 away again; a role also has its backslashes and newlines escaped. The loss
 covers exactly the text tokens of assistant turns.
 
-Order without a big sort in one place: a node's key is its parent's key and a
-hash of the turn, so sorting path keys as strings is depth-first order. The
-stream offset of a node is a prefix sum over that order: a range-partitioned
-sort, one total per partition on the driver, then a running sum inside each
-partition. A first turn that a third of all conversations share is one node;
-the joins back from it have unique keys on the node side. The nodes are
-written as that stream, in ranges of their offsets, and conversations are read
-from the written stream by the intervals of their last turn.
+Scale. Turns are numbered by a range sort and running sums (those inside a
+partition plus the totals of the partitions before), so a conversation of any
+length is spread over the tasks. A node's id is the running sum of 96-bit
+hashes of (place, turn): 38 digits whatever its depth. A node belongs to the
+least conversation through it; what a conversation owns is its last turns, so
+running sums within owners also give the segments. Only segments carry paths.
+Each segment on a path needs a conversation of its own that leaves the path
+there, so a path of s segments needs some s * s / 2 turns in the table: paths
+stay below the square root of twice the rows, and all of them together have at
+most two entries a row. Sorting paths as strings is depth-first order. A join
+with a node or segment that more than one row in POPULAR meets is a broadcast
+of at most POPULAR small rows; the other keys are joined by a shuffle.
+
+Reading goes through the written stream by the intervals of a conversation's
+last segment, in pieces of at most PIECE turns. Each node is decoded once; the
+digests of one conversation are then taken in order by one task, batch by
+batch (a digest has no parallel form).
 
 Defined cases: a null text is empty, a null role is an empty role; turns are
 ordered by (turn, role, text) with nulls first, so repeated rows are repeated
@@ -38,17 +49,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._runtime import written
+from ._runtime import running_sums, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The two control strings.
 START, END = "<|im_start|>", "<|im_end|>"
 #: Fixed value: the public split pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A key is popular if more than one row in so many has it: at most POPULAR keys are.
+POPULAR = 1000
+#: Nodes of a segment that are read under one key.
+PIECE = 1000
+#: Characters of a popular piece that is broadcast: 64 MB in all.
+SHORT = 1 << 16
 
 _OPEN = re.compile(r"<(\\*)\|")
 _CLOSE = re.compile(r"<\\(\\*)\|")
@@ -114,27 +131,33 @@ def coder(ranks: bytes) -> Coder:
     return _CODERS[key]
 
 
-def node_id(path: Column) -> Column:
-    return F.unhex(F.md5(path))
+def _heads_up(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (one row a key) on ``keys``; the rows
+    that ``right`` marks as ``popular``, at most POPULAR, are broadcast."""
+    popular = right.filter("popular").drop("popular")
+    met = left.join(F.broadcast(popular), keys)
+    rest = left.join(F.broadcast(popular.select(*keys)), keys, "left_anti")
+    return met.unionByName(rest.join(right.filter("NOT popular").drop("popular"), keys, how))
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """conv_id, k (place in the conversation), role, text, and the node key
-    ``path``: one 16-digit hash for each turn up to this one."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
+def numbered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns by conversation and place (c, k, role, text; c is the id in a
+    struct, so that null is an id too), and their nodes: c, k, node, parent."""
+    rows = turns.select(F.struct("conv_id").alias("c"), "turn", F.coalesce("role", F.lit("")).alias("role"),
                         F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    digest = F.substring(F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text"))), 1, 16)
-    rows = rows.withColumn("digest", digest)
-    return (rows.withColumn("k", F.row_number().over(order))
-            .withColumn("path", F.concat_ws("", F.collect_list("digest").over(order.rowsBetween(Window.unboundedPreceding, 0))))
-            .select("conv_id", "k", "role", "text", "path"))
-
-
-def nodes(rows: DataFrame, ranks: bytes) -> DataFrame:
-    """One row per distinct node: path, depth, role, text, tokens and the
-    token range of the loss (empty unless an assistant speaks)."""
-    spark = rows.sparkSession
+    rows = written(running_sums(rows, ["c"], ["turn", "role", "text"], {"k": F.lit(1)}, "chat-turns").drop("turn"), "chat-numbered")
+    digest = F.md5(F.concat_ws(":", "k", F.length("role"), F.concat("role", "text")))
+    high, low = (F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(15,0)") for at in (1, 13))
+    mark = (high * F.lit(1 << 48).cast("decimal(15,0)") + low).cast("decimal(29,0)")
+    places = running_sums(rows.select("c", "k", mark.alias("mark")), ["c"], ["k"], {"node": F.col("mark")}, "chat-places")
+    return rows, written(places.select("c", "k", "node", (F.col("node") - F.col("mark")).cast("decimal(38,0)").alias("parent")), "chat-places")
+
+
+def nodes(texts: DataFrame, places: DataFrame, ranks: bytes) -> DataFrame:
+    """One row per distinct node: node, parent, owner, k (its depth), through
+    (conversations), head (whether a segment begins), tokens and the token
+    range of the loss (empty unless an assistant speaks)."""
+    spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(ranks)      # a vocabulary file, about 1 MB
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,62 +169,129 @@ def nodes(rows: DataFrame, ranks: bytes) -> DataFrame:
             flat = np.fromiter((i for t, _, _ in done for i in t), np.int32, int(size.sum()))
             loss = [(a, b) if r == "assistant" else (0, 0) for r, (_, a, b) in zip(roles, done)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("path"), batch.column("depth"), T.list_array(flat, size, pa.int32()),
+                batch.column("node"), T.list_array(flat, size, pa.int32()),
                 pa.array([a for a, _ in loss], pa.int32()), pa.array([b for _, b in loss], pa.int32()),
-            ], names=["path", "depth", "tokens", "loss_from", "loss_to"])
-
-    distinct = rows.groupBy("path").agg(F.first("k").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
-    return written(distinct.select("path", "depth", "role", "text").mapInArrow(
-        tokenised, "path string, depth int, tokens array<int>, loss_from int, loss_to int"), "chat-nodes")
-
-
-def _offsets(tree: DataFrame) -> DataFrame:
-    """(path, depth, n, at): where each node's tokens begin in the stream."""
-    sizes = tree.select("path", "depth", F.size("tokens").cast("bigint").alias("n"))
-    parts = max(1, tree.rdd.getNumPartitions())
-    ordered = written(sizes.repartitionByRange(parts, "path").sortWithinPartitions("path")
-                      .withColumn("part", F.spark_partition_id()), "chat-order")
-    totals = ordered.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()   # a row per partition
-    base, before = [], 0
-    for r in totals:
-        base.append(F.when(F.col("part") == r["part"], F.lit(before)))
-        before += r["n"]
-    run = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(*base, F.lit(0)).cast("bigint") if base else F.lit(0).cast("bigint")
-    return ordered.select("path", "depth", "n", (start + F.coalesce(F.sum("n").over(run), F.lit(0))).alias("at"))
-
-
-def prefix_tree(turns: DataFrame, ranks: bytes) -> tuple[DataFrame, DataFrame]:
-    """The emitted nodes, written in stream order, and (conv_id, n_turns,
-    leaf) of each conversation.
-
-    Node columns: path, depth, tokens, loss_from, loss_to, at (place in the
-    emitted stream), first_position (of its first token; the others follow),
-    attends (intervals [from, to) of the stream: ancestors, then itself)."""
-    rows = written(numbered(turns), "chat-turns")
-    tree = nodes(rows, ranks)
-    placed = written(_offsets(tree), "chat-offsets")
-    # Ancestors by node id, 16 bytes, so that deep conversations don't carry their paths along.
-    up = placed.select(node_id(F.col("path")).alias("node"), "path", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("d"))
-    up = up.select("node", node_id(F.expr("substring(path, 1, 16 * d)")).alias("above"))
-    spans = placed.select(node_id(F.col("path")).alias("above"), F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b"))
-    lines = up.join(spans, "above").groupBy("node").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("a").alias("from"), F.col("b").alias("to")))).alias("attends"))
-    seen = F.aggregate("attends", F.lit(0).cast("bigint"), lambda t, x: t + x["to"] - x["from"])
-    sized = placed.select("path", "at", "n").withColumn("node", node_id(F.col("path"))).join(lines, "node")
-    out = (tree.join(sized, "path").withColumn("first_position", seen - F.col("n"))
-           .select("path", "depth", "tokens", "loss_from", "loss_to", "at", "first_position", "attends"))
+            ], names=["node", "tokens", "loss_from", "loss_to"])
+
+    found = written(places.groupBy("node").agg(F.count("*").alias("through"), F.min("c").alias("owner"), F.min("k").alias("k"),
+                                               F.min("parent").alias("parent")), "chat-found")
+    said = found.select("node", F.col("owner").alias("c"), "k").join(texts, ["c", "k"]).select("node", "role", "text")
+    tokens = said.mapInArrow(tokenised, "node decimal(38,0), tokens array<int>, loss_from int, loss_to int")
+    # A node goes on its parent's segment if all conversations through the parent run through it.
+    alone = (found.filter("k > 1").groupBy("parent").agg(F.count("*").alias("n"), F.max("node").alias("child"), F.max("through").alias("through"))
+             .filter("n = 1").drop("n"))
+    goes_on = alone.join(found.select(F.col("node").alias("parent"), "through"), ["parent", "through"])
+    goes_on = goes_on.select(F.col("child").alias("node"), F.lit(False).alias("head"))
+    whole = found.join(goes_on, "node", "left").withColumn("head", F.coalesce("head", F.lit(True)))
+    return written(whole.join(tokens, "node"), "chat-nodes")
+
+
+def prefix_tree(turns: DataFrame, ranks: bytes) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The emitted nodes, written in stream order, their segments, and
+    (conv_id, n_turns, segment) of each conversation, whose last turn is the
+    last node of that segment.
+
+    Node columns: at (place in the emitted stream), segment (the place where
+    its segment begins), piece, depth, tokens, loss_from, loss_to and
+    first_position (of its first token; the others follow). Segment columns:
+    segment, attends (intervals [from, to) of the stream with their number of
+    nodes: ancestors, then itself) and popular."""
+    texts, places = numbered(turns)
+    tree = nodes(texts, places, ranks)
+    n_rows, n_nodes = places.count(), tree.count()
+    size = F.size("tokens").cast("bigint")
+    laid = written(running_sums(tree.select("node", "parent", "owner", "k", "through", "head", size.alias("n")), ["owner"], ["k"],
+                                {"seg": F.col("head").cast("int"), "upto": F.col("n")}, "chat-laid"), "chat-laid")
+    segs = laid.groupBy("owner", "seg").agg(
+        F.min_by("node", "k").alias("node"), F.max_by("node", "k").alias("last"), F.min("k").alias("k"), F.count("*").alias("nodes"),
+        F.sum("n").alias("n"), F.min(F.col("upto") - F.col("n")).alias("before"), F.min("through").alias("through"))
+    popular = F.col("through") * POPULAR > n_rows
+    segs = written(segs.withColumns({"id": F.md5(F.col("node").cast("string")), "popular": popular}), "chat-segments")
+    lines = _heads_up(places.select("c", "node"), segs.select("node", "k", "id", "n", "popular"), ["node"])
+    lines = lines.groupBy(F.col("c").alias("owner")).agg(F.array_sort(F.collect_list(F.struct("k", "id", "n"))).alias("line"))
+    above = F.filter("line", lambda x: x["k"] <= F.col("k"))
+    paths = segs.join(lines, "owner").withColumn("line", above)
+    paths = paths.withColumn("first_position", F.aggregate("line", F.lit(0).cast("bigint"), lambda t, x: t + x["n"]) - F.col("n"))
+    paths = paths.withColumn("line", F.col("line.id")).withColumn("path", F.concat_ws("", "line"))
+    ordered = running_sums(paths, [], ["path"], {"end": F.col("n")}, "chat-order").withColumn("segment", F.col("end") - F.col("n"))
+    ordered = written(ordered.drop("path"), "chat-paths")
+    spans = ordered.select("id", F.col("segment").alias("from"), F.col("end").alias("to"), "nodes", "popular")
+    steps = _heads_up(ordered.select("segment", F.col("popular").alias("shared"), F.explode("line").alias("id")), spans, ["id"])
+    segments = written(steps.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("from", "to", "nodes"))).alias("attends"),
+                                                    F.first("shared").alias("popular")), "chat-attends")
+    # Segments that hold more than a node in POPULAR.
+    of = ordered.select("owner", "seg", "segment", "before", F.col("k").alias("from_k"), "first_position",
+                        (F.col("nodes") * POPULAR > n_nodes).alias("popular"))
+    inside = F.col("upto") - F.col("n") - F.col("before")
+    at = _heads_up(laid.select("node", "owner", "seg", "k", "n", "upto"), of, ["owner", "seg"]).select(
+        "node", "segment", (F.col("segment") + inside).alias("at"), (F.col("first_position") + inside).alias("first_position"),
+        F.floor((F.col("k") - F.col("from_k")) / PIECE).alias("piece"), F.col("k").alias("depth"))
+    out = tree.select("node", "tokens", "loss_from", "loss_to").join(at, "node").drop("node")
     parts = max(1, tree.rdd.getNumPartitions())
     out = written(out.repartitionByRange(parts, "at").sortWithinPartitions("at"), "chat-stream")
-    leaves = rows.groupBy("conv_id").agg(F.max("k").cast("bigint").alias("n_turns"), F.max_by("path", "k").alias("leaf"))
-    return out, leaves
+    ends = places.groupBy("c").agg(F.max("k").cast("bigint").alias("n_turns"), F.max_by("node", "k").alias("last"))
+    leaves = _heads_up(ends, ordered.select("last", "segment", "popular"), ["last"])
+    return out, segments, leaves.select("c.conv_id", "n_turns", "segment")
 
 
 READ = ("turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, "
         "positions_sha256 string, attends_sha256 string")
 
 
-def read_back(tree: DataFrame, leaves: DataFrame, ranks: bytes) -> DataFrame:
+class _Reading:
+    """The digests of one conversation, node by node in stream order."""
+
+    def __init__(self):
+        self.said, self.loss, self.positions, self.spans = (hashlib.sha256() for _ in range(4))
+        self.loss_chars = self.chars = self.tokens = self.n_spans = 0
+        self.at = self.to = None
+
+    def add(self, r: dict) -> None:
+        if r["at"] is None or r["at"] != (r["from"] if self.at == self.to else self.at):
+            raise ValueError("an interval is not in the stream")
+        if self.at == self.to:
+            self.spans.update(f"{',' if self.n_spans else ''}{r['from']}:{r['to']}".encode())
+            self.n_spans += 1
+        self.at, self.to = r["at"] + r["n"], r["to"]
+        self.said.update(r["said"].encode())
+        self.loss.update(r["loss"].encode())
+        self.positions.update((np.arange(r["n"], dtype="<i8") + r["first_position"]).tobytes())
+        self.loss_chars += len(r["loss"])
+        self.chars += r["chars"]
+        self.tokens += r["n"]
+
+    def row(self) -> tuple:
+        if self.at != self.to:
+            raise ValueError("an interval is not in the stream")
+        return (self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.tokens, self.positions.hexdigest(),
+                self.spans.hexdigest())
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (leaf, from, at) to a row a leaf."""
+    fields = [f.split() for f in READ.split(", ")]
+    types = [pa.int64() if t == "bigint" else pa.string() for _, t in fields]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [()] * (len(fields) + 2)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.bool_(), *types])],
+                                          names=["segment", "popular", *(name for name, _ in fields)])
+
+    key, reading = None, None
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            if reading is None or r["segment"] != key[0]:
+                if reading is not None:
+                    rows.append((*key, *reading.row()))
+                key, reading = (r["segment"], r["popular"]), _Reading()
+            reading.add(r)
+        yield packed(rows)
+    if reading is not None:
+        yield packed([(*key, *reading.row())])
+
+
+def read_back(tree: DataFrame, segments: DataFrame, leaves: DataFrame, ranks: bytes) -> DataFrame:
     """Per conversation, from the emitted stream alone: what lies in the
     intervals that its last turn attends to. The digests of its turns and of
     the text under the loss, its formatted length, its number of tokens, and
@@ -212,36 +302,35 @@ def read_back(tree: DataFrame, leaves: DataFrame, ranks: bytes) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(sent.value)
+        keep = ["segment", "piece", "at", "first_position"]
         for batch in batches:
-            rows = []
-            for parts in batch.column("parts").to_pylist():
-                if any(len(p["tokens"]) != p["to"] - p["from"] for p in parts):
-                    raise ValueError("an interval is not a node of the stream")
-                ids = [i for p in parts for i in p["tokens"]]
-                whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in code.turns(ids)).encode())
-                loss = "".join(unescape(code.text(p["tokens"][p["loss_from"]:p["loss_to"]])) for p in parts)
-                positions = hashlib.sha256()
-                for p in parts:
-                    positions.update((np.arange(len(p["tokens"]), dtype="<i8") + p["first_position"]).tobytes())
-                spans = ",".join(f"{p['from']}:{p['to']}" for p in parts)
-                rows.append((whole.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(code.text(ids)),
-                             len(ids), positions.hexdigest(), hashlib.sha256(spans.encode()).hexdigest()))
-            fields = [f.split() for f in READ.split(", ")]
-            cols = list(zip(*rows)) or [()] * len(fields)
+            said, loss, chars, size = [], [], [], []
+            for ids, a, b in zip(*(batch.column(c).to_pylist() for c in ("tokens", "loss_from", "loss_to"))):
+                said.append("".join(f"{r}\n{t}\n" for r, t in code.turns(ids)))
+                loss.append(unescape(code.text(ids[a:b])))
+                chars.append(len(code.text(ids)))
+                size.append(len(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("leaf"), *(pa.array(c, pa.int64() if t == "bigint" else pa.string()) for c, (_, t) in zip(cols, fields))],
-                names=["leaf", *(name for name, _ in fields)])
-
-    by_id = leaves.select("conv_id", "n_turns", node_id(F.col("leaf")).alias("leaf"))
-    ends = tree.select(node_id(F.col("path")).alias("leaf"), "attends").join(by_id.select("leaf").distinct(), "leaf", "left_semi")
-    steps = ends.select("leaf", F.explode("attends").alias("x")).select("leaf", F.col("x.from").alias("from"), F.col("x.to").alias("to"))
-    emitted = tree.select(F.col("at").alias("from"), "tokens", "loss_from", "loss_to", "first_position")
-    # An interval whose node is not in the stream fails above rather than being left out.
-    found = steps.join(emitted, "from", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<int>")))
-    parts = found.groupBy("leaf").agg(
-        F.array_sort(F.collect_list(F.struct("from", "to", "tokens", "loss_from", "loss_to", "first_position"))).alias("parts"))
-    read = parts.select("leaf", "parts").mapInArrow(decoded, f"leaf binary, {READ}")
-    return by_id.join(read, "leaf").drop("leaf")
+                [*(batch.column(c) for c in keep), pa.array(said, pa.string()), pa.array(loss, pa.string()),
+                 pa.array(chars, pa.int64()), pa.array(size, pa.int64())], names=[*keep, "said", "loss", "chars", "n"])
+
+    wanted = segments.join(leaves.select("segment").distinct(), "segment", "left_semi")
+    steps = wanted.select("segment", "popular", F.explode("attends").alias("x")).select(
+        F.col("segment").alias("leaf"), "popular", "x.from", "x.to",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("x.nodes") - 1) / PIECE))).alias("piece"))
+    read = written(tree.mapInArrow(decoded, "segment bigint, piece bigint, at bigint, first_position bigint, said string, loss string, "
+                                            "chars bigint, n bigint").withColumnRenamed("segment", "from"), "chat-read")
+    # Nodes in popular segments are at most POPULAR, of any length: the long ones are joined by a shuffle.
+    many = segments.filter("popular").select(F.col("segment").alias("from"))
+    short = read.join(F.broadcast(many), "from").groupBy("from", "piece").agg(F.sum(F.length("said")).alias("size"))
+    short = short.filter(F.col("size") <= SHORT).select("from", "piece")
+    hot = read.join(F.broadcast(short), ["from", "piece"])
+    rest = steps.join(F.broadcast(short), ["from", "piece"], "left_anti")
+    # An interval that is not in the stream fails while reading rather than being left out.
+    found = steps.join(F.broadcast(hot), ["from", "piece"]).unionByName(rest.join(read, ["from", "piece"], "left"))
+    found = found.withColumnRenamed("leaf", "segment").repartition("segment").sortWithinPartitions("segment", "from", "at")
+    done = written(found.mapInArrow(_digests, f"segment bigint, popular boolean, {READ}"), "chat-digests")
+    return _heads_up(leaves, done, ["segment"]).drop("segment")
 
 
 def load_ranks(path: str = TOKENIZER) -> bytes:

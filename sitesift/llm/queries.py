@@ -18,8 +18,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.sql(f"SELECT * FROM VALUES {rows} AS t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ranks = chat.load_ranks()
-    tree, leaves = chat.prefix_tree(turns.unionByName(more), ranks)
-    return chat.read_back(tree, leaves, ranks)
+    return chat.read_back(*chat.prefix_tree(turns.unionByName(more), ranks), ranks)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
