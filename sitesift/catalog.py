@@ -24,10 +24,12 @@ from .operators import validate as V
 from .operators.extract_html import extract_html, extract_links
 from .operators.extract_json import extract_json
 from .operators.extract_xml import extract_rss
+from .operators.joins import join_small
 from .operators.resolve import resolve_site
 from .operators.route import extract_records, stamp
 from .sources import master_log as L
-from .sources.silver import sample_frame
+from .sources.silver import merge_into_master, read_master, sample_frame
+from .sources.site_schema import site_schema_df
 from .plans import crawl as C
 from .plans.silver_flow import to_silver
 from .sources.raw import landed_to_raw
@@ -242,6 +244,41 @@ def q_resolve_site_automaton(spark, sf):
         "page_id", "url", U.netloc("url").alias("netloc"), "domain")
 
 
+#: Rules in every spelling: a text, texts, a mapping, nothing, and the normal form.
+RULE_SITES = {
+    "example.net": {"strategy": "index", "container": "article, main", "fields": {
+        "title": "h1", "link": {"selector": "a[href]", "attribute": "href"}, "text": ["p", "div.body, span"]}},
+    "thther.example.org": {"fields": {"whole": None, "title": {"selector": ["h1 , h2", "h3"]}}},
+    "blog.": {"strategy": "json", "container": "items", "start_page": 0, "pagination_param": "p",
+              "fields": [{"name": "t", "selectors": ["a.b"], "attribute": None}]},
+}
+
+
+@query("schema_rules", f"""
+WITH rules(domain, strategy, container, start_page, pagination_param, field, place, selectors, attribute) AS (VALUES
+  ('example.net', 'index', 'article, main', 1, 'page', 'title', 0, 'h1', NULL),
+  ('example.net', 'index', 'article, main', 1, 'page', 'link', 1, 'a[href]', 'href'),
+  ('example.net', 'index', 'article, main', 1, 'page', 'text', 2, 'p|div.body|span', NULL),
+  ('thther.example.org', 'detail', NULL, 1, 'page', 'whole', 0, '', NULL),
+  ('thther.example.org', 'detail', NULL, 1, 'page', 'title', 1, 'h1|h2|h3', NULL),
+  ('blog.', 'json', 'items', 0, 'p', 't', 0, 'a.b', NULL)),
+hosts AS (SELECT page_id, url, {s_netloc('url')} AS netloc FROM pages)
+SELECT page_id, r.* FROM (
+  SELECT page_id, CASE WHEN netloc IN ('example.net', 'thther.example.org', 'blog.') THEN netloc WHEN contains(url, 'example.net') THEN 'example.net'
+    WHEN contains(url, 'thther.example.org') THEN 'thther.example.org' WHEN contains(url, 'blog.') THEN 'blog.' END AS d FROM hosts) p
+JOIN rules r ON r.domain = p.d""")
+def q_schema_rules(spark, sf):
+    """S6 + X6: the site schema as a table; the normalised field rules that
+    hold for every page, a row each."""
+    configs = fx.sites(RULE_SITES)
+    p = resolve_site(table(spark, sf, "pages").select("page_id", "url"), configs).select("page_id", "domain")
+    rules = site_schema_df(spark, configs)      # a row per site: configuration
+    return join_small(p, rules, "domain").select(
+        "page_id", "domain", "strategy", "container", "start_page", "pagination_param", F.posexplode("fields").alias("place", "rule")).select(
+        "page_id", "domain", "strategy", "container", "start_page", "pagination_param", F.col("rule.name").alias("field"), "place",
+        F.concat_ws("|", "rule.selectors").alias("selectors"), F.col("rule.attribute").alias("attribute"))
+
+
 # ================================================================ extraction
 @query("json_field", """
 SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'N/A') AS k,
@@ -501,6 +538,33 @@ def q_delta_merge(spark, sf):
     return each[0].unionByName(each[1])
 
 
+@query("bad_history", f"""
+WITH {S_HIST_BATCH.strip()}, now AS ({S_NEWEST.format(S_BOTH)}), old AS ({S_NEWEST.format("SELECT *, 0 AS b FROM hist")})
+SELECT 'read' AS state, 2 AS problems, * FROM now WHERE event_type <> 'purchase'
+UNION ALL SELECT 'read', 2, * FROM old WHERE event_type = 'purchase'
+UNION ALL SELECT 'merged again', 0, * FROM now""")
+def q_bad_history(spark, sf):
+    """A master whose newest part of purchases is damaged and that has a
+    part which was never committed. The version before is read and both are
+    reported; merging the batch again mends it."""
+    root = scratch_path(spark, "bad_master")
+    hist, batch = fx.events_split(spark, sf)
+    how = {"keys": EVENT_KEYS, "ts_col": "ts", "tiebreak": ["event_id"], "domain_col": "event_type"}
+    for rows in (hist, batch):
+        merge_into_master(spark, root, rows, **how)
+    fx.damage_part(spark, root, "purchase", 2)
+    fx.start_part(spark, root, "click", 3)
+    cols = [*EVENT_KEYS, "event_id", ts_str("ts").alias("ts"), "value", "props"]
+
+    def now(state: str) -> DataFrame:
+        rows, problems = read_master(spark, root)
+        return rows.select(F.lit(state).alias("state"), F.lit(len(problems)).alias("problems"), *cols)
+
+    read = now("read")
+    merge_into_master(spark, root, batch, **how)
+    return read.unionByName(now("merged again"))
+
+
 @query("snapshot_merge", f"""
 WITH {S_HIST_BATCH.strip()}
 SELECT user_id, event_type, event_id, CASE WHEN ts IS NULL THEN NULL ELSE {s_ts('ts')} END AS ts,

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.joins import spread
+from .sources.silver import _fs, part_dir
 from .sources.site_schema import load_site_schema
 
 RUN_TS = "2024-02-01 00:00:00"
@@ -215,3 +216,20 @@ def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = fr.select("url_hash", F.explode(F.array(
         F.col("page_id") * 3 + F.col("page_no"), F.col("page_id") * 3 + F.col("page_no") + 1)).alias("event_id"))
     return copies.join(e, "event_id").select("url_hash", F.col("ts").alias("fetched_at"))
+
+
+def damage_part(spark: SparkSession, root: str, domain: str, version: int) -> None:
+    """Overwrite the files of a committed master part with something else."""
+    fs, _, jvm = _fs(spark, root)
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{part_dir(domain, 0)}/v={version}")
+    for st in fs.listStatus(path):
+        if st.getPath().getName().endswith(".parquet"):
+            out = fs.create(st.getPath(), True)
+            out.write(bytearray(b"damaged"))
+            out.close()
+
+
+def start_part(spark: SparkSession, root: str, domain: str, version: int) -> None:
+    """A part's folder as a writer leaves it that dies before its commit."""
+    fs, _, jvm = _fs(spark, root)
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{root}/{part_dir(domain, 0)}/v={version}"))
