@@ -29,6 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key is popular if more than one row in so many has it: at most POPULAR keys are.
+POPULAR = 1000
+
+
+def join_popular(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (one row a key) on ``keys``, without a
+    hot key in one task: the rows that ``right`` marks as ``popular``, at most
+    POPULAR, are broadcast; the others are joined by a shuffle."""
+    popular = right.filter("popular").drop("popular")
+    met = left.join(F.broadcast(popular), keys)
+    rest = left.join(F.broadcast(popular.select(*keys)), keys, "left_anti")
+    return met.unionByName(rest.join(right.filter("NOT popular").drop("popular"), keys, how))
+
+
 def running_sums(df: DataFrame, by: list[str], order: list[str], values: dict[str, Column], name: str) -> DataFrame:
     """``df`` with running sums of ``values`` (by the names of their columns)
     within ``by`` in ``order`` (with ties in any order), without a group in one

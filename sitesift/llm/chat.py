@@ -53,15 +53,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._runtime import running_sums, written
+from ._runtime import POPULAR, join_popular, running_sums, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The two control strings.
 START, END = "<|im_start|>", "<|im_end|>"
 #: Fixed value: the public split pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A key is popular if more than one row in so many has it: at most POPULAR keys are.
-POPULAR = 1000
 #: Nodes of a segment that are read under one key.
 PIECE = 1000
 #: Characters of a popular piece that is broadcast: 64 MB in all.
@@ -131,15 +129,6 @@ def coder(ranks: bytes) -> Coder:
     return _CODERS[key]
 
 
-def _heads_up(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right`` (one row a key) on ``keys``; the rows
-    that ``right`` marks as ``popular``, at most POPULAR, are broadcast."""
-    popular = right.filter("popular").drop("popular")
-    met = left.join(F.broadcast(popular), keys)
-    rest = left.join(F.broadcast(popular.select(*keys)), keys, "left_anti")
-    return met.unionByName(rest.join(right.filter("NOT popular").drop("popular"), keys, how))
-
-
 def numbered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The turns by conversation and place (c, k, role, text; c is the id in a
     struct, so that null is an id too), and their nodes: c, k, node, parent."""
@@ -207,7 +196,7 @@ def prefix_tree(turns: DataFrame, ranks: bytes) -> tuple[DataFrame, DataFrame, D
         F.sum("n").alias("n"), F.min(F.col("upto") - F.col("n")).alias("before"), F.min("through").alias("through"))
     popular = F.col("through") * POPULAR > n_rows
     segs = written(segs.withColumns({"id": F.md5(F.col("node").cast("string")), "popular": popular}), "chat-segments")
-    lines = _heads_up(places.select("c", "node"), segs.select("node", "k", "id", "n", "popular"), ["node"])
+    lines = join_popular(places.select("c", "node"), segs.select("node", "k", "id", "n", "popular"), ["node"])
     lines = lines.groupBy(F.col("c").alias("owner")).agg(F.array_sort(F.collect_list(F.struct("k", "id", "n"))).alias("line"))
     above = F.filter("line", lambda x: x["k"] <= F.col("k"))
     paths = segs.join(lines, "owner").withColumn("line", above)
@@ -216,21 +205,21 @@ def prefix_tree(turns: DataFrame, ranks: bytes) -> tuple[DataFrame, DataFrame, D
     ordered = running_sums(paths, [], ["path"], {"end": F.col("n")}, "chat-order").withColumn("segment", F.col("end") - F.col("n"))
     ordered = written(ordered.drop("path"), "chat-paths")
     spans = ordered.select("id", F.col("segment").alias("from"), F.col("end").alias("to"), "nodes", "popular")
-    steps = _heads_up(ordered.select("segment", F.col("popular").alias("shared"), F.explode("line").alias("id")), spans, ["id"])
+    steps = join_popular(ordered.select("segment", F.col("popular").alias("shared"), F.explode("line").alias("id")), spans, ["id"])
     segments = written(steps.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("from", "to", "nodes"))).alias("attends"),
                                                     F.first("shared").alias("popular")), "chat-attends")
     # Segments that hold more than a node in POPULAR.
     of = ordered.select("owner", "seg", "segment", "before", F.col("k").alias("from_k"), "first_position",
                         (F.col("nodes") * POPULAR > n_nodes).alias("popular"))
     inside = F.col("upto") - F.col("n") - F.col("before")
-    at = _heads_up(laid.select("node", "owner", "seg", "k", "n", "upto"), of, ["owner", "seg"]).select(
+    at = join_popular(laid.select("node", "owner", "seg", "k", "n", "upto"), of, ["owner", "seg"]).select(
         "node", "segment", (F.col("segment") + inside).alias("at"), (F.col("first_position") + inside).alias("first_position"),
         F.floor((F.col("k") - F.col("from_k")) / PIECE).alias("piece"), F.col("k").alias("depth"))
     out = tree.select("node", "tokens", "loss_from", "loss_to").join(at, "node").drop("node")
     parts = max(1, tree.rdd.getNumPartitions())
     out = written(out.repartitionByRange(parts, "at").sortWithinPartitions("at"), "chat-stream")
     ends = places.groupBy("c").agg(F.max("k").cast("bigint").alias("n_turns"), F.max_by("node", "k").alias("last"))
-    leaves = _heads_up(ends, ordered.select("last", "segment", "popular"), ["last"])
+    leaves = join_popular(ends, ordered.select("last", "segment", "popular"), ["last"])
     return out, segments, leaves.select("c.conv_id", "n_turns", "segment")
 
 
@@ -330,7 +319,7 @@ def read_back(tree: DataFrame, segments: DataFrame, leaves: DataFrame, ranks: by
     found = steps.join(F.broadcast(hot), ["from", "piece"]).unionByName(rest.join(read, ["from", "piece"], "left"))
     found = found.withColumnRenamed("leaf", "segment").repartition("segment").sortWithinPartitions("segment", "from", "at")
     done = written(found.mapInArrow(_digests, f"segment bigint, popular boolean, {READ}"), "chat-digests")
-    return _heads_up(leaves, done, ["segment"]).drop("segment")
+    return join_popular(leaves, done, ["segment"]).drop("segment")
 
 
 def load_ranks(path: str = TOKENIZER) -> bytes:

@@ -21,7 +21,8 @@ linked already (:func:`compare_families`). So nothing is capped, and no task
 gets an unbounded group.
 
 Hot groups: copies collapse in a partial aggregation before any pairing; star
-joins have one row a key on one side, so a hot key can be split.
+joins have one row a key on one side, which is broadcast for the keys (at most
+POPULAR) that more than one row in POPULAR has.
 
 Defined cases: a null or empty text, or one without words, has 0 shingles and
 links with nothing. Every input row gives one result row, repeated rows too.
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._runtime import written
+from ._runtime import POPULAR, join_popular, written
 from ._words import same_rows
 from .components import connected
 
@@ -208,8 +209,10 @@ def _stars(members: DataFrame, name: str) -> DataFrame:
     """Members (bucket, cls, n) of buckets with two classes or more, with the
     bucket's size ``c`` and its smallest and largest member."""
     own = F.struct("cls", "n")
+    n_rows = members.count()
     ends = members.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count(F.lit(1)).alias("c"))
-    return written(members.join(ends.filter("c > 1"), "bucket"), name)
+    ends = written(ends.filter("c > 1").withColumn("popular", F.col("c") * POPULAR > n_rows), f"{name}-ends")
+    return written(join_popular(members, ends, ["bucket"]), name)
 
 
 def _pairs(spokes: DataFrame) -> DataFrame:
@@ -283,7 +286,8 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
 
     rest = resolve(spokes)
     if rest is not None:
-        rest = resolve(_stars(prefix_buckets(rest.select("cls").distinct(), sets), "minhash-prefix"))
+        rest = prefix_buckets(rest.select("cls").distinct(), sets)
+        rest = resolve(_stars(written(rest, "minhash-prefixes"), "minhash-prefix"))
         if rest is not None:
             known = written(functools.reduce(DataFrame.union, linked), "minhash-known")
             linked.append(compare_families(rest, known, sets))
@@ -344,10 +348,11 @@ def unique_rows(docs: DataFrame) -> DataFrame:
     one stays."""
     found = written(classified(docs).filter("n_shingles > 0").groupBy("component", "doc_id", "th")
                     .agg(F.count(F.lit(1)).alias("copies")), "minhash-rows")
-    first = found.groupBy(F.col("component").alias("c2")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"))
+    first = found.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("c"))
+    first = written(first.withColumn("popular", F.col("c") * POPULAR > found.count()).drop("c"), "minhash-first")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    judged = found.join(first, F.col("component") == F.col("c2")).select("doc_id", "th", "copies", stays.alias("stays"))
+    judged = join_popular(found, first, ["component"]).select("doc_id", "th", "copies", stays.alias("stays"))
     out = written(judged.filter("not stays or copies > 1"), "minhash-out")
     row = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("th"))
     single = row.join(out, same_rows(row, out), "left_anti").select("_row")
