@@ -1,6 +1,8 @@
 """Operators on documents: defined cases and brute force on small data."""
 
+import hashlib
 import math
+import random
 import re
 from collections import Counter
 from zlib import crc32
@@ -176,6 +178,58 @@ def test_winnowing_against_brute_force(spark, docs, none):
     assert winnow.decontaminate(docs, items.limit(0)).filter("contaminated or n_hit > 0").count() == 0
 
 
+def test_winnowing_of_random_texts(spark, monkeypatch):
+    """Few words, so that hashes tie and fingerprints repeat; items of every
+    length from 1 to 40; one fingerprint that many items share, in blocks."""
+    rnd = random.Random(11)
+    some = lambda n, kinds: " ".join(rnd.choice("abcdefghijklmnop"[:kinds]) for _ in range(n))
+    items = [(i, some(1 + i % 40, 2 + i % 9)) for i in range(80)]
+    items += [(100 + i, f"what is the capital of {i} " + some(9, 12)) for i in range(60)]
+    texts = [some(rnd.randint(0, 120), 2 + i % 14) for i in range(60)]
+    for i in range(60):     # passages of items, whole and cut, between other words
+        words = rnd.choice(items)[1].split()
+        cut = words[rnd.randint(0, len(words) - 1) // 3:]
+        texts.append(" ".join([some(rnd.randint(0, 60), 16), *cut, some(rnd.randint(0, 60), 16)]))
+    want = []
+    for i, text in enumerate(texts):
+        w, hit, found = text.split(), set(), set()
+        for item, t in items:
+            t = t.split()
+            size = min(13, len(t))
+            wins = {tuple(t[j:j + size]) for j in range(len(t) - size + 1)}
+            for j in range(len(w) - size + 1):
+                if tuple(w[j:j + size]) in wins:
+                    hit |= set(range(j, j + size))
+                    found.add(str(item))
+        ids = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        want.append((i, len(w), len(hit), len(found), ids))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    pick = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256")
+    assert sorted(map(tuple, winnow.decontaminate(d, b).select(*pick).collect())) == want
+    long = [x for x in items if len(x[1].split()) >= 13]    # one span: the usual plan
+    b13 = spark.createDataFrame(long, "item_id long, text string")
+    whole = sorted(map(tuple, winnow.decontaminate(d, b13).select(*pick).collect()))
+    for n, (i, t) in enumerate(zip(want, texts)):
+        w = t.split()
+        wins = {tuple(x[1].split()[j:j + 13]) for x in long for j in range(len(x[1].split()) - 12)}
+        hit = {k for j in range(len(w) - 12) if tuple(w[j:j + 13]) in wins for k in range(j, j + 13)}
+        assert whole[n][2] == len(hit)
+    monkeypatch.setattr(winnow, "BLOCK", 40)
+    assert sorted(map(tuple, winnow.decontaminate(d, b13).select(*pick).collect())) == whole
+
+
+def test_winnowing_selects_few_places(spark):
+    """Of the windows of a text of different words about two in ten select a
+    new place, and no window is without its own."""
+    rnd = random.Random(5)
+    words = [f"w{rnd.randrange(10 ** 6)}" for _ in range(5000)]
+    got = winnow.fingerprints(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
+    n = got.count()
+    assert 0.15 * 5000 < n < 0.27 * 5000
+    assert got.filter("size(words) > 21 or off > 8").count() == 0
+
+
 def test_winnowing_in_blocks_gives_the_same(spark, docs, monkeypatch):
     items = spark.createDataFrame([(k, " ".join(f"alpha{i} beta{i % 5}" for i in range(k, k + 9))) for k in range(12)],
                                   "item_id bigint, text string")
