@@ -1,23 +1,19 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
 Fingerprints: the hash of every K-word run; of the runs inside a window of
-``SPAN`` words only the smallest is selected, the last of equal ones (a window
-of ``SPAN - K + 1`` hashes). Both sides select alike, about a fifth of their
-places. Two texts that share ``SPAN`` consecutive words hold that window in
-common and so its selected place: joining selected places on their hash misses
-no shared span of that length. Each match is then extended to both sides, word
-by word, as far as the windows reach that could have selected the place; it is
-a hit from ``SPAN`` equal words on. Longer passages are covered hit by hit.
-An item of fewer than SPAN words is one window of its own length, fingerprinted
-alike.
-
-The benchmark's side is a row per item place: the words around it, at most
-``2 * SPAN - K``. It is broadcast only up to ``BLOCK`` rows (about 100 MB); a
-larger benchmark is dealt into such blocks by the rows themselves, so that one
-very frequent fingerprint is dealt too, and the documents are read once for
-each. Every document carries an end mark through the same pass, so its word
-count needs no second read. Only hits are shuffled: a passage that many
-documents share gives each of them its own rows.
+``SPAN`` words only the smallest counts (a window of ``SPAN - K + 1`` hashes).
+Two texts that share ``SPAN`` consecutive words hold that window in common and
+so its smallest hash: joining on it misses no shared span of that length. Each
+match is then extended: the window's whole word sequence must be equal, and a
+shared passage is found window by window over its full length. An item of
+fewer than SPAN words is one window of its own length, fingerprinted alike.
+
+The benchmark's windows are a broadcast side only up to ``BLOCK`` rows (about
+100 MB at most); a larger benchmark is dealt window by window into such blocks,
+so that a very frequent fingerprint is dealt too, and the documents are read
+once for each. Every document carries an end mark
+through the same pass, so its word count needs no second read. Only hits are
+shuffled: a passage that many documents share gives each of them its own rows.
 
 Defined cases: a null or empty text, or one without words, has no hits and is
 clean; a null or wordless item has no window; a null item_id reads as ''.
@@ -47,105 +43,75 @@ def _run_hashes(h: Column, k: int) -> Column:
     return F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]))
 
 
+def _smallest(runs: Column, at: Column, span: int, k: int) -> Column:
+    hashes = [F.get(runs, at + j) for j in range(span - k + 1)]
+    return F.least(*hashes) if len(hashes) > 1 else hashes[0]
+
+
 def _runs(df: DataFrame, spans: list[int]) -> DataFrame:
     """Adds ``r<k>`` for every run length that ``spans`` need, in one
     projection of its own (it is read many times)."""
     return df.withColumns({f"r{k}": _run_hashes(F.col("h"), k) for k in sorted({min(K, s) for s in spans})})
 
 
-def _least(values: list[Column]) -> Column:
-    return F.least(*values) if len(values) > 1 else values[0]
-
-
-def _selected(at: Column, n_words: Column, span: int) -> Column:
-    """struct(m, p): the smallest run hash of the window that starts at ``at``
-    and its place, the last of equal ones; null where the window before has
-    selected the same place, and where no whole window starts."""
-    runs, width = F.col(f"r{min(K, span)}"), span - min(K, span) + 1
-    hashes = [F.get(runs, at + j) for j in range(width)]
-    m = _least(hashes)
-    place = F.coalesce(*[F.when(hashes[j] == m, at + j) for j in reversed(range(width))])
-    new = F.lit(True)       # one hash a window: every place
-    if width > 1:
-        before = F.get(runs, at - 1)
-        kept = _least(hashes[:-1])      # the hashes of both windows
-        new = (at == 0) | (before < kept) | (hashes[-1] <= F.least(before, kept))
-    return F.when((at <= n_words - span) & new, F.struct(m.alias("m"), place.alias("p")))
-
-
-def _reach(h: Column, p: Column, words: Column, off: Column) -> tuple[Column, Column]:
-    """How many words before place ``p`` of ``h``, and from it on, equal those
-    around ``off`` of ``words`` without a gap (at most SPAN - 1 and SPAN)."""
-    def count(steps: list[int]) -> Column:
-        end = None
-        for n, j in enumerate(steps):
-            differ = ~F.coalesce(F.get(h, p + j) == F.get(words, off + j), F.lit(False))
-            end = F.when(differ, n) if end is None else end.when(differ, n)
-        return end.otherwise(len(steps))
-    return count([-j for j in range(1, SPAN)]), count(list(range(SPAN)))
-
-
-def fingerprints(benchmark: DataFrame) -> DataFrame:
-    """Distinct (item_id, span, m, off, words): a row per selected place of an
-    item, with the words that its windows may reach and its place in them."""
+def windows(benchmark: DataFrame) -> DataFrame:
+    """Distinct (item_id, span, fingerprint ``m``, word hashes ``win``)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
-                             word_hashes(F.col("text")).alias("h")).filter("size(h) > 0").distinct()
-    items = items.withColumns({"n_words": F.size("h"), "span": F.least(F.size("h"), F.lit(SPAN))})
+                             word_hashes(F.col("text")).alias("h")).filter("size(h) > 0")
+    items = items.withColumn("span", F.least(F.size("h"), F.lit(SPAN)))
+    items = items.select("item_id", "span", "h", F.explode(F.sequence(F.lit(0), F.size("h") - F.col("span"))).alias("i"))
+    cut = items.select("item_id", "span", F.slice("h", F.col("i") + 1, F.col("span")).alias("win"))
     found = None
     for span in range(SPAN, 0, -1):
-        k = min(K, span)
-        places = _runs(items.filter(F.col("span") == span), [span]).select("*", F.posexplode("h").alias("at", "x"))
-        picked = places.select("item_id", "span", "h", _selected(F.col("at"), F.col("n_words"), span).alias("s")).filter("s is not null")
-        first = F.greatest(F.col("s.p") - (span - k), F.lit(0))
-        part = picked.select("item_id", "span", F.col("s.m").alias("m"), (F.col("s.p") - first).alias("off"),
-                             F.slice("h", first + 1, F.col("s.p") - first + span).alias("words"))
+        part = _runs(cut.filter(F.col("span") == span).withColumnRenamed("win", "h"), [span])
+        part = part.select("item_id", "span", _smallest(F.col(f"r{min(K, span)}"), F.lit(0), span, min(K, span)).alias("m"),
+                           F.col("h").alias("win"))
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 
 
 def _hits(docs: DataFrame, known: DataFrame, spans: list[int], with_marks: bool) -> DataFrame:
-    """(doc_id, th, n_words, at, to, span, wid) per hit, and a row with span 0
-    per document where ``with_marks``."""
+    """(doc_id, th, n_words, at, span, wid) per hit window, and a row with
+    span 0 per document where ``with_marks``."""
     runs = _runs(hashed(docs), spans)
     marked = F.array_append("h", F.lit(END_MARK))
     places = runs.select("*", F.size("h").alias("n_words"), F.posexplode(marked).alias("at", "x"))
-    at, n_words = F.col("at"), F.col("n_words")
-    mark = F.struct(F.lit(END_MARK).alias("m"), at.alias("p"))
-    each = [F.struct(_selected(at, n_words, span).alias("s"), F.lit(span).alias("span")) for span in spans]
+    each = []
+    for span in spans:
+        k = min(K, span)
+        small = _smallest(F.col(f"r{k}"), F.col("at"), span, k)
+        each.append(F.struct(F.when(F.col("at") <= F.col("n_words") - span, small).alias("m"), F.lit(span).alias("span")))
     if with_marks:
-        each.append(F.struct(F.when(at == n_words, mark).alias("s"), F.lit(0).alias("span")))
-    if len(spans) == 1:     # the common case: no second explode
-        probe = F.when(at == n_words, each[-1]).otherwise(each[0]) if with_marks else each[0]
-        places = places.withColumn("probe", probe)
+        each.append(F.struct(F.when(F.col("at") == F.col("n_words"), F.lit(END_MARK)).alias("m"), F.lit(0).alias("span")))
+    if len(each) == 2 and with_marks:   # the common case: one span, no second explode
+        first, mark = each
+        places = places.withColumn("p", F.when(F.col("at") == F.col("n_words"), mark).otherwise(first))
     else:
-        places = places.withColumn("probe", F.explode(F.array(*each)))
-    probes = places.select("doc_id", "th", "n_words", "h", F.col("probe.s.m").alias("m"), F.col("probe.s.p").alias("p"),
-                           F.col("probe.span").alias("span")).filter("m is not null")
-    near = probes.join(F.broadcast(known), ["m", "span"])
-    before, after = _reach(F.col("h"), F.col("p"), F.col("words"), F.col("off"))
-    near = near.select("doc_id", "th", "n_words", "p", "span", "wid", before.alias("before"), after.alias("after"))
-    return near.filter(F.col("before") + F.col("after") >= F.col("span")).select(
-        "doc_id", "th", "n_words", (F.col("p") - F.col("before")).alias("at"), (F.col("p") + F.col("after")).alias("to"),
-        "span", "wid")
+        places = places.withColumn("p", F.explode(F.array(*each)))
+    keyed = places.select("doc_id", "th", "n_words", "h", "at", F.col("p.m").alias("m"), F.col("p.span").alias("span"))
+    near = keyed.join(F.broadcast(known.withColumnRenamed("span", "s2")), "m")
+    same = (F.col("span") == F.col("s2")) & (F.slice("h", F.col("at") + 1, F.col("span")) == F.col("win"))
+    return near.filter(same).select("doc_id", "th", "n_words", "at", "span", "wid")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, th, n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
-    of_item = written(fingerprints(benchmark).withColumn("wid", F.xxhash64("span", "off", "words")), "winnow-items")
-    known = of_item.select("m", "span", "off", "words", "wid").distinct()
+    of_item = written(windows(benchmark).withColumn("wid", F.xxhash64("win")), "winnow-items")
+    distinct = of_item.select("m", "span", "win", "wid").distinct()
     spans = sorted((r["span"] for r in of_item.select("span").distinct().collect()), reverse=True) or [SPAN]
-    n_blocks = max(1, -(-known.count() // BLOCK))
-    mark = spark.range(1).select(F.lit(END_MARK).cast("bigint").alias("m"), F.lit(0).alias("span"), F.lit(0).alias("off"),
-                                 F.array().cast("array<bigint>").alias("words"), F.lit(None).cast("bigint").alias("wid"))
+    n_blocks = max(1, -(-distinct.count() // BLOCK))
+    mark = spark.range(1).select(F.lit(END_MARK).cast("bigint").alias("m"), F.lit(0).alias("span"),
+                                 F.array().cast("array<bigint>").alias("win"), F.lit(None).cast("bigint").alias("wid"))
     parts = []
     for b in range(n_blocks):
-        block = known if n_blocks == 1 else known.filter(F.pmod("wid", F.lit(n_blocks)) == b)
+        block = distinct if n_blocks == 1 else distinct.filter(F.pmod("wid", F.lit(n_blocks)) == b)
+        block = block.select("m", "span", "win", "wid")
         parts.append(_hits(docs, block.union(mark) if b == 0 else block, spans, b == 0))
     hits = written(functools.reduce(DataFrame.union, parts), "winnow-hits")
 
-    # Words inside the union of the hits, in order of their start.
-    place = F.when(F.col("span") > 0, F.struct("at", "to"))
+    # Words inside the union of the hit windows, in order of their start.
+    place = F.when(F.col("span") > 0, F.struct("at", (F.col("at") + F.col("span")).alias("to")))
     step = lambda acc, x: F.struct(
         (acc["n"] + F.greatest(F.lit(0), x["to"] - F.greatest(acc["to"], x["at"]))).alias("n"),
         F.greatest(acc["to"], x["to"]).alias("to"))

@@ -219,17 +219,6 @@ def test_winnowing_of_random_texts(spark, monkeypatch):
     assert sorted(map(tuple, winnow.decontaminate(d, b13).select(*pick).collect())) == whole
 
 
-def test_winnowing_selects_few_places(spark):
-    """Of the windows of a text of different words about two in ten select a
-    new place, and no window is without its own."""
-    rnd = random.Random(5)
-    words = [f"w{rnd.randrange(10 ** 6)}" for _ in range(5000)]
-    got = winnow.fingerprints(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
-    n = got.count()
-    assert 0.15 * 5000 < n < 0.27 * 5000
-    assert got.filter("size(words) > 21 or off > 8").count() == 0
-
-
 def test_winnowing_in_blocks_gives_the_same(spark, docs, monkeypatch):
     items = spark.createDataFrame([(k, " ".join(f"alpha{i} beta{i % 5}" for i in range(k, k + 9))) for k in range(12)],
                                   "item_id bigint, text string")
