@@ -230,7 +230,7 @@ def q_resolve_site(spark, sf):
 
 @query("resolve_site_join", _s_resolve())
 def q_resolve_site_join(spark, sf):
-    """U2, the join form used for large schema lists (forced here)."""
+    """U2, the join of whole keys (forced here)."""
     p = table(spark, sf, "pages").select("page_id", "url")
     return resolve_site(p, fx.sites(fx.RESOLVE_SITES), id_col="page_id", mode="join").select(
         "page_id", "url", U.netloc("url").alias("netloc"), "domain")
@@ -238,9 +238,9 @@ def q_resolve_site_join(spark, sf):
 
 @query("resolve_site_automaton", _s_resolve())
 def q_resolve_site_automaton(spark, sf):
-    """U2, the automaton form used for large schema lists (forced here)."""
+    """U2, the gram index used for large schema lists (forced here)."""
     p = table(spark, sf, "pages").select("page_id", "url")
-    return resolve_site(p, fx.sites(fx.RESOLVE_SITES), mode="join").select(
+    return resolve_site(p, fx.sites(fx.RESOLVE_SITES), mode="grams").select(
         "page_id", "url", U.netloc("url").alias("netloc"), "domain")
 
 
