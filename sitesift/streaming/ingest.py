@@ -40,10 +40,11 @@ def stream_to_master(spark: SparkSession, source_dir: str, master_root: str, che
                      configs: list[SiteConfig], keys: list[str], mode: str = "static",
                      schema: T.StructType = PAGES_SCHEMA, max_files: int = 1,
                      available_now: bool = True, glob: str = "pages*.parquet", buckets: int = 1):
-    """Start the stream over the landed-page files of ``source_dir``
-    (those matching ``glob``); returns the StreamingQuery."""
+    """Start the stream over the landed-page files of ``source_dir``:
+    those matching ``glob``, and the files in folders matching it (a table
+    written by Spark is a folder); returns the StreamingQuery."""
     pages = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-             .option("pathGlobFilter", glob).parquet(source_dir))
+             .parquet(f"{source_dir.rstrip('/')}/{glob}"))
     recs = page_records(pages, configs, mode)
     pks = sorted({c.primary_key for c in configs if c.primary_key})
     pending = F.lit(False)

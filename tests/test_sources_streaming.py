@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -225,3 +226,17 @@ def test_raw_layer_directory_layout(spark, tmp_out):
     assert hosts and all(h.startswith("netloc=") for h in hosts)
     days = os.listdir(os.path.join(path, "format=html", hosts[0]))
     assert days and all(d.startswith("fetch_date=2024-01-01") for d in days)
+
+
+def test_stream_to_master_reads_a_table_that_is_a_folder(spark, tmp_out):
+    from sitesift import load_site_schema
+    from sitesift.streaming.ingest import run_to_master
+    rows = [(k, f"http://www.example.com/{k}", f"<body><h1>t{k}</h1></body>") for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.filter("page_id < 4").repartition(2).write.parquet(f"{tmp_out}/sf/pages.parquet")
+    pages.filter("page_id >= 4").coalesce(1).write.parquet(f"{tmp_out}/one")
+    one = next(f for f in os.listdir(f"{tmp_out}/one") if f.endswith(".parquet"))
+    shutil.copy(f"{tmp_out}/one/{one}", f"{tmp_out}/sf/pages-2.parquet")
+    sites = load_site_schema({"example": {"strategy": "detail", "container": "body", "fields": {"title": "h1"}}})
+    master = run_to_master(spark, f"{tmp_out}/sf", f"{tmp_out}/master", f"{tmp_out}/ckpt", sites, ["source_url", "ordinal"])
+    assert sorted(r.title for r in master.collect()) == [f"t{k}" for k in range(6)]
