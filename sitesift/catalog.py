@@ -24,7 +24,7 @@ from .operators import validate as V
 from .operators.extract_html import extract_html, extract_links
 from .operators.extract_json import extract_json
 from .operators.extract_xml import extract_rss
-from .operators.joins import join_small
+from .operators.joins import join_small, materialize
 from .operators.resolve import resolve_site
 from .operators.route import extract_records, stamp
 from .sources import master_log as L
@@ -1021,7 +1021,7 @@ def q_stream_crawl_halt(spark, sf):
     recs = e.groupBy(F.col("user_id").alias("site"), F.dayofmonth("ts").alias("page")).agg(F.collect_list("event_id").alias("records"))
     pages = grid.join(recs, ["site", "page"], "left").withColumn(
         "fetched_at", F.expr("timestampadd(DAY, page, TIMESTAMP'2024-01-01 00:00:00')"))
-    stream = _landed(pages, F.pmod(F.xxhash64("site", "page"), F.lit(6)), f"{root}/in")
+    stream = _landed(materialize(pages), F.pmod(F.xxhash64("site", "page"), F.lit(6)), f"{root}/in")
     out = S.drained(S.halt_crawl(stream, 20, "60 days"), root)
     return out.select("site", "page", F.col("record").alias("event_id"))
 

@@ -91,3 +91,12 @@ def test_a_missing_page_counts_as_empty_once_the_watermark_has_passed(spark, tmp
     got = halted(spark, tmp_out, [rows, more, [("a", 4, [4], at(899))]], 9, delay="30 minutes")
     # b lacks six pages in a row: halted; c lacks five: halted before its sixth page; d's gap is not yet settled.
     assert got == [("a", 1, 1), ("a", 3, 3), ("a", 4, 4), ("z", 1, 9)]
+
+
+def test_python_is_called_per_bucket_and_null_keys_are_keys(spark, tmp_out):
+    rows = [(k, at(60 - k), 100 + k) for k in range(40)] + [(None, at(30), 1), (None, at(20), 2), (7, at(50), 3), (99, at(400), 4)]
+    raw = stream_of(spark, os.path.join(tmp_out, "in"), [rows[:20], rows[20:]], "k long, at string, id long")
+    events = raw.select("k", F.to_timestamp("at").alias("t"), "id")
+    _, got = run(S.first_by_time(events, ["k"], "t", "id", "2 hours", buckets=2), tmp_out)
+    want = {(k, 100 + k) for k in range(40) if k != 7} | {(7, 3), (None, 2)}
+    assert {(r.k, r.id) for r in got} == want and len(got) == len(want)
