@@ -9,17 +9,27 @@ uses ``row_number() <= k``, which Spark plans with a partial
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MONEY_COLUMNS, PENDING, TEXT_COLUMNS  # fixed values
 from ..functions.text import NA, keep_word, words
-from .joins import BROADCAST_ROWS, join_small, materialize, numbered
+from .joins import BROADCAST_ROWS, join_small, materialize, numbered, stored
 
-#: A word in this share of the records is a heavy one.
-HEAVY = 0.05
-#: Pairs that one task counts.
-PAIRS_PER_TASK = 2_000_000
+#: The words are split into so many groups, or into more where a group would have more ids of its own.
+WORD_GROUPS = 24
+IDS_PER_GROUP = 8_000_000
+#: What a word costs beside its pairs, in pairs.
+WORD_COST = 10_000
+#: Pairs of a word that are counted at once.
+PAIRS_AT_ONCE = 4_000_000
+#: A vocabulary of so many words (a row is under 100 bytes) is broadcast.
+VOCABULARY_ROWS = 1_000_000
 
 
 PLACEHOLDERS = ("", NA, PENDING)
@@ -145,6 +155,87 @@ def low_keywords(counts: DataFrame, group_cols: list[str] = (), k: int = 3,
             .filter(F.col("rank") <= k).select(*g, "rank", "word", "n"))
 
 
+def _tails(bounds: list[int]):
+    """Per record and word group (ids from ``bounds[g - 1]`` up to
+    ``bounds[g]``): the group and the record's ids from its first word of the
+    group on, as a function for ``mapInArrow``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = 512
+            for at in range(0, batch.num_rows, step):
+                ids = batch.column("ids").slice(at, step)
+                flat, size = np.asarray(ids.flatten()), np.asarray(pc.list_value_length(ids))
+                ends = np.cumsum(size)
+                owner = np.repeat(np.arange(len(size)), size)
+                group = np.searchsorted(bounds, flat, side="right")
+                first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (group[1:] != group[:-1])]))
+                first = first[ends[owner[first]] - first > 1]      # a last word alone has no pair
+                length = ends[owner[first]] - first
+                offsets = np.concatenate([[0], np.cumsum(length)])
+                picked = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, length)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(group[first].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat[picked])),
+                ], names=["g", "ids"])
+    return run
+
+
+def _count_pairs(bounds: list[int], n_words: int, min_support: int):
+    """All pairs of the words of one group with their support, one word at a
+    time, as a function for ``applyInArrow``."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids = table.column("ids").combine_chunks()
+        flat, size = np.asarray(ids.flatten()), np.asarray(pc.list_value_length(ids))
+        below = bounds[key[0].as_py()] if key[0].as_py() < len(bounds) else n_words
+        at = np.flatnonzero(flat < below)                          # the group's own words
+        stop = np.repeat(np.cumsum(size), size)[at]
+        order = np.argsort(flat[at], kind="stable")
+        at, stop = at[order], stop[order]
+        words_, begin = np.unique(flat[at], return_index=True)
+        a, b, support = [], [], []
+        for word, lo, hi in zip(words_.tolist(), begin.tolist(), np.append(begin[1:], len(at)).tolist()):
+            if hi - lo < min_support:
+                continue
+            total = int((stop[lo:hi] - at[lo:hi] - 1).sum())
+            if total * 8 < n_words:
+                met, times = np.unique(np.concatenate([flat[x + 1:y] for x, y in zip(at[lo:hi], stop[lo:hi])]), return_counts=True)
+            else:                                                  # so many records at once that memory stays flat
+                times, each = np.zeros(n_words, np.int64), max(1, PAIRS_AT_ONCE * (hi - lo) // total)
+                for k in range(lo, hi, each):
+                    to = min(k + each, hi)
+                    times += np.bincount(np.concatenate([flat[x + 1:y] for x, y in zip(at[k:to], stop[k:to])]), minlength=n_words)
+                met = np.flatnonzero(times)
+                times = times[met]
+            keep = times >= min_support
+            b.append(met[keep].astype(np.int32))
+            support.append(times[keep].astype(np.int64))
+            a.append(np.full(len(b[-1]), word, np.int32))
+        if not a:
+            a, b, support = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "support": np.concatenate(support)})
+    return run
+
+
+def _word_groups(per_doc: DataFrame, n_words: int) -> list[int]:
+    """Bounds that split the word numbers into groups of about equal work
+    (pairs, and ``WORD_COST`` a word), from sums over at most 4096 stretches
+    of words."""
+    step = n_words // 4096 + 1
+    seen = per_doc.select(F.size("ids").alias("n"), F.posexplode("ids").alias("place", "a"))
+    sums = seen.groupBy((F.col("a") / step).cast("int").alias("s")).agg(
+        F.sum((F.col("n") - F.col("place") - 1).cast("bigint")).alias("pairs"), F.count(F.lit(1)).alias("c")).orderBy("s").collect()
+    if not sums:
+        return []
+    work = [r["pairs"] + WORD_COST * step for r in sums]
+    total, groups = sum(work), max(WORD_GROUPS, sum(r["c"] for r in sums) // IDS_PER_GROUP + 1)
+    bounds, passed = [], 0
+    for r, more in zip(sums, work):
+        if passed * groups >= total * (len(bounds) + 1):
+            bounds.append(r["s"] * step)
+        passed += more
+    return bounds
+
+
 def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, min_support: int = 5) -> DataFrame:
     """Keyword pairs that stand together in at least ``min_support``
     records (``doc_col`` names a record), with the lift over chance:
@@ -154,38 +245,34 @@ def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, min_support: int =
     is every word in at least ``min_support`` records: an absolute bound, not
     a share of the table, and nothing else is left out. Words are numbered by
     rising frequency and records carry the numbers. A pair belongs to its
-    rarer word. Where that word is in less than ``HEAVY`` of the records, the
-    records' more frequent words are sent to it as one array each, and its pairs are
-    made and counted where they arrive: no pair is ever shuffled, and no word
-    gathers more than that share of the rows. Pairs of two heavier words (at
-    most the mean number of words of a record over ``HEAVY`` of them) are
-    counted where the records are, and only the sums travel.
+    rarer word. The words are split into groups of about equal numbers of
+    pairs; a record goes once to each group that it has words of, as one array
+    of its ids from there on, and a group's pairs are made and counted where
+    they arrive, one word at a time. So a record of n words is sent at most
+    ``WORD_GROUPS`` times (more only where the table has more than that many
+    times ``IDS_PER_GROUP`` ids) and not n times, no pair is ever shuffled and
+    only pairs with the support leave the task.
 
     The work grows with the square of a record's distinct words, by the nature
-    of the question; pairs are made one word at a time, never a record's at
-    once. The vocabulary is joined; it is broadcast only where a count proves
-    it small.
+    of the question. A task holds the ids sent to one group, at most all ids of
+    the table. The vocabulary is joined; it is broadcast only where a count
+    proves it small.
     """
     found = df.select(doc_col, F.explode(F.array_distinct(words(text_col))).alias("word")).filter(keep_word("word"))
     doc_freq = found.groupBy("word").agg(F.count_distinct(doc_col).alias("df"))
     n_docs = df.count()
     vocab = materialize(numbered(doc_freq.filter(F.col("df") >= min_support).orderBy("df")).withColumn("id", F.col("id").cast("int")))
-    size, light = vocab.agg(F.count(F.lit(1)), F.count_if(F.col("df") < HEAVY * n_docs)).first()
+    size = vocab.count()
     if size >= 1 << 31:
         raise ValueError(f"{size} words: word numbers have 31 bits")
-    small = vocab if size > BROADCAST_ROWS else F.broadcast(vocab)
-    per_doc = materialize(found.join(small.select("word", "id"), "word").groupBy(doc_col)
-                          .agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").filter(F.size("ids") >= 2))
-    n = F.size("ids").cast("bigint")
-    n_pairs = per_doc.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
-    parts = max(int(n_pairs // PAIRS_PER_TASK) + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    firsts = per_doc.select("ids", F.posexplode("ids").alias("place", "a")).filter(F.col("place") < F.size("ids") - 1)
-    firsts = firsts.select("a", F.slice("ids", F.col("place") + 2, F.size("ids")).alias("rest"))
-    each = [firsts.filter(F.col("a") < light).repartition(parts, "a"), firsts.filter(F.col("a") >= light)]
-    counted = [f.select("a", F.explode("rest").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("support"))
-               .filter(F.col("support") >= min_support) for f in each]
+    small = vocab if size > VOCABULARY_ROWS else F.broadcast(vocab)
+    per_doc = stored(found.join(small.select("word", "id"), "word").groupBy(doc_col)
+                     .agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").filter(F.size("ids") >= 2), "keyword-ids")
+    bounds = _word_groups(per_doc, size)
+    counted = per_doc.mapInArrow(_tails(bounds), "g int, ids array<int>").groupBy("g").applyInArrow(
+        _count_pairs(bounds, size, min_support), "a int, b int, support bigint")
     one, two = (small.select(F.col("id").alias(k), F.col("word").alias(f"word_{k}"), F.col("df").alias(f"df_{k}")) for k in "ab")
-    named = counted[0].unionAll(counted[1]).join(one, "a").join(two, "b")
+    named = counted.join(one, "a").join(two, "b")
     lift = F.round(F.col("support") * n_docs / (F.col("df_a") * F.col("df_b")), 6)
     return named.select(F.least("word_a", "word_b").alias("word_a"), F.greatest("word_a", "word_b").alias("word_b"),
                         "support", lift.alias("lift"))
