@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MONEY_COLUMNS, PENDING, TEXT_COLUMNS  # fixed values
 from ..functions.text import NA, keep_word, words
-from .joins import BROADCAST_ROWS, join_small, materialize, numbered, stored
+from .joins import join_small, materialize, numbered, stored
 
 #: The words are split into so many groups, or into more where a group would have more ids of its own.
 WORD_GROUPS = 24
@@ -283,31 +283,43 @@ def keyword_clusters(pairs: DataFrame, min_lift: float = 1.0, min_support: int =
     are pairs with ``lift > min_lift`` and ``support >= min_support``; each
     word of a pair gets the smallest word of its component as ``cluster``.
 
-    The pairs are written once. Min-label propagation with pointer jumping: a
-    word takes the least label among itself, its neighbours and its label's
-    own label, so the rounds grow with the logarithm of a chain. A round is a
-    partial aggregate over the edges and two joins of the words (broadcast
-    only where a count proves them small); labels are checkpointed, and the
-    loop ends when none has changed.
+    The pairs are written once. Each round hooks every word to its smallest
+    neighbour where that is smaller, follows the hooks to their ends (over the
+    words alone, by pointer jumping) and goes on with the edges between
+    different ends, which are far fewer. An end is the smallest word of what
+    hangs on it, so the last end is the smallest of the component. The words
+    are broadcast only where a count proves them small.
     """
-    pairs = materialize(pairs.select("word_a", "word_b", "support", "lift"))
-    edges = pairs.filter((F.col("lift") > min_lift) & (F.col("support") >= min_support)).select(
-        F.col("word_a").alias("src"), F.col("word_b").alias("dst"))
-    edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    nodes = pairs.select(F.col("word_a").alias("word")).unionByName(pairs.select(F.col("word_b").alias("word")))
-    labels = materialize(nodes.distinct().withColumn("cluster", F.col("word")))
-    small = labels.count() <= BROADCAST_ROWS
-    side = F.broadcast if small else (lambda x: x)
+    linked = (F.col("lift") > min_lift) & (F.col("support") >= min_support)
+    pairs = stored(pairs.select("word_a", "word_b", F.coalesce(linked, F.lit(False)).alias("linked")), "keyword-edges")
+    ends = F.array(F.struct(F.col("word_a").alias("word"), F.when(F.col("linked"), F.col("word_b")).alias("near")),
+                   F.struct(F.col("word_b").alias("word"), F.when(F.col("linked"), F.col("word_a")).alias("near")))
+
+    def hooks(edges: DataFrame) -> DataFrame:
+        near = edges.select(F.explode(ends).alias("e")).select("e.*").groupBy("word").agg(F.min("near").alias("near"))
+        return materialize(near.select("word", F.least("word", F.coalesce("near", "word")).alias("cluster")))
+
+    def follow(step: DataFrame, side) -> DataFrame:
+        while True:
+            up = side(step.select(F.col("word").alias("cluster"), F.col("cluster").alias("up")))
+            nxt = materialize(step.join(up, "cluster").select("word", F.col("up").alias("cluster"), (F.col("up") < F.col("cluster")).alias("_moved")))
+            step = nxt.drop("_moved")
+            if nxt.filter("_moved").isEmpty():
+                return step
+
+    step = hooks(pairs)
+    side = F.broadcast if step.count() <= VOCABULARY_ROWS else (lambda x: x)
+    labels = step = follow(step, side)
+    edges = pairs.filter("linked")
     while True:
-        incoming = (edges.join(side(labels.withColumnRenamed("word", "src")), "src")
-                    .groupBy(F.col("dst").alias("word")).agg(F.min("cluster").alias("_in")))
-        jump = labels.select(F.col("word").alias("cluster"), F.col("cluster").alias("_up"))
-        least = F.least("cluster", F.coalesce("_in", "cluster"), "_up")
-        nxt = materialize(labels.join(side(jump), "cluster").join(incoming, "word", "left").select(
-            "word", least.alias("cluster"), (least < F.col("cluster")).alias("_changed")))
-        labels = nxt.drop("_changed")
-        if nxt.filter("_changed").limit(1).count() == 0:
+        for end in ("word_a", "word_b"):
+            edges = edges.join(side(step.select(F.col("word").alias(end), F.col("cluster").alias("_up"))), end).drop(end).withColumnRenamed("_up", end)
+        edges = stored(edges.filter("word_a <> word_b").select("word_a", "word_b", "linked").distinct(), "keyword-left")
+        if edges.isEmpty():
             return labels
+        step = follow(hooks(edges), side)
+        up = side(step.select(F.col("word").alias("cluster"), F.col("cluster").alias("_up")))
+        labels = materialize(labels.join(up, "cluster", "left").select("word", F.coalesce("_up", "cluster").alias("cluster")))
 
 
 def concentration(df: DataFrame, entity_col: str, group_cols: list[str] = (),

@@ -49,3 +49,23 @@ def test_a_record_goes_once_to_a_word_group():
     batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32()))], names=["ids"])
     sent = [(g, x) for out in A._tails([10, 60])([batch]) for g, x in zip(out.column("g").to_pylist(), out.column("ids").to_pylist())]
     assert sorted(sent) == sorted([(0, ids[0]), (1, ids[0][10:]), (2, ids[0][60:]), (0, ids[1]), (2, [60, 61])])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_clusters_match_union_find(spark, seed):
+    rnd = Random(seed)
+    names = [f"n{i:03d}" for i in range(150)]
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}", 9, 2.0) for i in range(0, 40)]
+    pairs = chain + [(*sorted(rnd.sample(names, 2)), rnd.randrange(1, 9), rnd.choice([0.5, 2.0, 3.0])) for _ in range(160)]
+    parent = {w: w for a, b, _, _ in pairs for w in (a, b)}
+
+    def root(w):
+        while parent[w] != w:
+            w = parent[w]
+        return w
+    for a, b, n, lift in pairs:
+        if lift > 1.0 and n >= 2:
+            lo, hi = sorted((root(a), root(b)))
+            parent[hi] = lo
+    df = spark.createDataFrame(pairs, "word_a string, word_b string, support long, lift double")
+    assert {tuple(r) for r in A.keyword_clusters(df).collect()} == {(w, root(w)) for w in parent}
