@@ -60,11 +60,12 @@ def variant_text(v: Column) -> Column:
     text = _get(v, "$", "string")
     number = _get(v, "$", "double")
     size = F.abs(number)
-    plain = text.rlike(r"^-?[0-9.]+E-?[0-9]+$") & (size >= 1e-4) & (size < 1e16)
     digits = F.regexp_replace(number.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
     written = F.regexp_replace(digits, r"\.$", ".0")
     is_number = F.call_function("schema_of_variant", v) == "DOUBLE"
-    return F.when(plain, F.when(is_number, written).otherwise(text)).otherwise(text)
+    # nested, so that the number is read only of a text that looks like one
+    plain = F.when((size >= 1e-4) & (size < 1e16), F.when(is_number, written).otherwise(text)).otherwise(text)
+    return F.when(text.rlike(r"^-?[0-9.]+E-?[0-9]+$"), plain).otherwise(text)
 
 
 def json_path_text(v, path: str, default: str | None = "N/A") -> Column:
