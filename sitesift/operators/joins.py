@@ -23,11 +23,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: list[str] = ()) -> DataFrame:
     """As :func:`materialize`, for many rows: written as Parquet (compressed,
-    by column) into the shared folder and read back."""
+    by column, a folder per value of ``by``) into the shared folder and read
+    back."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -19,6 +19,7 @@ from ..sources.site_schema import SiteConfig
 from .extract_html import extract_html
 from .extract_json import extract_json
 from .extract_xml import extract_rss
+from .joins import stored
 from .quality import early_reason, with_quality
 from .resolve import config_lookup, resolve_site
 
@@ -40,6 +41,10 @@ def extract_records(pages: DataFrame, configs: list[SiteConfig], id_col: str = "
         pages = resolve_site(pages, configs, url_col=url_col, id_col=id_col, out_col=domain_col)
     strategy = config_lookup(F.col(domain_col), configs, "strategy")
     staged = pages.withColumn("_strategy", strategy)
+    if len({"html" if c.strategy not in ("json", "rss") else c.domain if c.strategy == "rss" else "json" for c in configs}) > 1:
+        # landed pages are made once, and a branch reads only its own
+        staged = stored(staged.filter(F.col("_strategy").isNotNull()).select(
+            *dict.fromkeys([id_col, url_col, body_col, domain_col, *carry, "_strategy"])), "routed", ["_strategy"])
     parts: list[DataFrame] = []
     kw = dict(id_col=id_col, url_col=url_col, body_col=body_col, domain_col=domain_col, carry=list(carry))
     by_strategy: dict[str, list[SiteConfig]] = {}
@@ -58,7 +63,7 @@ def extract_records(pages: DataFrame, configs: list[SiteConfig], id_col: str = "
         branch = staged.filter(F.col("_strategy") == "json").drop("_strategy")
         parts.append(extract_json(branch, by_strategy["json"], quality=quality, **kw))
     for c in by_strategy.get("rss", []):
-        branch = staged.filter(F.col(domain_col) == c.domain).drop("_strategy")
+        branch = staged.filter((F.col("_strategy") == "rss") & (F.col(domain_col) == c.domain)).drop("_strategy")
         parts.append(extract_rss(branch, c, quality=quality, **kw))
     out = parts[0]
     for p in parts[1:]:
