@@ -50,6 +50,8 @@ SHINGLE_WORDS = 5
 BINS, BANDS, ROWS = 128, 32, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Tables of digests up to so many rows are broadcast.
+BROADCAST_ROWS = 100_000
 #: Classes of a mixed bucket that one task compares with each other.
 GROUP = 128
 
@@ -178,8 +180,9 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compare_group(table: pa.Table) -> pa.Table:
-    """All links inside one group of at most GROUP classes, as the edges of a
-    forest (each class with the first one it reaches)."""
+    """What hangs together inside one group of at most GROUP classes, as stars
+    (each class with the smallest one that its links lead to)."""
+    table = table.sort_by("cls")
     names = table.column("cls").to_pylist()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
     size = np.array([len(x) for x in sets])
@@ -254,26 +257,29 @@ def prefix_buckets(classes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between classes of different sets; ``signed``
-    is the written result of :func:`sign` over ``docs``."""
+    """Confirmed links (a, b) between classes of different sets, some of them
+    more than once; ``signed`` is the written result of :func:`sign` over ``docs``."""
     classes = (signed.filter("n_shingles > 0").groupBy("cls")
                .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     banded = written(classes.select("cls", "rep", "n", F.explode("bands").alias("bucket")), "minhash-bands")
     spokes = _stars(banded, "minhash-buckets")
 
     # Full sets of the classes that share a bucket.
-    wanted = spokes.select("cls", "rep").distinct()
-    found = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")))
+    wanted = written(spokes.select("cls", "rep").distinct(), "minhash-wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    found = docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")))
     sets = written(found.select("text", "cls").mapInArrow(full_sets, "cls binary, shingles binary")
                    .dropDuplicates(["cls"]), "minhash-sets")
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
-    linked, groups = [], []
+    linked, groups, families = [], [], []
 
     def resolve(spokes: DataFrame) -> DataFrame | None:
         """Confirm the star edges and set the small mixed buckets aside;
         returns the members of the large mixed ones."""
-        tested = written(_pairs(spokes).join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+        pairs = written(_pairs(spokes), "minhash-pairs")
+        near = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+        tested = written(near.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
                          .mapInArrow(confirm, "a binary, b binary, linked boolean"), "minhash-tested")
         linked.append(tested.filter("linked").select("a", "b"))
         star = spokes.filter("cls <> low.cls").withColumn("a", F.col("low.cls"))
@@ -290,16 +296,17 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         rest = resolve(_stars(written(rest, "minhash-prefixes"), "minhash-prefix"))
         if rest is not None:
             known = written(functools.reduce(DataFrame.union, linked), "minhash-known")
-            linked.append(compare_families(rest, known, sets))
+            families.append(compare_families(rest, known))
     group = functools.reduce(DataFrame.union, groups).distinct()
-    inside = group.select(F.xxhash64("g").alias("g1"), F.hash("g").alias("g2"), F.explode("g").alias("cls")).join(sets, "cls")
-    linked.append(inside.groupBy("g1", "g2").applyInArrow(compare_group, "a binary, b binary"))
-    return functools.reduce(DataFrame.union, linked).distinct()
+    inside = group.select(F.xxhash64("g").alias("g1"), F.hash("g").alias("g2"), F.explode("g").alias("cls"))
+    tasks = functools.reduce(DataFrame.unionByName, [inside.withColumn("g3", F.lit(-1)), *families]).join(sets, "cls")
+    linked.append(tasks.groupBy("g1", "g2", "g3").applyInArrow(compare_group, "a binary, b binary"))
+    return functools.reduce(DataFrame.union, linked)
 
 
-def compare_families(large: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside large mixed buckets. Buckets that share classes form a
-    family; its classes are dealt into chunks of about GROUP / 2, and each
+def compare_families(large: DataFrame, known: DataFrame) -> DataFrame:
+    """The classes to compare (cls) for each task (g1, g2, g3) that finds the
+    links inside large mixed buckets. Buckets that share classes form a family; its classes are dealt into chunks of about GROUP / 2, and each
     chunk of classes outside the family's largest star so far is compared with
     every chunk, two chunks a task."""
     family = connected(large.select(F.col("low.cls").alias("a"), F.col("cls").alias("b")).distinct())
@@ -315,8 +322,7 @@ def compare_families(large: DataFrame, known: DataFrame, sets: DataFrame) -> Dat
              .select("family", F.col("chunk").alias("r"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c")))
     one = tasks.join(outside.select("family", F.col("chunk").alias("r"), "cls"), ["family", "r"])
     other = tasks.join(dealt.select("family", F.col("chunk").alias("c"), "cls"), ["family", "c"])
-    both = one.unionByName(other).distinct().join(sets, "cls")
-    return both.groupBy("family", "r", "c").applyInArrow(compare_group, "a binary, b binary")
+    return one.unionByName(other).distinct().select(F.xxhash64("family").alias("g1"), F.col("r").alias("g2"), F.col("c").alias("g3"), "cls")
 
 
 def classified(docs: DataFrame) -> DataFrame:
