@@ -10,24 +10,28 @@ uses ``row_number() <= k``, which Spark plans with a partial
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..constants import MONEY_COLUMNS, PENDING, TEXT_COLUMNS  # fixed values
 from ..functions.text import NA, keep_word, words
 from .joins import join_small, materialize, numbered, stored
 
-#: The words are split into so many groups, or into more where a group would have more ids of its own.
-WORD_GROUPS = 24
-IDS_PER_GROUP = 8_000_000
-#: What a word costs beside its pairs, in pairs.
-WORD_COST = 10_000
-#: Pairs of a word that are counted at once.
+#: The words are split into about so many blocks, fewer where a block would have less ids, more where it would have more.
+WORD_GROUPS = 7
+IDS_AT_LEAST = 50_000
+IDS_PER_GROUP = 10_000_000
+#: Ids of records that are stored together; pairs that are counted at once; pairs that a task returns at once.
+STRETCH_IDS = 1_000_000
 PAIRS_AT_ONCE = 4_000_000
+ROWS_AT_ONCE = 200_000
 #: A vocabulary of so many words (a row is under 100 bytes) is broadcast.
 VOCABULARY_ROWS = 1_000_000
 
@@ -158,7 +162,8 @@ def low_keywords(counts: DataFrame, group_cols: list[str] = (), k: int = 3,
 def _tails(bounds: list[int]):
     """Per record and word group (ids from ``bounds[g - 1]`` up to
     ``bounds[g]``): the group and the record's ids from its first word of the
-    group on, as a function for ``mapInArrow``."""
+    group on, as a function for ``mapInArrow``. :func:`keyword_pairs` deals
+    words in blocks instead; kept for other callers and its test."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = 512
@@ -180,62 +185,224 @@ def _tails(bounds: list[int]):
     return run
 
 
-def _count_pairs(bounds: list[int], n_words: int, min_support: int):
-    """All pairs of the words of one group with their support, one word at a
-    time, as a function for ``applyInArrow``."""
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("ids").combine_chunks()
-        flat, size = np.asarray(ids.flatten()), np.asarray(pc.list_value_length(ids))
-        below = bounds[key[0].as_py()] if key[0].as_py() < len(bounds) else n_words
-        at = np.flatnonzero(flat < below)                          # the group's own words
-        stop = np.repeat(np.cumsum(size), size)[at]
-        order = np.argsort(flat[at], kind="stable")
-        at, stop = at[order], stop[order]
-        words_, begin = np.unique(flat[at], return_index=True)
-        a, b, support = [], [], []
-        for word, lo, hi in zip(words_.tolist(), begin.tolist(), np.append(begin[1:], len(at)).tolist()):
-            if hi - lo < min_support:
+def _runs(doc_col: str):
+    """Rows of (record, number of the row, word id) to a row per run of one
+    row's ids, as a function for ``mapInArrow``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row = np.asarray(batch.column("_row"))
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(doc_col).take(pa.array(first)),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, np.int32(len(row)))), batch.column("id")),
+                ], names=[doc_col, "ids"])
+    return run
+
+
+def _blocks(bounds: list[int]):
+    """Records' ids, sorted by record, to a row per stretch of records and
+    block of words (ids from ``bounds[k - 1]`` up to ``bounds[k]``), as a
+    function for ``mapInArrow``: how many records, how many ids of the block
+    each has, the ids. Rows of one record are united first. What the rows
+    counted too often for the records, and all of the record without an id,
+    goes to block -1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, n_blocks = TaskContext.get().partitionId(), 0, len(bounds) + 1
+
+        def rows(blocks: list[int], data: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            return pa.RecordBatch.from_arrays([
+                pa.array(blocks, pa.int32()), pa.array([(part << 32) + made] * len(blocks), pa.int64()),
+                pa.array([x.astype(np.int32).tobytes() for x in data], pa.binary())], names=["blk", "stretch", "data"])
+
+        def dealt(keys: np.ndarray) -> pa.RecordBatch:
+            ids = (keys & 0xFFFFFFFF).astype(np.int32)
+            owner = np.cumsum(np.concatenate([[0], np.diff(keys >> 32) != 0]))
+            block = np.searchsorted(bounds, ids, side="right")
+            each = np.bincount(owner * n_blocks + block, minlength=(owner[-1] + 1) * n_blocks).reshape(-1, n_blocks)
+            return rows([*range(n_blocks)], [np.concatenate([[len(each)], each[:, k], ids[block == k]]) for k in range(n_blocks)])
+
+        last, held, ready, n_ready, owners = None, np.zeros(0, np.int64), [], 0, 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            total = int((stop[lo:hi] - at[lo:hi] - 1).sum())
-            if total * 8 < n_words:
-                met, times = np.unique(np.concatenate([flat[x + 1:y] for x, y in zip(at[lo:hi], stop[lo:hi])]), return_counts=True)
-            else:                                                  # so many records at once that memory stays flat
-                times, each = np.zeros(n_words, np.int64), max(1, PAIRS_AT_ONCE * (hi - lo) // total)
-                for k in range(lo, hi, each):
-                    to = min(k + each, hi)
-                    times += np.bincount(np.concatenate([flat[x + 1:y] for x, y in zip(at[k:to], stop[k:to])]), minlength=n_words)
-                met = np.flatnonzero(times)
-                times = times[met]
-            keep = times >= min_support
-            b.append(met[keep].astype(np.int32))
-            support.append(times[keep].astype(np.int64))
-            a.append(np.full(len(b[-1]), word, np.int32))
-        if not a:
-            a, b, support = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "support": np.concatenate(support)})
+            doc, ids = batch.column(0), batch.column("ids")
+            code = np.asarray(doc.dictionary_encode(null_encoding="encode").indices)
+            change = np.concatenate([[last is None or last != (doc[0].as_py(),)], code[1:] != code[:-1]])
+            owner = owners + np.cumsum(change)
+            keys = (np.repeat(owner, np.asarray(pc.list_value_length(ids))) << 32) | np.asarray(ids.flatten()).astype(np.int64)
+            keys, times = np.unique(np.concatenate([held, keys]), return_counts=True)
+            surplus = [np.repeat(keys, times - 1) & 0xFFFFFFFF]
+            owners = int(owner[-1])
+            whole = int(np.searchsorted(keys, owners << 32))           # the last record may go on in the next batch
+            if last == (None,) or doc.null_count:
+                none = owners if doc[len(doc) - 1].as_py() is None else int(owner[doc.null_count]) - 1
+                if none < owners:
+                    surplus.append(keys[(keys >> 32) == none] & 0xFFFFFFFF)
+            if any(len(x) for x in surplus):
+                yield rows([-1], [np.concatenate(surplus)])
+            last, held = (doc[len(doc) - 1].as_py(),), keys[whole:]
+            if whole:
+                ready.append(keys[:whole])
+                n_ready += whole
+            if n_ready >= STRETCH_IDS:
+                yield dealt(np.concatenate(ready))
+                ready, n_ready = [], 0
+        if len(held):
+            if last == (None,):
+                yield rows([-1], [held & 0xFFFFFFFF])
+            yield dealt(np.concatenate([*ready, held]))
     return run
 
 
-def _word_groups(per_doc: DataFrame, n_words: int) -> list[int]:
-    """Bounds that split the word numbers into groups of about equal work
-    (pairs, and ``WORD_COST`` a word), from sums over at most 4096 stretches
-    of words."""
+def _surplus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("data"):
+            ids, n = np.unique(np.frombuffer(data.as_buffer(), np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["id", "n"])
+
+
+def _names(bounds: list[int]):
+    """Rows of (id, word, df) as rows of the blocks, beside those of
+    :func:`_blocks`, as a function for ``mapInArrow``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, data = np.searchsorted(bounds, np.asarray(batch.column("id")), side="right"), []
+            for k in (kinds := np.unique(block)):
+                with pa.ipc.new_stream(out := pa.BufferOutputStream(), batch.schema) as stream:
+                    stream.write_batch(batch.take(pa.array(np.flatnonzero(block == k))))
+                data.append(out.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([-1] * len(kinds), pa.int64()),
+                                              pa.array(data, pa.binary())], names=["blk", "stretch", "data"])
+    return run
+
+
+def _count_pairs(i: int, j: int, edges: list[int], n_docs: int, min_support: int):
+    """All pairs of a word of block ``i`` with a more frequent one of block
+    ``j`` (block ``k``: ids from ``edges[k]`` up to ``edges[k + 1]``), by name,
+    with their support and lift, as a function for ``mapInArrow`` over the
+    rows of both blocks."""
+    base, width = edges[j], edges[j + 1] - edges[j]
+
+    def read(rows: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        got = [rows[k] for k in sorted(rows)]
+        return np.concatenate([x[1:x[0] + 1] for x in got]), np.concatenate([x[x[0] + 1:] for x in got])
+
+    min_support = max(1, min_support)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, dict[int, np.ndarray]] = {i: {}, j: {}}
+        names: list[pa.Table] = []
+        for batch in batches:
+            for block, stretch, data in zip(batch.column("blk").to_pylist(), batch.column("stretch").to_pylist(), batch.column("data")):
+                if stretch < 0:
+                    names.append(pa.ipc.open_stream(data.as_buffer()).read_all())
+                else:
+                    found[block][stretch] = np.frombuffer(data.as_buffer(), np.int32)
+        if not found[i] or not names:
+            return
+        named = pa.concat_tables(names).combine_chunks()
+        word_id, spelt, df = (named.column(c).combine_chunks() for c in ("id", "word", "df"))
+        word_id, df = np.asarray(word_id), np.asarray(df)
+        by_name = np.empty(len(df), np.int64)
+        by_name[np.asarray(pc.sort_indices(spelt))] = np.arange(len(df))
+        place_i, place_j = (np.full(edges[k + 1] - edges[k], -1, np.int32) for k in (i, j))
+        for k, place in ((i, place_i), (j, place_j)):
+            mine = np.flatnonzero((word_id >= edges[k]) & (word_id < edges[k + 1]))
+            place[word_id[mine] - edges[k]] = mine
+        size, flat = read(found[i])
+        own, (met_size, met_flat) = flat, ((size, flat) if i == j else read(found[j]))
+        found.clear()
+        met_flat = met_flat - np.int32(base)
+        stop = np.cumsum(met_size).astype(np.int32)
+        to = np.repeat(stop, size)
+        start = np.arange(1, len(own) + 1, dtype=np.int32) if i == j else np.repeat((stop - met_size).astype(np.int32), size)
+        paired = np.flatnonzero(start < to)
+        order = paired[np.argsort(own[paired])]
+        own, start, to = own[order], start[order], to[order]
+        del paired, order, size, flat
+        word, records = np.unique(own, return_counts=True)
+        kept = np.repeat(records >= min_support, records)          # else no pair can have the support
+        start, to, word, records = start[kept], to[kept], word[records >= min_support], records[records >= min_support]
+        if not len(word):
+            return
+        first = np.cumsum(records) - records
+        pairs = np.add.reduceat((to - start).astype(np.int64), first)
+
+        def met_by(k: int, n: int) -> np.ndarray:                  # what the records from k on have of the other block
+            return np.concatenate([met_flat[x:y] for x, y in zip(start[k:k + n].tolist(), to[k:k + n].tolist())])
+
+        def counted() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            sparse, light = pairs * 8 < width, pairs < PAIRS_AT_ONCE // 16
+            for few, by_sorting in ((np.flatnonzero(sparse & light), True), (np.flatnonzero(~sparse & light), False)):
+                cuts = np.flatnonzero(np.diff(np.cumsum(pairs[few]) // (PAIRS_AT_ONCE // 16)) > 0) + 1
+                for some in np.split(few, cuts) if len(few) else []:   # many words at once
+                    kind = np.int32 if len(some) * width < 1 << 31 else np.int64
+                    met = np.concatenate([met_by(k, n) for k, n in zip(first[some].tolist(), records[some].tolist())])
+                    met = met + np.repeat(np.arange(len(some), dtype=kind) * kind(width), pairs[some])
+                    if by_sorting:
+                        met.sort()
+                        reach = max(0, len(met) - min_support + 1)
+                        at = np.flatnonzero((np.diff(met, prepend=-1) != 0)[:reach] & (met[min_support - 1:] == met[:reach]))
+                        at, times = met[at], np.searchsorted(met, met[at], side="right") - at
+                    else:
+                        times = np.bincount(met)
+                        at = np.flatnonzero(times >= min_support)
+                        times = times[at]
+                    yield word[some[at // width]], at % width, times
+            for w in np.flatnonzero(~light).tolist():              # so many records at once that memory stays flat
+                times, each = np.zeros(width, np.int64), max(1, PAIRS_AT_ONCE * int(records[w]) // int(pairs[w]))
+                for k in range(0, int(records[w]), each):
+                    times += np.bincount(met_by(int(first[w]) + k, min(each, int(records[w]) - k)), minlength=width)
+                at = np.flatnonzero(times >= min_support)
+                yield np.full(len(at), word[w]), at, times[at]
+
+        def table(some: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            a, b, support = (np.concatenate(x) for x in zip(*some))
+            both = np.flatnonzero((a >= 0) & (b >= 0))             # words in too few records have no name
+            a, b, support = a[both], b[both], support[both].astype(np.int64)
+            turned = by_name[a] > by_name[b]
+            lift = (support * n_docs).astype(np.float64) / (df[a] * df[b]).astype(np.float64)
+            return pa.RecordBatch.from_arrays([spelt.take(pa.array(np.where(turned, b, a))), spelt.take(pa.array(np.where(turned, a, b))),
+                                               pa.array(support), pa.array(lift)], names=["word_a", "word_b", "support", "lift"])
+
+        some, rows = [], 0
+        for one, met, times in counted():
+            some.append((place_i[one - edges[i]], place_j[met], times))
+            rows += len(met)
+            if rows >= ROWS_AT_ONCE:
+                yield table(some)
+                some, rows = [], 0
+        if some:
+            yield table(some)
+    return run
+
+
+def _word_blocks(vocab: DataFrame, n_words: int) -> list[int]:
+    """Bounds that split the word numbers into blocks of about equally many
+    ids in the table, from sums over at most 4096 stretches of words."""
     step = n_words // 4096 + 1
-    seen = per_doc.select(F.size("ids").alias("n"), F.posexplode("ids").alias("place", "a"))
-    sums = seen.groupBy((F.col("a") / step).cast("int").alias("s")).agg(
-        F.sum((F.col("n") - F.col("place") - 1).cast("bigint")).alias("pairs"), F.count(F.lit(1)).alias("c")).orderBy("s").collect()
-    if not sums:
-        return []
-    work = [r["pairs"] + WORD_COST * step for r in sums]
-    total, groups = sum(work), max(WORD_GROUPS, sum(r["c"] for r in sums) // IDS_PER_GROUP + 1)
+    sums = vocab.groupBy((F.col("id") / step).cast("int").alias("s")).agg(F.sum("n").alias("n")).orderBy("s").collect()
+    total = sum(r["n"] for r in sums)
+    blocks = max(min(WORD_GROUPS, total // IDS_AT_LEAST), total // IDS_PER_GROUP) + 1
     bounds, passed = [], 0
-    for r, more in zip(sums, work):
-        if passed * groups >= total * (len(bounds) + 1):
+    for r in sums:
+        if passed * blocks >= total * (len(bounds) + 1):
             bounds.append(r["s"] * step)
-        passed += more
+        passed += r["n"]
     return bounds
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """``round(x, digits)``; its decimals only where a half is near or ``x`` is large."""
+    scale = 10.0 ** digits
+    scaled = x * F.lit(scale)
+    clear = (F.abs(x) < 1e6) & (F.abs(F.abs(scaled - F.rint(scaled)) - 0.5) > 1e-3)
+    return F.when(clear, F.rint(scaled) / F.lit(scale)).otherwise(F.round(x, digits))
+
+
 def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, min_support: int = 5) -> DataFrame:
     """Keyword pairs that stand together in at least ``min_support``
     records (``doc_col`` names a record), with the lift over chance:
@@ -244,38 +411,46 @@ def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, min_support: int =
     A pair can only reach that support if both its words do, so the vocabulary
     is every word in at least ``min_support`` records: an absolute bound, not
     a share of the table, and nothing else is left out. Words are numbered by
-    rising frequency and records carry the numbers. A pair belongs to its
-    rarer word. The words are split into groups of about equal numbers of
-    pairs; a record goes once to each group that it has words of, as one array
-    of its ids from there on, and a group's pairs are made and counted where
-    they arrive, one word at a time. So a record of n words is sent at most
-    ``WORD_GROUPS`` times (more only where the table has more than that many
-    times ``IDS_PER_GROUP`` ids) and not n times, no pair is ever shuffled and
-    only pairs with the support leave the task.
+    rising frequency, counted by rows at first; rows of one record are united
+    where its ids meet, and what they counted too often is taken off. The
+    words are split into blocks of about equally many ids, and the ids are
+    stored once, a folder per block. A task reads two blocks and counts the
+    pairs between them, one word at a time, so each id is on disk once (and
+    once in the shuffle by record), however many blocks there are, no pair is
+    ever shuffled and only pairs with the support leave the task, by name.
 
     The work grows with the square of a record's distinct words, by the nature
-    of the question. A task holds the ids sent to one group, at most all ids of
-    the table. The vocabulary is joined; it is broadcast only where a count
-    proves it small.
+    of the question. A task holds two blocks, ``IDS_PER_GROUP`` ids each; there
+    are as many tasks as pairs of blocks, and a block is read once for each
+    other. The vocabulary is joined to the words; it is broadcast only where a
+    count proves it small.
     """
-    found = df.select(doc_col, F.explode(F.array_distinct(words(text_col))).alias("word")).filter(keep_word("word"))
-    doc_freq = found.groupBy("word").agg(F.count_distinct(doc_col).alias("df"))
+    found = df.select(doc_col, F.monotonically_increasing_id().alias("_row"), F.array_distinct(words(text_col)).alias("_words"))
+    found = found.select(doc_col, "_row", F.explode("_words").alias("word")).filter(keep_word("word"))
+    row_freq = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     n_docs = df.count()
-    vocab = materialize(numbered(doc_freq.filter(F.col("df") >= min_support).orderBy("df")).withColumn("id", F.col("id").cast("int")))
+    vocab = materialize(numbered(row_freq.filter(F.col("n") >= min_support).orderBy("n")).withColumn("id", F.col("id").cast("int")))
     size = vocab.count()
     if size >= 1 << 31:
         raise ValueError(f"{size} words: word numbers have 31 bits")
-    small = vocab if size > VOCABULARY_ROWS else F.broadcast(vocab)
-    per_doc = stored(found.join(small.select("word", "id"), "word").groupBy(doc_col)
-                     .agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").filter(F.size("ids") >= 2), "keyword-ids")
-    bounds = _word_groups(per_doc, size)
-    counted = per_doc.mapInArrow(_tails(bounds), "g int, ids array<int>").groupBy("g").applyInArrow(
-        _count_pairs(bounds, size, min_support), "a int, b int, support bigint")
-    one, two = (small.select(F.col("id").alias(k), F.col("word").alias(f"word_{k}"), F.col("df").alias(f"df_{k}")) for k in "ab")
-    named = counted.join(one, "a").join(two, "b")
-    lift = F.round(F.col("support") * n_docs / (F.col("df_a") * F.col("df_b")), 6)
-    return named.select(F.least("word_a", "word_b").alias("word_a"), F.greatest("word_a", "word_b").alias("word_b"),
-                        "support", lift.alias("lift"))
+    small = (lambda x: x) if size > VOCABULARY_ROWS else F.broadcast
+    bounds = _word_blocks(vocab, size)
+    runs = found.join(small(vocab.select("word", "id")), "word").select(doc_col, "_row", "id").mapInArrow(
+        _runs(doc_col), StructType([found.schema[doc_col], StructField("ids", ArrayType(IntegerType()))]))
+    ids = stored(runs.repartition(doc_col).sortWithinPartitions(doc_col)
+                 .mapInArrow(_blocks(bounds), "blk int, stretch bigint, data binary"), "keyword-ids", ["blk"])
+    surplus = ids.filter("blk = -1").mapInArrow(_surplus, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("_less"))
+    vocab = materialize(vocab.join(surplus, "id", "left").select("id", "word", (F.col("n") - F.coalesce("_less", F.lit(0))).alias("df"))
+                        .filter(F.col("df") >= min_support))
+    names = stored(vocab.mapInArrow(_names(bounds), "blk int, stretch bigint, data binary"), "keyword-names", ["blk"])
+    rows = ids.select("blk", "stretch", "data").unionAll(names.select("blk", "stretch", "data"))
+    edges, kind = [0, *bounds, size], "word_a string, word_b string, support bigint, lift double"
+    # the first is empty: of parts with one partition each, the union would be one partition too
+    counted = reduce(DataFrame.unionAll, [rows.filter(F.col("blk") < -1).mapInArrow(lambda batches: batches, rows.schema)
+                                          .selectExpr("'' AS word_a", "'' AS word_b", "stretch AS support", "0D AS lift")] + [
+        rows.filter(F.col("blk").isin(i, j)).coalesce(1).mapInArrow(_count_pairs(i, j, edges, n_docs, min_support), kind)
+        for i in range(len(bounds) + 1) for j in range(i, len(bounds) + 1)])
+    return counted.withColumn("lift", _rounded(F.col("lift"), 6))
 
 
 def keyword_clusters(pairs: DataFrame, min_lift: float = 1.0, min_support: int = 2) -> DataFrame:

@@ -69,3 +69,58 @@ def test_clusters_match_union_find(spark, seed):
             parent[hi] = lo
     df = spark.createDataFrame(pairs, "word_a string, word_b string, support long, lift double")
     assert {tuple(r) for r in A.keyword_clusters(df).collect()} == {(w, root(w)) for w in parent}
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(A, "IDS_AT_LEAST", 100)
+    monkeypatch.setattr(A, "STRETCH_IDS", 200)
+    monkeypatch.setattr(A, "ROWS_AT_ONCE", 50)
+
+
+@pytest.mark.parametrize("at_once", [4_000_000, 3200])
+def test_pairs_over_several_blocks(spark, monkeypatch, small_blocks, at_once):
+    monkeypatch.setattr(A, "PAIRS_AT_ONCE", at_once)
+    rows = rows_of(8, 300, 90)
+    rows += [(i, "w000x twice w089x") for i in range(9)] + [(7, "twice four w001x")] * 9 + [(i, "four") for i in range(20, 23)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in A.keyword_pairs(df, "text", "doc_id", 5).collect()]
+    want = {(a, b): (n, x) for a, b, n, x in brute(rows, 5)}
+    assert len(got) == len(want) and {(a, b): n for a, b, n, _ in got} == {k: n for k, (n, _) in want.items()}
+    assert all(abs(x - want[a, b][1]) < 1e-5 for a, b, _, x in got)
+    assert not any("four" in r for r in got)           # in more than five rows, but in four records
+
+
+def test_rows_without_an_id_are_one_record_but_no_frequency(spark, small_blocks):
+    rows = [(i, "alpha beta gamma") for i in range(4)] + [(None, "alpha beta"), (None, "alpha gamma"), (4, "alpha beta delta")]
+    rows += [(None, "delta epsilon")] * 6 + [(5, "alpha")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {tuple(r)[:3] for r in A.keyword_pairs(df, "text", "doc_id", 5).collect()}
+    assert got == {("alpha", "beta", 6)}               # gamma and delta are in fewer than five records with an id
+
+
+def tree_mb(path):
+    return sum(f.stat().st_size for f in path.rglob("*") if f.is_file()) / 1e6
+
+
+def test_ids_are_stored_once_and_pairs_are_not(spark, monkeypatch, tmp_path):
+    """Much fewer bytes are stored than a record sent to each group, or the pairs, would take."""
+    kept = []
+    monkeypatch.setattr(A, "IDS_AT_LEAST", 100)
+    monkeypatch.setattr(A, "stored", lambda df, name, by=(), f=A.stored: kept.append((name, f(df, name, by))) or kept[-1][1])
+    rnd = Random(5)
+    rows = [(i, " ".join(f"v{rnd.randrange(400)}x" for _ in range(60))) for i in range(1500)]
+    pairs = A.keyword_pairs(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id", 5)
+    assert pairs.count() > 36 * 400
+    ids = dict(kept)["keyword-ids"].filter("blk >= 0").collect()
+    sent = sum(len(r.data) // 4 for r in ids)
+    records = sum(len(set(t.split())) for _, t in rows)
+    assert sent <= records + 1500 * 8 + len(ids) and len({r.blk for r in ids}) == 8
+
+
+def test_rounding_is_round(spark):
+    from pyspark.sql import functions as F
+    rnd = Random(4)
+    values = [0.0, 0.0000005, 1.0000005, 2.5e-7, 123456.7890125, 1e6, 3.2e9 + 0.1234565, 1 / 3] + [rnd.randrange(1, 9999) * 977 / rnd.randrange(1, 9999) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select(A._rounded(F.col("x"), 6).alias("a"), F.round("x", 6).alias("b"))
+    assert df.filter("a <> b").count() == 0
