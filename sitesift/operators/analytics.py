@@ -32,6 +32,8 @@ IDS_PER_GROUP = 10_000_000
 STRETCH_IDS = 1_000_000
 PAIRS_AT_ONCE = 4_000_000
 ROWS_AT_ONCE = 200_000
+#: Words whose components a task holds.
+WORDS_AT_ONCE = 1_000_000
 #: A vocabulary of so many words (a row is under 100 bytes) is broadcast.
 VOCABULARY_ROWS = 1_000_000
 
@@ -453,20 +455,72 @@ def keyword_pairs(df: DataFrame, text_col: str, doc_col: str, min_support: int =
     return counted.withColumn("lift", _rounded(F.col("lift"), 6))
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs to a row per word: the word, a word of its component (by the
+    linked pairs of this task) and whether that is another. Beyond
+    ``WORDS_AT_ONCE`` words, what there is goes out and the rest starts anew."""
+    number: dict[str, int] = {}
+    end = np.zeros(0, np.int64)
+
+    def stars() -> pa.RecordBatch:
+        spelt = pa.array([*number], pa.string())
+        return pa.RecordBatch.from_arrays([spelt, spelt.take(pa.array(end)), pa.array(end != np.arange(len(end)))], names=["word_a", "word_b", "linked"])
+
+    def united(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal end
+        while True:
+            a, b = end[a], end[b]
+            apart = a != b
+            if not apart.any():
+                return
+            a, b = np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart])
+            np.minimum.at(end, a, b)                               # the smallest one met; all that hangs on it follows
+            while not np.array_equal(up := end[end], end):
+                end = up
+
+    def added(some: list[pa.RecordBatch]) -> None:
+        nonlocal end
+        words_ = pa.concat_arrays([x.column(c) for c in ("word_a", "word_b") for x in some]).dictionary_encode()
+        known = np.array([number.setdefault(x, len(number)) for x in words_.dictionary.to_pylist()], np.int64)
+        end = np.concatenate([end, np.arange(len(end), len(number))])
+        a, b = known[np.asarray(words_.indices)].reshape(2, -1)
+        linked = np.concatenate([x.column("linked").to_numpy(zero_copy_only=False) for x in some])
+        united(a[linked], b[linked])
+
+    some, rows = [], 0
+    for batch in batches:
+        some.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS_AT_ONCE:
+            added(some)
+            some, rows = [], 0
+            if len(number) > WORDS_AT_ONCE:
+                yield stars()
+                number.clear()
+                end = np.zeros(0, np.int64)
+    if rows:
+        added(some)
+    if number:
+        yield stars()
+
+
 def keyword_clusters(pairs: DataFrame, min_lift: float = 1.0, min_support: int = 2) -> DataFrame:
     """A8 (clusters): connected components of the keyword graph whose edges
     are pairs with ``lift > min_lift`` and ``support >= min_support``; each
     word of a pair gets the smallest word of its component as ``cluster``.
 
-    The pairs are written once. Each round hooks every word to its smallest
-    neighbour where that is smaller, follows the hooks to their ends (over the
-    words alone, by pointer jumping) and goes on with the edges between
-    different ends, which are far fewer. An end is the smallest word of what
-    hangs on it, so the last end is the smallest of the component. The words
-    are broadcast only where a count proves them small.
+    The pairs are read once and not written: each task keeps the components
+    of its own pairs and stores one row per word, the word with an end of its
+    component there. Each round hooks every word to its smallest neighbour
+    where that is smaller, follows the hooks to their ends (over the words
+    alone, by pointer jumping) and goes on with the edges between different
+    ends, which are far fewer. An end is the smallest word of what hangs on
+    it, so the last end is the smallest of the component. The words are
+    broadcast only where a count proves them small.
     """
     linked = (F.col("lift") > min_lift) & (F.col("support") >= min_support)
-    pairs = stored(pairs.select("word_a", "word_b", F.coalesce(linked, F.lit(False)).alias("linked")), "keyword-edges")
+    pairs = stored(pairs.select("word_a", "word_b", F.coalesce(linked, F.lit(False)).alias("linked"))
+                   .mapInArrow(_stars, "word_a string, word_b string, linked boolean"), "keyword-edges")
     ends = F.array(F.struct(F.col("word_a").alias("word"), F.when(F.col("linked"), F.col("word_b")).alias("near")),
                    F.struct(F.col("word_b").alias("word"), F.when(F.col("linked"), F.col("word_a")).alias("near")))
 

@@ -111,11 +111,31 @@ def test_ids_are_stored_once_and_pairs_are_not(spark, monkeypatch, tmp_path):
     rnd = Random(5)
     rows = [(i, " ".join(f"v{rnd.randrange(400)}x" for _ in range(60))) for i in range(1500)]
     pairs = A.keyword_pairs(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id", 5)
-    assert pairs.count() > 36 * 400
+    assert A.keyword_clusters(pairs, 1.0, 5).count() == 400
     ids = dict(kept)["keyword-ids"].filter("blk >= 0").collect()
     sent = sum(len(r.data) // 4 for r in ids)
     records = sum(len(set(t.split())) for _, t in rows)
     assert sent <= records + 1500 * 8 + len(ids) and len({r.blk for r in ids}) == 8
+    edges = dict(kept)["keyword-edges"].count()
+    assert edges <= 36 * 400 < pairs.count()
+
+
+def test_stars_of_more_words_than_a_task_holds(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(A, "ROWS_AT_ONCE", 3)
+    monkeypatch.setattr(A, "WORDS_AT_ONCE", 6)
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}", True) for i in range(30)]
+    Random(3).shuffle(chain)
+    rows = chain + [("d1", "d2", False), ("d2", "d3", False)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("word_a", "word_b", "linked"), r)) for r in rows[k:k + 2]]) for k in range(0, len(rows), 2)]
+    out = [x for batch in A._stars(batches) for x in batch.to_pylist()]
+    label = {w: w for r in rows for w in r[:2]}
+    assert {r["word_a"] for r in out} == set(label)
+    for _ in label:
+        for r in out:
+            assert r["linked"] == (r["word_a"] != r["word_b"])
+            label[r["word_a"]] = label[r["word_b"]] = min(label[r["word_a"]], label[r["word_b"]])
+    assert label == {f"c{i:02d}": "c00" for i in range(31)} | {d: d for d in ("d1", "d2", "d3")}
 
 
 def test_rounding_is_round(spark):
